@@ -8,10 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, media, packing, secrets, simhash
 from .session import documents
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_features(media.texts_as_media(documents(spark, sf_dir)))
+    feature = F.concat_ws("-", "dhash", F.lpad(F.hex(F.crc32("tile")), 8, "0")).alias("feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    kinds = ", ".join(f"'{k}'" for k in secrets.BASE)
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    base = F.sha2(F.expr(written.format(f"filter(spans, s -> s.kind IN ({kinds}))")), 256).alias("base_sha256")
+    return secrets.scan_documents(documents(spark, sf_dir)).select("doc_id", *counts, base, F.expr(written.format("spans")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
@@ -23,8 +37,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(simhash.fingerprints(documents(spark, sf_dir)))
+    return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
+    "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
+    "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
