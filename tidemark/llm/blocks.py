@@ -98,7 +98,7 @@ class Table:
 
     def __init__(self, capacity: int = 1 << 16):
         size = 1 << max(4, (2 * capacity - 1).bit_length())
-        self.keys, self.values, self.mask, self.used = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.uint64(size - 1), 0
+        self.keys, self.values, self.mask, self.used = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.uint64(size - 1), 0
 
     @staticmethod
     def _slots(keys: np.ndarray) -> np.ndarray:
@@ -110,7 +110,7 @@ class Table:
         if 2 * (self.used + len(keys)) > len(self.keys):
             full = self.keys != 0
             old = self.keys[full], self.values[full]
-            self.__init__(2 * (self.used + len(keys)))
+            self.__init__(self.used + len(keys))
             self.put(*old)
         self.used += len(keys)
         slots = self._slots(keys) & self.mask
@@ -125,7 +125,7 @@ class Table:
         """-1 for keys that aren't there."""
         slots = self._slots(keys) & self.mask
         found = self.keys[slots]
-        out = np.where(found == keys, self.values[slots], -1)
+        out = np.where(found == keys, self.values[slots], -1).astype(np.int64)
         left = np.flatnonzero((found != keys) & (found != 0))
         while len(left):
             slots[left] = (slots[left] + np.uint64(1)) & self.mask

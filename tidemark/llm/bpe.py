@@ -9,7 +9,6 @@ exactly the ids that merging by rank gives. Many pieces are worked on at once: e
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from .pieces import Encoded, by_document, spaced_pieces
 NEVER = np.int64(1 << 40)
 LONG = 48
 #: Beyond so many the store of prefixes is emptied, so that memory is bounded.
-MOST_PREFIXES = 2_000_000
+MOST_PREFIXES = 1_000_000
 #: The pattern of byte-level BPE, with its white space written out.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -63,7 +62,7 @@ class Vocabulary:
         self.pairs = Table(len(pairs))
         self.pairs.put(pairs, made)
         self._automaton(ids.values())
-        self.seen_keys, self.seen = np.zeros(1 << 22, np.uint64), np.zeros(1 << 22, bool)
+        self.seen_keys, self.seen = np.zeros(1 << 21, np.uint64), np.zeros(1 << 21, bool)
         whole = np.flatnonzero(self.rank >= 0)
         self.holds = np.ones(size, bool)
         fits = self.meet(self.left[whole], self.right[whole], self.rank[whole])
@@ -116,7 +115,7 @@ class Vocabulary:
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) + np.uint64(1)
-        slots = (keys * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(42)
+        slots = (keys * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(43)
         out = self.seen[slots]
         new = np.flatnonzero(self.seen_keys[slots] != keys)
         if len(new):
@@ -266,9 +265,15 @@ class Vocabulary:
             ids, offsets = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
         return ids, offsets
 
+    def decode_block(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The texts that each run of ids stands for; bytes that aren't UTF-8 become replacement characters."""
+        sizes = self.lengths[ids]
+        raw = self.flat[ragged(self.starts[ids], sizes)].tobytes()
+        ends = np.append(0, np.cumsum(sizes))[offsets].tolist()
+        return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(ends, ends[1:], strict=False)]
+
     def decode(self, ids: np.ndarray) -> bytes:
-        ids = ids.astype(np.int64)
-        return self.flat[ragged(self.starts[ids], self.lengths[ids])].tobytes().decode("utf-8", "replace").encode()
+        return self.decode_block(ids.astype(np.int64), np.array([0, len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -281,12 +286,13 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded(path, os.path.getmtime(path))
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of docs, with `ids` (little-endian unsigned 32-bit integers) and n_tokens.
+def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """All columns of docs, with `ids` (little-endian unsigned 32-bit integers) and n_tokens; with `decoded` too if asked for: what the ids stand for.
 
     Null and empty texts have no ids. A column of docs named like an added one is replaced. Repeated rows are encoded each for itself.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+    added = {"ids": "binary", "n_tokens": "long"} | ({"decoded": "string"} if decoded else {})
+    kept = [c for c in docs.columns if c not in added]
     docs = docs.select(*(f"`{c}`" for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,10 +301,16 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
             for block in blocks(batch.column(kept.index(text))):
                 ids, offsets = words.encode_block(block)
                 raw = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                cells = [raw, pa.array(np.diff(offsets))]
+                if decoded:
+                    cells.append(pa.array(words.decode_block(ids, offsets), pa.binary()).cast(pa.string()))
                 part = batch.slice(block.first, block.last - block.first)
-                yield pa.RecordBatch.from_arrays([*part.columns, raw, pa.array(np.diff(offsets))], [*kept, "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *cells], [*kept, *added])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("ids", "binary").add("n_tokens", "long"))
+    schema = StructType([*docs.schema.fields])
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -311,12 +323,9 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
         for batch in batches:
             for block in blocks(batch.column(kept.index(ids)), 8 << 20):
                 values = block.data.view("<u4")
-                texts = [words.decode(values[a:b]) for a, b in zip((block.offsets[:-1] // 4).tolist(), (block.offsets[1:] // 4).tolist(), strict=True)]
+                texts = words.decode_block(values, block.offsets // 4)
                 part = batch.slice(block.first, block.last - block.first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*kept, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("decoded", "string"))
 
-
-def sha256_hex(raw: bytes | memoryview) -> str:
-    return hashlib.sha256(raw).hexdigest()

@@ -74,13 +74,13 @@ def visible_pieces(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class Encoded:
     """Ids of every distinct piece seen so far; emptied when it holds `most`, so memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: type, most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: type, most: int = 1_000_000):
         self.encode, self.kind, self.most = encode, kind, most
         self.clear()
 
     def clear(self) -> None:
         self.table, self.count, self.size = Table(1 << 16), 0, 0
-        self.starts, self.counts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind)
+        self.starts, self.counts, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind)
 
     def _append(self, counts: np.ndarray, ids: np.ndarray) -> None:
         while self.count + len(counts) > len(self.counts):
@@ -108,7 +108,7 @@ class Encoded:
             self._append(counts, ids)
             self.table.put(hashes[new], known[new])
         places = known[codes]
-        counts = self.counts[places]
+        counts = self.counts[places].astype(np.int64)
         return self.ids[ragged(self.starts[places], counts)], counts
 
 
