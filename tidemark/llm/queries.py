@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, secrets, simhash
+from . import bpe, media, packing, quality, secrets, simhash, toxicity
+from .sampling import held_out
 from .session import documents
 
 
@@ -18,6 +19,13 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model, scale = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_documents(docs, model, scale)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     kinds = ", ".join(f"'{k}'" for k in secrets.BASE)
@@ -40,11 +48,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "is_toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
+    "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
