@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mixed, prefix_sums, span_hashes
 from .pieces import visible_pieces
-from .sampling import PER_CLASS, labelled, platt, sigmoid
+from .sampling import PER_CLASS, class_sizes, labelled, natural_weights, platt, sigmoid
 
 BITS = 18
 
@@ -31,14 +31,18 @@ class Model(NamedTuple):
 
 
 def block_features(block: Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the distinct n-grams, n being 1 and 2, of every text of the block."""
+    """(row, feature) of the distinct n-grams, n being 1 and 2, and of their repetitions, of every text of the block."""
     starts, ends = visible_pieces(block)
     hashes = span_hashes(prefix_sums(block.data), starts, ends)
     row = np.searchsorted(block.offsets, starts, "right") - 1
     pair = mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
     same = row[:-1] == row[1:]
     drop = np.uint64(64 - bits)
-    keys = np.concatenate([row << bits | (hashes >> drop).astype(np.int64), (row[:-1] << bits | (pair >> drop).astype(np.int64))[same]])
+    keys = [row << bits | (hashes >> drop).astype(np.int64), (row[:-1] << bits | (pair >> drop).astype(np.int64))[same]]
+    for apart in (1, 2):  # an n-gram's form: that it comes again at once, or after one other
+        again = (hashes[:-apart] == hashes[apart:]) & (row[:-apart] == row[apart:])
+        keys.append(row[:-apart][again] << bits | apart)
+    keys = np.concatenate(keys)
     keys = pd.unique(keys)
     return keys >> bits, keys & ((1 << bits) - 1)
 
@@ -51,13 +55,13 @@ def ratios(features: list[np.ndarray], y: np.ndarray, bits: int = BITS, smooth:
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def hinge_fit(features: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = 0.1, rounds: int = 8, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights (of plain indicators) and bias that minimise half the squared norm plus cost times the hinge losses, class weights even.
+def hinge_fit(features: list[np.ndarray], scale: np.ndarray, y: np.ndarray, worth: np.ndarray, cost: float = 0.3, rounds: int = 8, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights (of plain indicators) and bias that minimise half the squared norm plus cost times the hinge losses, each by its worth.
 
     Dual coordinate descent: one multiplier at a time is moved to its best value between 0 and its bound, the weights kept in step.
     """
     w, bias, sign = np.zeros(len(scale)), 0.0, np.where(y == 1, 1.0, -1.0)
-    bounds = cost * len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))[y]
+    bounds = cost * np.maximum(worth, 1e-6)
     values = [scale[f] / max(1e-9, np.sqrt((scale[f] ** 2).sum())) if len(f) else scale[f] for f in features]
     square = np.array([(v**2).sum() + 1 for v in values])
     alpha, order = np.zeros(len(y)), np.random.default_rng(seed)
@@ -107,16 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             part = np.arange(len(y)) % 5
             seen = np.flatnonzero(part > 0) if len(np.unique(y[part > 0])) == 2 else np.arange(len(y))
             trial = ratios([lists[i] for i in seen], y[seen], bits)
-            w, b = hinge_fit([lists[i] for i in seen], trial, y[seen])
+            worth = natural_weights(y, sizes)
+            w, b = hinge_fit([lists[i] for i in seen], trial, y[seen], worth[seen])
             rest = np.flatnonzero(part == 0)
             rest = rest if len(np.unique(y[rest])) == 2 else np.arange(len(y))
             out = np.array([w[lists[i]].sum() / max(1e-9, np.sqrt((trial[lists[i]] ** 2).sum())) + b for i in rest])
-            even = (len(rest) / (2 * np.maximum(1, np.bincount(y[rest], minlength=2))))[y[rest]]
-            slope, shift = platt(out, y[rest], even)
+            slope, shift = platt(out, y[rest], worth[rest])
             scale = ratios(lists, y, bits)
-            weights, bias = hinge_fit(lists, scale, y)
+            weights, bias = hinge_fit(lists, scale, y, worth)
         return pa.table({"weights": [weights.astype("<f4").tobytes()], "scale": [scale.astype("<f4").tobytes()], "bias": [bias], "slope": [slope], "shift": [shift]})
 
+    sizes = class_sizes(labels, label)
     sample = labelled(docs, labels, label, per_class=per_class)
     sample = sample.mapInArrow(features, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, features array<int>")
     row = sample.groupBy().applyInArrow(learn, "weights binary, scale binary, bias double, slope double, shift double").first()

@@ -15,14 +15,30 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def learnable(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    known = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    return known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+
+
+def class_sizes(labels: DataFrame, label: str, key: str = "doc_id") -> np.ndarray:
+    """How many rows of each class there are to learn from, sampled or not."""
+    found = {r.y: r.n for r in learnable(labels, label, key).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return np.array([found.get(0, 0), found.get(1, 0)], float)
+
+
+def natural_weights(y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Weights, one on average, by which the sample has the classes' true shares."""
+    each = sizes / np.maximum(1, np.bincount(y, minlength=2))
+    return (each / max(1e-9, each[y].mean()))[y] if len(y) else np.zeros(0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, y, lang, text) of a sample: of each class the per_class rows whose ids hash lowest, so the same rows every time.
 
     Rows with a null label, a label other than 0 and 1, or a null id are left out, and so are those held out. An id labelled twice with
     different labels is left out; repeated rows of one label count once.
     """
-    known = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+    known = learnable(labels, label, key)
     rank = F.xxhash64(F.col("doc_id"), F.lit(11))
     picked = [known.where(F.col("y") == y).orderBy(rank, "doc_id").limit(per_class) for y in (0, 1)]
     sample = picked[0].unionByName(picked[1])
