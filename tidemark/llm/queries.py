@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, secrets, simhash, toxicity
+from . import bpe, media, packing, quality, secrets, simhash, substrings, toxicity
 from .sampling import held_out
 from .session import documents
 
@@ -43,6 +43,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(simhash.fingerprints(documents(spark, sf_dir)))
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
+    "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
