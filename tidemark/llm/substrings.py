@@ -143,13 +143,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
     return found.join(hits, NAME).select("k1", "k2", (F.col("low") + F.col("start")).alias("low"), (F.col("low") + F.col("stop") + window - 1).alias("high"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", most_blocks: int = MOST_BLOCKS, key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", most_blocks: int = MOST_BLOCKS, key: str = "doc_id", characters: bool = False) -> DataFrame:
     """All columns of docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that are left).
 
     Removed is each byte covered by a window of bytes that also starts at another place: in another row, a repeated one too, or in the same text,
-    overlaps included. Null and empty texts lose nothing; windows don't cross texts. Columns named like added ones are replaced.
+    overlaps included. With `characters`, kept is a string and has every character of which any byte is left. Null and empty texts lose nothing; windows don't cross texts. Columns named like added ones are replaced.
     """
-    added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
+    added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "string" if characters else "binary"}
     columns = [c for c in docs.columns if c not in added]
     docs = docs.select(*(F.col(f"`{c}`") for c in columns))
     named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
@@ -172,9 +172,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", mo
                     np.add.at(marks, mine.values.field("low").to_numpy(), 1)
                     np.add.at(marks, mine.values.field("high").to_numpy(), -1)
                     gone = np.cumsum(marks[:-1]) > 0
-                    out.append((len(own), int(gone.sum()), len(_runs(gone)[0]), own[~gone].tobytes()))
+                    removed, runs = int(gone.sum()), len(_runs(gone)[0])
+                    if characters:
+                        leads = np.flatnonzero((own & 0xC0) != 0x80)
+                        gone = np.repeat(np.logical_and.reduceat(gone, leads), np.diff(np.append(leads, len(own))))
+                    out.append((len(own), removed, runs, own[~gone].tobytes()))
                 part = batch.slice(block.first, len(out))
                 cells = [pa.array([r[k] for r in out], pa.binary() if k == 3 else pa.int64()) for k in range(4)]
+                if characters:
+                    cells[3] = cells[3].cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cells], [*columns, *added])
 
     schema = StructType([*docs.schema.fields])
