@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, secrets, simhash, substrings, toxicity
+from . import bpe, licenses, media, packing, quality, secrets, simhash, substrings, toxicity
 from .sampling import held_out
 from .session import documents
 
@@ -34,6 +34,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir)).select("doc_id", *counts, base, F.expr(written.format("spans")).alias("spans"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
     "op8_substrings": op8_substrings,
