@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from .anchors import anchor_runs
 from .blocks import blocks
-from .session import cut
+from .session import cut, stored
 from .suffixes import repeated
 
 WINDOW = 400
@@ -35,7 +35,8 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_blocks(docs: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, gram, c1, c2, low, count) of every block: its text, gram, digest, first window and number of windows."""
+    """(k1, k2, gram, c1, c2, low, count, times) of every block: its text, gram, digest, first window, number of windows, and how often it
+    comes at once again, as it does in a text that repeats a few bytes over and over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,10 +48,14 @@ def find_blocks(docs: DataFrame, window: int) -> DataFrame:
                 raw, digest = memoryview(block.data), xxhash.xxh3_128_digest
                 digests = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)]), "<i8").reshape(-1, 2)
                 row = np.searchsorted(block.offsets, first, "right") - 1
-                columns = [k1[block.first + row], k2[block.first + row], grams.view(np.int64), digests[:, 0], digests[:, 1], first - block.offsets[row], last - first + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["k1", "k2", *NAME, "low", "count"])
+                new = np.ones(len(first), bool)
+                new[1:] = (digests[1:] != digests[:-1]).any(axis=1) | (row[1:] != row[:-1]) | (first[1:] != last[:-1] + 1)
+                at = np.flatnonzero(new)
+                times = np.diff(np.append(at, len(first)))
+                columns = [k1[block.first + row], k2[block.first + row], grams.view(np.int64), digests[:, 0], digests[:, 1], (first - block.offsets[row]).astype(np.int32), (last - first + 1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c[at])) for c in columns), pa.array(times.astype(np.int32))], ["k1", "k2", *NAME, "low", "count", "times"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, gram long, c1 long, c2 long, low long, count long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, gram long, c1 long, c2 long, low int, count int, times int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -58,15 +63,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
 
     k1 and k2 name a text; rows of one name must have the same text, and each counts.
     """
-    found = cut(find_blocks(docs, window))
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    found = found.join(shared, "gram", "left_semi")
+    found = stored(find_blocks(docs, window))
+    shared = found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
     # blocks that are equal as a whole become one, with their number
-    kinds = found.groupBy(*NAME).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low", "count")).alias("at"))
+    kinds = found.join(shared, "gram", "left_semi").groupBy(*NAME).agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "low", "count")).alias("at"))
     per_gram = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
     kinds = kinds.join(per_gram, "gram").select(*NAME, "n", "at.*", F.when(F.col("kinds") == 1, 0).when(F.col("kinds") <= most_blocks, 1).otherwise(2).alias("way"))
-    kinds = cut(kinds)
-    alone = kinds.where("way = 0 AND n > 1").select(*NAME, F.lit(0).cast("long").alias("start"), F.col("count").alias("stop"))
+    kinds = stored(kinds)
+    alone = kinds.where("way = 0 AND n > 1").select(*NAME, F.lit(0).cast("long").alias("start"), F.col("count").cast("long").alias("stop"))
 
     wanted = kinds.where("way > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct(*NAME, "n", "low", "count", "way")).alias("blocks"))
 
@@ -132,7 +136,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
                 raw, digest = memoryview(batch.column(4)[row].as_buffer()), xxhash.xxh3_128_digest
                 count = len(raw) - window + 1
                 digests = np.frombuffer(b"".join([digest(raw[k : k + window]) for k in range(count)]), "<i8").reshape(-1, 2)
-                fixed = [pa.array(np.full(count, batch.column(k)[row].as_py())) for k in range(4)]
+                fixed = [pa.array(np.full(count, batch.column(k)[row].as_py(), np.int64)) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(count)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], [*NAME, "n", "start", "w1", "w2"])
 
     each = held.where("way = 2").select(*NAME, "n", "content").dropDuplicates(NAME).mapInArrow(windows, "gram long, c1 long, c2 long, n long, start long, w1 long, w2 long")
@@ -140,7 +144,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
     counted = each.join(often, ["w1", "w2"], "left_semi").select(*NAME, "start", (F.col("start") + 1).alias("stop"))
 
     hits = alone.unionByName(sorted_).unionByName(counted)
-    return found.join(hits, NAME).select("k1", "k2", (F.col("low") + F.col("start")).alias("low"), (F.col("low") + F.col("stop") + window - 1).alias("high"))
+    # blocks that come at once again lie `count` bytes apart, less than a window, so what they cover hangs together
+    high = F.col("low") + (F.col("times") - 1) * F.col("count") + F.col("stop") + window - 1
+    return found.join(hits, NAME).select("k1", "k2", (F.col("low") + F.col("start")).alias("low"), high.alias("high"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", most_blocks: int = MOST_BLOCKS, key: str = "doc_id", characters: bool = False) -> DataFrame:
