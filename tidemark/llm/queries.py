@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, packing, quality, secrets, simhash, substrings, toxicity
+from . import bpe, fingerprints, licenses, media, packing, quality, secrets, simhash, substrings, toxicity
 from .sampling import held_out
 from .session import documents
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_documents(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_features(media.texts_as_media(documents(spark, sf_dir)))
     feature = F.concat_ws("-", "dhash", F.lpad(F.hex(F.crc32("tile")), 8, "0")).alias("feature")
@@ -64,6 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_media": op2_media,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
