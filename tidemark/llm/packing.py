@@ -8,6 +8,7 @@ one is cut into runs of power-of-two length, which need no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ from .blocks import Block, blocks, ragged
 from .pieces import LOWER, Encoded, by_document, visible_pieces
 
 GROUP_DOCUMENTS = 1024
+ASK_AT_ONCE = 4096
 
 
 class FirstFit:
@@ -123,16 +125,20 @@ class WordTokenizer:
     """Ids of a lower-casing word-level BPE by the tokenizers library, asked once for each distinct piece of text."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker for each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.encoded = Encoded(self._encode, np.uint32)
+        self.encoded = Encoded(self._encode, np.uint32, 500_000)
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+        counts, ids = [], []
+        for low in range(0, len(pieces), ASK_AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[low : low + ASK_AT_ONCE]], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for own in found for i in own), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         plain = Block(block.first, block.last, LOWER[block.data], block.offsets)
