@@ -8,11 +8,13 @@ many parts as the two texts have paragraphs for, and at last with other places;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells in each third of the fingerprint's table; digests for each part of a larger one, and the cells in its thirds, by attempt.
-CELLS, PER_PART, LARGER = 4, 24, (32, 64)
+CELLS, PER_PART, LARGER = 4, 12, (12, 24, 64)
 ROUNDS = 12
 PARAGRAPHS = r"\n+|(?<=[.!?]) +"
 
@@ -33,8 +35,12 @@ def _places(array: str, cells: int, parts: str, salt: int) -> str:
 def _table(elements: str, cells: int) -> str:
     """The cells of a sketch of these elements."""
     xor = lambda f: f"aggregate(x, 0L, (a, e) -> a ^ e.{f})"
-    cell = f"transform(array(filter({elements}, e -> e.p0 = j OR e.p1 = j OR e.p2 = j)), x -> named_struct('n', size(x), 'k', {xor('d')}, 'c', {xor('c')}))[0]"
-    return f"transform(sequence(0, {3 * cells - 1}), j -> {cell})"
+    cell = lambda k: f"transform(array(filter({elements}, e -> e.p{k} = j)), x -> named_struct('n', size(x), 'k', {xor('d')}, 'c', {xor('c')}))[0]"
+    return _thirds(cells, lambda k, low, high: f"transform(sequence({low}, {high}), j -> {cell(k)})")
+
+
+def _thirds(cells: int, make: Callable[[int, int, int], str]) -> str:
+    return "concat(" + ", ".join(make(k, k * cells, (k + 1) * cells - 1) for k in range(3)) + ")"
 
 
 def _peeled(table: str, cells: int, salt: int) -> str:
@@ -42,8 +48,10 @@ def _peeled(table: str, cells: int, salt: int) -> str:
     pure = "transform(filter(t, x -> abs(x.n) = 1 AND xxhash64(x.k, 77) = x.c), x -> named_struct('d', x.k, 's', x.n))"
     placed = _places("transform(array_distinct(st.pure), e -> e.d)", cells, "1", salt)
     signed = f"zip_with({placed}, array_distinct(st.pure), (e, f) -> named_struct('c', e.c, 'd', e.d, 's', f.s, 'p0', e.p0, 'p1', e.p1, 'p2', e.p2))"
-    take = "transform(array(filter(out, e -> e.p0 = j OR e.p1 = j OR e.p2 = j)), y -> if(size(y) = 0, x, named_struct('n', x.n - aggregate(y, 0, (a, e) -> a + e.s), 'k', x.k ^ aggregate(y, 0L, (a, e) -> a ^ e.d), 'c', x.c ^ aggregate(y, 0L, (a, e) -> a ^ e.c))))[0]"
-    step = f"transform(array({signed}), out -> transform(array(transform(st.t, (x, j) -> {take})), t -> named_struct('t', t, 'a', st.a + size(filter(out, e -> e.s = 1)), 'b', st.b + size(filter(out, e -> e.s = -1)), 'pure', {pure}))[0])[0]"
+    sums = "x.n - aggregate(y, 0, (a, e) -> a + e.s), 'k', x.k ^ aggregate(y, 0L, (a, e) -> a ^ e.d), 'c', x.c ^ aggregate(y, 0L, (a, e) -> a ^ e.c)"
+    take = lambda k: f"transform(array(filter(out, e -> e.p{k} = j)), y -> if(size(y) = 0, x, named_struct('n', {sums})))[0]"
+    taken = _thirds(cells, lambda k, low, high: f"transform(slice(st.t, {low + 1}, {cells}), (x, i) -> transform(array(i + {low}), j -> {take(k)})[0])")
+    step = f"transform(array({signed}), out -> transform(array({taken}), t -> named_struct('t', t, 'a', st.a + size(filter(out, e -> e.s = 1)), 'b', st.b + size(filter(out, e -> e.s = -1)), 'pure', {pure}))[0])[0]"
     start = f"transform(array({table}), t -> named_struct('t', t, 'a', 0, 'b', 0, 'pure', {pure}))[0]"
     end = "st -> named_struct('ok', forall(st.t, x -> x.n = 0 AND x.k = 0 AND x.c = 0), 'a', st.a, 'b', st.b)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> if(size(st.pure) = 0, st, {step}), {end})"
