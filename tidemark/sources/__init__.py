@@ -1,0 +1,128 @@
+"""Readers: the driver's tables as quotes and vintages, and files of feeds and archives."""
+
+from __future__ import annotations
+
+import io
+import lzma
+import re
+import zipfile
+from collections.abc import Iterator
+
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import DAY, HOUR, micros
+from .schemas import SCHEMAS, empty
+
+__all__ = ["SCHEMAS", "decode_bi5", "decimal_factor", "empty", "fixture_csv", "hours_between", "reference_rates_wide", "ticks", "unpivot_rates", "vintages", "xlsx_cells"]
+
+#: By how much prices of an instrument are scaled in the feed's files.
+DECIMAL_FACTORS = {"EURUSD": 1e5, "GBPUSD": 1e5, "AUDUSD": 1e5, "NZDUSD": 1e5, "USDCAD": 1e5, "USDCHF": 1e5, "EURGBP": 1e5, "USDJPY": 1e3, "EURJPY": 1e3}
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as quotes of five instruments from two feeds; seq keeps their order."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_type").alias("instrument"),
+        micros("ts").alias("ts"),
+        F.col("value").alias("bid"),
+        (F.col("value") + (F.col("event_id") % 23 - 1) / 100.0).alias("ask"),
+        F.when(F.col("user_id") % 2 == 0, "feed_a").otherwise("feed_b").alias("source"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as vintages of ten monthly series: known on the order's date, missing for every 17th."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("S"), F.col("o_custkey") % 10).alias("series_id"),
+        F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("ref_period"),
+        micros("o_orderdate").alias("known_at"),
+        F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice")).alias("value"),
+        F.col("o_orderkey").alias("vintage_seq"),
+    )
+
+
+def fixture_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header, comment lines that begin with # and blanks for nulls."""
+    return spark.read.option("comment", "#").option("header", True).option("nullValue", "").schema(schema).csv(path)
+
+
+def decimal_factor(instrument: str) -> float:
+    if instrument not in DECIMAL_FACTORS:
+        raise KeyError(f"no decimal factor is known for {instrument}")
+    return DECIMAL_FACTORS[instrument]
+
+
+def hours_between(spark: SparkSession, start: int, end: int, only_hours: list[int] | None = None) -> DataFrame:
+    """Every hour that begins in [start, end), as instants; weekends too."""
+    first = start - start % HOUR
+    hours = spark.range(max(0, -(-(end - first) // HOUR))).select((F.col("id") * HOUR + first).alias("hour")).where(f"hour >= {start}")
+    return hours if only_hours is None else hours.where(F.expr(f"pmod(hour, {DAY}) div {HOUR}").isin(only_hours))
+
+
+def decode_bi5(files: DataFrame) -> DataFrame:
+    """From (instrument, hour, content): the ticks of each compressed hour in their order. Records are big-endian milliseconds, ask, bid and two volumes.
+
+    An empty content has no ticks; a payload that isn't whole records is an error, as is an instrument without a known factor.
+    """
+    record = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                raw = lzma.decompress(row.content) if row.content else b""
+                if len(raw) % record.itemsize:
+                    raise ValueError(f"{len(raw)} bytes aren't whole records of {record.itemsize}")
+                got, factor = np.frombuffer(raw, record), decimal_factor(row.instrument)
+                yield pd.DataFrame({"instrument": row.instrument, "ts": row.hour + got["ms"].astype("int64") * 1000, "bid": got["bid"] / factor, "ask": got["ask"] / factor, "bid_volume": got["bid_volume"].astype("float32"), "ask_volume": got["ask_volume"].astype("float32"), "seq": np.arange(len(got))})
+
+    return files.mapInPandas(run, "instrument string, ts long, bid double, ask double, bid_volume float, ask_volume float, seq long")
+
+
+def xlsx_cells(files: DataFrame) -> DataFrame:
+    """From (name, content) of workbooks: (name, row, col, text) of the first sheet's cells; shared and inline strings are resolved."""
+
+    def cells(content: bytes) -> Iterator[tuple[int, int, str]]:
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            shared = []
+            if "xl/sharedStrings.xml" in book.namelist():
+                shared = ["".join(re.findall(r"<t[^>]*>([^<]*)</t>", item)) for item in re.findall(r"<si>(.*?)</si>", book.read("xl/sharedStrings.xml").decode(), re.S)]
+            sheet = book.read(sorted(n for n in book.namelist() if n.startswith("xl/worksheets/"))[0]).decode()
+        for attributes, body in re.findall(r"<c ([^>]*?)(?:/>|>(.*?)</c>)", sheet, re.S):
+            place, kind = re.search(r'r="([A-Z]+)(\d+)"', attributes), re.search(r't="(\w+)"', attributes)
+            value = re.search(r"<(?:v|t)[^>]*>([^<]*)</(?:v|t)>", body or "")
+            if place and value:
+                column = 0
+                for letter in place[1]:
+                    column = column * 26 + ord(letter) - 64
+                yield int(place[2]), column, shared[int(value[1])] if kind and kind[1] == "s" else value[1]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                yield pd.DataFrame([(row.name, *c) for c in cells(row.content)], columns=["name", "row", "col", "text"])
+
+    return files.mapInPandas(run, "name string, row int, col int, text string")
+
+
+def reference_rates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily mean of each instrument as a wide table of rates in text, N/A where there is none or on every 7th day."""
+    day = F.expr(f"ts div {DAY}")
+    means = ticks(spark, sf_dir).groupBy(day.alias("d"), "instrument").agg(F.round(F.avg("bid"), 4).alias("rate"))
+    names = ["click", "error", "purchase", "signup", "view"]
+    wide = means.groupBy("d").pivot("instrument", names).agg(F.first("rate"))
+    shown = [F.when((F.col("d") % 7 == 0) | F.col(n).isNull(), "N/A").otherwise(F.col(n).cast("string")).alias(n) for n in names]
+    return wide.select(F.expr("date_from_unix_date(cast(d AS int))").alias("fix_date"), *shown)
+
+
+def unpivot_rates(wide: DataFrame) -> DataFrame:
+    """(fix_date, currency, rate) of a wide table of text; cells that aren't numbers are left out, never zero."""
+    names = [c for c in wide.columns if c != "fix_date"]
+    long = wide.unpivot("fix_date", names, "currency", "raw")
+    return long.select("fix_date", "currency", F.expr("try_cast(raw AS double)").alias("rate")).where("rate IS NOT NULL AND fix_date IS NOT NULL")
+
+

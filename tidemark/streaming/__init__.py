@@ -1,0 +1,16 @@
+"""Bars of a stream of quotes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bars_stream(quotes: DataFrame, length: str = "1 minute", late: str = "1 hour") -> DataFrame:
+    """Bars of quotes whose column at is a timestamp; quotes later than `late` are dropped, where a batch rebuild would take them in."""
+    order = F.struct("at", "seq")
+    cells = []
+    for side in ("bid", "ask"):
+        cells += [F.min_by(side, order).alias(f"{side}_open"), F.max(side).alias(f"{side}_high"), F.min(side).alias(f"{side}_low"), F.max_by(side, order).alias(f"{side}_close")]
+    rows = quotes.withWatermark("at", late).groupBy(F.window("at", length).alias("w"), "instrument", "source").agg(*cells, F.count("*").alias("tick_count"))
+    return rows.select("instrument", "source", F.unix_micros("w.start").alias("minute"), *[c for c in rows.columns if c not in ("w", "instrument", "source")])
