@@ -11,7 +11,7 @@ from .asof import clean
 HOUR_OF_DAY = f"cast(pmod(ts, {DAY}) div {HOUR} AS int)"
 
 
-def drift_anchor(fixes: DataFrame, ticks: DataFrame, pip: float, half_window: int = MINUTE, alert: float = 2.0) -> DataFrame:
+def drift_anchor(fixes: DataFrame, ticks: DataFrame, pip: float, half_window: int = MINUTE, alert: float = 2.0, digits: int = 4) -> DataFrame:
     """Of each fix (instrument, fix_at, rate): the mean mid of clean quotes within the window, both ends in, and its difference in pips.
 
     Fixes and quotes meet on buckets as wide as half the window; a fix looks into three of them.
@@ -20,7 +20,7 @@ def drift_anchor(fixes: DataFrame, ticks: DataFrame, pip: float, half_window: in
     side = clean(ticks).select("instrument", F.expr(f"ts div {half_window}").alias("bucket"), "ts", F.expr("(bid + ask) / 2").alias("mid"))
     met = wide.join(side, ["instrument", "bucket"]).where(F.col("ts").between(F.col("fix_at") - half_window, F.col("fix_at") + half_window))
     rows = met.groupBy("instrument", "fix_at", "rate").agg(F.avg("mid").alias("mean_mid"), F.count("*").alias("ticks"))
-    return rows.withColumn("diff_pips", F.round((F.col("mean_mid") - F.col("rate")) / pip, 4)).withColumn("alert", F.abs("diff_pips") > alert)
+    return rows.withColumn("diff_pips", F.round((F.col("mean_mid") - F.col("rate")) / pip, digits)).withColumn("alert", F.abs("diff_pips") > alert)
 
 
 def spread_by_hour(ticks: DataFrame) -> DataFrame:

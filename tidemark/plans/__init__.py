@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from . import pit
+
+    return pit.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import pit
+
+    return pit.ORACLE_SQL
