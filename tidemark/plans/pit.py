@@ -423,18 +423,18 @@ def _(spark, d):
     return monitors.rate_coverage(unpivot_rates(reference_rates_wide(spark, d))).withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
 
 
-MONTHLY = "mo AS (SELECT series_id, ref_period, round(avg(value), 2) AS value FROM vintage WHERE value IS NOT NULL GROUP BY 1, 2)"
+MONTHLY = "mo AS (SELECT series_id, ref_period, round(avg(value), 8) AS value FROM vintage WHERE value IS NOT NULL GROUP BY 1, 2)"
 SURPRISE = f"""{MONTHLY}, ch AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY ref_period) AS change FROM mo),
 mn AS (SELECT *, avg(change) OVER w AS mean, count(change) OVER w AS n FROM ch WINDOW w AS (PARTITION BY series_id ORDER BY ref_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))"""
 
 
 def monthly_means(spark, d):
-    return vintages(spark, d).where("value IS NOT NULL").groupBy("series_id", "ref_period").agg(F.round(F.avg("value"), 2).alias("value"))
+    return vintages(spark, d).where("value IS NOT NULL").groupBy("series_id", "ref_period").agg(F.round(F.avg("value"), 8).alias("value"))
 
 
-@query("surprise_12", f"WITH {SURPRISE} SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, round(change, 2) AS change, round(change - mean, 5) AS surprise FROM mn WHERE n = 12 AND change IS NOT NULL")
+@query("surprise_12", f"WITH {SURPRISE} SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, round(change, 7) AS change, round(change - mean, 7) AS surprise FROM mn WHERE n = 12 AND change IS NOT NULL")
 def _(spark, d):
-    return macro.surprises(monthly_means(spark, d)).select("series_id", PERIOD, F.round("change", 2).alias("change"), F.round("surprise", 5).alias("surprise"))
+    return macro.surprises(monthly_means(spark, d)).select("series_id", PERIOD, F.round("change", 7).alias("change"), F.round("surprise", 7).alias("surprise"))
 
 
 @query("release_filter", "WITH p AS (SELECT series_id, known_at, max(ref_period) AS ref_period FROM vintage GROUP BY 1, 2), b AS (SELECT *, max(ref_period) OVER (PARTITION BY series_id ORDER BY known_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) SELECT series_id, known_at, CAST(ref_period AS VARCHAR) AS ref_period FROM b WHERE before IS NULL OR ref_period > before")
