@@ -25,7 +25,10 @@ VINTAGE = """vintage AS (SELECT 'S' || (o_custkey % 10) AS series_id, CAST(date_
   CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS value, o_orderkey AS vintage_seq FROM orders)"""
 LATEST = "row_number() OVER (PARTITION BY series_id, ref_period ORDER BY known_at DESC, vintage_seq DESC)"
 EARLIEST = "row_number() OVER (PARTITION BY series_id, ref_period ORDER BY known_at, vintage_seq)"
-PERIOD = F.col("ref_period").cast("string").alias("ref_period")
+
+
+def period():
+    return F.col("ref_period").cast("string").alias("ref_period")
 
 
 def query(name: str, sql: str | None):
@@ -48,22 +51,22 @@ MACRO_OUT = "series_id, CAST(ref_period AS VARCHAR) AS ref_period, known_at, val
 
 @query("asof_macro_latest", f"SELECT {MACRO_OUT} FROM (SELECT *, {LATEST} AS k FROM vintage WHERE known_at <= {AS_OF}) WHERE k = 1")
 def _(spark, d):
-    return asof.macro_as_of(vintages(spark, d), AS_OF).withColumn("ref_period", PERIOD)
+    return asof.macro_as_of(vintages(spark, d), AS_OF).withColumn("ref_period", period())
 
 
 @query("asof_macro_one_series", f"SELECT {MACRO_OUT} FROM (SELECT *, {LATEST} AS k FROM vintage WHERE known_at <= {AS_OF} AND series_id = 'S3') WHERE k = 1")
 def _(spark, d):
-    return asof.macro_as_of(vintages(spark, d), AS_OF, "S3").withColumn("ref_period", PERIOD)
+    return asof.macro_as_of(vintages(spark, d), AS_OF, "S3").withColumn("ref_period", period())
 
 
 @query("asof_macro_first_print", f"SELECT {MACRO_OUT} FROM (SELECT *, {EARLIEST} AS k FROM vintage) WHERE k = 1")
 def _(spark, d):
-    return asof.first_print(vintages(spark, d)).withColumn("ref_period", PERIOD)
+    return asof.first_print(vintages(spark, d)).withColumn("ref_period", period())
 
 
 @query("asof_macro_null_vintage", f"SELECT {MACRO_OUT} FROM (SELECT *, {LATEST} AS k FROM vintage WHERE known_at <= {AS_OF}) WHERE k = 1 AND value IS NULL")
 def _(spark, d):
-    return asof.macro_as_of(vintages(spark, d), AS_OF).where("value IS NULL").withColumn("ref_period", PERIOD)
+    return asof.macro_as_of(vintages(spark, d), AS_OF).where("value IS NULL").withColumn("ref_period", period())
 
 
 ASKS = [instant(datetime(y, m, 15, tzinfo=timezone.utc)) for y, m in ((1995, 3), (1996, 7), (1998, 6), (2001, 1))]
@@ -74,18 +77,18 @@ r AS (SELECT ask_at, v.*, row_number() OVER (PARTITION BY ask_at, series_id, ref
 SELECT ask_at, {MACRO_OUT} FROM r WHERE k = 1""")
 def _(spark, d):
     asks = spark.createDataFrame([(a,) for a in ASKS], "ask_at long")
-    return asof.macro_as_of_many(vintages(spark, d), asks).withColumn("ref_period", PERIOD)
+    return asof.macro_as_of_many(vintages(spark, d), asks).withColumn("ref_period", period())
 
 
 @query("vintage_seq", f"SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, known_at, vintage_seq, {EARLIEST} AS vintage FROM vintage")
 def _(spark, d):
-    return macro.number_vintages(vintages(spark, d)).select("series_id", PERIOD, "known_at", "vintage_seq", F.col("vintage").cast("long").alias("vintage"))
+    return macro.number_vintages(vintages(spark, d)).select("series_id", period(), "known_at", "vintage_seq", F.col("vintage").cast("long").alias("vintage"))
 
 
 @query("vintage_known_at_month_end", "SELECT DISTINCT CAST(ref_period AS VARCHAR) AS ref_period, epoch_us(CAST(ref_period AS TIMESTAMP) + INTERVAL 1 MONTH) - 1 AS known_at FROM vintage")
 def _(spark, d):
     months = vintages(spark, d).select("ref_period").distinct()
-    return months.select(PERIOD, macro.month_end(F.year("ref_period"), F.month("ref_period")).alias("known_at"))
+    return months.select(period(), macro.month_end(F.year("ref_period"), F.month("ref_period")).alias("known_at"))
 
 
 @query("macro_summary", "SELECT count(*) AS observations, count(DISTINCT series_id) AS series, count(DISTINCT (series_id, ref_period)) AS periods, count(*) FILTER (WHERE value IS NULL) AS missing, min(known_at) AS first_known, max(known_at) AS last_known FROM vintage")
@@ -101,12 +104,12 @@ SELECT * FROM x"""
 
 @query("revisions", REVISED)
 def _(spark, d):
-    return macro.revisions(vintages(spark, d)).withColumn("ref_period", PERIOD)
+    return macro.revisions(vintages(spark, d)).withColumn("ref_period", period())
 
 
 @query("revision_top_k", REVISED + " ORDER BY abs(revision) DESC, series_id, ref_period LIMIT 20")
 def _(spark, d):
-    return macro.top_revisions(vintages(spark, d), 20).withColumn("ref_period", PERIOD)
+    return macro.top_revisions(vintages(spark, d), 20).withColumn("ref_period", period())
 
 
 @query("revised_period_count", f"""WITH r AS (SELECT *, {EARLIEST} AS a, {LATEST} AS z FROM vintage),
@@ -434,12 +437,12 @@ def monthly_means(spark, d):
 
 @query("surprise_12", f"WITH {SURPRISE} SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, round(change, 7) AS change, round(change - mean, 7) AS surprise FROM mn WHERE n = 12 AND change IS NOT NULL")
 def _(spark, d):
-    return macro.surprises(monthly_means(spark, d)).select("series_id", PERIOD, F.round("change", 7).alias("change"), F.round("surprise", 7).alias("surprise"))
+    return macro.surprises(monthly_means(spark, d)).select("series_id", period(), F.round("change", 7).alias("change"), F.round("surprise", 7).alias("surprise"))
 
 
 @query("release_filter", "WITH p AS (SELECT series_id, known_at, max(ref_period) AS ref_period FROM vintage GROUP BY 1, 2), b AS (SELECT *, max(ref_period) OVER (PARTITION BY series_id ORDER BY known_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) SELECT series_id, known_at, CAST(ref_period AS VARCHAR) AS ref_period FROM b WHERE before IS NULL OR ref_period > before")
 def _(spark, d):
-    return macro.releases(vintages(spark, d)).select("series_id", "known_at", PERIOD)
+    return macro.releases(vintages(spark, d)).select("series_id", "known_at", period())
 
 
 @query("price_forward_asof", f"""WITH ask AS (SELECT seq AS ask_id, instrument, ts + 1 AS ask_at FROM tick WHERE seq % 3 = 0)
