@@ -391,14 +391,14 @@ def _(spark, d):
     return ledger.rows_by_instrument(ticks(spark, d))
 
 
-@query("drift_anchor", f"""WITH fixes AS (SELECT instrument, epoch_us(timezone('Europe/Berlin', CAST(make_timestamp(dy * {DAY}) AS DATE) + INTERVAL 14 HOUR + INTERVAL 15 MINUTE)) AS fix_at, round(avg(bid), 4) AS rate FROM (SELECT *, ts // {DAY} AS dy FROM tick) GROUP BY instrument, dy)
-SELECT f.instrument, fix_at, rate, round(avg((bid + ask) / 2), 6) AS mean_mid, count(*) AS ticks, round((avg((bid + ask) / 2) - rate) / 0.01::DOUBLE, 6) AS diff_pips FROM fixes f JOIN tick t ON t.instrument = f.instrument AND t.ts BETWEEN fix_at - {HOUR} AND fix_at + {HOUR} WHERE bid <= ask GROUP BY 1, 2, 3""")
+@query("drift_anchor", f"""WITH fixes AS (SELECT instrument, epoch_us(timezone('Europe/Berlin', CAST(make_timestamp(dy * {DAY}) AS DATE) + INTERVAL 14 HOUR + INTERVAL 15 MINUTE)) AS fix_at, round(avg(bid), 9) AS rate FROM (SELECT *, ts // {DAY} AS dy FROM tick) GROUP BY instrument, dy)
+SELECT f.instrument, fix_at, rate, round(avg((bid + ask) / 2), 9) AS mean_mid, count(*) AS ticks, round((avg((bid + ask) / 2) - rate) / 0.01::DOUBLE, 6) AS diff_pips FROM fixes f JOIN tick t ON t.instrument = f.instrument AND t.ts BETWEEN fix_at - {HOUR} AND fix_at + {HOUR} WHERE bid <= ask GROUP BY 1, 2, 3""")
 def _(spark, d):
     t = ticks(spark, d)
-    daily = t.groupBy("instrument", F.expr(f"date_from_unix_date(cast(ts div {DAY} AS int))").alias("day")).agg(F.round(F.avg("bid"), 4).alias("rate"))
+    daily = t.groupBy("instrument", F.expr(f"date_from_unix_date(cast(ts div {DAY} AS int))").alias("day")).agg(F.round(F.avg("bid"), 9).alias("rate"))
     fixes = daily.select("instrument", local_instant("day", 14, "Europe/Berlin", 15).alias("fix_at"), "rate")
     rows = monitors.drift_anchor(fixes, t, 0.01, HOUR, digits=6)
-    return rows.select("instrument", "fix_at", "rate", F.round("mean_mid", 6).alias("mean_mid"), "ticks", "diff_pips")
+    return rows.select("instrument", "fix_at", "rate", F.round("mean_mid", 9).alias("mean_mid"), "ticks", "diff_pips")
 
 
 @query("spread_by_hour", f"""WITH c AS (SELECT instrument, CAST((ts % {DAY}) // {HOUR} AS INT) AS hour_of_day, round(ask - bid, 6) AS spread FROM tick WHERE bid <= ask)
@@ -413,7 +413,7 @@ def _(spark, d):
     return monitors.tick_rate_by_hour(ticks(spark, d))
 
 
-RATES = f"rates AS (SELECT CAST(CAST(make_timestamp(dy * {DAY}) AS DATE) AS VARCHAR) AS fix_date, instrument AS currency, round(avg(bid), 4) AS rate FROM (SELECT *, ts // {DAY} AS dy FROM tick) WHERE dy % 7 <> 0 GROUP BY dy, instrument)"
+RATES = f"rates AS (SELECT CAST(CAST(make_timestamp(dy * {DAY}) AS DATE) AS VARCHAR) AS fix_date, instrument AS currency, round(avg(bid), 9) AS rate FROM (SELECT *, ts // {DAY} AS dy FROM tick) WHERE dy % 7 <> 0 GROUP BY dy, instrument)"
 
 
 @query("ecb_unpivot", f"WITH {RATES} SELECT * FROM rates")

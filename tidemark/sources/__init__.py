@@ -112,7 +112,7 @@ def xlsx_cells(files: DataFrame) -> DataFrame:
 def reference_rates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean of each instrument as a wide table of rates in text, N/A where there is none or on every 7th day."""
     day = F.expr(f"ts div {DAY}")
-    means = ticks(spark, sf_dir).groupBy(day.alias("d"), "instrument").agg(F.round(F.avg("bid"), 4).alias("rate"))
+    means = ticks(spark, sf_dir).groupBy(day.alias("d"), "instrument").agg(F.round(F.avg("bid"), 9).alias("rate"))
     names = ["click", "error", "purchase", "signup", "view"]
     wide = means.groupBy("d").pivot("instrument", names).agg(F.first("rate"))
     shown = [F.when((F.col("d") % 7 == 0) | F.col(n).isNull(), "N/A").otherwise(F.col(n).cast("string")).alias(n) for n in names]
