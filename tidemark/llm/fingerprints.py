@@ -3,7 +3,8 @@
 A text's paragraphs (lines, and sentences within them) are hashed; each digest is entered in three cells of a small table, which holds the number,
 the exclusive-or of digests and that of their check hashes. Tables of two versions subtract cell by cell, and what is left is peeled: a cell with one
 digest gives it, and it is taken out of its other cells, until nothing is left. If that fails the tables are made anew, larger, in as
-many parts as the two texts have paragraphs for, and at last with other places; only then are the digests compared plainly.
+many parts as the two texts have paragraphs for; a part that fails is made anew by itself with more cells and other places, twice, and
+only then are its digests compared plainly.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells in each third of the fingerprint's table; digests for each part of a larger one, and the cells in its thirds, by attempt.
-CELLS, PER_PART, LARGER = 4, 12, (12, 24, 64)
+CELLS, PER_PART, LARGER = 4, 12, (9, 24, 64)
 ROUNDS = 12
 PARAGRAPHS = r"\n+|(?<=[.!?]) +"
 
@@ -71,29 +72,42 @@ def written(table: str) -> Column:
     return F.expr(f"lower(array_join(transform({table}, x -> concat(hex(x.n), '.', hex(x.k), '.', hex(x.c & 65535))), '-'))")
 
 
-def _larger(a: str, b: str, attempt: int) -> str:
-    """The same as _peeled, of two columns of digests, by tables with as many parts as their sizes ask for."""
-    cells, salt = LARGER[attempt], attempt
+def _kept(result: str, a: str, b: str) -> str:
+    """A part's result, with its digests if they must be tried again."""
+    none = "cast(array() AS array<bigint>)"
+    return f"transform(array({result}), r -> named_struct('ok', r.ok, 'a', r.a, 'b', r.b, 'da', if(r.ok, {none}, {a}), 'db', if(r.ok, {none}, {b})))[0]"
+
+
+def _parts(a: str, b: str) -> str:
+    """_kept of every part of two columns of digests, in as many parts as their sizes ask for."""
+    cells = LARGER[0]
     parts = f"greatest(1, cast(ceil((size({a}) + size({b})) / {PER_PART}D) AS int))"
-    one = _peeled(_less(_table("ea", cells), _table("eb", cells)), cells, salt)
-    split = f"transform(array(filter(pa, e -> e.g = s)), ea -> transform(array(filter(pb, e -> e.g = s)), eb -> {one})[0])[0]"
-    every = f"transform(sequence(0, {parts} - 1), s -> {split})"
-    total = "named_struct('ok', forall(rs, r -> r.ok), 'a', aggregate(rs, 0, (x, r) -> x + r.a), 'b', aggregate(rs, 0, (x, r) -> x + r.b))"
-    return f"transform(array({_places(a, cells, parts, salt)}), pa -> transform(array({_places(b, cells, parts, salt)}), pb -> transform(array({every}), rs -> {total})[0])[0])[0]"
+    tried = _kept(_peeled(_less(_table("ea", cells), _table("eb", cells)), cells, 0), "transform(ea, e -> e.d)", "transform(eb, e -> e.d)")
+    split = f"transform(array(filter(pa, e -> e.g = s)), ea -> transform(array(filter(pb, e -> e.g = s)), eb -> {tried})[0])[0]"
+    placed = [_places(x, cells, parts, 0) for x in (a, b)]
+    return f"transform(array({placed[0]}), pa -> transform(array({placed[1]}), pb -> transform(sequence(0, {parts} - 1), s -> {split}))[0])[0]"
+
+
+def _again(before: str, attempt: int) -> str:
+    """Parts that failed, made anew with more cells and other places."""
+    cells = LARGER[attempt]
+    tried = _kept(_peeled(_less(_table("ea", cells), _table("eb", cells)), cells, attempt), "q.da", "q.db")
+    ea, eb = (_places(x, cells, "1", attempt) for x in ("q.da", "q.db"))
+    return f"transform({before}, q -> if(q.ok, q, transform(array({ea}), ea -> transform(array({eb}), eb -> {tried})[0])[0]))"
 
 
 def with_likeness(frame: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
     """frame with a column for each pair (digests, table, other digests, other table): the share of digests in both among those in either, 0 to 1."""
     for name, (a, ta, b, tb) in pairs.items():
-        frame = frame.withColumn(f"__{name}0", F.expr(_peeled(_less(ta, tb), CELLS, 0)))
-        for k in range(len(LARGER)):
-            before = f"__{name}{k}"
-            frame = frame.withColumn(f"__{name}{k + 1}", F.when(F.col(f"{before}.ok"), F.col(before)).otherwise(F.expr(_larger(a, b, k))))
-        last = f"__{name}{len(LARGER)}"
-        plain = f"named_struct('ok', true, 'a', size(array_except({a}, {b})), 'b', size(array_except({b}, {a})))"
-        frame = frame.withColumn(f"__{name}d", F.when(F.col(f"{last}.ok"), F.col(last)).otherwise(F.expr(plain)))
-        both = F.size(a) - F.col(f"__{name}d.a")
-        frame = frame.withColumn(name, both / (F.size(a) + F.col(f"__{name}d.b")))
+        frame = frame.withColumn(f"__{name}f", F.expr(_peeled(_less(ta, tb), CELLS, 0)))
+        first = F.col(f"__{name}f")
+        frame = frame.withColumn(f"__{name}0", F.when(~first["ok"], F.expr(_parts(a, b))))
+        for attempt in range(1, len(LARGER)):
+            frame = frame.withColumn(f"__{name}{attempt}", F.expr(_again(f"__{name}{attempt - 1}", attempt)))
+        last = f"__{name}{len(LARGER) - 1}"
+        less = lambda x, y, last=last: F.expr(f"aggregate({last}, 0, (n, q) -> n + if(q.ok, q.{x}, size(array_except(q.d{x}, q.d{y}))))")
+        frame = frame.withColumn(f"__{name}a", F.when(first["ok"], first["a"]).otherwise(less("a", "b"))).withColumn(f"__{name}b", F.when(first["ok"], first["b"]).otherwise(less("b", "a")))
+        frame = frame.withColumn(name, (F.size(a) - F.col(f"__{name}a")) / (F.size(a) + F.col(f"__{name}b")))
     return frame.drop(*(c for c in frame.columns if c.startswith("__")))
 
 
