@@ -79,13 +79,20 @@ def _kept(result: str, a: str, b: str) -> str:
 
 
 def _parts(a: str, b: str) -> str:
-    """_kept of every part of two columns of digests, in as many parts as their sizes ask for."""
+    """_kept of every part of two columns of digests, in as many parts as their sizes ask for.
+
+    Digests are first dealt to runs of about the root of the number of parts, then from a run to its parts, so long texts cost n sqrt(n).
+    """
     cells = LARGER[0]
     parts = f"greatest(1, cast(ceil((size({a}) + size({b})) / {PER_PART}D) AS int))"
+    bound = f"transform(array({parts}), m -> named_struct('m', m, 'w', cast(ceil(sqrt(m)) AS int)))"
     tried = _kept(_peeled(_less(_table("ea", cells), _table("eb", cells)), cells, 0), "transform(ea, e -> e.d)", "transform(eb, e -> e.d)")
-    split = f"transform(array(filter(pa, e -> e.g = s)), ea -> transform(array(filter(pb, e -> e.g = s)), eb -> {tried})[0])[0]"
-    placed = [_places(x, cells, parts, 0) for x in (a, b)]
-    return f"transform(array({placed[0]}), pa -> transform(array({placed[1]}), pb -> transform(sequence(0, {parts} - 1), s -> {split}))[0])[0]"
+    split = f"transform(array(filter(ra, e -> e.g = s)), ea -> transform(array(filter(rb, e -> e.g = s)), eb -> {tried})[0])[0]"
+    each = f"transform(sequence(u * v.w, least(u * v.w + v.w, v.m) - 1), s -> {split})"
+    run = lambda p: f"array(filter({p}, e -> e.g >= u * v.w AND e.g < u * v.w + v.w))"
+    runs = f"transform(sequence(0, cast((v.m - 1) div v.w AS int)), u -> transform({run('pa')}, ra -> transform({run('pb')}, rb -> {each})[0])[0])"
+    placed = [_places(x, cells, "v.m", 0) for x in (a, b)]
+    return f"transform({bound}, v -> flatten(transform(array({placed[0]}), pa -> transform(array({placed[1]}), pb -> {runs})[0])[0]))[0]"
 
 
 def _again(before: str, attempt: int) -> str:
