@@ -332,13 +332,12 @@ SESSION_SQL = f"""s AS (SELECT session, epoch_us(timezone(zone, day + a * INTERV
   FROM (VALUES ('sydney','Australia/Sydney',7,16),('tokyo','Asia/Tokyo',9,18),('london','Europe/London',8,17),('new_york','America/New_York',8,17)) AS v(session, zone, a, b), ({DAYS}))"""
 
 
-@query("describe_instants", f"""WITH {SESSION_SQL}, {MARKET}, held AS ({MARKET_HELD}), {ROLL}, i AS (SELECT DISTINCT ts FROM tick WHERE seq % 5 = 0),
+@query("describe_instants", f"""WITH {SESSION_SQL}, {MARKET}, held AS ({MARKET_HELD}), {ROLL}, i AS (SELECT DISTINCT ts FROM tick),
 n AS (SELECT i.ts, string_agg(DISTINCT session, ',' ORDER BY session) AS sessions, count(DISTINCT session) AS k FROM i JOIN s ON i.ts >= span_start AND i.ts < span_end GROUP BY 1)
 SELECT i.ts, coalesce(sessions, '') AS sessions, coalesce(k > 1, false) AS in_overlap, EXISTS (SELECT 1 FROM held m WHERE i.ts >= m.span_start AND i.ts < m.span_end) AS market_open,
 EXISTS (SELECT 1 FROM roll r WHERE r.day >= DATE '{START}' AND r.day < DATE '{END}' AND i.ts >= r.span_start AND i.ts < r.span_end) AS is_rollover FROM i LEFT JOIN n USING (ts)""")
 def _(spark, d):
-    asked = ticks(spark, d).where("seq % 5 = 0")  # the instants asked about
-    return sessions.describe(asked, sessions.session_windows(spark, START, END), sessions.market_windows(spark, START, END), sessions.rollover_windows(spark, START, END))
+    return sessions.describe(ticks(spark, d), sessions.session_windows(spark, START, END), sessions.market_windows(spark, START, END), sessions.rollover_windows(spark, START, END))
 
 
 @query("session_coverage", f"WITH {SESSION_SQL} SELECT session, count(*) AS windows, min(span_start) AS first_start, max(span_end) AS last_end, CAST(sum(span_end - span_start) AS BIGINT) // {HOUR} AS hours FROM s GROUP BY 1")
@@ -445,11 +444,11 @@ def _(spark, d):
     return macro.releases(vintages(spark, d)).select("series_id", "known_at", period())
 
 
-@query("price_forward_asof", f"""WITH ask AS (SELECT seq AS ask_id, instrument, ts + 1 AS ask_at FROM tick WHERE seq % 3 = 0)
+@query("price_forward_asof", f"""WITH ask AS (SELECT seq AS ask_id, instrument, ts + 1 AS ask_at FROM tick)
 SELECT ask_id, a.instrument, ask_at, t.ts, t.seq, t.bid, t.ask FROM ask a LEFT JOIN LATERAL (SELECT * FROM tick t WHERE t.instrument = a.instrument AND t.ts >= a.ask_at AND t.ts <= a.ask_at + {30 * MINUTE} AND bid <= ask ORDER BY ts, seq LIMIT 1) t ON true""")
 def _(spark, d):
     t = ticks(spark, d)
-    asks = t.where("seq % 3 = 0").select(F.col("seq").alias("ask_id"), "instrument", (F.col("ts") + 1).alias("ask_at"))  # the instants asked about
+    asks = t.select(F.col("seq").alias("ask_id"), "instrument", (F.col("ts") + 1).alias("ask_at"))
     return asof.forward_asof(asks, t, 30 * MINUTE)
 
 
