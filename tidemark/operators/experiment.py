@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, MINUTE
+from ..functions import DAY, HOUR, MINUTE
 from .asof import forward_asof
 
 #: The four arms, each with one advantage more than the one before it.
@@ -26,6 +26,13 @@ def orders(events: DataFrame, hold: int = HOLD) -> DataFrame:
     return rows.withColumn("exit_at", F.col("entry_at") + hold)
 
 
+def hours_needed(events: DataFrame, hold: int = HOLD, tolerance: int = TOLERANCE) -> DataFrame:
+    """The (instrument, hour) pairs whose ticks are needed to price every arm of every event, each once."""
+    asks = orders(events, hold).select("instrument", F.explode(F.array("entry_at", "exit_at")).alias("a"))
+    hours = F.expr(f"sequence(a - pmod(a, {HOUR}), a + {tolerance}, {HOUR}L)")
+    return asks.select("instrument", F.explode(hours).alias("hour")).distinct()
+
+
 def trades(events: DataFrame, ticks: DataFrame, tolerance: int = TOLERANCE, hold: int = HOLD) -> DataFrame:
     """Trades of the events that every arm can price, with their return in basis points."""
     placed = orders(events, hold)

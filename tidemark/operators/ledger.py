@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import day_of
+from ..functions import HOUR, day_of, floor_to
 from .macro import upsert
 
 SETTLED = ("ok", "empty", "missing")
@@ -49,3 +49,7 @@ def monthly(ledger: DataFrame) -> DataFrame:
 
 def rows_by_instrument(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("instrument").agg(F.count("*").alias("ticks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("bid") > F.col("ask")).alias("crossed"))
+
+
+def rows_by_hour(ticks: DataFrame) -> DataFrame:
+    return ticks.groupBy("instrument", "source", floor_to("ts", HOUR).alias("hour")).agg(F.count("*").alias("ticks"))

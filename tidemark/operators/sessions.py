@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, HOUR, days_between, local_instant
+from ..functions import DAY, HOUR, day_of, days_between, local_instant
 
 #: Sessions with their zones and local hours; pairs with their currencies.
 SESSIONS = (("sydney", "Australia/Sydney", 7, 16), ("tokyo", "Asia/Tokyo", 9, 18), ("london", "Europe/London", 8, 17), ("new_york", "America/New_York", 8, 17))
@@ -80,6 +80,20 @@ def describe(instants: DataFrame, sessions: DataFrame, markets: DataFrame, rollo
     return rows.select("ts", F.coalesce(F.array_join("s", ","), F.lit("")).alias("sessions"), F.coalesce(F.size("s") > 1, F.lit(False)).alias("in_overlap"), F.coalesce("m", F.lit(False)).alias("market_open"), F.coalesce("r", F.lit(False)).alias("is_rollover"))
 
 
+def holidays_of(instants: DataFrame, legs: DataFrame, holidays: DataFrame) -> DataFrame:
+    """instants (with instrument and ts) with the currencies of the instrument's legs that have a holiday on the UTC date, joined by commas; empty if none.
+
+    legs (instrument, currency) meet holidays (currency, holiday_date) first, so each instant finds one row at most and instants are joined once.
+    """
+    closed = legs.join(holidays, "currency").groupBy("instrument", "holiday_date").agg(F.array_join(F.array_sort(F.collect_set("currency")), ",").alias("closed"))
+    rows = instants.withColumn("holiday_date", day_of("ts")).join(closed, ["instrument", "holiday_date"], "left")
+    return rows.select(*instants.columns, F.coalesce("closed", F.lit("")).alias("holidays"))
+
+
+def holidays_by_currency(holidays: DataFrame) -> DataFrame:
+    return holidays.groupBy("currency").agg(F.countDistinct("holiday_date").alias("holidays"), F.min("holiday_date").alias("first_day"), F.max("holiday_date").alias("last_day"))
+
+
 def overlapping(windows: DataFrame, keys: list[str]) -> DataFrame:
     """Windows that begin before the one before them, by keys, has ended: none in a proper table."""
     by = Window.partitionBy(*keys).orderBy("span_start", "span_end")

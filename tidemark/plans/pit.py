@@ -297,6 +297,21 @@ def calendar_tables(spark):
     return spark.createDataFrame(LEGS, "instrument string, currency string"), holidays
 
 
+HOL_SQL = f"""legs AS (SELECT * FROM (VALUES {', '.join(map(str, LEGS))}) AS v(instrument, currency)), hol AS (SELECT currency, CAST(d AS DATE) AS d FROM (VALUES {', '.join(map(str, HOLIDAYS))}) AS v(currency, d))"""
+
+
+@query("describe_holidays", f"""WITH {HOL_SQL}, c AS (SELECT instrument, d, string_agg(DISTINCT currency, ',' ORDER BY currency) AS holidays FROM legs JOIN hol USING (currency) GROUP BY 1, 2)
+SELECT t.instrument, t.ts, t.seq, coalesce(holidays, '') AS holidays FROM tick t LEFT JOIN c ON c.instrument = t.instrument AND c.d = CAST(make_timestamp(t.ts) AS DATE)""")
+def _(spark, d):
+    return sessions.holidays_of(ticks(spark, d).select("instrument", "ts", "seq"), *calendar_tables(spark))
+
+
+@query("holidays_by_currency", f"WITH {HOL_SQL} SELECT currency, count(DISTINCT d) AS holidays, CAST(min(d) AS VARCHAR) AS first_day, CAST(max(d) AS VARCHAR) AS last_day FROM hol GROUP BY 1")
+def _(spark, d):
+    rows = sessions.holidays_by_currency(calendar_tables(spark)[1])
+    return rows.select("currency", "holidays", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"))
+
+
 PURE = " UNION ALL ".join(f"({FLAG[k]})" for k in ("crossed", "zero_spread", "spread_outlier", "session_gap"))
 
 
@@ -390,6 +405,11 @@ def _(spark, d):
     return ledger.rows_by_instrument(ticks(spark, d))
 
 
+@query("rows_by_hour", f"SELECT instrument, source, ts - ts % {HOUR} AS hour, count(*) AS ticks FROM tick GROUP BY 1, 2, 3")
+def _(spark, d):
+    return ledger.rows_by_hour(ticks(spark, d))
+
+
 @query("drift_anchor", f"""WITH fixes AS (SELECT instrument, epoch_us(timezone('Europe/Berlin', CAST(make_timestamp(dy * {DAY}) AS DATE) + INTERVAL 14 HOUR + INTERVAL 15 MINUTE)) AS fix_at, round(avg(bid), 9) AS rate FROM (SELECT *, ts // {DAY} AS dy FROM tick) GROUP BY instrument, dy)
 SELECT f.instrument, fix_at, rate, round(avg((bid + ask) / 2), 9) AS mean_mid, count(*) AS ticks, round((avg((bid + ask) / 2) - rate) / 0.01::DOUBLE, 6) AS diff_pips FROM fixes f JOIN tick t ON t.instrument = f.instrument AND t.ts BETWEEN fix_at - {HOUR} AND fix_at + {HOUR} WHERE bid <= ask GROUP BY 1, 2, 3""")
 def _(spark, d):
@@ -478,6 +498,12 @@ def trades_of(spark, d):
     return experiment.trades(events_of(spark, d), ticks(spark, d), 3 * HOUR, 6 * HOUR)
 
 
+@query("release_hours_needed", f"""WITH {TRADES}, a AS (SELECT instrument, unnest([entry_at, entry_at + {6 * HOUR}]) AS a FROM o)
+SELECT DISTINCT instrument, unnest(range(a - a % {HOUR}, a + {3 * HOUR} + 1, {HOUR})) AS hour FROM a""")
+def _(spark, d):
+    return experiment.hours_needed(events_of(spark, d), 6 * HOUR, 3 * HOUR)
+
+
 @query("experiment_trades", f"WITH {TRADES} SELECT event_id, arm, direction, round(entry, 6) AS entry, round(exit, 6) AS exit, round(return_bps, 4) AS return_bps FROM tr")
 def _(spark, d):
     return trades_of(spark, d).select("event_id", "arm", "direction", F.round("entry", 6).alias("entry"), F.round("exit", 6).alias("exit"), F.round("return_bps", 4).alias("return_bps"))
