@@ -263,7 +263,7 @@ def test_sketches_recover_the_difference(docs, none, texts):
 
 
 def test_small_tables_are_retried_larger(spark):
-    for size in (3, 40, 400):
+    for size in (3, 13, 40, 400, 6000):
         one, two = [f"a{k}." for k in range(size)], [f"a{k}." for k in range(size // 3)] + [f"b{k}." for k in range(size)]
         frame = spark.createDataFrame([(" ".join(one), " ".join(two))], "x string, y string")
         frame = frame.select(fingerprints.digests(F.col("x")).alias("a"), fingerprints.digests(F.col("y")).alias("b"))
