@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import anchors, bpe, components, fingerprints, licenses, media, packing, quality, queries, secrets, simhash, substrings, suffixes, toxicity
+from tidemark.llm.blocks import Block
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score double, kept string, fp string"
 
@@ -201,6 +202,17 @@ def test_base_secrets_and_structures(spark, none):
     assert secrets.scan_documents(none).count() == 0
 
 
+def test_no_row_with_a_span_is_passed_over():
+    token = b"ewogImFsZyI6ICJub25lIn0.eyJhIjogMX0."  # the header begins with a line break after its brace
+    runs = [b"0123456789abcdef" * 3] * 6
+    paths = [b"see /" + b"usr_lib-" * 4 + b"abc", b"", b"", b"f" * 40, b"word", b"e" * 33 + b" end", b"", b"d" * 31, b"c" * 32]
+    for texts in (runs, paths, [token], [b"a", token, b"", b"b"], [b""], [b"", b"", b"a" * 32], runs + paths + [token]):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        block = Block(0, len(texts), data, np.append(0, np.cumsum([len(t) for t in texts])))
+        assert secrets.all_spans(block) == {i: s for i, t in enumerate(texts) if (s := secrets.spans(t))}
+    assert [kind for _, _, kind in secrets.spans(token)] == ["jwt"]
+
+
 def test_media(docs, none, texts):
     rows = media.media_features(media.texts_as_media(docs)).collect()
     wanted = collections.Counter()

@@ -36,6 +36,8 @@ TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,}
 ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,30}?)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.S)
 IN_RUN = np.zeros(256, bool)
 IN_RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
+IN_TOKEN = IN_RUN.copy()
+IN_TOKEN[[*b"+/"]] = False
 SHORTEST_RUN = 30
 
 
@@ -154,26 +156,35 @@ def spans(text: bytes) -> list[tuple[int, int, str]]:
 
 
 def suspects(block: Block) -> np.ndarray:
-    """Rows of the block that hold a keyword or a long run of the characters of encoded bytes; no other can have a span."""
+    """Rows of the block that hold a keyword, a long run of the characters of encoded bytes or the form of a signed token; no other can have a span."""
     data, raw = block.data, block.data.tobytes()
-    other = np.concatenate(([-1], np.flatnonzero(~IN_RUN[data]), [len(data)]))
-    places = [other[:-1][np.diff(other) > SHORTEST_RUN] + 1]
+    if not len(data):
+        return np.zeros(0, np.int64)
+    # runs end where a text ends
+    begins = np.zeros(len(data) + 1, bool)
+    begins[block.offsets] = True
+    inside = IN_RUN[data]
+    starts = np.flatnonzero(inside & (begins[:-1] | ~np.append(False, inside[:-1])))
+    stops = np.flatnonzero(inside & (begins[1:] | ~np.append(inside[1:], False))) + 1
+    places = [starts[stops - starts >= SHORTEST_RUN]]
     low = raw.lower()
-    for word, within in [*((k, low) for k in KEYWORDS), (b"AKIA", raw), (b"PRIVATE KEY-----", raw), (b"eyJ", raw)]:
+    for word, within in [*((k, low) for k in KEYWORDS), (b"AKIA", raw), (b"PRIVATE KEY-----", raw)]:
         at, seen = within.find(word), []
         while at >= 0:
             seen.append(at)
             at = within.find(word, at + 1)
         places.append(np.array(seen, np.int64))
-    # a run may reach over the border of two texts; both are then looked at
-    found = np.concatenate([*places, np.minimum(places[0] + SHORTEST_RUN, max(0, len(data) - 1))])
-    return np.unique(np.searchsorted(block.offsets, found, "right") - 1) if len(data) else np.zeros(0, np.int64)
+    # a token's header may begin with any JSON white space, so its two dots are looked for, and what must stand before and between them
+    dots = np.flatnonzero(data == ord("."))
+    strange = np.append(0, np.cumsum(~IN_TOKEN[data]))
+    one, two = dots[:-1], dots[1:]
+    form = (one >= 10) & (two - one > 2) & (strange[two] == strange[one + 1]) & (strange[one] == strange[np.maximum(one - 10, 0)])
+    places.append(one[form])
+    return np.unique(np.searchsorted(block.offsets, np.concatenate(places), "right") - 1)
 
 
 def all_spans(block: Block) -> dict[int, list[tuple[int, int, str]]]:
-    rows = set(suspects(block).tolist())
-    rows |= {i + 1 for i in rows if i + 2 < len(block.offsets)}
-    return {i: s for i in sorted(rows) if (s := spans(block.text(i)))}
+    return {i: s for i in suspects(block).tolist() if (s := spans(block.text(i)))}
 
 
 def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
