@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, secrets, session, simhash, substrings, toxicity
+from tidemark.llm import near, packing, secrets, session, substrings, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id. Documents without an id can't be told apart and stay."""
-    groups = simhash.near_groups(simhash.fingerprints(docs.where("doc_id IS NOT NULL")))
-    ids = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(ids, "doc_id", "left_semi").select("*", first.alias("__n")).where("__n = 1").select(*docs.columns)
+    """Of each group of near copies (similarity 0.8 or more of their shingles of five words) the document with the least doc_id. Those without an id stay."""
+    groups = near.near_groups(docs.where("doc_id IS NOT NULL"))
+    # of rows with one id, the text with the least hash stands for the group
+    ids = groups.groupBy("group").agg(F.min(F.struct("doc_id", "k")).alias("at")).select("at.*").distinct().withColumnRenamed("k", "__k")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__k").orderBy("__k"))
+    kept = docs.withColumn("__k", F.xxhash64("text")).join(ids, ["doc_id", "__k"], "left_semi").withColumn("__n", first).where("__n = 1").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

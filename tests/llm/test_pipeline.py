@@ -1,6 +1,53 @@
+import random
+
 import corpus_pipeline
 
 
+def prose(rng, n, length=4):
+    return " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, length))) for _ in range(n))
+
+
+def plain_groups(texts, limit=0.8):
+    """The least place of each text's group, by all pairs."""
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= limit:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        base = prose(rng, rng.choice((12, 60, 300)), 7).split()
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 5, 7, 9):
+            other = list(base)
+            for place in rng.sample(range(len(base)), max(1, changes * len(base) // 300) if len(base) > 60 else 1):
+                other[place] = prose(rng, 1, 9)
+            texts.append(" ".join(other))
+    hub = prose(rng, 200, 7).split()
+    for k in range(80):  # a large group in which many pairs are less alike than the limit
+        texts.append(" ".join([*hub[:k], *("new%d" % k,) * 1, *hub[k + 1 :]]))
+    texts += [None, "", "  ", "two words", "Two  WORDS", "two others"]
+    rows = [(k, t, len(t or "")) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([*rows, rows[0], (None, "two words", 9), (7, prose(rng, 30), 0)], "doc_id long, text string, n_chars long")
+    found = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert found.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in found.collect()]
+    expected = plain_groups(texts)
+    kept = [(k, texts[k]) for k in set(expected)] + [(None, "two words"), (docs.where("doc_id = 7").collect()[-1].doc_id, [r.text for r in docs.where("doc_id = 7").collect() if r.text != texts[7]][0])]
+    assert sorted(found, key=str) == sorted(kept, key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
 def test_stages_in_order(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
