@@ -28,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages of 400 bytes or more that also stand elsewhere; one of which nothing is left goes."""
-    left = substrings.remove_repeats(docs, characters=True)
+    """The documents without passages of over 50 words that also stand elsewhere; one of which nothing is left goes."""
+    left = substrings.remove_repeated_words(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = left.where((F.col("n_removed") == 0) | (F.trim("kept") != "")).withColumn("text", text)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -1,3 +1,4 @@
+import collections
 import random
 
 import corpus_pipeline
@@ -7,6 +8,40 @@ def prose(rng, n, length=4):
     return " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, length))) for _ in range(n))
 
 
+def plain_cut(texts, words=51):
+    """The words that are left of each text without those of runs of so many words that start at two places or more."""
+    split = {k: (t or "").split() for k, t in texts}
+    seen = collections.Counter(tuple(w[i : i + words]) for w in split.values() for i in range(len(w) - words + 1))
+    left = {}
+    for k, w in split.items():
+        gone = {j for i in range(len(w) - words + 1) if seen[tuple(w[i : i + words])] > 1 for j in range(i, i + words)}
+        left[k] = [x for j, x in enumerate(w) if j not in gone]
+    return left
+
+
+def test_passages_of_over_fifty_words_are_cut(spark):
+    rng = random.Random(4)
+    short, shorter, tiny, bytes_long = prose(rng, 51), prose(rng, 50), " ".join(rng.choice("abcdef") for _ in range(51)), prose(rng, 50, 20)
+    texts = [f"{prose(rng, 90 + k)} {short if k % 3 else shorter} {prose(rng, 40)} {tiny if k % 2 else bytes_long}" for k in range(12)]
+    texts += [short.replace(" ", "\n", 9), "é " + "la " * 60 + "été", None, "", "   ", "word", texts[2][:300], "啊" * 30 + "x" + "啊" * 30]
+    rows = [(k, t, len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    found = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert found.columns == docs.columns
+    found = {r.doc_id: r for r in found.collect()}
+    left = plain_cut([r[:2] for r in rows[:-1]])
+    for k, text, _ in rows[:-1]:
+        if left[k] or not (text or "").split():
+            assert (found[k].text or "").split() == left[k] and (text is None or found[k].n_chars == len(found[k].text))
+        else:
+            assert k not in found
+    assert len(left[1]) == 91 + 40 and len(left[0]) == 90 + 50 + 40 + 50 and found[0].text == texts[0]
+    assert found[19].text == texts[19]
+    assert corpus_pipeline.cut_repeats(spark, docs.limit(0), "").count() == 0
+    twice = corpus_pipeline.cut_repeats(spark, spark.createDataFrame([rows[12], rows[12], rows[17]], docs.schema), "").collect()
+    assert [r.doc_id for r in twice] == [17]
+
+
 def plain_groups(texts, limit=0.8):
     """The least place of each text's group, by all pairs."""
     split = [(t or "").lower().split() for t in texts]

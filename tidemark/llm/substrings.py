@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .anchors import anchor_runs
-from .blocks import blocks
+from .blocks import Block, blocks, prefix_sums, span_hashes
+from .pieces import SPACE
 from .session import cut, stored
 from .suffixes import repeated
 
 WINDOW = 400
+#: A passage of so many words is over 50 words long. Bytes that stand for a word; bytes of a word that counts as several, and of their pieces.
+PASSAGE, TOKEN, LONG_WORD, PIECE = 51, 4, 64, 8
 #: Blocks of one gram that may meet in one task; the bytes of blocks that are sorted together.
 MOST_BLOCKS, BATCH_BYTES = 4096, 2 << 20
 NAME = ["gram", "c1", "c2"]
@@ -193,3 +196,86 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", mo
     for name, kind in added.items():
         schema = schema.add(name, kind)
     return joined.mapInArrow(run, schema)
+
+
+def block_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, offsets of each text's words) of the runs of bytes that aren't space.
+
+    A character from U+3000 on, of scripts without spaces, is a word; a word of over LONG_WORD bytes is cut into pieces of about PIECE bytes.
+    """
+    data, size = block.data, len(block.data)
+    if not size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(block.offsets), np.int64)
+    seen = ~SPACE[data]
+    begins = np.zeros(size + 1, bool)
+    begins[block.offsets] = True
+    lead = (data & 0xC0) != 0x80
+    wide = data[np.maximum.accumulate(np.where(lead, np.arange(size), 0))] >= 0xE3
+    edge = begins[:-1] | ~np.append(False, seen[:-1]) | lead & (wide | np.append(False, wide[:-1]))
+    starts = np.flatnonzero(seen & edge)
+    ends = np.flatnonzero(seen & np.append(edge[1:] | ~seen[1:], True)) + 1
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+            edge[a:b:PIECE] |= lead[a:b:PIECE]
+        starts = np.flatnonzero(seen & edge)
+        ends = np.flatnonzero(seen & np.append(edge[1:] | ~seen[1:], True)) + 1
+    return starts, ends, np.searchsorted(starts, block.offsets)
+
+
+def word_tokens(texts: DataFrame) -> DataFrame:
+    """From (k1, k2, text): the same with TOKEN bytes of a hash in place of each word, so that equal runs of words are equal bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(2), 1 << 19):
+                starts, ends, offsets = block_words(block)
+                tokens = (span_hashes(prefix_sums(block.data), starts, ends) >> np.uint64(32)).astype("<u4").tobytes()
+                cells = [tokens[TOKEN * a : TOKEN * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                part = batch.slice(block.first, block.last - block.first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.binary())], ["k1", "k2", "text"])
+
+    return texts.mapInArrow(run, "k1 long, k2 long, text binary")
+
+
+def remove_repeated_words(docs: DataFrame, words: int = PASSAGE, text: str = "text", most_blocks: int = MOST_BLOCKS, key: str = "doc_id") -> DataFrame:
+    """All columns of docs with n_removed (words) and kept (the text that is left).
+
+    Removed is each word of a run of `words` words that also starts at another place: in another row, a repeated one too, or in the same text,
+    overlaps included. What stands between removed words goes with them; white space doesn't tell runs apart. Null and empty texts lose nothing.
+    """
+    columns = [c for c in docs.columns if c not in ("n_removed", "kept")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in columns))
+    named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
+    texts = named.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    spans = cut(repeated_spans(word_tokens(texts), TOKEN * words, most_blocks).groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
+    joined = named.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*(F.col(f"`{c}`") for c in columns), "__spans")
+    place = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(len(columns))
+            for block in blocks(batch.column(place), 1 << 19):
+                starts, ends, offsets = block_words(block)
+                removed, kept = [], []
+                for i in range(len(block.offsets) - 1):
+                    own, mine, a, b = block.text(i), spans[block.first + i], int(offsets[i]), int(offsets[i + 1])
+                    if not mine.is_valid:
+                        removed.append(0)
+                        kept.append(own)
+                        continue
+                    marks = np.zeros(b - a + 1, np.int64)
+                    # a word goes only as a whole
+                    np.add.at(marks, -(-mine.values.field("low").to_numpy() // TOKEN), 1)
+                    np.add.at(marks, mine.values.field("high").to_numpy() // TOKEN, -1)
+                    gone = np.cumsum(marks[:-1]) > 0
+                    out, at = [], 0
+                    for first, last in zip(*(x.tolist() for x in _runs(gone)), strict=True):
+                        out.append(own[at : int(starts[a + first] - block.offsets[i])])
+                        at = int(ends[a + last - 1] - block.offsets[i])
+                    removed.append(int(gone.sum()))
+                    kept.append(b"".join([*out, own[at:]]))
+                part = batch.slice(block.first, len(kept))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*columns, "n_removed", "kept"])
+
+    return joined.mapInArrow(run, StructType([*docs.schema.fields]).add("n_removed", "long").add("kept", "string"))
