@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import anchors, bpe, components, fingerprints, licenses, media, packing, quality, queries, secrets, simhash, substrings, suffixes, toxicity
+from tidemark.llm import anchors, bpe, components, fingerprints, licenses, media, packing, quality, queries, sampling, secrets, simhash, substrings, suffixes, toxicity
 from tidemark.llm.blocks import Block
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score double, kept string, fp string"
@@ -304,5 +304,35 @@ def test_classifiers_on_rows_held_out(spark, none, kind):
     assert score(none, empty).count() == 0
 
 
+def test_thresholds_are_those_of_all_labelled_rows(spark):
+    rng = random.Random(8)
+    marks = {0: " vile", 1: " grim rotten", 2: " rotten"}
+    rows = [(k, words(rng, 30) + marks[k % 3] * (k % 9 < 3) + " " + words(rng, 20), "fr" if k % 20 == 0 else "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    toxic = {k: int(k % 9 < 3 and rng.random() < (0.9 if k % 3 else 0.2)) for k in range(3000)}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, per_class=60)
+    sample = sorted(r.doc_id for r in sampling.labelled(docs, labels, "toxic", per_class=60).collect())
+    trained = {k for n, k in enumerate(sample) if n % 4}
+    scored = [r for r in toxicity.score_documents(docs, net).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    assert len(scored) > 1900 and set(net.thresholds) == {"en", "fr"}
+    for lang, limit in net.thresholds.items():
+        own = [r for r in scored if r.lang == lang]
+        new = [r for r in own if r.doc_id not in trained]
+        weight = {y: sum(toxic[r.doc_id] == y for r in own) / sum(toxic[r.doc_id] == y for r in new) for y in (0, 1)}
+
+        def f1(at, new=new, weight=weight):
+            hit = [toxic[r.doc_id] for r in new if r.score >= at]
+            mass = sum(weight[toxic[r.doc_id]] * toxic[r.doc_id] for r in new)
+            return 2 * weight[1] * sum(hit) / (sum(weight[y] for y in hit) + mass)
+
+        assert f1(limit) >= max(f1(x) for x in toxicity.CUTS) - 1e-9
+    assert set(net.thresholds.values()) != {toxicity.THRESHOLD}
+    # 50 of 50 labelled 1 and 50 of 400 labelled 0 are left: an even mix hides the false alarms
+    counts = np.zeros((2, 92), int)
+    counts[0, [5, 30]], counts[1, [40, 15]] = (44, 6), (44, 6)
+    assert toxicity.best_threshold(counts) < toxicity.best_threshold(counts, (8, 1))
+
+
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, prefix_sums, span_hashes
 from .pieces import LETTER, LOWER
-from .sampling import PER_CLASS, labelled, platt, sigmoid
+from .sampling import PER_CLASS, labelled, learnable, platt, sigmoid
 
 BITS, DIM, WIDTHS, FILTERS, STEMS = 17, 8, (1, 2, 3), 8, (4, 5, 6)
 THRESHOLD = 0.7
+#: Thresholds that are tried for each language.
+CUTS = np.linspace(0.05, 0.95, 91)
 #: A feature seen in fewer sampled texts than this keeps a zero embedding.
 LEAST_TEXTS = 3
 INSIDE = LETTER.copy()
@@ -162,23 +164,57 @@ def train(texts: list[np.ndarray], y: np.ndarray, rounds: int = 6, batch: int =
     return net
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest range of thresholds with the best F1, or THRESHOLD if it is in such a range or there are few rows."""
-    if len(y) < 40 or y.min() == y.max():
+def best_threshold(counts: np.ndarray, weights: np.ndarray | tuple = (1.0, 1.0)) -> float:
+    """The middle of the widest range of thresholds with the best F1, or THRESHOLD if it is in such a range or there are few rows.
+
+    counts: for each label the rows by how many of CUTS their score reaches; weights: what a row of each label stands for.
+    """
+    if counts.sum() < 40 or (counts.sum(axis=1) == 0).any():
         return THRESHOLD
-    cuts = np.linspace(0.05, 0.95, 91)
-    hit = scores[None, :] >= cuts[:, None]
-    f1 = 2 * (hit & (y == 1)).sum(axis=1) / np.maximum(1, hit.sum(axis=1) + (y == 1).sum())
+    mass = counts * np.asarray(weights, float)[:, None]
+    hit = mass.sum(axis=1, keepdims=True) - np.cumsum(mass, axis=1)[:, :-1]
+    f1 = 2 * hit[1] / np.maximum(1e-9, hit.sum(axis=0) + mass[1].sum())
     good = f1 >= f1.max() - 1e-12
-    if good[np.abs(cuts - THRESHOLD).argmin()]:
+    if good[np.abs(CUTS - THRESHOLD).argmin()]:
         return THRESHOLD
     edges = np.flatnonzero(np.diff(np.concatenate(([0], good, [0]))))
     a, b = max(zip(edges[::2], edges[1::2], strict=True), key=lambda r: r[1] - r[0])
-    return float((cuts[a] + cuts[b - 1]) / 2)
+    return float((CUTS[a] + CUTS[b - 1]) / 2)
+
+
+def score_counts(docs: DataFrame, labels: DataFrame, label: str, net: Network, trained: DataFrame) -> DataFrame:
+    """(lang, y, seen, reached, n): the rows of all learnable labels, sampled or not, by how many of CUTS their score reaches; seen are those trained on."""
+    spoken = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select("doc_id", spoken.alias("lang"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        for batch in batches:
+            for block in blocks(batch.column(2), 1 << 20):
+                part = batch.slice(block.first, block.last - block.first)
+                reached = np.searchsorted(CUTS, fitted.scores(*block_words(block)), "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(reached)], ["doc_id", "lang", "reached"])
+
+    # scores are joined to labels, not texts, so that no text is shuffled
+    scored = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, reached int").join(learnable(labels, label), "doc_id")
+    seen = F.broadcast(trained.select("doc_id", F.lit(True).alias("seen")))
+    return scored.join(seen, "doc_id", "left").groupBy("lang", "y", F.coalesce("seen", F.lit(False)).alias("seen"), "reached").agg(F.count("*").alias("n"))
+
+
+def language_thresholds(counts: list) -> dict[str, float]:
+    """From rows of score_counts, the threshold of each language: by rows not trained on, each label with the weight that all its rows in the language have."""
+    totals: dict[str, np.ndarray] = {}
+    for r in counts:
+        totals.setdefault(r.lang, np.zeros((2, 2, len(CUTS) + 1)))[int(r.seen), r.y, r.reached] += r.n
+    return {lang: best_threshold(c[0], c.sum(axis=(0, 2)) / np.maximum(1, c[0].sum(axis=1))) for lang, c in sorted(totals.items())}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Network:
-    """The network learnt in one task from a bounded sample (see sampling.labelled). Without labelled rows of both classes every score is 0.5."""
+    """The network learnt in one task from a bounded sample (see sampling.labelled). Without labelled rows of both classes every score is 0.5.
+
+    The thresholds are then chosen from counts of the scores of all learnable rows that it wasn't trained on.
+    """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,29 +222,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
                 features, offsets = block_words(block)
                 part = batch.slice(block.first, block.last - block.first)
                 raw = [features[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), part.column(2), pa.array(raw, pa.binary())], ["doc_id", "y", "lang", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "y", "words"])
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        y, langs = table.column("y").to_numpy().astype(np.int64), np.array([x or "" for x in table.column("lang").to_pylist()])
+        y = table.column("y").to_numpy().astype(np.int64)
         texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(STEMS)) for x in table.column("words")]
         part = np.arange(len(y)) % 4
         if len(y) == 0 or y.min() == y.max():
             net = Network(np.zeros((1 << BITS, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32))
-            return pa.table({"network": [pickle.dumps(net)]})
+            return pa.table({"network": [pickle.dumps(net)], "trained": pa.array([[]], pa.list_(table.column("doc_id").type))})
         seen = np.flatnonzero(part > 0) if len(np.unique(y[part > 0])) == 2 else np.arange(len(y))
         rest = np.flatnonzero(part == 0) if len(np.unique(y[part == 0])) == 2 else np.arange(len(y))
         net = train([texts[i] for i in seen], y[seen])
         margins = np.concatenate([net.margins(texts[i], np.array([0, len(texts[i])])) for i in rest]).astype(np.float64)
         net.slope, net.shift = platt(margins, y[rest], (len(rest) / (2 * np.bincount(y[rest], minlength=2)))[y[rest]])
-        scores = sigmoid(net.slope * margins + net.shift)
-        net.thresholds = {str(lang): best_threshold(scores[langs[rest] == lang], y[rest][langs[rest] == lang]) for lang in np.unique(langs[rest])}
-        return pa.table({"network": [pickle.dumps(net)]})
+        # if no row is left over, the threshold too is chosen by rows that were trained on
+        trained = table.column("doc_id").take(pa.array(np.setdiff1d(seen, rest))).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array([0, len(trained)], pa.int32()), trained)
+        return pa.table({"network": [pickle.dumps(net)], "trained": lists})
 
     sample = labelled(docs, labels, label, per_class=per_class)
-    sample = sample.mapInArrow(words, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, lang string, words binary")
-    row = sample.groupBy().applyInArrow(learn, "network binary").first()
-    return pickle.loads(row.network) if row else Network(np.zeros((1 << BITS, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32))
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    sample = sample.mapInArrow(words, f"doc_id {kind}, y int, words binary")
+    row = sample.groupBy().applyInArrow(learn, f"network binary, trained array<{kind}>").first()
+    if row is None:
+        return Network(np.zeros((1 << BITS, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32))
+    net = pickle.loads(row.network)
+    # at most two classes' samples of ids
+    trained = docs.sparkSession.createDataFrame([(x,) for x in row.trained], f"doc_id {kind}")
+    net.thresholds = language_thresholds(score_counts(docs, labels, label, net, trained).collect())
+    return net
 
 
 def score_documents(docs: DataFrame, net: Network, text: str = "text", lang: str = "lang") -> DataFrame:
