@@ -1,9 +1,11 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a limit, joined into groups.
 
-Candidates come from bands of least hash values; each pair that counts is confirmed by the exact similarity of the two sets. At similarity 0.8
-the 32 bands of 5 values miss a pair with probability 3 in a million, more alike pairs less often. Texts with one set of shingles are one point. In each
+Candidates are what the vantage-point trees link by SimHash fingerprints of the same shingles, and, as most pairs of similarity 0.8 differ in more bits
+than trees can search, bands of least hash values: at similarity 0.8 the 32 bands of 5 values miss a pair with probability 3 in a million, more alike pairs
+less often. Each pair that counts is confirmed by the exact similarity of the two sets. Texts with one set of shingles are one point. In each
 bucket of a band, every point is first held against one member, so that a group of many copies costs no more than its size; then only
-points of still different groups are, inside one task, unless a sketch of their hash values rules them out.
+points of still different groups are, unless a sketch of their hash values rules them out. A bucket of many such points is dealt in
+blocks, and each two blocks meet in a task of their own, so that no task holds more than two.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from .blocks import Block, blocks, mixed, prefix_sums, ragged, span_hashes
 from .components import components
 from .pieces import LOWER, SPACE
 from .session import cut, stored
+from .simhash import majorities
+from .simhash import near_groups as fingerprint_groups
 
 WORDS, LIMIT = 5, 0.8
 BANDS, VALUES = 32, 5
 #: Pairs of whose 160 least values a smaller share agree are not looked at: six standard errors (0.032 at similarity 0.8) below LIMIT.
 SKETCH_LIMIT = 0.6
 BLOCK = 1 << 19
+#: Points of one bucket's blocks.
+DEALT = 512
 FACTORS = mixed(np.arange(1, BANDS * VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -67,7 +73,7 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def near_points(docs: DataFrame) -> DataFrame:
-    """From (doc_id, text): (doc_id, k, point, keys, sketch); k is a hash of the text, point one of its set, keys are its buckets."""
+    """From (doc_id, text): (doc_id, k, point, keys, sketch, fp); k is a hash of the text, point one of its set, keys are its buckets, fp is its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,10 +88,10 @@ def near_points(docs: DataFrame) -> DataFrame:
                 short = np.ascontiguousarray((mixed(least) >> np.uint64(56)).astype(np.uint8))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
                 part = batch.slice(block.first, len(points))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(points.view(np.int64)), lists, pa.array([r.tobytes() for r in short], pa.binary())], ["doc_id", "k", "point", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(points.view(np.int64)), lists, pa.array([r.tobytes() for r in short], pa.binary()), pa.array(majorities(hashes, np.diff(offsets)).view(np.int64))], ["doc_id", "k", "point", "keys", "sketch", "fp"])
 
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, point long, keys array<long>, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, point long, keys array<long>, sketch binary, fp long")
 
 
 def is_near(common, both, limit: float):
@@ -120,7 +126,12 @@ def confirmed(pairs: DataFrame, points: DataFrame, docs: DataFrame, limit: float
 
 
 def bucket_links(table: pa.Table, limit: float) -> pa.Table:
-    """Links (a, b) that join the groups of one bucket that have a confirmed pair; its leader has been held against all others before."""
+    """Links (a, b) that join the groups of one or two blocks of a bucket that have a confirmed pair; its leader has been held against all others before.
+
+    Of two blocks, only pairs across them are looked at.
+    """
+    block = table.column("block").to_numpy()
+    across = len(np.unique(block)) > 1
     mine, tried = table.column("point").to_numpy(), table.column("leads").to_numpy(zero_copy_only=False)
     root = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
     marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(mine), -1)
@@ -133,7 +144,7 @@ def bucket_links(table: pa.Table, limit: float) -> pa.Table:
     for k in range(len(mine) - 1):
         if tried[k]:
             continue
-        others = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & ~tried[k + 1 :])
+        others = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & ~tried[k + 1 :] & (~across | (block[k + 1 :] != block[k])))
         for low in range(0, len(others), 1024):
             some = others[low : low + 1024]
             some = some[(marks[some] == marks[k]).mean(axis=1) >= SKETCH_LIMIT]
@@ -152,7 +163,7 @@ def bucket_links(table: pa.Table, limit: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+def near_groups(docs: DataFrame, limit: float = LIMIT, dealt: int = DEALT) -> DataFrame:
     """From (doc_id, text): (doc_id, k, group), k being xxhash64 of the text; two rows have one group if a chain of near copies leads from one to the other.
 
     Rows without words (null and empty texts too) are copies of each other. Repeated rows stay.
@@ -165,18 +176,22 @@ def near_groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     members = stored(slots.join(shared, "key").select("key", "point", (F.col("h") == F.col("low")).alias("leads")).distinct())
     leads = members.where("leads").select("key", F.col("point").alias("lead"))
     pair = [F.least("point", "lead").alias("a"), F.greatest("point", "lead").alias("b")]
-    pairs = cut(members.where("NOT leads").join(leads, "key").select(*pair).distinct())
+    close = fingerprint_groups(points.groupBy("point").agg(F.min("fp").alias("fp")).select(F.col("point").alias("doc_id"), "fp"))
+    close = close.where("doc_id <> component_id").select(F.least("doc_id", "component_id").alias("a"), F.greatest("doc_id", "component_id").alias("b"))
+    pairs = cut(members.where("NOT leads").join(leads, "key").select(*pair).unionByName(close).distinct())
     links = cut(confirmed(pairs, points, docs, limit))
     groups = components(links)
 
     named = members.join(groups.withColumnRenamed("node", "point"), "point", "left").select("key", "point", F.coalesce("root", "point").alias("root"), "leads")
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("key")
-    open_ = cut(named.join(apart, "key").select("key", "point", "root", "leads"))
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("key", F.expr(f"(n + {dealt} - 1) div {dealt}").alias("blocks"))
+    open_ = cut(named.join(apart, "key").select("key", "point", "root", "leads", "blocks"))
     if not open_.isEmpty():
         asked = open_.select("point").distinct()
         least = points.select("point", "sketch").join(asked, "point", "left_semi").dropDuplicates(["point"])
-        full = open_.join(least, "point").join(point_sets(asked, points, docs), "point").select("key", "point", "root", "leads", "sketch", "shingles")
-        late = cut(full.groupBy("key").applyInArrow(lambda table: bucket_links(table, limit), "a long, b long").distinct())
+        block = open_.withColumn("block", F.expr("pmod(xxhash64(point, 5), blocks)"))
+        met = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        full = met.join(least, "point").join(point_sets(asked, points, docs), "point").select("key", "low", "high", "block", "point", "root", "leads", "sketch", "shingles")
+        late = cut(full.groupBy("key", "low", "high").applyInArrow(lambda table: bucket_links(table, limit), "a long, b long").distinct())
         groups = components(links.unionByName(late)) if not late.isEmpty() else groups
     owners = groups.select(F.col("node").alias("point"), "root")
     return points.join(owners, "point", "left").select("doc_id", "k", F.coalesce("root", "point").alias("group"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's shared folder if it names one, else (in tests) a temporary one."""
+    """Make checkpoint() usable: the shared folder that the cluster names, else the warehouse; a temporary one only if all runs in one local process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -32,5 +35,10 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def neutral(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with every column but its own ones named __0, __1 and so on by place, so that no name an operator adds or joins by can clash."""
+    return docs.toDF(*(c if c in own else f"__{i}" for i, c in enumerate(docs.columns)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,6 +25,29 @@ WORDS, SEED, RADIUS = 3, 42, 3
 SHARD, SAMPLE, LEAF = 1 << 16, 4096, 64
 
 
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each text, whose hashes stand one after another, the bits that over half of them have; zero without any."""
+    total = len(hashes)
+    out = np.zeros(len(counts), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        places = np.append((np.cumsum(counts) - counts)[some], total)
+        step = 1 << 15
+        for low in range(0, len(some), 256):
+            high = min(len(some), low + 256)
+            a, b = int(places[low]), int(places[high])
+            ones = np.zeros((high - low, 64), np.int64)
+            for c in range(a, b, step):
+                d = min(b, c + step)
+                bits = np.unpackbits(hashes[c:d].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                cut_at = np.searchsorted(places[low : high + 1], [c, d - 1], "right") - 1
+                edges = np.maximum(places[low + cut_at[0] : low + cut_at[1] + 1], c) - c
+                ones[cut_at[0] : cut_at[1] + 1] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
+            most = 2 * ones > counts[some[low:high], None]
+            out[some[low:high]] = np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def block_fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> np.ndarray:
     """A fingerprint for each of the texts that begin at these offsets."""
     data = LOWER[data]
@@ -50,24 +73,7 @@ def block_fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS
     left, right = placed[at].tolist(), (placed[end] + sizes[end]).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(left, right, strict=True)), np.uint64, total)
-    out = np.zeros(len(count), np.uint64)
-    some = np.flatnonzero(shingles)
-    if len(some):
-        places = np.append((np.cumsum(shingles) - shingles)[some], total)
-        step = 1 << 15
-        for low in range(0, len(some), 256):
-            high = min(len(some), low + 256)
-            a, b = int(places[low]), int(places[high])
-            ones = np.zeros((high - low, 64), np.int64)
-            for c in range(a, b, step):
-                d = min(b, c + step)
-                bits = np.unpackbits(hashes[c:d].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                cut_at = np.searchsorted(places[low : high + 1], [c, d - 1], "right") - 1
-                edges = np.maximum(places[low + cut_at[0] : low + cut_at[1] + 1], c) - c
-                ones[cut_at[0] : cut_at[1] + 1] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
-            most = 2 * ones > shingles[some[low:high], None]
-            out[some[low:high]] = np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    return majorities(hashes, shingles)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from .anchors import anchor_runs
 from .blocks import Block, blocks, prefix_sums, span_hashes
 from .pieces import SPACE
-from .session import cut, stored
+from .session import cut, neutral, stored
 from .suffixes import repeated
 
 WINDOW = 400
@@ -160,16 +160,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", mo
     """
     added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "string" if characters else "binary"}
     columns = [c for c in docs.columns if c not in added]
-    docs = docs.select(*(F.col(f"`{c}`") for c in columns))
+    docs = neutral(docs.select(*(F.col(f"`{c}`") for c in columns)), key, text)
     named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
     texts = named.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = cut(repeated_spans(texts, window, most_blocks).groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
-    joined = named.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*(F.col(f"`{c}`") for c in columns), "__spans")
+    spans = cut(repeated_spans(texts, window, most_blocks).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
+    joined = named.join(spans, ["__k1", "__k2"], "left").select(*docs.columns, "__spans")
+
+    place, names = docs.columns.index(text), [*docs.columns, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(len(columns))
-            for block in blocks(batch.column(columns.index(text))):
+            for block in blocks(batch.column(place)):
                 out = []
                 for i in range(len(block.offsets) - 1):
                     own = block.data[block.offsets[i] : block.offsets[i + 1]]
@@ -190,12 +192,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", mo
                 cells = [pa.array([r[k] for r in out], pa.binary() if k == 3 else pa.int64()) for k in range(4)]
                 if characters:
                     cells[3] = cells[3].cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cells], [*columns, *added])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cells], names)
 
     schema = StructType([*docs.schema.fields])
     for name, kind in added.items():
         schema = schema.add(name, kind)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*columns, *added)
 
 
 def block_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,12 +247,12 @@ def remove_repeated_words(docs: DataFrame, words: int = PASSAGE, text: str = "te
     overlaps included. What stands between removed words goes with them; white space doesn't tell runs apart. Null and empty texts lose nothing.
     """
     columns = [c for c in docs.columns if c not in ("n_removed", "kept")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in columns))
+    docs = neutral(docs.select(*(F.col(f"`{c}`") for c in columns)), key, text)
     named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
     texts = named.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = cut(repeated_spans(word_tokens(texts), TOKEN * words, most_blocks).groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
-    joined = named.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*(F.col(f"`{c}`") for c in columns), "__spans")
-    place = columns.index(text)
+    spans = cut(repeated_spans(word_tokens(texts), TOKEN * words, most_blocks).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
+    joined = named.join(spans, ["__k1", "__k2"], "left").select(*docs.columns, "__spans")
+    place, names = docs.columns.index(text), [*docs.columns, "n_removed", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,6 +278,6 @@ def remove_repeated_words(docs: DataFrame, words: int = PASSAGE, text: str = "te
                     removed.append(int(gone.sum()))
                     kept.append(b"".join([*out, own[at:]]))
                 part = batch.slice(block.first, len(kept))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*columns, "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names)
 
-    return joined.mapInArrow(run, StructType([*docs.schema.fields]).add("n_removed", "long").add("kept", "string"))
+    return joined.mapInArrow(run, StructType([*docs.schema.fields]).add("n_removed", "long").add("kept", "string")).toDF(*columns, "n_removed", "kept")

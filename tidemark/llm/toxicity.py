@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .blocks import Block, blocks, prefix_sums, span_hashes
 from .pieces import LETTER, LOWER
 from .sampling import PER_CLASS, labelled, learnable, platt, sigmoid
+from .session import neutral
 
 BITS, DIM, WIDTHS, FILTERS, STEMS = 17, 8, (1, 2, 3), 8, (4, 5, 6)
 THRESHOLD = 0.7
@@ -261,8 +263,9 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text", lang: str
     The score is of the text alone. Null and empty texts get the score of no words; a null or unknown language has THRESHOLD. Columns named like
     added ones are replaced, repeated rows stay.
     """
-    kept = [c for c in docs.columns if c not in ("score", "is_toxic")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    named = [c for c in docs.columns if c not in ("score", "is_toxic")]
+    docs = neutral(docs.select(*(F.col(f"`{c}`") for c in named)), text, lang)
+    kept = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +275,7 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text", lang: str
                 part = batch.slice(block.first, block.last - block.first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fitted.scores(*block_words(block)))], [*kept, "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", score double"
+    schema = StructType([*docs.schema.fields]).add("score", "double")
     limits = F.create_map(*(F.lit(x) for pair in net.thresholds.items() for x in pair)) if net.thresholds and lang in kept else None
     limit = F.coalesce(limits[F.col(lang)], F.lit(THRESHOLD)) if limits is not None else F.lit(THRESHOLD)
-    return docs.mapInArrow(run, kinds).withColumn("is_toxic", F.col("score") >= limit)
+    return docs.mapInArrow(run, schema).withColumn("is_toxic", F.col("score") >= limit).toDF(*named, "score", "is_toxic")
