@@ -27,6 +27,8 @@ NEVER = np.int64(1 << 40)
 LONG = 48
 #: Beyond so many the store of prefixes is emptied, so that memory is bounded.
 MOST_PREFIXES = 1_000_000
+#: Bytes of texts whose pieces are encoded together; fewer make numpy calls of too few pieces.
+ENCODED_AT_ONCE = 2 << 20
 #: The pattern of byte-level BPE, with its white space written out.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -298,7 +300,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            for block in blocks(batch.column(kept.index(text))):
+            for block in blocks(batch.column(kept.index(text)), ENCODED_AT_ONCE):
                 ids, offsets = words.encode_block(block)
                 raw = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                 cells = [raw, pa.array(np.diff(offsets))]

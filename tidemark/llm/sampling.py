@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many labelled rows of each class are learnt from.
-PER_CLASS = 6000
+#: At most so many labelled rows of each class are learnt from, and so many bytes of their texts together; no text of more bytes than the last is.
+PER_CLASS, CLASS_BYTES, LONGEST = 6000, 16 << 20, 1 << 17
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -33,7 +33,7 @@ def natural_weights(y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, y, lang, text) of a sample: of each class the per_class rows whose ids hash lowest, so the same rows every time.
+    """(doc_id, y, lang, text) of a sample: of each class the per_class rows whose ids hash lowest, so the same rows every time, as far as CLASS_BYTES go.
 
     Rows with a null label, a label other than 0 and 1, or a null id are left out, and so are those held out. An id labelled twice with
     different labels is left out; repeated rows of one label count once.
@@ -45,7 +45,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id"
     spoken = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(key).alias("doc_id"), spoken.alias("lang"), F.col(text).alias("text"))
     # 2 * per_class rows of two numbers at most
-    return texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "lang", "text")
+    held = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "lang", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).where(F.col("bytes") <= LONGEST)
+    upto = F.sum("bytes").over(Window.partitionBy("y").orderBy(rank, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn("upto", upto).where(F.col("upto") <= CLASS_BYTES).select("doc_id", "y", "lang", "text")
 
 
 def platt(margins: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 60) -> tuple[float, float]:

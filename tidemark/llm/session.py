@@ -9,8 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: as one may hold texts of 100 KB and more, Spark's 10,000 would be too many for an executor's memory.
+BATCH_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of few rows, unless the session names a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the shared folder that the cluster names, else the warehouse; a temporary one only if all runs in one local process, as in tests."""
+    bound_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -41,4 +52,5 @@ def neutral(docs: DataFrame, *own: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
