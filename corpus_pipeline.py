@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the score of no words, a null language has the general threshold, a score that equals its threshold goes,
     repeated rows stay or go together, and an empty table stays empty.
     """
+    session.bound_batches(spark)
     own = session.neutral(docs, *OWN)
     net = toxicity.fit(own, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_documents(own, net).where("NOT is_toxic").select(*own.columns).toDF(*docs.columns)
@@ -57,11 +58,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with every secret replaced by a mask, n_chars counted anew. Null and empty texts and repeated rows stay as they are; secrets that touch or overlap get one mask."""
+    session.bound_batches(spark)
     return secrets.redact_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids. Null and empty texts are just the end's id, repeated rows are packed each for itself, an empty table gives none."""
+    session.bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
