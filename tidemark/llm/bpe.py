@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .blocks import PRIME, Block, Table, blocks, distinct, mixed, ragged
+from .blocks import Block, PRIME, Table, blocks, distinct, lean, mixed, ragged
 from .pieces import Encoded, by_document, spaced_pieces
 
 NEVER = np.int64(1 << 40)
@@ -297,6 +297,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decoded: bo
     kept = [c for c in docs.columns if c not in added]
     docs = docs.select(*(f"`{c}`" for c in kept))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
@@ -320,6 +321,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
     kept = [c for c in encoded.columns if c != "decoded"]
     encoded = encoded.select(*(f"`{c}`" for c in kept))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import blocks, lean
 
 WIDTH, TILE = 64, 32
 
@@ -126,6 +126,7 @@ def texts_as_media(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -158,6 +159,7 @@ def media_features(media: DataFrame, column: str = "media", tile: int = TILE) ->
         samples, sums = image.tobytes(), Integral(image)
         return (len(raw), hashlib.sha256(raw).hexdigest(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), npy(sums.resized(tile, tile)), difference_hash(sums))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):

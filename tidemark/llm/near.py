@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, mixed, prefix_sums, ragged, span_hashes
+from .blocks import Block, blocks, lean, mixed, prefix_sums, ragged, span_hashes
 from .components import components
 from .pieces import LOWER, SPACE
 from .session import cut, stored
@@ -74,6 +74,7 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 def near_points(docs: DataFrame) -> DataFrame:
     """From (doc_id, text): (doc_id, k, point, keys, sketch, fp); k is a hash of the text, point one of its set, keys are its buckets, fp is its fingerprint."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -103,6 +104,7 @@ def point_sets(asked: DataFrame, points: DataFrame, docs: DataFrame) -> DataFram
     who = points.join(asked.distinct(), "point").groupBy("point").agg(F.min(F.struct("doc_id", "k")).alias("at")).select("point", "at.*")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("k")).join(who, ["doc_id", "k"]).select("point", "text")
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):

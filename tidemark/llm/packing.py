@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .blocks import Block, blocks, ragged
+from .blocks import Block, blocks, lean, ragged
 from .pieces import LOWER, Encoded, by_document, visible_pieces
 
 GROUP_DOCUMENTS = 1024
@@ -177,6 +177,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     groups = max(1, -(-docs.count() // group_documents))
 
+    @lean
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokenizer(path)
         for batch in batches:

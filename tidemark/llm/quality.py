@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, mixed, prefix_sums, span_hashes
+from .blocks import Block, blocks, lean, mixed, prefix_sums, span_hashes
 from .pieces import visible_pieces
 from .sampling import PER_CLASS, class_sizes, labelled, natural_weights, platt, sigmoid
 
@@ -91,6 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     Without labelled rows of both classes every score is 0.5.
     """
 
+    @lean
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(3)):
@@ -135,6 +136,7 @@ def score_documents(docs: DataFrame, model: Model, scale: np.ndarray, key: str =
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model, scale))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, scales = shared.value
         squares = scales.astype(np.float64) ** 2

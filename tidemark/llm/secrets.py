@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blocks import Block, blocks
+from .blocks import Block, blocks, lean
 
 #: Spans of one start are listed in this order.
 KINDS = ("assign", "access", "hex", "pem", "openssh", "der", "jwt")
@@ -195,6 +195,7 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -212,6 +213,7 @@ def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars
     """The same rows and columns, with every span's characters replaced by the mask; spans that touch or overlap get one mask."""
     place = docs.columns.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(place)):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import blocks, lean
 from .components import components
 from .pieces import LOWER, SPACE
 from .session import cut
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(doc_id, fp): the fingerprint of every whole text as a signed long. Null and empty texts have 0."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -184,6 +185,7 @@ def near_groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
         tree = upper_tree(np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64), depth)[0]
         deals = max(1, int(1.62**depth) // 4)
 
+    @lean
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mine = batch.column(0).to_numpy().view(np.uint64)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .anchors import anchor_runs
-from .blocks import Block, blocks, prefix_sums, span_hashes
+from .blocks import Block, blocks, lean, prefix_sums, span_hashes
 from .pieces import SPACE
 from .session import cut, neutral, stored
 from .suffixes import repeated
@@ -28,7 +28,7 @@ WINDOW = 400
 #: A passage of so many words is over 50 words long. Bytes that stand for a word; bytes of a word that counts as several, and of their pieces.
 PASSAGE, TOKEN, LONG_WORD, PIECE = 51, 4, 64, 8
 #: Blocks of one gram that may meet in one task; the bytes of blocks that are sorted together.
-MOST_BLOCKS, BATCH_BYTES = 4096, 2 << 20
+MOST_BLOCKS, BATCH_BYTES = 4096, 1 << 19
 NAME = ["gram", "c1", "c2"]
 
 
@@ -37,14 +37,15 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def find_blocks(docs: DataFrame, window: int) -> DataFrame:
+def find_blocks(docs: DataFrame, window: int, of_words: bool = False) -> DataFrame:
     """(k1, k2, gram, c1, c2, low, count, times) of every block: its text, gram, digest, first window, number of windows, and how often it
-    comes at once again, as it does in a text that repeats a few bytes over and over."""
+    comes at once again, as it does in a text that repeats a few bytes over and over. With `of_words`, texts are taken as word_tokens gives them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for block in blocks(batch.column(2)):
+            for block in map(token_block, blocks(batch.column(2))) if of_words else blocks(batch.column(2)):
                 first, last, _, grams = anchor_runs(block.data, block.offsets, window)
                 if not len(first):
                     continue
@@ -61,12 +62,13 @@ def find_blocks(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, gram long, c1 long, c2 long, low int, count int, times int")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOST_BLOCKS, of_words: bool = False) -> DataFrame:
     """From (k1, k2, text): (k1, k2, low, high), bytes of each text that lie in a window that starts anywhere else too; rows may overlap.
 
-    k1 and k2 name a text; rows of one name must have the same text, and each counts.
+    k1 and k2 name a text; rows of one name must have the same text, and each counts. With `of_words`, texts and spans are as word_tokens gives them.
     """
-    found = stored(find_blocks(docs, window))
+    found = stored(find_blocks(docs, window, of_words))
+    docs = word_tokens(docs) if of_words else docs
     shared = found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
     # blocks that are equal as a whole become one, with their number
     kinds = found.join(shared, "gram", "left_semi").groupBy(*NAME).agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "low", "count")).alias("at"))
@@ -77,6 +79,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
 
     wanted = kinds.where("way > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct(*NAME, "n", "low", "count", "way")).alias("blocks"))
 
+    @lean
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -112,6 +115,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
         names = [*NAME, "start", "stop"]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names)
 
+    @lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in batches:
@@ -133,6 +137,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
     spans = "gram long, c1 long, c2 long, start long, stop long"
     sorted_ = held.where("way = 1").select(*NAME, "n", "content").repartition("gram").sortWithinPartitions(*NAME).mapInArrow(sort, spans)
 
+    @lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -168,6 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", mo
 
     place, names = docs.columns.index(text), [*docs.columns, *added]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(len(columns))
@@ -225,15 +231,21 @@ def block_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, block.offsets)
 
 
+def token_block(block: Block) -> Block:
+    starts, ends, offsets = block_words(block)
+    tokens = (span_hashes(prefix_sums(block.data), starts, ends) >> np.uint64(32)).astype("<u4")
+    return Block(block.first, block.last, tokens.view(np.uint8), TOKEN * offsets)
+
+
 def word_tokens(texts: DataFrame) -> DataFrame:
     """From (k1, k2, text): the same with TOKEN bytes of a hash in place of each word, so that equal runs of words are equal bytes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
-                starts, ends, offsets = block_words(block)
-                tokens = (span_hashes(prefix_sums(block.data), starts, ends) >> np.uint64(32)).astype("<u4").tobytes()
-                cells = [tokens[TOKEN * a : TOKEN * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                tokens = token_block(block)
+                cells = [tokens.text(i) for i in range(len(block.offsets) - 1)]
                 part = batch.slice(block.first, block.last - block.first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.binary())], ["k1", "k2", "text"])
 
@@ -250,10 +262,11 @@ def remove_repeated_words(docs: DataFrame, words: int = PASSAGE, text: str = "te
     docs = neutral(docs.select(*(F.col(f"`{c}`") for c in columns)), key, text)
     named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
     texts = named.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = cut(repeated_spans(word_tokens(texts), TOKEN * words, most_blocks).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
+    spans = cut(repeated_spans(texts, TOKEN * words, most_blocks, of_words=True).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
     joined = named.join(spans, ["__k1", "__k2"], "left").select(*docs.columns, "__spans")
     place, names = docs.columns.index(text), [*docs.columns, "n_removed", "kept"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(len(columns))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blocks import Block, blocks, prefix_sums, span_hashes
+from .blocks import Block, blocks, lean, prefix_sums, span_hashes
 from .pieces import LETTER, LOWER
 from .sampling import PER_CLASS, labelled, learnable, platt, sigmoid
 from .session import neutral
@@ -190,6 +190,7 @@ def score_counts(docs: DataFrame, labels: DataFrame, label: str, net: Network, t
     rows = docs.select("doc_id", spoken.alias("lang"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
@@ -218,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     The thresholds are then chosen from counts of the scores of all learnable rows that it wasn't trained on.
     """
 
+    @lean
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(3)):
@@ -268,6 +270,7 @@ def score_documents(docs: DataFrame, net: Network, text: str = "text", lang: str
     kept = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
