@@ -23,8 +23,7 @@ from .blocks import Block, blocks, lean, mixed, prefix_sums, ragged, span_hashes
 from .components import components
 from .pieces import LOWER, SPACE
 from .session import cut, stored
-from .simhash import majorities
-from .simhash import near_groups as fingerprint_groups
+from .simhash import fingerprint_links, majorities
 
 WORDS, LIMIT = 5, 0.8
 BANDS, VALUES = 32, 5
@@ -177,8 +176,10 @@ def near_groups(docs: DataFrame, limit: float = LIMIT, dealt: int = DEALT) -> Da
     members = stored(slots.join(shared, "key").select("key", "point", (F.col("h") == F.col("low")).alias("leads")).distinct())
     leads = members.where("leads").select("key", F.col("point").alias("lead"))
     pair = [F.least("point", "lead").alias("a"), F.greatest("point", "lead").alias("b")]
-    close = fingerprint_groups(points.groupBy("point").agg(F.min("fp").alias("fp")).select(F.col("point").alias("doc_id"), "fp"))
-    close = close.where("doc_id <> component_id").select(F.least("doc_id", "component_id").alias("a"), F.greatest("doc_id", "component_id").alias("b"))
+    prints = points.groupBy("fp").agg(F.min("point").alias("first"))
+    ends = fingerprint_links(prints).join(prints.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("two")), "b")
+    equal = points.join(prints, "fp").where("point <> first").select(F.col("first").alias("one"), F.col("point").alias("two"))
+    close = ends.select("one", "two").unionByName(equal).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
     pairs = cut(members.where("NOT leads").join(leads, "key").select(*pair).unionByName(close).distinct())
     links = cut(confirmed(pairs, points, docs, limit))
     groups = components(links)

@@ -168,15 +168,12 @@ def link_within(points: np.ndarray, homes: np.ndarray, radius: int) -> np.ndarra
     return groups.parent
 
 
-def near_groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """From (doc_id, fp): (doc_id, fp, component_id), the least doc_id reachable over links of at most `radius` differing bits.
+def fingerprint_links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """From (fp), distinct: links (a, b) by which all fingerprints that a chain of at most `radius` differing bits joins hang together, one for each at most in a shard.
 
-    Equal fingerprints are one point, however many rows have them. Null ids never name a group with other ids; a group of nothing else has a null.
-    Repeated rows stay. The sample that gives the upper tree holds 4096 fingerprints at most; shards hold about `shard` fingerprints at home, and
+    The sample that gives the upper tree holds 4096 fingerprints at most; shards hold about `shard` fingerprints at home, and
     visitors of a shard are dealt over several tasks, so that memory stays bounded.
     """
-    prints = cut(prints)
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     count = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, count) / shard))))
     tree, deals = 0, 1
@@ -203,8 +200,18 @@ def near_groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
         on = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": mine[on], "b": mine[roots[on]]})
 
-    edges = points.select("fp").mapInArrow(visits, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(linked, "a long, b long")
-    groups = components(edges)
+    return points.select("fp").mapInArrow(visits, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(linked, "a long, b long")
+
+
+def near_groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """From (doc_id, fp): (doc_id, fp, component_id), the least doc_id reachable over links of at most `radius` differing bits.
+
+    Equal fingerprints are one point, however many rows have them. Null ids never name a group with other ids; a group of nothing else has a null.
+    Repeated rows stay.
+    """
+    prints = cut(prints)
+    points = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    groups = components(fingerprint_links(points, radius, shard))
     least = groups.join(points, groups.node == points.fp).groupBy("root").agg(F.min("first").alias("least"))
     named = groups.join(least, "root").select(F.col("node").alias("fp"), "least")
     owners = points.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
