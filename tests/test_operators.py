@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import DAY, HOUR, MINUTE, instant
-from tidemark.operators import asof, bars, flags, ledger, macro, sessions
-from tidemark.sources import SCHEMAS, decimal_factor, decode_bi5, empty, fixture_csv, hours_between, xlsx_cells
+from tidemark.operators import asof, bars, experiment, flags, ledger, macro, sessions
+from tidemark.sources import SCHEMAS, decimal_factor, decode_bi5, empty, fixture_csv, hour_url, hours_between, rates_from_zip, xlsx_cells
 from tidemark.streaming import bars_stream
 
 TICK = "instrument string, ts long, bid double, ask double, source string, seq long"
@@ -134,3 +134,68 @@ def test_stream_equals_batch(spark, tmp_path):
     quotes = frame.where("seq < 1000").withColumn("ts", F.unix_micros("at"))
     batch = bars.bars_from_ticks(quotes).select(spark.table("bars").columns)
     assert sorted(map(tuple, spark.table("bars").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_periods_that_no_year_has_are_null(spark):
+    titles = [(x,) for x in ("ABC65M13", "ABC65M0", "ABC65Q7", " abc65m11 ", "ABC65", None)]
+    heads = spark.createDataFrame(titles, "t string").select(macro.vintage_header(F.col("t")).alias("v")).select("v.*").collect()
+    assert [r.known_at for r in heads] == [None, None, None, at(1965, 12, 1) - 1, None, None]
+    periods = spark.createDataFrame([(x,) for x in ("1970:13", "1970:Q9", "1970:q2", " 1970:03", "x", None)], "t string").select(macro.ref_period(F.col("t")).alias("p")).collect()
+    assert [str(r.p) for r in periods] == ["None", "None", "1970-04-01", "1970-03-01", "None", "None"]
+
+
+def test_workbook_strings_are_unescaped(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/sharedStrings.xml", '<sst xmlns="urn:x"><si><r><t>A &amp; </t></r><r><t>B</t></r></si></sst>')
+        book.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="urn:x"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>9</v></c><c r="AA2" t="inlineStr"><is><t>x&lt;y</t></is></c><c r="B2"/></row></sheetData></worksheet>')
+    found = xlsx_cells(spark.createDataFrame([("x", out.getvalue())], "name string, content binary")).collect()
+    assert [(r.row, r.col, r.text) for r in found] == [(1, 1, "A & B"), (2, 27, "x<y")]
+
+
+def test_zipped_rates(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("rates.csv", "Date, USD, JPY, \n2024-01-02,1.1,N/A,\nnonsense,1,2,\n2024-01-03,,160.5,\n\n")
+    files = lambda b: spark.createDataFrame([("x", b)], "name string, content binary")
+    assert sorted((str(r.fix_date), r.currency, r.rate) for r in rates_from_zip(files(out.getvalue())).collect()) == [("2024-01-02", "USD", 1.1), ("2024-01-03", "JPY", 160.5)]
+    with pytest.raises(Exception, match="zip archive"):
+        rates_from_zip(files(b"<html>")).collect()
+
+
+def test_months_of_an_hours_place_count_from_zero(spark):
+    row = spark.createDataFrame([("EURUSD", at(2024, 1, 9, 10))], "instrument string, hour long").select(hour_url("b").alias("u")).first()
+    assert row.u == "b/EURUSD/2024/00/09/10h_ticks.bi5"
+
+
+def test_many_instants_equal_each_by_itself(spark):
+    held = observations(spark)
+    asks = [at(2024, 2, 2, 13, 29), at(2024, 2, 2, 13, 30), at(2024, 3, 8, 14, 0), at(2024, 3, 8, 20, 0), at(2025, 1, 1), at(2024, 3, 8, 14, 0)]
+    frame = spark.createDataFrame([(a,) for a in asks] + [(None,)], "ask_at long")
+    wanted = sorted((a, *r) for a in set(asks) for r in map(tuple, asof.macro_as_of(held, a).collect()))
+    for few in (64, 0):
+        assert sorted(map(tuple, asof.macro_as_of_many(held, frame, few).collect()), key=str) == sorted(wanted, key=str)
+    assert asof.macro_as_of_many(held, frame.where("ask_at < 0"), 0).count() == 0
+
+
+def test_an_arm_without_a_signal_does_not_trade_and_the_others_do(spark):
+    t = at(2024, 1, 9, 12)
+    quotes = spark.createDataFrame([("E", t + k * 60 * MINUTE // 2, 1.0 + k / 100, 1.001 + k / 100, "a", k) for k in range(-26, 4)], TICK)
+    events = spark.createDataFrame([("e", "E", t, 0.0, 1.0), ("f", "E", t, 1.0, -1.0), ("g", "E", t + 9 * DAY, 1.0, 1.0)], "event_id string, instrument string, release_at long, surprise_first double, surprise_final double")
+    found = {(r.event_id, r.arm): r for r in experiment.trades(events, quotes).collect()}
+    assert sorted(found) == [("e", "B"), ("e", "C"), ("e", "D"), ("f", "A"), ("f", "B"), ("f", "C"), ("f", "D")]
+    honest = found["f", "A"]
+    assert honest.direction == -1 and honest.entry == 1.0 and abs(honest.exit - 1.011) < 1e-9
+    assert found["f", "B"].direction == 1 and found["f", "B"].entry == 1.001
+    assert abs(found["f", "C"].entry - 0.761) < 1e-9 and abs(found["f", "D"].entry - 0.7605) < 1e-9
+    flips = {r.pair: (r.n, r.flips) for r in experiment.paired(experiment.trades(events, quotes)).collect()}
+    assert flips["A-B"] == (1, 1) and flips["B-C"] == (2, 0)
+
+
+def test_a_failing_detector_leaves_its_flags_and_the_others_run(spark):
+    t = at(2024, 1, 9, 12)
+    quotes = spark.createDataFrame([("E", t, 2.0, 1.0, "a", 1), ("E", t + DAY, 2.0, 1.0, "a", 2), ("F", t, 1.0, 1.0, "a", 3)], TICK)
+    stored = spark.createDataFrame([("E", t + 5, "crossed", "old"), ("E", t + DAY, "crossed", "old"), ("E", t, "weekend_gap", "old")], "instrument string, ts long, flag string, detail string")
+    found, counts, errors = flags.rescan(stored, quotes, None, None, None, ["E"], t, t + DAY, ["crossed", "zero_spread", "weekend_gap"])
+    assert counts == {"crossed": 1, "zero_spread": 0} and set(errors) == {"weekend_gap"}
+    assert sorted(map(tuple, found.collect())) == [("E", t, "crossed", "bid=2.00000 ask=1.00000 spread=-1.00000"), ("E", t, "weekend_gap", "old"), ("E", t + DAY, "crossed", "old")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -48,6 +48,14 @@ def exact_quantile(column: Column | str, q: float) -> Column:
     return F.element_at(values, F.least(F.size(values), F.floor(F.lit(q) * F.size(values)).cast("int") + 1))
 
 
+def quantile_by_rank(rows: DataFrame, by: list[str], value: Column, q: float, name: str) -> DataFrame:
+    """exact_quantile of each group, found by rank over the counts of its distinct values, so that no group is held together."""
+    counts = rows.groupBy(*by, value.alias("__value")).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*by)
+    ranked = counts.withColumn("__upto", F.sum("__n").over(group.orderBy("__value"))).withColumn("__all", F.sum("__n").over(group))
+    return ranked.where(F.col("__upto") > F.least(F.col("__all") - 1, F.floor(F.lit(q) * F.col("__all")))).groupBy(*by).agg(F.min("__value").alias(name))
+
+
 def pip_size(pair: str) -> float:
     return 0.01 if pair.endswith("JPY") else 0.0001
 

@@ -32,11 +32,42 @@ def first_print(observations: DataFrame) -> DataFrame:
     return observations.groupBy("series_id", "ref_period").agg(oldest.alias("v")).select("series_id", "ref_period", "v.*")
 
 
-def macro_as_of_many(observations: DataFrame, asks: DataFrame) -> DataFrame:
-    """macro_as_of at every instant of asks (ask_at), a small table of at most a few thousand rows; each observation is joined to the asks it is known at."""
-    known = observations.join(F.broadcast(asks), F.col("known_at") <= F.col("ask_at"))
-    newest = F.max_by(F.struct("known_at", "value", "vintage_seq"), F.struct("known_at", "vintage_seq"))
-    return known.groupBy("ask_at", "series_id", "ref_period").agg(newest.alias("v")).select("ask_at", "series_id", "ref_period", "v.*")
+def validity(observations: DataFrame) -> DataFrame:
+    """Every vintage with until, the instant from which the next one holds (null for the last); of those with one instant the last."""
+    by = Window.partitionBy("series_id", "ref_period").orderBy("known_at", "vintage_seq")
+    return observations.withColumn("until", F.lead("known_at").over(by)).where("until IS NULL OR until > known_at")
+
+
+def numbered_asks(asks: DataFrame, instants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((ask_at, n) of the distinct asks in order, (at, before) of the distinct instants with the number of asks before each).
+
+    Windows span a day; what the days before hold comes from a table with a row for each day.
+    """
+    both = asks.select(F.col("ask_at").alias("at"), F.lit(1).alias("asked")).unionByName(instants.select("at", F.lit(0).alias("asked"))).distinct().withColumn("day", F.expr(f"at div {DAY}"))
+    days = both.groupBy("day").agg(F.sum("asked").alias("count"))
+    earlier = days.select("day", (F.sum("count").over(Window.orderBy("day")) - F.col("count")).alias("earlier"))
+    # an instant comes before the ask of the same instant, so that one isn't among those before it
+    so_far = F.sum("asked").over(Window.partitionBy("day").orderBy("at", "asked")) - F.col("asked")
+    rows = both.withColumn("so_far", so_far).join(earlier, "day").withColumn("n", F.col("so_far") + F.col("earlier"))
+    return rows.where("asked = 1").select(F.col("at").alias("ask_at"), "n"), rows.where("asked = 0").select("at", F.col("n").alias("before"))
+
+
+def macro_as_of_many(observations: DataFrame, asks: DataFrame, few: int = 64) -> DataFrame:
+    """macro_as_of at every distinct instant of asks (ask_at): a row for each that a vintage holds at, and none is made that isn't a result.
+
+    Up to `few` asks are an array in the plan. More are numbered in order: a vintage holds for a run of numbers, by which it meets the asks.
+    """
+    held = validity(observations)
+    out = ["ask_at", "series_id", "ref_period", "known_at", "value", "vintage_seq"]
+    known = [r.ask_at for r in asks.select("ask_at").distinct().limit(few + 1).collect() if r.ask_at is not None]
+    if len(known) <= few:
+        listed = F.array(*map(F.lit, sorted(known))).cast("array<bigint>")
+        return held.withColumn("ask_at", F.explode(F.filter(listed, lambda a: (a >= F.col("known_at")) & (F.col("until").isNull() | (a < F.col("until")))))).select(*out)
+    asks = asks.where("ask_at IS NOT NULL").select("ask_at").distinct()
+    numbers, instants = numbered_asks(asks, observations.select(F.col("known_at").alias("at")))
+    begin, end = (instants.select(F.col("at").alias(c), F.col("before").alias(n)) for c, n in (("known_at", "low"), ("until", "high")))
+    runs = held.join(begin, "known_at").join(end, "until", "left").withColumn("high", F.coalesce("high", F.lit(asks.count()))).where("low < high")
+    return runs.withColumn("n", F.explode(F.expr("sequence(low, high - 1)"))).join(numbers, "n").select(*out)
 
 
 def clean(ticks: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import DAY, HOUR, MINUTE
 from .asof import forward_asof
 
-#: The four arms, each with one advantage more than the one before it.
-ARMS = (("A", True, True, True), ("B", False, True, True), ("C", False, False, True), ("D", False, False, False))
+#: The four arms. A is honest; each next one has one advantage more: final values, entry at the day's open, mid prices.
+ARMS = (("A", False, False, False), ("B", True, False, False), ("C", True, True, False), ("D", True, True, True))
 HOLD, TOLERANCE, PER_YEAR = 30 * MINUTE, 5 * MINUTE, 24
 
 
@@ -34,7 +34,7 @@ def hours_needed(events: DataFrame, hold: int = HOLD, tolerance: int = TOLERANCE
 
 
 def trades(events: DataFrame, ticks: DataFrame, tolerance: int = TOLERANCE, hold: int = HOLD) -> DataFrame:
-    """Trades of the events that every arm can price, with their return in basis points."""
+    """Trades of the events whose quotes every arm has, with their return in basis points; an arm whose surprise is zero or unknown doesn't trade."""
     placed = orders(events, hold)
     legs = [placed.select(F.concat_ws("|", "event_id", "arm", F.lit(leg)).alias("ask_id"), "event_id", "arm", F.lit(leg).alias("leg"), "instrument", F.col(f"{leg}_at").alias("ask_at")) for leg in ("entry", "exit")]
     priced = forward_asof(legs[0].unionByName(legs[1]), ticks, tolerance)
@@ -45,8 +45,8 @@ def trades(events: DataFrame, ticks: DataFrame, tolerance: int = TOLERANCE, hold
     entry = F.when(F.col("use_mid"), mid("entry")).when(buys, F.col("entry_ask")).otherwise(F.col("entry_bid"))
     exit_ = F.when(F.col("use_mid"), mid("exit")).when(buys, F.col("exit_bid")).otherwise(F.col("exit_ask"))
     rows = rows.withColumn("entry", entry).withColumn("exit", exit_)
-    priced_arms = F.count_if(F.col("entry").isNotNull() & F.col("exit").isNotNull() & (F.col("direction") != 0)).over(Window.partitionBy("event_id"))
-    rows = rows.withColumn("n", priced_arms).where(F.col("n") == len(ARMS))
+    quoted = F.count_if(F.col("entry_bid").isNotNull() & F.col("exit_bid").isNotNull()).over(Window.partitionBy("event_id"))  # four rows
+    rows = rows.withColumn("n", quoted).where((F.col("n") == len(ARMS)) & (F.col("direction") != 0))
     return rows.select("event_id", "arm", "direction", "entry", "exit", (F.col("direction") * (F.col("exit") - F.col("entry")) / F.col("entry") * 10000).alias("return_bps"))
 
 
@@ -64,13 +64,15 @@ def gaps(found: DataFrame) -> DataFrame:
 
 
 def paired(found: DataFrame) -> DataFrame:
-    """Differences of each arm's return from the arm before, event by event: mean, standard error, t, and whether |t| is over 2."""
-    wide = found.groupBy("event_id").pivot("arm", [a[0] for a in ARMS]).agg(F.first("return_bps"))
+    """Differences of each arm's return from the arm before, event by event: mean, standard error, t, whether |t| is over 2, the 95 % interval, and
+    the events in which the two arms trade in opposite directions."""
+    wide = found.groupBy("event_id").pivot("arm", [a[0] for a in ARMS]).agg(F.first(F.struct("return_bps", "direction")))
     pairs = [("A", "B"), ("B", "C"), ("C", "D"), ("A", "D")]
-    long = wide.select(F.explode(F.array(*(F.struct(F.lit(f"{a}-{b}").alias("pair"), (F.col(b) - F.col(a)).alias("d")) for a, b in pairs))).alias("p")).select("p.*").where("d IS NOT NULL")
-    rows = long.groupBy("pair").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+    long = wide.select(F.explode(F.array(*(F.struct(F.lit(f"{a}-{b}").alias("pair"), (F.col(f"{b}.return_bps") - F.col(f"{a}.return_bps")).alias("d"), (F.col(f"{b}.direction") != F.col(f"{a}.direction")).alias("flip")) for a, b in pairs))).alias("p")).select("p.*").where("d IS NOT NULL")
+    rows = long.groupBy("pair").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count_if("flip").alias("flips"))
     rows = rows.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))
-    return rows.withColumn("resolved", F.coalesce(F.abs("t") > 2, F.lit(False)))
+    rows = rows.withColumn("resolved", F.coalesce(F.abs("t") > 2, F.lit(False)))
+    return rows.withColumn("low", F.col("mean") - 1.96 * F.col("se")).withColumn("high", F.col("mean") + 1.96 * F.col("se"))
 
 
 def power(found: DataFrame, effects: tuple[float, ...] = (10.0, 5.0, 2.0)) -> DataFrame:

@@ -1,14 +1,14 @@
-"""Detectors of suspect quotes. Each takes quotes and gives (instrument, ts, seq, flag); nothing is removed from the quotes."""
+"""Detectors of suspect quotes. Each takes quotes and gives (instrument, ts, seq, flag, detail); nothing is removed from the quotes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, HOUR, MINUTE, day_of, exact_quantile, floor_to
+from ..functions import DAY, HOUR, MINUTE, day_of, floor_to, quantile_by_rank
 from .asof import backward_by_day
 
 STALE_RUN, OUTLIER_MULTIPLE, GAP_MINUTES, FEED_TOLERANCE = 4, 5.0, 120, 0.00005
@@ -22,16 +22,17 @@ class Detector:
     calendar: bool = False
 
 
-def _flag(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("instrument", "ts", "seq", F.lit(name).alias("flag"))
+def _flag(rows: DataFrame, name: str, detail: str) -> DataFrame:
+    """detail: an expression that tells what was found."""
+    return rows.select("instrument", "ts", "seq", F.lit(name).alias("flag"), F.expr(detail).alias("detail"))
 
 
 def crossed(ticks: DataFrame) -> DataFrame:
-    return _flag(ticks.where("bid > ask"), "crossed")
+    return _flag(ticks.where("bid > ask"), "crossed", "format_string('bid=%.5f ask=%.5f spread=%.5f', bid, ask, ask - bid)")
 
 
 def zero_spread(ticks: DataFrame) -> DataFrame:
-    return _flag(ticks.where("bid = ask"), "zero_spread")
+    return _flag(ticks.where("bid = ask"), "zero_spread", "format_string('price=%.5f', bid)")
 
 
 def stale_runs(ticks: DataFrame) -> DataFrame:
@@ -58,34 +59,35 @@ def stale_runs(ticks: DataFrame) -> DataFrame:
 
 
 def stale(ticks: DataFrame, length: int = STALE_RUN) -> DataFrame:
-    return _flag(stale_runs(ticks).where(F.col("run") >= length), "stale")
+    return _flag(stale_runs(ticks).where(F.col("run") >= length), "stale", "format_string('bid=%.5f ask=%.5f repeat_index=%d', bid, ask, run)")
 
 
 def spread_outlier(ticks: DataFrame, multiple: float = OUTLIER_MULTIPLE) -> DataFrame:
     """Spreads over a multiple of the exact median of their instrument's hour; the median is of uncrossed quotes and positive."""
-    hourly = ticks.where("ask >= bid").groupBy("instrument", floor_to("ts", HOUR).alias("hr")).agg(exact_quantile(F.expr("ask - bid"), 0.5).alias("median")).where("median > 0")
+    rows = ticks.where("ask >= bid").withColumn("hr", floor_to("ts", HOUR))
+    hourly = quantile_by_rank(rows, ["instrument", "hr"], F.expr("ask - bid"), 0.5, "median").where("median > 0")
     met = ticks.withColumn("hr", floor_to("ts", HOUR)).join(hourly, ["instrument", "hr"])
-    return _flag(met.where(F.expr("ask - bid") > multiple * F.col("median")), "spread_outlier")
+    return _flag(met.where(F.expr("ask - bid") > multiple * F.col("median")), "spread_outlier", "format_string('spread=%.5f median=%.5f ratio=%.2f', ask - bid, median, (ask - bid) / median)")
 
 
 def session_gap(ticks: DataFrame, minutes: int = GAP_MINUTES) -> DataFrame:
     rows = backward_by_day(ticks, ["instrument"], ["ts", "seq"], ["ts"])
-    return _flag(rows.where(F.expr(f"(ts - prev_ts) >= {minutes * MINUTE}")), "session_gap")
+    return _flag(rows.where(F.expr(f"(ts - prev_ts) >= {minutes * MINUTE}")), "session_gap", f"format_string('minutes=%d previous=%d', (ts - prev_ts) div {MINUTE}, prev_ts)")
 
 
 def rollover_window(ticks: DataFrame, hours: DataFrame) -> DataFrame:
     marked = hours.where("rollover").select(F.col("hour").alias("hr"))
-    return _flag(ticks.withColumn("hr", floor_to("ts", HOUR)).join(marked, "hr"), "rollover_window")
+    return _flag(ticks.withColumn("hr", floor_to("ts", HOUR)).join(marked, "hr"), "rollover_window", f"format_string('rollover_hour_utc=%d', pmod(hr, {DAY}) div {HOUR})")
 
 
 def weekend_gap(ticks: DataFrame, hours: DataFrame) -> DataFrame:
     closed = hours.where("NOT market_open").select(F.col("hour").alias("hr"))
-    return _flag(ticks.withColumn("hr", floor_to("ts", HOUR)).join(closed, "hr"), "weekend_gap")
+    return _flag(ticks.withColumn("hr", floor_to("ts", HOUR)).join(closed, "hr"), "weekend_gap", f"format_string('market_closed weekday=%d', pmod(ts div {DAY} + 3, 7) + 1)")
 
 
 def holiday_thin(ticks: DataFrame, legs: DataFrame, holidays: DataFrame) -> DataFrame:
     """One row for each leg whose currency has a holiday on the quote's UTC date. legs and holidays are small by nature: pairs, and days of a year."""
-    return _flag(ticks.withColumn("holiday_date", day_of("ts")).join(F.broadcast(legs), "instrument").join(F.broadcast(holidays), ["currency", "holiday_date"]), "holiday_thin")
+    return _flag(ticks.withColumn("holiday_date", day_of("ts")).join(F.broadcast(legs), "instrument").join(F.broadcast(holidays), ["currency", "holiday_date"]), "holiday_thin", "concat(currency, ': ', cast(holiday_date AS string))")
 
 
 DETECTORS = [
@@ -100,14 +102,42 @@ DETECTORS = [
 ]
 
 
-def scan(ticks: DataFrame, hours: DataFrame, legs: DataFrame, holidays: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """All detectors' flags in one frame."""
-    found = None
+def _scope(instruments: list[str] | None, start: int | None, end: int | None) -> Column:
+    inside = F.lit(True) if instruments is None else F.col("instrument").isin(instruments)
+    inside = inside if start is None else inside & (F.col("ts") >= start)
+    return inside if end is None else inside & (F.col("ts") < end)
+
+
+def _found(d: Detector, ticks: DataFrame, hours: DataFrame, legs: DataFrame, holidays: DataFrame) -> DataFrame:
+    return d.find(ticks, legs, holidays) if d.name == "holiday_thin" else d.find(ticks, hours) if d.calendar else d.find(ticks)
+
+
+def scan(ticks: DataFrame, hours: DataFrame, legs: DataFrame, holidays: DataFrame, only: list[str] | None = None, instruments: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """All detectors' flags in one frame, of these instruments and of [start, end) if given; quotes before start still tell runs and gaps."""
+    ticks, found = ticks.where(_scope(instruments, None, end)), None
     for d in DETECTORS:
         if only is None or d.name in only:
-            rows = d.find(ticks, legs, holidays) if d.name == "holiday_thin" else d.find(ticks, hours) if d.calendar else d.find(ticks)
+            rows = _found(d, ticks, hours, legs, holidays)
             found = rows if found is None else found.unionByName(rows)
-    return found
+    return found.where(_scope(instruments, start, end))
+
+
+def rescan(stored: DataFrame, ticks: DataFrame, hours: DataFrame, legs: DataFrame, holidays: DataFrame, instruments: list[str], start: int, end: int, only: list[str] | None = None) -> tuple[DataFrame, dict[str, int], dict[str, str]]:
+    """(the stored flags with those of each detector in the scope found anew, their number by detector, errors by detector).
+
+    A detector replaces its own flags in the scope and no others. One that fails leaves its flags as they were and doesn't stop the rest.
+    """
+    counts, errors, scope = {}, {}, _scope(instruments, start, end)
+    for d in DETECTORS:
+        if only is None or d.name in only:
+            try:
+                rows = _found(d, ticks.where(_scope(instruments, None, end)), hours, legs, holidays).where(scope)
+                counts[d.name] = rows.count()
+            except Exception as error:  # noqa: BLE001  whatever it is, it is told
+                errors[d.name] = str(error)
+                continue
+            stored = stored.where(~(scope & (F.col("flag") == d.name))).unionByName(rows.select(*stored.columns))
+    return stored, counts, errors
 
 
 def totals(flags: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -128,7 +158,7 @@ def flagged_share(flags: DataFrame, ticks: DataFrame) -> DataFrame:
 
 
 def explain_day(flags: DataFrame, ticks: DataFrame, instrument: str, start: int) -> DataFrame:
-    """One row for each flagged instant of a day: its kinds, and the lowest bid and ask quoted then."""
-    marked = flags.where((F.col("instrument") == instrument) & (F.col("ts") >= start) & (F.col("ts") < start + DAY)).groupBy("ts").agg(F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))
+    """One row for each flagged instant of a day: its kinds and their details, place by place, and the lowest bid and ask quoted then."""
+    marked = flags.where((F.col("instrument") == instrument) & (F.col("ts") >= start) & (F.col("ts") < start + DAY)).groupBy("ts").agg(F.array_sort(F.collect_set(F.struct("flag", "detail"))).alias("f")).select("ts", F.col("f.flag").alias("flags"), F.col("f.detail").alias("details"))
     quotes = ticks.where((F.col("instrument") == instrument) & (F.col("ts") >= start) & (F.col("ts") < start + DAY)).groupBy("ts").agg(F.min("bid").alias("bid"), F.min("ask").alias("ask"))
     return marked.join(quotes, "ts", "left")

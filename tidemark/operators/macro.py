@@ -51,20 +51,26 @@ def month_end(year: Column, month: Column) -> Column:
     return F.datediff(first, F.lit("1970-01-01").cast("date")).cast("long") * DAY - 1
 
 
+def of_year(month: Column) -> Column:
+    """The month, or null if no year has it."""
+    return F.when(month.between(1, 12), month)
+
+
 def vintage_header(header: Column) -> Column:
     """(series, known_at) of a column's title like ABC65M11 or ABC65Q4: years below 64 are of this century, a quarter is known at its last month's end."""
-    part = lambda k: F.regexp_extract(header, r"^([A-Z]+)(\d{2})(?:M(\d{1,2})|Q(\d))$", k)
+    # fixed value: the form of a title
+    part = lambda k: F.regexp_extract(F.trim(header), r"(?i)^([A-Z]+)(\d{2})(?:M(\d{1,2})|Q(\d))$", k)
     short = part(2).try_cast("int")
     year = F.when(short >= 64, 1900 + short).otherwise(2000 + short)
     month = F.coalesce(part(3).try_cast("int"), part(4).try_cast("int") * 3)
-    return F.struct(part(1).alias("series"), month_end(year, month).alias("known_at"))
+    return F.struct(part(1).alias("series"), month_end(year, of_year(month)).alias("known_at"))
 
 
 def ref_period(text: Column) -> Column:
-    """The first day of a period like 1970:03 or 1970:Q2."""
-    part = lambda k: F.regexp_extract(text, r"^(\d{4}):(?:(\d{1,2})|Q(\d))$", k)
+    """The first day of a period like 1970:03 or 1970:Q2; null for other texts and for months and quarters that no year has."""
+    part = lambda k: F.regexp_extract(F.trim(text), r"(?i)^(\d{4}):(?:(\d{1,2})|Q(\d))$", k)
     month = F.coalesce(part(2).try_cast("int"), part(3).try_cast("int") * 3 - 2)
-    return F.make_date(part(1).try_cast("int"), month, F.lit(1))
+    return F.make_date(part(1).try_cast("int"), of_year(month), F.lit(1))
 
 
 def unpivot_archive(cells: DataFrame) -> DataFrame:
@@ -85,6 +91,32 @@ def surprises(first_prints: DataFrame, past: int = 12) -> DataFrame:
     return rows.where((F.col("n") == past) & F.col("change").isNotNull()).withColumn("surprise", F.col("change") - F.col("mean"))
 
 
+def release_events(observations: DataFrame, start: int, end: int, past: int = 12, years: int = 5) -> DataFrame:
+    """Each release in [start, end) with its first print and final value, and the surprise by the values as they were published then and by the final ones.
+
+    A surprise is the period's change less the mean of the `past` changes before it; all must be known. Published values are looked for in the
+    period's year and the `years` before it, so releases and vintages meet on (series, year) and none meets a series' whole history.
+    """
+    found = releases(observations).where((F.col("known_at") >= start) & (F.col("known_at") < end)).select("series_id", F.col("known_at").alias("released_at"), F.col("ref_period").alias("period"))
+    asked = found.select("*", F.explode(F.expr(f"sequence(year(period) - {years}, year(period))")).alias("y"))
+    held = observations.select("series_id", F.year("ref_period").alias("y"), "ref_period", "known_at", "vintage_seq", "value")
+    met = asked.join(held, ["series_id", "y"]).where("known_at <= released_at AND ref_period <= period")
+    keys = ["series_id", "released_at", "period"]
+    newest = F.max_by(F.struct("value"), F.struct("known_at", "vintage_seq")).alias("v")
+    published = met.groupBy(*keys, "ref_period").agg(newest).where("v.value IS NOT NULL")
+    last = Window.partitionBy(*keys).orderBy(F.col("ref_period").desc())
+    # of one release the periods of a few years; newest first
+    rows = published.withColumn("k", F.row_number().over(last)).where(F.col("k") <= past + 2)
+    rows = rows.groupBy(*keys).agg(F.expr("transform(array_sort(collect_list(struct(k, ref_period, v.value AS value))), x -> struct(x.ref_period, x.value))").alias("s"))
+    rows = rows.where((F.size("s") == past + 2) & (F.col("s")[0]["ref_period"] == F.col("period")))
+    # the changes before it add up to the difference of their ends
+    change, before = F.col("s")[0]["value"] - F.col("s")[1]["value"], F.col("s")[1]["value"] - F.col("s")[past + 1]["value"]
+    first = rows.select(*keys, F.col("s")[0]["value"].alias("first_print"), (change - before / past).alias("surprise_first"))
+    final = observations.groupBy("series_id", "ref_period").agg(newest).select("series_id", "ref_period", "v.value").where("value IS NOT NULL")
+    last_known = surprises(final, past).select("series_id", F.col("ref_period").alias("period"), F.col("value").alias("final_value"), F.col("surprise").alias("surprise_final"))
+    return first.join(last_known, ["series_id", "period"]).withColumnRenamed("period", "ref_period")
+
+
 def releases(observations: DataFrame) -> DataFrame:
     """Vintages that bring a period later than any known before in their series; revisions of old periods aren't releases."""
     per = observations.groupBy("series_id", "known_at").agg(F.max("ref_period").alias("ref_period"))

@@ -25,7 +25,7 @@ def drift_anchor(fixes: DataFrame, ticks: DataFrame, pip: float, half_window: in
 
 def spread_by_hour(ticks: DataFrame) -> DataFrame:
     """Exact median and 95th percentile need an hour of day's spreads together, so they are found by rank over counts of distinct spreads."""
-    spreads = clean(ticks).select("instrument", F.expr(HOUR_OF_DAY).alias("hour_of_day"), F.round(F.expr("ask - bid"), 6).alias("spread"))
+    spreads = clean(ticks).select("instrument", F.expr(HOUR_OF_DAY).alias("hour_of_day"), F.expr("ask - bid").alias("spread"))
     counts = spreads.groupBy("instrument", "hour_of_day", "spread").agg(F.count("*").alias("n"))
     by = Window.partitionBy("instrument", "hour_of_day")
     ranked = counts.withColumn("upto", F.sum("n").over(by.orderBy("spread"))).withColumn("total", F.sum("n").over(by))

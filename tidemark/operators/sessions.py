@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import DAY, HOUR, day_of, days_between, local_instant
 
-#: Sessions with their zones and local hours; pairs with their currencies.
+#: Sessions with their zones and local hours; pairs with their currencies; the country whose holidays a currency has.
 SESSIONS = (("sydney", "Australia/Sydney", 7, 16), ("tokyo", "Asia/Tokyo", 9, 18), ("london", "Europe/London", 8, 17), ("new_york", "America/New_York", 8, 17))
-PAIR_LEGS = {"EURUSD": ("EUR", "USD"), "GBPUSD": ("GBP", "USD"), "USDJPY": ("USD", "JPY"), "USDCHF": ("USD", "CHF"), "AUDUSD": ("AUD", "USD"), "NZDUSD": ("NZD", "USD"), "USDCAD": ("USD", "CAD"), "EURGBP": ("EUR", "GBP"), "EURJPY": ("EUR", "JPY")}
+PAIR_LEGS = {"EURUSD": ("EUR", "USD"), "GBPUSD": ("GBP", "USD"), "USDJPY": ("USD", "JPY"), "USDCHF": ("USD", "CHF"), "AUDUSD": ("AUD", "USD"), "USDCAD": ("USD", "CAD"), "NZDUSD": ("NZD", "USD"), "EURJPY": ("EUR", "JPY"), "GBPJPY": ("GBP", "JPY")}
+CURRENCY_COUNTRY = {"USD": "US", "EUR": "DE", "GBP": "GB", "JPY": "JP", "CHF": "CH", "AUD": "AU", "CAD": "CA", "NZD": "NZ"}
 
 
 def session_windows(spark: SparkSession, start: date, end: date) -> DataFrame:
@@ -68,6 +69,10 @@ def pair_legs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, c) for p, legs in PAIR_LEGS.items() for c in legs], "instrument string, currency string")
 
 
+def currency_countries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CURRENCY_COUNTRY.items()), "currency string, country string")
+
+
 def describe(instants: DataFrame, sessions: DataFrame, markets: DataFrame, rollovers: DataFrame) -> DataFrame:
     """Of each instant (ts): its open sessions, whether more than one is, the market and rollover. Windows are cut to hours, so all joins are by equality."""
     per_hour = lambda w, *c: w.select(*c, F.explode(F.expr(f"sequence(span_start - pmod(span_start, {HOUR}), span_end - 1, {HOUR}L)")).alias("hr"), "span_start", "span_end")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import DAY, HOUR, MINUTE, floor_to, instant, local_instant
 from ..operators import asof, bars, experiment, flags, ledger, macro, monitors, sessions
-from ..sources import hours_between, reference_rates_wide, ticks, unpivot_rates, vintages
+from ..sources import hour_url, hours_between, reference_rates_wide, ticks, unpivot_rates, vintages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -205,7 +205,7 @@ FLAG = {
 def _detector(name, find):
     @query(f"flag_{name}", FLAG[name])
     def _(spark, d):
-        return find(ticks(spark, d))
+        return find(ticks(spark, d)).drop("detail")
 
 
 for _name, _find in (("crossed", flags.crossed), ("zero_spread", flags.zero_spread), ("spread_outlier", flags.spread_outlier), ("session_gap", flags.session_gap)):
@@ -218,7 +218,7 @@ g AS (SELECT *, sum(changed) OVER (PARTITION BY instrument ORDER BY ts, seq ROWS
 n AS (SELECT *, row_number() OVER (PARTITION BY instrument, island ORDER BY ts, seq) AS run FROM g)
 SELECT instrument, ts, seq, 'stale' AS flag FROM n WHERE run >= 4""")
 def _(spark, d):
-    return flags.stale(coarse(spark, d))
+    return flags.stale(coarse(spark, d)).drop("detail")
 
 
 NY = "epoch_us(timezone('America/New_York', {}))"
@@ -274,12 +274,12 @@ def _(spark, d):
 
 @query("flag_rollover", f"WITH {CALENDAR} SELECT instrument, ts, seq, 'rollover_window' AS flag FROM tick JOIN cal ON ts - ts % {HOUR} = hour WHERE rollover")
 def _(spark, d):
-    return flags.rollover_window(ticks(spark, d), sessions.calendar_hours(spark, START, END))
+    return flags.rollover_window(ticks(spark, d), sessions.calendar_hours(spark, START, END)).drop("detail")
 
 
 @query("flag_weekend", f"WITH {CALENDAR} SELECT instrument, ts, seq, 'weekend_gap' AS flag FROM tick JOIN cal ON ts - ts % {HOUR} = hour WHERE NOT market_open")
 def _(spark, d):
-    return flags.weekend_gap(ticks(spark, d), sessions.calendar_hours(spark, START, END))
+    return flags.weekend_gap(ticks(spark, d), sessions.calendar_hours(spark, START, END)).drop("detail")
 
 
 LEGS = [("click", "EUR"), ("click", "USD"), ("view", "USD"), ("view", "JPY"), ("error", "GBP"), ("error", "USD")]
@@ -289,7 +289,7 @@ HOLIDAYS = [("USD", "2024-01-01"), ("USD", "2024-01-15"), ("EUR", "2024-01-01"),
 @query("flag_holiday_thin", f"""WITH legs AS (SELECT * FROM (VALUES {', '.join(map(str, LEGS))}) AS v(instrument, currency)), hol AS (SELECT currency, CAST(d AS DATE) AS d FROM (VALUES {', '.join(map(str, HOLIDAYS))}) AS v(currency, d))
 SELECT t.instrument, t.ts, t.seq, 'holiday_thin' AS flag FROM tick t JOIN legs USING (instrument) JOIN hol ON hol.currency = legs.currency AND CAST(make_timestamp(t.ts) AS DATE) = hol.d""")
 def _(spark, d):
-    return flags.holiday_thin(ticks(spark, d), *calendar_tables(spark))
+    return flags.holiday_thin(ticks(spark, d), *calendar_tables(spark)).drop("detail")
 
 
 def calendar_tables(spark):
@@ -337,10 +337,28 @@ def _(spark, d):
 DAY_ASKED = instant(datetime(2024, 1, 9, tzinfo=timezone.utc))
 
 
-@query("explain_day", f"""WITH f AS ({PURE}), m AS (SELECT ts, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags FROM f WHERE instrument = 'click' AND ts >= {DAY_ASKED} AND ts < {DAY_ASKED + DAY} GROUP BY 1),
-q AS (SELECT ts, min(bid) AS bid, min(ask) AS ask FROM tick WHERE instrument = 'click' GROUP BY 1) SELECT m.ts, flags, bid, ask FROM m LEFT JOIN q USING (ts)""")
+DETAIL = f"""f AS (SELECT instrument, ts, 'crossed' AS flag, printf('bid=%.5f ask=%.5f spread=%.5f', bid, ask, ask - bid) AS detail FROM tick WHERE bid > ask
+UNION ALL SELECT instrument, ts, 'zero_spread', printf('price=%.5f', bid) FROM tick WHERE bid = ask
+UNION ALL SELECT t.instrument, t.ts, 'spread_outlier', printf('spread=%.5f median=%.5f ratio=%.2f', ask - bid, median, (ask - bid) / median) FROM tick t JOIN (SELECT instrument, ts - ts % {HOUR} AS hr, list_sort(list(ask - bid))[least(count(*), floor(0.5 * count(*))::INT + 1)] AS median FROM tick WHERE ask >= bid GROUP BY 1, 2) h
+  ON t.instrument = h.instrument AND t.ts - t.ts % {HOUR} = h.hr WHERE h.median > 0 AND t.ask - t.bid > 5.0 * h.median
+UNION ALL SELECT instrument, ts, 'session_gap', printf('minutes=%d previous=%d', (ts - p) // {MINUTE}, p) FROM (SELECT *, lag(ts) OVER (PARTITION BY instrument ORDER BY ts, seq) AS p FROM tick) WHERE ts - p >= {120 * MINUTE})"""
+
+
+@query("explain_day", f"""WITH {DETAIL}, u AS (SELECT DISTINCT ts, flag, detail FROM f WHERE instrument = 'click' AND ts >= {DAY_ASKED} AND ts < {DAY_ASKED + DAY}),
+m AS (SELECT ts, string_agg(flag, ',' ORDER BY flag, detail) AS flags, string_agg(detail, '; ' ORDER BY flag, detail) AS details FROM u GROUP BY 1),
+q AS (SELECT ts, min(bid) AS bid, min(ask) AS ask FROM tick WHERE instrument = 'click' GROUP BY 1) SELECT m.ts, flags, details, bid, ask FROM m LEFT JOIN q USING (ts)""")
 def _(spark, d):
-    return flags.explain_day(pure_flags(spark, d), ticks(spark, d), "click", DAY_ASKED)
+    rows = flags.explain_day(pure_flags(spark, d), ticks(spark, d), "click", DAY_ASKED)
+    return rows.withColumns({"flags": F.array_join("flags", ","), "details": F.array_join("details", "; ")})
+
+
+@query("flags_rescanned", f"""WITH {DETAIL} SELECT instrument, flag, count(*) AS flags, count(*) FILTER (WHERE detail = 'old') AS old FROM (
+  SELECT instrument, ts, flag, CASE WHEN flag IN ('crossed', 'session_gap') AND instrument IN ('click', 'view') AND ts >= {DAY_ASKED} AND ts < {DAY_ASKED + DAY} THEN 'new' ELSE 'old' END AS detail FROM f) GROUP BY 1, 2""")
+def _(spark, d):
+    stored = pure_flags(spark, d).withColumn("detail", F.lit("old"))
+    found, _, errors = flags.rescan(stored, ticks(spark, d), None, None, None, ["click", "view"], DAY_ASKED, DAY_ASKED + DAY, ["crossed", "session_gap"])
+    assert not errors, errors
+    return found.groupBy("instrument", "flag").agg(F.count("*").alias("flags"), F.count_if(F.col("detail") == "old").alias("old"))
 
 
 SESSION_SQL = f"""s AS (SELECT session, epoch_us(timezone(zone, day + a * INTERVAL 1 HOUR)) AS span_start, epoch_us(timezone(zone, day + b * INTERVAL 1 HOUR)) AS span_end
@@ -377,8 +395,7 @@ FROM_US, TO_US = (int((x - date(1970, 1, 1)).days) * DAY for x in (START, END))
 @query("settled_antijoin", f"WITH {LEDGER}, want AS (SELECT i.instrument, h.hour, 'feed_a' AS source FROM (SELECT DISTINCT instrument FROM tick) i, (SELECT unnest(range({FROM_US}, {TO_US}, {HOUR})) AS hour) h) SELECT w.* FROM want w WHERE NOT EXISTS (SELECT 1 FROM led l WHERE l.instrument = w.instrument AND l.hour = w.hour AND l.source = w.source AND status IN ('ok', 'empty', 'missing'))")
 def _(spark, d):
     names = ticks(spark, d).select("instrument").distinct()
-    hours = hours_between(spark, FROM_US, TO_US).withColumn("all", F.explode(F.array(F.lit(0))))
-    wanted = names.withColumn("all", F.lit(0)).join(hours, "all").select("instrument", "hour", F.lit("feed_a").alias("source"))
+    wanted = names.select("instrument", F.explode(F.expr(f"sequence({FROM_US}L, {TO_US - HOUR}L, {HOUR}L)")).alias("hour"), F.lit("feed_a").alias("source"))
     return ledger.to_do(wanted, ledger_of(spark, d))
 
 
@@ -420,7 +437,7 @@ def _(spark, d):
     return rows.select("instrument", "fix_at", "rate", F.round("mean_mid", 9).alias("mean_mid"), "ticks", "diff_pips")
 
 
-@query("spread_by_hour", f"""WITH c AS (SELECT instrument, CAST((ts % {DAY}) // {HOUR} AS INT) AS hour_of_day, round(ask - bid, 6) AS spread FROM tick WHERE bid <= ask)
+@query("spread_by_hour", f"""WITH c AS (SELECT instrument, CAST((ts % {DAY}) // {HOUR} AS INT) AS hour_of_day, ask - bid AS spread FROM tick WHERE bid <= ask)
 SELECT instrument, hour_of_day, count(*) AS ticks, list_sort(list(spread))[least(count(*), floor(0.5 * count(*))::INT + 1)] AS median, list_sort(list(spread))[least(count(*), floor(0.95 * count(*))::INT + 1)] AS p95, max(spread) AS widest FROM c GROUP BY 1, 2""")
 def _(spark, d):
     return monitors.spread_by_hour(ticks(spark, d))
@@ -483,15 +500,15 @@ def events_of(spark, d):
 
 TRADES = f"""ev AS (SELECT instrument || '-' || (hour // {HOUR}) AS event_id, instrument, hour AS release_at, CAST(hour // {HOUR} * 7 % 5 - 2 AS DOUBLE) AS surprise_first, CAST(hour // {HOUR} * 11 % 7 - 3 AS DOUBLE) AS surprise_final
   FROM (SELECT unnest(range({FROM_US}, {TO_US - 2 * DAY}, {HOUR})) AS hour), (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS v(instrument) WHERE (hour // {HOUR}) % 8 = 5),
-arm AS (SELECT * FROM (VALUES ('A', true, true, true), ('B', false, true, true), ('C', false, false, true), ('D', false, false, false)) AS v(arm, use_revised, date_only, use_mid)),
+arm AS (SELECT * FROM (VALUES ('A', false, false, false), ('B', true, false, false), ('C', true, true, false), ('D', true, true, true)) AS v(arm, use_revised, date_only, use_mid)),
 o AS (SELECT *, CAST(-sign(CASE WHEN use_revised THEN surprise_final ELSE surprise_first END) AS INT) AS direction, CASE WHEN date_only THEN release_at - release_at % {DAY} ELSE release_at END AS entry_at FROM ev, arm),
 cl AS (SELECT * FROM tick WHERE bid <= ask),
 pr AS (SELECT o.*, e.bid AS eb, e.ask AS ea, x.bid AS xb, x.ask AS xa FROM o
   LEFT JOIN LATERAL (SELECT bid, ask FROM cl WHERE cl.instrument = o.instrument AND ts >= entry_at AND ts <= entry_at + {3 * HOUR} ORDER BY ts, seq LIMIT 1) e ON true
   LEFT JOIN LATERAL (SELECT bid, ask FROM cl WHERE cl.instrument = o.instrument AND ts >= entry_at + {6 * HOUR} AND ts <= entry_at + {9 * HOUR} ORDER BY ts, seq LIMIT 1) x ON true),
 pe AS (SELECT *, CASE WHEN use_mid THEN (eb + ea) / 2 WHEN direction > 0 THEN ea ELSE eb END AS entry, CASE WHEN use_mid THEN (xb + xa) / 2 WHEN direction > 0 THEN xb ELSE xa END AS exit FROM pr),
-us AS (SELECT *, count(*) FILTER (WHERE entry IS NOT NULL AND exit IS NOT NULL AND direction <> 0) OVER (PARTITION BY event_id) AS n FROM pe),
-tr AS (SELECT event_id, arm, direction, entry, exit, direction * (exit - entry) / entry * 10000 AS return_bps FROM us WHERE n = 4)"""
+us AS (SELECT *, count(*) FILTER (WHERE eb IS NOT NULL AND xb IS NOT NULL) OVER (PARTITION BY event_id) AS n FROM pe),
+tr AS (SELECT event_id, arm, direction, entry, exit, direction * (exit - entry) / entry * 10000 AS return_bps FROM us WHERE n = 4 AND direction <> 0)"""
 
 
 def trades_of(spark, d):
@@ -524,14 +541,15 @@ def _(spark, d):
 
 
 PAIRED = """wi AS (SELECT event_id, max(return_bps) FILTER (WHERE arm = 'A') AS a, max(return_bps) FILTER (WHERE arm = 'B') AS b, max(return_bps) FILTER (WHERE arm = 'C') AS c, max(return_bps) FILTER (WHERE arm = 'D') AS d FROM tr GROUP BY 1),
-lo AS (SELECT 'A-B' AS pair, b - a AS d FROM wi UNION ALL SELECT 'B-C', c - b FROM wi UNION ALL SELECT 'C-D', d - c FROM wi UNION ALL SELECT 'A-D', d - a FROM wi),
-pa AS (SELECT pair, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, stddev_samp(d) / sqrt(count(*)) AS se FROM lo GROUP BY 1)"""
+di AS (SELECT event_id, max(direction) FILTER (WHERE arm = 'A') AS a, max(direction) FILTER (WHERE arm = 'B') AS b, max(direction) FILTER (WHERE arm = 'C') AS c, max(direction) FILTER (WHERE arm = 'D') AS d FROM tr GROUP BY 1),
+lo AS (SELECT pair, y - x AS d, q <> p AS flip FROM (SELECT unnest([{'pair': 'A-B', 'x': wi.a, 'y': wi.b, 'p': di.a, 'q': di.b}, {'pair': 'B-C', 'x': wi.b, 'y': wi.c, 'p': di.b, 'q': di.c}, {'pair': 'C-D', 'x': wi.c, 'y': wi.d, 'p': di.c, 'q': di.d}, {'pair': 'A-D', 'x': wi.a, 'y': wi.d, 'p': di.a, 'q': di.d}], recursive := true) FROM wi JOIN di USING (event_id)) WHERE y IS NOT NULL AND x IS NOT NULL),
+pa AS (SELECT pair, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, stddev_samp(d) / sqrt(count(*)) AS se, count(*) FILTER (WHERE flip) AS flips FROM lo GROUP BY 1)"""
 
 
-@query("paired_differences", f"WITH {TRADES}, {PAIRED} SELECT pair, n, round(mean, 3) AS mean, round(se, 3) AS se, round(mean / se, 3) AS t, abs(mean / se) > 2 AS resolved FROM pa")
+@query("paired_differences", f"WITH {TRADES}, {PAIRED} SELECT pair, n, round(mean, 3) AS mean, round(se, 3) AS se, round(CASE WHEN se > 0 THEN mean / se END, 3) AS t, coalesce(se > 0 AND abs(mean / se) > 2, false) AS resolved, round(mean - 1.96::DOUBLE * se, 3) AS low, round(mean + 1.96::DOUBLE * se, 3) AS high, flips FROM pa")
 def _(spark, d):
     rows = experiment.paired(trades_of(spark, d))
-    return rows.select("pair", "n", F.round("mean", 3).alias("mean"), F.round("se", 3).alias("se"), F.round("t", 3).alias("t"), "resolved")
+    return rows.select("pair", "n", F.round("mean", 3).alias("mean"), F.round("se", 3).alias("se"), F.round("t", 3).alias("t"), "resolved", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "flips")
 
 
 @query("power_table", f"WITH {TRADES}, {PAIRED} SELECT round(sd, 3) AS sd, e AS effect_bps, CAST(ceil(pow(2 * sd / e, 2)) AS BIGINT) AS events, round(ceil(pow(2 * sd / e, 2)) / 24, 2) AS years FROM pa, (SELECT CAST(unnest([10, 5, 2]) AS DOUBLE) AS e) WHERE pair = 'A-D'")
@@ -539,30 +557,81 @@ def _(spark, d):
     return experiment.power(trades_of(spark, d)).withColumn("sd", F.round("sd", 3))
 
 
+#: Instruments of the events as pairs of the feed, with what their prices are scaled by.
+PAIRS = {"click": "EURUSD", "error": "USDJPY", "purchase": "GBPUSD", "signup": "GBPJPY", "view": "USDCAD"}
+PAIR_SQL = "CASE instrument " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PAIRS.items()) + " END"
+FACTOR_SQL = "CASE WHEN instrument IN ('error', 'signup') THEN 1000 ELSE 100000 END"
+
+
 def forms(spark, d):
-    """Quotes of each hour packed as the feed's files are, and read again."""
+    """Quotes of each hour packed as the feed's files are, and read again. The files have no place for a negative price."""
     import lzma
-    import struct
 
+    import numpy as np
     import pandas as pd
 
-    from ..sources import decode_bi5
+    from ..sources import decimal_factor, decode_bi5
 
     def packed(frame):
         frame = frame.sort_values(["ts", "seq"])
-        raw = b"".join(struct.pack(">IIIff", (r.ts - r.hour) // 1000, round(r.ask * 1e5), round(r.bid * 1e5), 1.0, 2.0) for r in frame.itertuples() if r.ask >= 0)
-        return pd.DataFrame({"instrument": ["EURUSD"], "hour": [frame.hour.iloc[0]], "content": [lzma.compress(raw, lzma.FORMAT_ALONE)]})
+        factor = decimal_factor(frame.instrument.iloc[0])
+        raw = np.zeros(len(frame), [("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("volumes", ">f4", 2)])
+        raw["ms"], raw["ask"], raw["bid"] = (frame.ts - frame.hour) // 1000, np.rint(frame.ask * factor), np.rint(frame.bid * factor)
+        return pd.DataFrame({"instrument": [frame.instrument.iloc[0]], "hour": [frame.hour.iloc[0]], "content": [lzma.compress(raw.tobytes(), lzma.FORMAT_ALONE)]})
 
-    rows = ticks(spark, d).where("instrument = 'click'").withColumn("hour", floor_to("ts", HOUR))
-    return decode_bi5(rows.groupBy("hour").applyInPandas(packed, "instrument string, hour long, content binary")).drop("bid_volume", "ask_volume")
+    names = F.create_map(*(F.lit(x) for pair in PAIRS.items() for x in pair))
+    rows = ticks(spark, d).where("bid >= 0 AND ask >= 0").withColumns({"instrument": names[F.col("instrument")], "hour": floor_to("ts", HOUR)})
+    return decode_bi5(rows.groupBy("instrument", "hour").applyInPandas(packed, "instrument string, hour long, content binary")).drop("bid_volume", "ask_volume")
 
 
-@query("bi5_decode", f"SELECT 'EURUSD' AS instrument, ts - ts % 1000 AS ts, round(bid * 100000) / 100000 AS bid, round(ask * 100000) / 100000 AS ask, row_number() OVER (PARTITION BY ts - ts % {HOUR} ORDER BY ts, seq) - 1 AS seq FROM tick WHERE instrument = 'click' AND ask >= 0")
+@query("bi5_decode", f"SELECT {PAIR_SQL} AS instrument, ts - ts % 1000 AS ts, round(bid * {FACTOR_SQL}) / {FACTOR_SQL} AS bid, round(ask * {FACTOR_SQL}) / {FACTOR_SQL} AS ask, row_number() OVER (PARTITION BY instrument, ts - ts % {HOUR} ORDER BY ts, seq) - 1 AS seq FROM tick WHERE bid >= 0 AND ask >= 0")
 def _(spark, d):
     return forms(spark, d)
 
 
-@query("bars_stream", None)
+@query("hour_urls", f"SELECT DISTINCT {PAIR_SQL} AS instrument, ts - ts % {HOUR} AS hour, 'feed/' || {PAIR_SQL} || printf('/%04d/%02d/%02d/%02dh_ticks.bi5', year(make_timestamp(ts)), month(make_timestamp(ts)) - 1, day(make_timestamp(ts)), hour(make_timestamp(ts))) AS url FROM tick")
+def _(spark, d):
+    names = F.create_map(*(F.lit(x) for pair in PAIRS.items() for x in pair))
+    hours = ticks(spark, d).select(names[F.col("instrument")].alias("instrument"), floor_to("ts", HOUR).alias("hour")).distinct()
+    return hours.withColumn("url", hour_url("feed"))
+
+
+@query("pair_countries", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c}', '{k}')" for p, legs in (("EURUSD", (("EUR", "DE"), ("USD", "US"))), ("GBPUSD", (("GBP", "GB"), ("USD", "US"))), ("USDJPY", (("USD", "US"), ("JPY", "JP"))), ("USDCHF", (("USD", "US"), ("CHF", "CH"))), ("AUDUSD", (("AUD", "AU"), ("USD", "US"))), ("USDCAD", (("USD", "US"), ("CAD", "CA"))), ("NZDUSD", (("NZD", "NZ"), ("USD", "US"))), ("EURJPY", (("EUR", "DE"), ("JPY", "JP"))), ("GBPJPY", (("GBP", "GB"), ("JPY", "JP")))) for c, k in legs) + ") AS v(instrument, currency, country)")
+def _(spark, d):
+    return sessions.pair_legs(spark).join(sessions.currency_countries(spark), "currency")
+
+
+RELEASES_FROM, RELEASES_TO = (instant(datetime(y, 1, 1, tzinfo=timezone.utc)) for y in (1997, 2001))
+
+
+@query("release_events", f"""WITH p AS (SELECT series_id, known_at, max(ref_period) AS ref_period FROM vintage GROUP BY 1, 2),
+b AS (SELECT *, max(ref_period) OVER (PARTITION BY series_id ORDER BY known_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+rel AS (SELECT series_id, known_at AS released_at, ref_period AS period FROM b WHERE (before IS NULL OR ref_period > before) AND known_at >= {RELEASES_FROM} AND known_at < {RELEASES_TO}),
+pub AS (SELECT series_id, released_at, period, ref_period, value FROM (SELECT r.*, v.ref_period, v.value, row_number() OVER (PARTITION BY r.series_id, r.released_at, v.ref_period ORDER BY v.known_at DESC, v.vintage_seq DESC) AS k FROM rel r JOIN vintage v ON v.series_id = r.series_id AND v.known_at <= r.released_at) WHERE k = 1 AND value IS NOT NULL),
+c1 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id, released_at ORDER BY ref_period) AS change FROM pub),
+f1 AS (SELECT *, avg(change) OVER w AS mean, count(change) OVER w AS n FROM c1 WINDOW w AS (PARTITION BY series_id, released_at ORDER BY ref_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+las AS (SELECT series_id, ref_period, value FROM (SELECT *, {LATEST} AS k FROM vintage) WHERE k = 1 AND value IS NOT NULL),
+c2 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY ref_period) AS change FROM las),
+f2 AS (SELECT *, avg(change) OVER w AS mean, count(change) OVER w AS n FROM c2 WINDOW w AS (PARTITION BY series_id ORDER BY ref_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
+SELECT f1.series_id, released_at, CAST(f1.ref_period AS VARCHAR) AS ref_period, f1.value AS first_print, f2.value AS final_value, round(f1.change - f1.mean, 5) AS surprise_first, round(f2.change - f2.mean, 5) AS surprise_final
+FROM f1 JOIN f2 ON f2.series_id = f1.series_id AND f2.ref_period = f1.ref_period WHERE f1.ref_period = period AND f1.n = 12 AND f1.change IS NOT NULL AND f2.n = 12 AND f2.change IS NOT NULL""")
+def _(spark, d):
+    rows = macro.release_events(vintages(spark, d), RELEASES_FROM, RELEASES_TO)
+    return rows.select("series_id", "released_at", period(), "first_print", "final_value", F.round("surprise_first", 5).alias("surprise_first"), F.round("surprise_final", 5).alias("surprise_final"))
+
+
+@query("asof_macro_many", f"""WITH asks AS (SELECT DISTINCT known_at - known_at % {30 * DAY} AS ask_at FROM vintage),
+r AS (SELECT ask_at, v.*, row_number() OVER (PARTITION BY ask_at, series_id, ref_period ORDER BY known_at DESC, vintage_seq DESC) AS k FROM asks JOIN vintage v ON v.known_at <= ask_at)
+SELECT ask_at, {MACRO_OUT} FROM r WHERE k = 1""")
+def _(spark, d):
+    held = vintages(spark, d)
+    return asof.macro_as_of_many(held, held.select(F.expr(f"known_at - pmod(known_at, {30 * DAY})").alias("ask_at"))).withColumn("ref_period", period())
+
+
+STREAMED = "WITH " + bar_sql(HOUR).replace("FROM tick", "FROM (SELECT instrument, source, ts, seq, bid, bid AS ask FROM tick)") + " SELECT * FROM bar"
+
+
+@query("bars_stream", STREAMED)
 def _(spark, d):
     from ..streaming import bars_stream
 

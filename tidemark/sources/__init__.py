@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import lzma
-import re
 import zipfile
 from collections.abc import Iterator
-
+from datetime import date
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import DAY, HOUR, micros
 from .schemas import SCHEMAS, empty
 
-__all__ = ["SCHEMAS", "decode_bi5", "decimal_factor", "empty", "fixture_csv", "hours_between", "reference_rates_wide", "ticks", "unpivot_rates", "vintages", "xlsx_cells"]
+__all__ = ["SCHEMAS", "decode_bi5", "decimal_factor", "empty", "fixture_csv", "hour_url", "hours_between", "rates_from_zip", "reference_rates_wide", "ticks", "unpivot_rates", "vintages", "xlsx_cells"]
 
 #: By how much prices of an instrument are scaled in the feed's files.
-DECIMAL_FACTORS = {"EURUSD": 1e5, "GBPUSD": 1e5, "AUDUSD": 1e5, "NZDUSD": 1e5, "USDCAD": 1e5, "USDCHF": 1e5, "EURGBP": 1e5, "USDJPY": 1e3, "EURJPY": 1e3}
+DECIMAL_FACTORS = {"EURUSD": 1e5, "GBPUSD": 1e5, "AUDUSD": 1e5, "NZDUSD": 1e5, "USDCHF": 1e5, "USDCAD": 1e5, "USDJPY": 1e3, "EURJPY": 1e3, "GBPJPY": 1e3}
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,13 @@ def hours_between(spark: SparkSession, start: int, end: int, only_hours: list[in
     return hours if only_hours is None else hours.where(F.expr(f"pmod(hour, {DAY}) div {HOUR}").isin(only_hours))
 
 
+def hour_url(base: str, instrument: str = "instrument", hour: str = "hour") -> Column:
+    """Where the feed has an hour's file. Months are counted from 0 in it."""
+    at = F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {hour} div 1000000)")
+    place = F.format_string("%04d/%02d/%02d/%02dh_ticks.bi5", F.year(at), F.month(at) - 1, F.day(at), F.hour(at))
+    return F.concat_ws("/", F.lit(base), F.col(instrument), place)
+
+
 def decode_bi5(files: DataFrame) -> DataFrame:
     """From (instrument, hour, content): the ticks of each compressed hour in their order. Records are big-endian milliseconds, ask, bid and two volumes.
 
@@ -84,22 +92,31 @@ def decode_bi5(files: DataFrame) -> DataFrame:
 
 
 def xlsx_cells(files: DataFrame) -> DataFrame:
-    """From (name, content) of workbooks: (name, row, col, text) of the first sheet's cells; shared and inline strings are resolved."""
+    """From (name, content) of workbooks: (name, row, col, text) of the first sheet's cells; shared and inline strings are resolved, and one that names no shared string is left out."""
+
+    def text_of(node: ElementTree.Element) -> str:
+        return "".join(t.text or "" for t in node.iterfind(".//{*}t"))
 
     def cells(content: bytes) -> Iterator[tuple[int, int, str]]:
         with zipfile.ZipFile(io.BytesIO(content)) as book:
-            shared = []
-            if "xl/sharedStrings.xml" in book.namelist():
-                shared = ["".join(re.findall(r"<t[^>]*>([^<]*)</t>", item)) for item in re.findall(r"<si>(.*?)</si>", book.read("xl/sharedStrings.xml").decode(), re.S)]
-            sheet = book.read(sorted(n for n in book.namelist() if n.startswith("xl/worksheets/"))[0]).decode()
-        for attributes, body in re.findall(r"<c ([^>]*?)(?:/>|>(.*?)</c>)", sheet, re.S):
-            place, kind = re.search(r'r="([A-Z]+)(\d+)"', attributes), re.search(r't="(\w+)"', attributes)
-            value = re.search(r"<(?:v|t)[^>]*>([^<]*)</(?:v|t)>", body or "")
-            if place and value:
+            names, shared = book.namelist(), []
+            if "xl/sharedStrings.xml" in names:
+                shared = [text_of(item) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iterfind("{*}si")]
+            sheet = ElementTree.fromstring(book.read(min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))))
+        for node in sheet.iterfind(".//{*}c"):
+            place, value = node.get("r", ""), node.findtext("{*}v")
+            letters = place.rstrip("0123456789")
+            if not letters or letters == place:
+                continue
+            if node.get("t") == "inlineStr":
+                value = text_of(node)
+            elif node.get("t") == "s" and value is not None:
+                value = shared[int(value)] if value.isdigit() and int(value) < len(shared) else None
+            if value:
                 column = 0
-                for letter in place[1]:
+                for letter in letters:
                     column = column * 26 + ord(letter) - 64
-                yield int(place[2]), column, shared[int(value[1])] if kind and kind[1] == "s" else value[1]
+                yield int(place[len(letters) :]), column, value
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -119,6 +136,38 @@ def reference_rates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.expr("date_from_unix_date(cast(d AS int))").alias("fix_date"), *shown)
 
 
+def rates_from_zip(files: DataFrame) -> DataFrame:
+    """From (name, content) of zipped CSV files whose first column is a day and whose others are currencies: (name, fix_date, currency, rate).
+
+    Rows without a day and cells that aren't numbers are left out, never zero. A payload that isn't a zip archive with a CSV file is an error.
+    """
+
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        if not zipfile.is_zipfile(io.BytesIO(content)):
+            raise ValueError(f"{name} isn't a zip archive")
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            inside = [n for n in archive.namelist() if n.lower().endswith(".csv")]
+            if not inside:
+                raise ValueError(f"{name} has no CSV file")
+            head, *body = csv.reader(io.StringIO(archive.read(inside[0]).decode("utf-8", "replace"))) or [[]]
+        for line in body:
+            try:
+                day = date.fromisoformat(line[0].strip()) if line else None
+            except ValueError:
+                continue
+            for currency, cell in zip(head[1:], line[1:], strict=False):
+                number = pd.to_numeric(cell.strip(), errors="coerce")
+                if day is not None and currency.strip() and np.isfinite(number):
+                    yield name, day, currency.strip(), float(number)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                yield pd.DataFrame(list(rows(name, content)), columns=["name", "fix_date", "currency", "rate"])
+
+    return files.mapInPandas(run, "name string, fix_date date, currency string, rate double")
+
+
 def unpivot_rates(wide: DataFrame) -> DataFrame:
     """(fix_date, currency, rate) of a wide table of text; cells that aren't numbers are left out, never zero."""
     names = [c for c in wide.columns if c != "fix_date"]
