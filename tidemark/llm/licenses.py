@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame operations alone.
 
-A text is lower-cased (A to Z only), and its words are joined by single spaces. Rules are regular expressions over such words, made from families,
-versions and sentence templates; a rule is tried only if its keyword is among the words. Of detections, one that lies inside another gives way to it,
+A text is lower-cased (A to Z only), and its words are joined by single spaces. Rules are regular expressions over such words: sentences written out of licences'
+bodies, notices and exceptions, and names by families, versions and sentence templates; a rule is tried only if one of its keywords is among the words. Of detections, one that lies inside another gives way to it,
 and of equal intervals the one of higher priority stays.
 """
 
@@ -22,13 +22,13 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Families: label, keywords of which one must be there, names as patterns over words, versions ("" where it can be without).
 FAMILIES = (
-    ("apache", ("apache",), ("(?:the )?apache(?: software)?(?: license)?", "asl"), ("1", "1.1", "2", "")),
+    ("apache", ("apache", "asl"), ("(?:the )?apache(?: software)?(?: license)?", "asl"), ("1", "1.1", "2", "")),
     ("mit", ("mit", "expat"), ("(?:the )?(?:mit|expat)(?: x11)? licen[cs]e",), ("",)),
     ("gpl", ("general", "gpl"), ("(?:the )?(?:gnu )?general public licen[cs]e", "(?:gnu )?gpl"), ("1", "2", "3", "")),
     ("lgpl", ("lesser", "library", "lgpl"), ("(?:the )?(?:gnu )?(?:lesser|library) general public licen[cs]e", "(?:gnu )?lgpl"), ("2", "2.1", "3", "")),
     ("agpl", ("affero", "agpl"), ("(?:the )?(?:gnu )?affero general public licen[cs]e", "(?:gnu )?agpl"), ("1", "3", "")),
     ("gfdl", ("documentation", "gfdl"), ("(?:the )?(?:gnu )?free documentation licen[cs]e", "gfdl"), ("1.1", "1.2", "1.3", "")),
-    ("bsd-2-clause", ("bsd",), ("(?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?",), ("",)),
+    ("bsd-2-clause", ("bsd", "freebsd"), ("(?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?",), ("",)),
     ("bsd-3-clause", ("bsd",), ("(?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?",), ("",)),
     ("bsd-4-clause", ("bsd",), ("(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?",), ("",)),
     ("bsd", ("bsd",), ("(?:the )?bsd(?: style)? licen[cs]e",), ("",)),
@@ -45,7 +45,7 @@ FAMILIES = (
     ("cc-by-sa", ("cc", "creative"), ("cc by sa", "(?:the )?creative commons attribution share ?alike(?: licen[cs]e)?"), ("1", "2", "2.5", "3", "4", "")),
     ("cc-by-nd", ("cc", "creative"), ("cc by nd", "(?:the )?creative commons attribution no ?deriv(?:ative)?s(?: licen[cs]e)?"), ("1", "2", "2.5", "3", "4", "")),
     ("cc-by", ("cc", "creative"), ("cc by", "(?:the )?creative commons attribution(?: licen[cs]e)?"), ("1", "2", "2.5", "3", "4", "")),
-    ("cc0", ("cc0", "zero"), ("cc0", "(?:creative commons )?cc ?zero", "creative commons zero"), ("1", "")),
+    ("cc0", ("cc0", "zero", "cczero"), ("cc0", "(?:creative commons )?cc ?zero", "creative commons zero"), ("1", "")),
     ("isc", ("isc",), ("(?:the )?isc licen[cs]e",), ("",)),
     ("zlib", ("zlib", "libpng"), ("(?:the )?zlib(?: libpng)? licen[cs]e",), ("",)),
     ("boost", ("boost",), ("(?:the )?boost software licen[cs]e",), ("1", "")),
@@ -62,6 +62,71 @@ FAMILIES = (
     ("public-domain", ("public",), ("(?:the )?public domain",), ("",)),
     ("proprietary", ("rights", "proprietary"), ("all rights reserved", "proprietary(?: and confidential| licen[cs]e| software)"), ("",)),
 )
+#: Sentences of licences' bodies, headers, notices and exceptions, and names without versions: label, keywords of which one must be there, pattern over words.
+SIGNATURES = (
+    ("mit", ("permission",), "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", ("substantial",), "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("x11", ("advertising",), "except as contained in this notice the names? of [a-z0-9 ]{1,80}? shall not be used in advertising or otherwise to promote the sale"),
+    ("isc", ("permission",), "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", ("permission",), "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("0bsd", ("bsd", "0bsd"), "(?:bsd zero clause|zero clause bsd|0bsd)(?: licen[cs]e)?"),
+    ("postgresql", ("permission",), "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", ("permission",), "permission to use copy modify and distribute this software and its documentation for any purpose(?: and without fee)? is hereby granted"),
+    ("boost-1", ("permission",), "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("bsd", ("redistribution",), "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", ("redistributions",), "redistributions of source code must retain the above copyright notice this list of conditions"),
+    ("bsd", ("redistributions",), "redistributions in binary form must reproduce the above copyright notice this list of conditions"),
+    ("bsd-3-clause", ("endorse",), "neither the names? of [a-z0-9 ]{1,80}? nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", ("advertising",), "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("ncsa", ("ncsa", "illinois"), "(?:university of illinois )?ncsa open source licen[cs]e"),
+    ("apache-2", ("applicable",), "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache-2", ("apache",), "you may obtain a copy of the licen[cs]e at https? www apache org licenses licen[cs]e 2 0"),
+    ("apache-1.1", ("redistribution",), "the end user documentation included with the redistribution if any must include the following acknowledge?ment"),
+    ("gpl", ("general",), "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation"),
+    ("gpl", ("general",), "you should have received a copy of the gnu general public licen[cs]e along with"),
+    ("lgpl", ("lesser", "library"), "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with"),
+    ("agpl", ("affero",), "you should have received a copy of the gnu affero general public licen[cs]e along with"),
+    ("gpl", ("merchantability",), "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("classpath-exception", ("exception",), "as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gcc-exception", ("exception",), "gcc runtime library exception"),
+    ("bison-exception", ("exception",), "as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("llvm-exception", ("exception", "exceptions"), "(?:llvm exceptions? to the apache 2 0 licen[cs]e|with llvm exceptions?)"),
+    ("gfdl", ("documentation",), "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl-2", ("mozilla",), "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-1.1", ("mozilla",), "the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("epl", ("eclipse",), "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl", ("distribution",), "the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("zlib", ("liable",), "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", ("altered",), "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", ("unencumbered",), "this is free and unencumbered software released into the public domain"),
+    ("cc0", ("waived",), "has waived all copyright and related or neighbou?ring rights"),
+    ("ofl-1.1", ("sil",), "this font software is licensed under the sil open font licen[cs]e version 1 1"),
+    ("artistic", ("artistic", "intent"), "the intent of this document is to state the conditions under which a package may be copied"),
+    ("openssl", ("openssl",), "this product includes software developed by the openssl project"),
+    ("php", ("php",), "this product includes php software freely available from"),
+    ("psf", ("psf",), "psf is making python available to licensee on an as is basis"),
+    ("ms-pl", ("governs",), "this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e"),
+    ("w3c", ("licensee",), "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply"),
+    ("json", ("evil",), "the software shall be used for good not evil"),
+    ("beerware", ("beer",), "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("upl-1", ("universal",), "(?:the )?universal permissive licen[cs]e(?: v(?:ersion)? 1(?: 0)?)?"),
+    ("bsl-1.1", ("business",), "(?:the )?business source licen[cs]e(?: (?:version )?1 1)?"),
+    ("sspl-1", ("sspl", "server"), "(?:the )?(?:server side public licen[cs]e|sspl)(?: (?:version |v)?1)?"),
+    ("elastic-2", ("elastic",), "(?:the )?elastic licen[cs]e(?: (?:version )?2(?: 0)?)?"),
+    ("polyform", ("polyform",), "(?:the )?polyform (?:non ?commercial|shield|strict|small business|perimeter|free trial|internal use) licen[cs]e"),
+    ("mulan-psl", ("mulan",), "(?:the )?mulan (?:psl|permissive software licen[cs]e)(?: v?2)?"),
+    ("cecill", ("cecill",), "(?:the )?cecill(?: [abc])?(?: licen[cs]e)?"),
+    ("zpl", ("zope",), "(?:the )?zope public licen[cs]e"),
+    ("ibm-pl", ("ibm",), "(?:the )?ibm public licen[cs]e"),
+    ("cpl", ("common",), "(?:the )?common public licen[cs]e(?: version 1(?: 0)?)?"),
+    ("vim", ("vim",), "(?:the )?vim licen[cs]e"),
+    ("ruby", ("ruby",), "(?:the )?ruby licen[cs]e"),
+    ("proprietary", ("confidential",), "this (?:software|document|file) (?:is|contains) (?:the )?confidential(?: and proprietary)? information of"),
+    ("proprietary", ("reproduced",), "no part of this (?:publication|document|work) may be reproduced"),
+    ("proprietary", ("unauthorized", "unauthorised"), "unauthori[sz]ed copying of this file via any medium is strictly prohibited"),
+)
+#: Confidence and priority of a signature.
+SIGNED = (0.95, 9)
 #: Templates: name, pattern around the licence, confidence, priority.
 TEMPLATES = (
     ("identifier", "spdx licen[cs]e identifier {}", 1.0, 4),
@@ -75,14 +140,14 @@ SHORT = ("cc", "mpl", "epl", "osl", "ofl", "afl", "asl")
 SHORT_WORD = r"(?<![0-9a-z])(?:cc0|cc[^0-9a-z]*(?:by|zero)|[me]pl|o[sf]l|a[fs]l)(?![a-z])"
 
 
-def rules() -> list[tuple[str, str, str, float, int]]:
-    """(label, keyword, pattern, confidence, priority) in order; a family's keywords each give a rule."""
-    made = []
+def rules() -> list[tuple[str, tuple[str, ...], str, float, int]]:
+    """(label, keywords, pattern, confidence, priority) in order, one for each pattern: the signatures, then families by versions and templates."""
+    made = [(label, words, f" {sentence}(?= )", *SIGNED) for label, words, sentence in SIGNATURES]
     for (label, keywords, names, versions), version, (_, around, sure, priority) in ((f, v, t) for f, t in product(FAMILIES, TEMPLATES) for v in f[3]):
         number = " ".join(version.split(".")) + ("" if "." in version else "(?: 0)?")
         tail = rf"(?:(?: licen[cs]e)?(?: as published by [a-z ]{{1,40}}?)?(?: either)?(?: version| v)? ?v?{number})" if version else "(?: licen[cs]e)?"
         full = around.format(f"(?:{'|'.join(names)}){tail}")
-        made += [(f"{label}-{version}" if version else label, word, f" {full}(?= )", sure, priority + (4 if version else 0)) for word in keywords]
+        made.append((f"{label}-{version}" if version else label, keywords, f" {full}(?= )", sure, priority + (4 if version else 0)))
     return made
 
 
@@ -110,17 +175,18 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     low = F.lower("text")  # may differ from the words' own lower case beyond ASCII; as a hint that only lets more through
-    gate = reduce(or_, (low.contains(w) for w in HINTS)) | (reduce(or_, (low.contains(w) for w in SHORT)) & low.rlike(SHORT_WORD))
+    hints = sorted({*HINTS, *(w for _, words, _ in SIGNATURES for w in words)})
+    gate = reduce(or_, (low.contains(w) for w in hints)) | (reduce(or_, (low.contains(w) for w in SHORT)) & low.rlike(SHORT_WORD))
     worded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", upper, lower), BETWEEN, " ")), F.lit(" "))
     held = docs.select("doc_id", count_words(F.col("text")).alias("n_words"), F.when(gate, worded).alias("words"))
 
     known = rules()
-    keywords = sorted({r[1] for r in known}, key=lambda w: (-len(w), w))
-    names = ("label", "keyword", "pattern", "sure", "priority")
-    table = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in known])), "array<struct<label:string,keyword:string,pattern:string,sure:double,priority:int>>")
+    keywords = sorted({w for r in known for w in r[1]}, key=lambda w: (-len(w), w))
+    names = ("label", "keywords", "pattern", "sure", "priority")
+    table = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in known])), "array<struct<label:string,keywords:array<string>,pattern:string,sure:double,priority:int>>")
     present = F.array_distinct(F.regexp_extract_all("words", F.lit(rf"(?<= )({'|'.join(keywords)})(?=(?:v?[0-9]+)? )"), F.lit(1)))
     held = held.withColumn("present", F.when(F.col("words").isNotNull(), present))
-    held = held.withColumn("active", F.when(F.size("present") > 0, F.filter(table, lambda r: F.array_contains("present", r["keyword"]))))
+    held = held.withColumn("active", F.when(F.size("present") > 0, F.filter(table, lambda r: F.arrays_overlap("present", r["keywords"]))))
     found = F.transform("active", lambda r: F.struct(r.alias("r"), F.regexp_extract_all(F.col("words"), r["pattern"], F.lit(0)).alias("found")))
     held = held.withColumn("found", F.filter(found, lambda t: F.size(t["found"]) > 0))
     held = held.withColumn("tried", F.transform("found", lambda t: F.struct(t["r"]["label"].alias("label"), t["r"]["sure"].alias("sure"), t["r"]["priority"].alias("priority"), t["found"].alias("found"), F.split(F.col("words"), t["r"]["pattern"], -1).alias("parts"))))

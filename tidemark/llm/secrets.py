@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blocks import Block, blocks, lean
+from .session import neutral
 
 #: Spans of one start are listed in this order.
 KINDS = ("assign", "access", "hex", "pem", "openssh", "der", "jwt")
@@ -211,6 +212,8 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars", mask: str = "[secret]") -> DataFrame:
     """The same rows and columns, with every span's characters replaced by the mask; spans that touch or overlap get one mask."""
+    names = docs.columns
+    docs = neutral(docs, text, length)
     place = docs.columns.index(text)
 
     @lean
@@ -236,5 +239,6 @@ def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars
                 yield part
 
     out = docs.mapInArrow(run, StructType([*docs.schema.fields]))
-    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length in docs.columns else out
+    out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length in names else out
+    return out.toDF(*names)
 
