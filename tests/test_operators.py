@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 from datetime import date, datetime, timezone
@@ -6,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import DAY, HOUR, MINUTE, instant
-from tidemark.operators import asof, bars, experiment, flags, ledger, macro, sessions
-from tidemark.sources import SCHEMAS, decimal_factor, decode_bi5, empty, fixture_csv, hour_url, hours_between, rates_from_zip, xlsx_cells
+from tidemark.operators import asof, bars, experiment, flags, ledger, macro, monitors, sessions
+from tidemark.sources import SCHEMAS, decimal_factor, decode_bi5, empty, fixture_csv, hour_url, hours_between, rates_from_zip, store, xlsx_cells
 from tidemark.streaming import bars_stream
 
 TICK = "instrument string, ts long, bid double, ask double, source string, seq long"
@@ -199,3 +200,57 @@ def test_a_failing_detector_leaves_its_flags_and_the_others_run(spark):
     found, counts, errors = flags.rescan(stored, quotes, None, None, None, ["E"], t, t + DAY, ["crossed", "zero_spread", "weekend_gap"])
     assert counts == {"crossed": 1, "zero_spread": 0} and set(errors) == {"weekend_gap"}
     assert sorted(map(tuple, found.collect())) == [("E", t, "crossed", "bid=2.00000 ask=1.00000 spread=-1.00000"), ("E", t, "weekend_gap", "old"), ("E", t + DAY, "crossed", "old")]
+
+
+def test_stored_hours_and_scopes(spark, tmp_path):
+    hour = at(2024, 1, 31, 23)
+    quotes = spark.createDataFrame([("E", hour + k, 1.0, 1.1, "a", k) for k in range(3)] + [("E", hour + HOUR, 2.0, 2.1, "a", 9), ("G", hour, 3.0, 3.1, "b", 4)], TICK)
+    folder = f"{tmp_path}/tables"
+    store.append_hours(quotes.where("instrument = 'E'"), f"{folder}/tick_raw")
+    store.append_hours(quotes.where("instrument = 'G'"), f"{folder}/tick_raw")
+    inside = store.open_session(spark, folder, instruments=["E"], start=hour, end=hour + HOUR)
+    assert sorted(r.seq for r in inside["tick_raw"].collect()) == [0, 1, 2]
+    assert inside["macro_observation"].count() == inside["bar_1m"].count() == 0
+    for lacking in ({"instruments": ["E"], "start": hour}, {"start": hour, "end": hour + HOUR}, {"instruments": ["E"], "end": hour}):
+        assert store.open_session(spark, folder, **lacking)["tick_raw"].count() == 0
+    stuck = spark.createDataFrame([("E", "a", hour)], "instrument string, source string, hour long")
+    assert sorted(r.seq for r in store.without_hours(quotes, stuck).collect()) == [4, 9]
+    assert store.without_hours(quotes, stuck.limit(0)).count() == 5
+
+
+def test_backfilled_bars_are_made_once(spark):
+    start = at(2024, 1, 9, 10)
+    quotes = spark.createDataFrame([("E", start + k * MINUTE, 1.0 + k, 1.1 + k, "a", k) for k in range(4)], TICK)
+    old = bars.bars_from_ticks(quotes.where("seq < 1"))
+    made = old
+    for _ in range(2):
+        made = store.backfill_bars(made, quotes, ["E"], start, start + 3 * MINUTE)
+    assert sorted((r.minute, r.tick_count) for r in made.collect()) == [(start + k * MINUTE, 1) for k in range(3)]
+    with pytest.raises(ValueError):
+        store.backfill_bars(old, quotes, ["E"], start + 1, start + MINUTE)
+
+
+def test_releases_are_kept_until_refreshed(spark, tmp_path):
+    rows = lambda v: spark.createDataFrame([("S", 10, v), ("S", 30, v)], "series_id string, released_at long, first_print double")
+    path = f"{tmp_path}/releases"
+    assert [r.first_print for r in store.kept_releases(spark, path, rows(1.0), 0, 20).collect()] == [1.0]
+    assert [r.released_at for r in store.kept_releases(spark, path, rows(2.0), 0, 40).collect()] == [10, 30]
+    assert store.kept_releases(spark, path, rows(2.0), 0, 20).first().first_print == 1.0
+    assert store.kept_releases(spark, path, rows(2.0), 0, 20, refresh=True).first().first_print == 2.0
+
+
+def test_digests_and_anchors(spark):
+    files = spark.createDataFrame([("a", bytearray(b"rules")), ("b", None)], "name string, content binary")
+    assert {r.name: r.digest for r in store.file_digests(files).collect()} == {"a": hashlib.sha256(b"rules").hexdigest()[:16], "b": "MISSING"}
+    assert monitors.anchor_currency("EURUSD") == "USD"
+    with pytest.raises(ValueError):
+        monitors.anchor_currency("GBPUSD")
+
+
+def test_notes_of_a_study_without_trades(spark):
+    none = spark.createDataFrame([], "event_id string, arm string, direction int, entry double, exit double, return_bps double")
+    row = experiment.notes(none).first()
+    assert (row.events, row.underpowered, row.ordering_holds) == (0, True, False)
+    rows = [(str(e), arm, 1, 1.0, 1.0, base + e % 2) for e in range(20) for arm, base in (("A", 0.0), ("B", 1.0), ("C", 5.0), ("D", 6.0))]
+    row = experiment.notes(spark.createDataFrame(rows, none.schema)).first()
+    assert (row.events, row.underpowered, row.ordering_holds, row.largest_source) == (20, False, True, "coarse times")

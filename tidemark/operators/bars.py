@@ -41,6 +41,17 @@ def coverage(bars: DataFrame) -> DataFrame:
     return bars.groupBy("instrument", "source").agg(F.count("*").alias("bars"), F.sum("tick_count").alias("ticks"), F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
 
 
+def sample(bars: DataFrame, instrument: str, limit: int = 12) -> DataFrame:
+    """The first bars of an instrument, with the spread of their closes."""
+    return bars.where(F.col("instrument") == instrument).withColumn("close_spread", F.round(F.col("ask_close") - F.col("bid_close"), 7)).orderBy("minute", "source").limit(limit)
+
+
+def reconcile_all(bars: DataFrame, ticks: DataFrame) -> DataFrame:
+    """One row: all ticks stored, all ticks in bars and whether they agree; two one-row aggregates side by side."""
+    held = bars.agg(F.coalesce(F.sum("tick_count"), F.lit(0)).alias("ticks_in_bars"))
+    return ticks.agg(F.count("*").alias("ticks")).join(held).withColumn("agree", F.col("ticks") == F.col("ticks_in_bars"))
+
+
 def reconcile(bars: DataFrame, ticks: DataFrame) -> DataFrame:
     """Of each instrument the ticks stored and the ticks in bars."""
     held = bars.groupBy("instrument").agg(F.sum("tick_count").alias("in_bars"))

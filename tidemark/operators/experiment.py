@@ -10,7 +10,9 @@ from .asof import forward_asof
 
 #: The four arms. A is honest; each next one has one advantage more: final values, entry at the day's open, mid prices.
 ARMS = (("A", False, False, False), ("B", True, False, False), ("C", True, True, False), ("D", True, True, True))
-HOLD, TOLERANCE, PER_YEAR = 30 * MINUTE, 5 * MINUTE, 24
+HOLD, TOLERANCE, PER_YEAR, FEWEST = 30 * MINUTE, 5 * MINUTE, 24, 20
+#: What each arm adds to the one before it.
+CHANNELS = ("revisions", "coarse times", "mid prices")
 
 
 def arms(spark) -> DataFrame:
@@ -58,9 +60,24 @@ def metrics(found: DataFrame) -> DataFrame:
 
 
 def gaps(found: DataFrame) -> DataFrame:
-    """How much each arm's mean differs from the next one's."""
+    """How much each arm's next one adds to its mean return and Sharpe ratio."""
     by = Window.orderBy("arm")  # four rows
-    return metrics(found).select("arm", F.lead("arm").over(by).alias("next_arm"), (F.col("mean") - F.lead("mean").over(by)).alias("gap_bps")).where("next_arm IS NOT NULL")
+    ahead = lambda c: F.lead(c).over(by) - F.col(c)
+    return metrics(found).select("arm", F.lead("arm").over(by).alias("next_arm"), ahead("mean").alias("gap_bps"), ahead("sharpe").alias("sharpe_delta")).where("next_arm IS NOT NULL")
+
+
+def notes(found: DataFrame, fewest: int = FEWEST) -> DataFrame:
+    """One row: the honest arm's trades, whether they are too few to tell, whether Sharpe ratios rise from A to D, and the channel that adds most to them.
+
+    An arm without trades has a ratio of 0; of channels that add the same the first is named.
+    """
+    ratios = [F.coalesce(F.max(F.when(F.col("arm") == a[0], F.col("sharpe"))), F.lit(0.0)).alias(a[0]) for a in ARMS]
+    row = metrics(found).agg(F.coalesce(F.max(F.when(F.col("arm") == "A", F.col("n"))), F.lit(0)).alias("events"), *ratios)
+    steps = [(F.col(b[0]) - F.col(a[0]), name) for a, b, name in zip(ARMS, ARMS[1:], CHANNELS, strict=False)]
+    most = F.greatest(*(d for d, _ in steps))
+    source = F.coalesce(*(F.when(d == most, F.lit(name)) for d, name in steps))
+    rises = (F.col("A") < F.col("B")) & (F.col("B") < F.col("C")) & (F.col("C") < F.col("D"))
+    return row.select("events", (F.col("events") < fewest).alias("underpowered"), rises.alias("ordering_holds"), source.alias("largest_source"))
 
 
 def paired(found: DataFrame) -> DataFrame:

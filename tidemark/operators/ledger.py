@@ -48,8 +48,17 @@ def monthly(ledger: DataFrame) -> DataFrame:
 
 
 def rows_by_instrument(ticks: DataFrame) -> DataFrame:
-    return ticks.groupBy("instrument").agg(F.count("*").alias("ticks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("bid") > F.col("ask")).alias("crossed"))
+    return ticks.groupBy("instrument").agg(F.count("*").alias("ticks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("bid") > F.col("ask")).alias("crossed"), F.round(F.avg(F.col("ask") - F.col("bid")), 7).alias("mean_spread"))
 
 
 def rows_by_hour(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("instrument", "source", floor_to("ts", HOUR).alias("hour")).agg(F.count("*").alias("ticks"))
+
+
+def count_hour(ticks: DataFrame, instrument: str, hour: int, source: str) -> DataFrame:
+    """One row: the number of quotes of one instrument's hour from one source."""
+    return ticks.where((F.col("instrument") == instrument) & (F.col("source") == source) & (F.col("ts") >= hour) & (F.col("ts") < hour + HOUR)).agg(F.count("*").alias("ticks"))
+
+
+def total_rows(ticks: DataFrame) -> DataFrame:
+    return ticks.agg(F.count("*").alias("ticks"))

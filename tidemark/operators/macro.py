@@ -34,7 +34,22 @@ def revisions(observations: DataFrame) -> DataFrame:
     return rows.select("series_id", "ref_period", F.col("value").alias("first"), "second", F.round(revision, 2).alias("revision"), F.round(100 * revision / F.col("value"), 4).alias("pct"), "vintages")
 
 
-def top_revisions(observations: DataFrame, limit: int) -> DataFrame:
+def load_report(observations: DataFrame) -> DataFrame:
+    """Of each series its observations, periods, vintages and the ends of these."""
+    return observations.groupBy("series_id").agg(F.count("*").alias("observations"), F.count_distinct("ref_period").alias("periods"), F.count_distinct("known_at").alias("vintages"), F.min("known_at").alias("first_known"), F.max("known_at").alias("last_known"))
+
+
+def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """stored and the incoming rows whose keys it lacks; what it has stays as it is. Of repeated incoming keys one stays, the greatest."""
+    rest = [c for c in stored.columns if c not in keys]
+    new = incoming.join(stored.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.max(F.struct(*rest)).alias("v"))
+    return stored.unionByName(new.select(*keys, *(f"v.{c}" for c in rest)))
+
+
+def top_revisions(observations: DataFrame, limit: int, stable: list[str] | None = None) -> DataFrame:
+    """The largest first revisions, of series whose units stay the same if these are named: in a series that is rebased, levels of two vintages don't compare."""
+    if stable is not None:
+        observations = observations.where(F.col("series_id").isin(stable))
     return revisions(observations).orderBy(F.abs("revision").desc(), "series_id", "ref_period").limit(limit)
 
 

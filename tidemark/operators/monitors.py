@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import DAY, HOUR, MINUTE, exact_quantile, floor_to
 from .asof import clean
 
+#: Pairs that a reference rate in euros names directly, with the rate's currency.
+DIRECT_ANCHORS = {"EURUSD": "USD"}
 HOUR_OF_DAY = f"cast(pmod(ts, {DAY}) div {HOUR} AS int)"
 
 
@@ -23,6 +25,24 @@ def drift_anchor(fixes: DataFrame, ticks: DataFrame, pip: float, half_window: in
     return rows.withColumn("diff_pips", F.round((F.col("mean_mid") - F.col("rate")) / pip, digits)).withColumn("alert", F.abs("diff_pips") > alert)
 
 
+def anchor_currency(instrument: str) -> str:
+    """The currency whose reference rate a pair compares with one to one; of other pairs a cross would have the errors of both legs."""
+    if instrument not in DIRECT_ANCHORS:
+        raise ValueError(f"{instrument} has no reference rate of its own")
+    return DIRECT_ANCHORS[instrument]
+
+
+def drift_summary(fixes: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row: fixes compared, fixes without quotes, alerts, the mean and the greatest absolute difference in pips. observed comes from drift_anchor."""
+    asked = fixes.agg(F.count("*").alias("fixes"))
+    said = observed.agg(F.count("*").alias("compared"), F.count_if("alert").alias("alerts"), F.round(F.avg("diff_pips"), 4).alias("mean_pips"), F.round(F.max(F.abs("diff_pips")), 4).alias("max_abs_pips"))
+    return asked.join(said).select("compared", (F.col("fixes") - F.col("compared")).alias("skipped_no_ticks"), "alerts", "mean_pips", "max_abs_pips")
+
+
+def latest_drift(observed: DataFrame, limit: int = 60) -> DataFrame:
+    return observed.orderBy(F.col("fix_at").desc(), "instrument").limit(limit)
+
+
 def spread_by_hour(ticks: DataFrame) -> DataFrame:
     """Exact median and 95th percentile need an hour of day's spreads together, so they are found by rank over counts of distinct spreads."""
     spreads = clean(ticks).select("instrument", F.expr(HOUR_OF_DAY).alias("hour_of_day"), F.expr("ask - bid").alias("spread"))
@@ -40,5 +60,14 @@ def tick_rate_by_hour(ticks: DataFrame) -> DataFrame:
     return hourly.join(usual, "instrument").withColumn("ratio", F.round(F.col("ticks") / F.col("median"), 4))
 
 
+def quietest_hours(ticks: DataFrame, limit: int = 40) -> DataFrame:
+    """The hours with the fewest quotes against their instrument's median hour."""
+    return tick_rate_by_hour(ticks).orderBy("ratio", "instrument", "hour").limit(limit)
+
+
+def rate_totals(rates: DataFrame) -> DataFrame:
+    return rates.agg(F.count("*").alias("rates"), F.count_distinct("currency").alias("currencies"), F.count_distinct("fix_date").alias("days"), F.min("fix_date").alias("first_date"), F.max("fix_date").alias("last_date"))
+
+
 def rate_coverage(rates: DataFrame) -> DataFrame:
     return rates.groupBy("currency").agg(F.count("*").alias("days"), F.min("fix_date").alias("first_date"), F.max("fix_date").alias("last_date"))

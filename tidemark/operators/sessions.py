@@ -103,3 +103,8 @@ def overlapping(windows: DataFrame, keys: list[str]) -> DataFrame:
     """Windows that begin before the one before them, by keys, has ended: none in a proper table."""
     by = Window.partitionBy(*keys).orderBy("span_start", "span_end")
     return windows.withColumn("before", F.lag("span_end").over(by)).where("before > span_start")
+
+
+def rebuilt(stored: DataFrame, fresh: DataFrame, start: int, end: int) -> DataFrame:
+    """stored windows with all that overlap [start, end) replaced by the fresh ones."""
+    return stored.where((F.col("span_end") <= start) | (F.col("span_start") >= end)).unionByName(fresh.select(*stored.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import DAY, HOUR, MINUTE, floor_to, instant, local_instant
 from ..operators import asof, bars, experiment, flags, ledger, macro, monitors, sessions
-from ..sources import hour_url, hours_between, reference_rates_wide, ticks, unpivot_rates, vintages
+from ..sources import hour_url, hours_between, reference_rates_wide, store, ticks, unpivot_rates, vintages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,7 +37,7 @@ def query(name: str, sql: str | None):
     def kept(f):
         QUERIES[name] = f
         if sql is not None:
-            parts = [TICK] * ("tick" in sql) + [VINTAGE] * ("vintage " in sql or "vintage)" in sql or "FROM vintage" in sql)
+            parts = [TICK] * ("tick" in sql and TICK not in sql) + [VINTAGE] * ("vintage " in sql or "vintage)" in sql or "FROM vintage" in sql)
             head = ", ".join(parts)
             body = sql.strip()
             ORACLE_SQL[name] = (f"WITH {head}" + (", " + body[5:] if body.startswith("WITH ") else " " + body)) if parts else body
@@ -417,7 +417,7 @@ def _(spark, d):
     return ledger.settle(ledger.claim(held, failed, NOW), results, NOW).select("instrument", "hour", "source", "status", "tick_count", "attempts")
 
 
-@query("rows_by_instrument", "SELECT instrument, count(*) AS ticks, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (WHERE bid > ask) AS crossed FROM tick GROUP BY 1")
+@query("rows_by_instrument", "SELECT instrument, count(*) AS ticks, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (WHERE bid > ask) AS crossed, round(avg(ask - bid), 7) AS mean_spread FROM tick GROUP BY 1")
 def _(spark, d):
     return ledger.rows_by_instrument(ticks(spark, d))
 
@@ -427,16 +427,27 @@ def _(spark, d):
     return ledger.rows_by_hour(ticks(spark, d))
 
 
+def fixes_of(t):
+    """Each day's mean bid of each instrument as its fix of 14:15 in Berlin."""
+    daily = t.groupBy("instrument", F.expr(f"date_from_unix_date(cast(ts div {DAY} AS int))").alias("day")).agg(F.round(F.avg("bid"), 9).alias("rate"))
+    return daily.select("instrument", local_instant("day", 14, "Europe/Berlin", 15).alias("fix_at"), "rate")
+
+
 @query("drift_anchor", f"""WITH fixes AS (SELECT instrument, epoch_us(timezone('Europe/Berlin', CAST(make_timestamp(dy * {DAY}) AS DATE) + INTERVAL 14 HOUR + INTERVAL 15 MINUTE)) AS fix_at, round(avg(bid), 9) AS rate FROM (SELECT *, ts // {DAY} AS dy FROM tick) GROUP BY instrument, dy)
 SELECT f.instrument, fix_at, rate, round(avg((bid + ask) / 2), 9) AS mean_mid, count(*) AS ticks, round((avg((bid + ask) / 2) - rate) / 0.01::DOUBLE, 6) AS diff_pips FROM fixes f JOIN tick t ON t.instrument = f.instrument AND t.ts BETWEEN fix_at - {HOUR} AND fix_at + {HOUR} WHERE bid <= ask GROUP BY 1, 2, 3""")
 def _(spark, d):
     t = ticks(spark, d)
-    daily = t.groupBy("instrument", F.expr(f"date_from_unix_date(cast(ts div {DAY} AS int))").alias("day")).agg(F.round(F.avg("bid"), 9).alias("rate"))
-    fixes = daily.select("instrument", local_instant("day", 14, "Europe/Berlin", 15).alias("fix_at"), "rate")
-    rows = monitors.drift_anchor(fixes, t, 0.01, HOUR, digits=6)
+    rows = monitors.drift_anchor(fixes_of(t), t, 0.01, HOUR, digits=6)
     return rows.select("instrument", "fix_at", "rate", F.round("mean_mid", 9).alias("mean_mid"), "ticks", "diff_pips")
 
 
+@query("drift_summary", ORACLE_SQL["drift_anchor"].replace("SELECT f.instrument, fix_at, rate,", ", o AS (SELECT f.instrument, fix_at, rate,") + ") SELECT count(*) AS compared, (SELECT count(*) FROM fixes) - count(*) AS skipped_no_ticks, count(*) FILTER (WHERE abs(diff_pips) > 2) AS alerts, round(avg(diff_pips), 4) AS mean_pips, round(max(abs(diff_pips)), 4) AS max_abs_pips FROM o")
+def _(spark, d):
+    t = ticks(spark, d)
+    fixes = fixes_of(t)
+    return monitors.drift_summary(fixes, monitors.drift_anchor(fixes, t, 0.01, HOUR, digits=6))
+
+
 @query("spread_by_hour", f"""WITH c AS (SELECT instrument, CAST((ts % {DAY}) // {HOUR} AS INT) AS hour_of_day, ask - bid AS spread FROM tick WHERE bid <= ask)
 SELECT instrument, hour_of_day, count(*) AS ticks, list_sort(list(spread))[least(count(*), floor(0.5 * count(*))::INT + 1)] AS median, list_sort(list(spread))[least(count(*), floor(0.95 * count(*))::INT + 1)] AS p95, max(spread) AS widest FROM c GROUP BY 1, 2""")
 def _(spark, d):
@@ -535,9 +546,18 @@ def _(spark, d):
     return rows.select("arm", "n", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"), F.round("hit_rate", 6).alias("hit_rate"), F.round("total", 2).alias("total"), F.round("sharpe", 6).alias("sharpe"))
 
 
-@query("experiment_gaps", f"WITH {TRADES}, {METRICS}, g AS (SELECT arm, lead(arm) OVER (ORDER BY arm) AS next_arm, mean - lead(mean) OVER (ORDER BY arm) AS gap FROM me) SELECT arm, next_arm, round(gap, 3) AS gap_bps FROM g WHERE next_arm IS NOT NULL")
+RATIO = "sh AS (SELECT *, CASE WHEN n < 2 OR std = 0 THEN 0 ELSE mean / std * sqrt(24) END AS sharpe FROM me)"
+
+
+@query("experiment_gaps", f"WITH {TRADES}, {METRICS}, {RATIO}, g AS (SELECT arm, lead(arm) OVER (ORDER BY arm) AS next_arm, lead(mean) OVER (ORDER BY arm) - mean AS gap, lead(sharpe) OVER (ORDER BY arm) - sharpe AS d FROM sh) SELECT arm, next_arm, round(gap, 3) AS gap_bps, round(d, 6) AS sharpe_delta FROM g WHERE next_arm IS NOT NULL")
+def _(spark, d):
+    return experiment.gaps(trades_of(spark, d)).withColumn("gap_bps", F.round("gap_bps", 3)).withColumn("sharpe_delta", F.round("sharpe_delta", 6))
+
+
+@query("experiment_notes", f"""WITH {TRADES}, {METRICS}, {RATIO}, w AS (SELECT coalesce(max(n) FILTER (WHERE arm = 'A'), 0) AS events, {", ".join(f"coalesce(max(sharpe) FILTER (WHERE arm = '{x}'), 0) AS {x.lower()}" for x in "ABCD")} FROM sh)
+SELECT events, events < 20 AS underpowered, a < b AND b < c AND c < d AS ordering_holds, CASE greatest(b - a, c - b, d - c) WHEN b - a THEN 'revisions' WHEN c - b THEN 'coarse times' ELSE 'mid prices' END AS largest_source FROM w""")
 def _(spark, d):
-    return experiment.gaps(trades_of(spark, d)).withColumn("gap_bps", F.round("gap_bps", 3))
+    return experiment.notes(trades_of(spark, d))
 
 
 PAIRED = """wi AS (SELECT event_id, max(return_bps) FILTER (WHERE arm = 'A') AS a, max(return_bps) FILTER (WHERE arm = 'B') AS b, max(return_bps) FILTER (WHERE arm = 'C') AS c, max(return_bps) FILTER (WHERE arm = 'D') AS d FROM tr GROUP BY 1),
@@ -639,3 +659,77 @@ def _(spark, d):
     at = F.col("ts").cast("timestamp")
     quotes = source.select("event_type", at.alias("at"), F.col("event_type").alias("instrument"), F.col("value").alias("bid"), F.col("value").alias("ask"), F.when(F.col("user_id") % 2 == 0, "feed_a").otherwise("feed_b").alias("source"), F.col("event_id").alias("seq"))
     return bars_stream(quotes, "1 hour", "1 day")
+
+
+@query("bar_sample", f"WITH {bar_sql(MINUTE)} SELECT *, round(ask_close - bid_close, 7) AS close_spread FROM bar WHERE instrument = 'view' ORDER BY minute, source LIMIT 12")
+def _(spark, d):
+    return bars.sample(bars.bars_from_ticks(ticks(spark, d)), "view")
+
+
+@query("bars_reconcile_all", f"WITH {bar_sql(MINUTE)} SELECT (SELECT count(*) FROM tick) AS ticks, CAST(sum(tick_count) AS BIGINT) AS ticks_in_bars, (SELECT count(*) FROM tick) = sum(tick_count) AS agree FROM bar")
+def _(spark, d):
+    t = ticks(spark, d)
+    return bars.reconcile_all(bars.bars_from_ticks(t), t)
+
+
+@query("bars_backfilled", f"WITH {bar_sql(HOUR)}, one AS (SELECT * FROM ({bar_sql(MINUTE)[8:-1]})) SELECT * FROM one WHERE instrument IN ('click', 'view') AND minute >= {FROM_US + 5 * DAY} AND minute < {FROM_US + 9 * DAY} UNION ALL SELECT * FROM bar WHERE NOT (instrument IN ('click', 'view') AND minute >= {FROM_US + 5 * DAY} AND minute < {FROM_US + 9 * DAY})")
+def _(spark, d):
+    t = ticks(spark, d)
+    return store.backfill_bars(bars.bars_from_ticks(t, HOUR), t, ["click", "view"], FROM_US + 5 * DAY, FROM_US + 9 * DAY)
+
+
+@query("ticks_without_stale_claims", f"WITH {LEDGER} SELECT t.instrument, t.ts, t.bid, t.ask, t.source, t.seq FROM tick t WHERE NOT EXISTS (SELECT 1 FROM led l WHERE l.status = 'in_progress' AND l.source = 'feed_a' AND l.source = t.source AND l.instrument = t.instrument AND l.hour = t.ts - t.ts % {HOUR})")
+def _(spark, d):
+    return store.without_hours(ticks(spark, d), ledger.reset_stale(ledger_of(spark, d), "feed_a")[0])
+
+
+@query("scoped_session", f"""SELECT 'macro_observation' AS relation, count(*) AS "rows" FROM vintage WHERE series_id IN ('S1', 'S4') UNION ALL
+SELECT 'tick_raw', count(*) FROM tick WHERE instrument IN ('click', 'view') AND ts >= {FROM_US} AND ts < {TO_US} UNION ALL SELECT 'tick_raw without a start', 0""")
+def _(spark, d):
+    held = {"macro_observation": vintages(spark, d), "tick_raw": ticks(spark, d)}
+    inside = store.scoped(held, ["S1", "S4"], ["click", "view"], FROM_US, TO_US)
+    open_ = store.scoped(held, instruments=["click", "view"], end=TO_US)["tick_raw"]
+    out = None
+    for name, rows in (*inside.items(), ("tick_raw without a start", open_)):
+        counted = rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "rows")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@query("count_hour", f"SELECT count(*) AS ticks FROM tick WHERE instrument = 'view' AND source = 'feed_b' AND ts >= {FROM_US + 12 * HOUR} AND ts < {FROM_US + 13 * HOUR}")
+def _(spark, d):
+    return ledger.count_hour(ticks(spark, d), "view", FROM_US + 12 * HOUR, "feed_b")
+
+
+@query("macro_load_report", "SELECT series_id, count(*) AS observations, count(DISTINCT ref_period) AS periods, count(DISTINCT known_at) AS vintages, min(known_at) AS first_known, max(known_at) AS last_known FROM vintage GROUP BY 1")
+def _(spark, d):
+    return macro.load_report(vintages(spark, d))
+
+
+@query("revision_top_k_stable", REVISED + " WHERE series_id IN ('S2', 'S7') ORDER BY abs(revision) DESC, series_id, ref_period LIMIT 12")
+def _(spark, d):
+    return macro.top_revisions(vintages(spark, d), 12, ["S2", "S7"]).withColumn("ref_period", period())
+
+
+@query("quietest_hours", ORACLE_SQL["tick_rate_by_hour"] + " ORDER BY ratio, instrument, hour LIMIT 40")
+def _(spark, d):
+    return monitors.quietest_hours(ticks(spark, d))
+
+
+@query("rate_totals", f"WITH {RATES} SELECT count(*) AS rates, count(DISTINCT currency) AS currencies, count(DISTINCT fix_date) AS days, min(fix_date) AS first_date, max(fix_date) AS last_date FROM rates")
+def _(spark, d):
+    return monitors.rate_totals(unpivot_rates(reference_rates_wide(spark, d))).withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
+
+
+@query("series_inserted_if_absent", "WITH n AS (SELECT series_id, count(*) AS held FROM vintage GROUP BY 1) SELECT series_id, CASE WHEN series_id IN ('S1', 'S2', 'S3') THEN 'old' ELSE 'new' END AS title, held FROM n")
+def _(spark, d):
+    counts = vintages(spark, d).groupBy("series_id").agg(F.count("*").alias("held"))
+    old = counts.where("series_id IN ('S1', 'S2', 'S3')").select("series_id", F.lit("old").alias("title"), "held")
+    return macro.insert_absent(old, counts.select("series_id", F.lit("new").alias("title"), "held"), ["series_id"])
+
+
+@query("market_windows_rebuilt", f"WITH {MARKET}, held AS ({MARKET_HELD}) SELECT span_start, span_end, CASE WHEN span_start < {FROM_US + 14 * DAY} AND span_end > {FROM_US + 7 * DAY} THEN 'fresh' ELSE 'stored' END AS made FROM held")
+def _(spark, d):
+    stored = sessions.market_windows(spark, START, END).withColumn("made", F.lit("stored"))
+    fresh = sessions.market_windows(spark, date(2024, 1, 8), date(2024, 1, 15)).withColumn("made", F.lit("fresh"))
+    return sessions.rebuilt(stored, fresh, FROM_US + 7 * DAY, FROM_US + 14 * DAY)
