@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import anchors, bpe, components, fingerprints, licenses, media, packing, quality, queries, sampling, secrets, simhash, substrings, suffixes, toxicity
 from tidemark.llm.blocks import Block
+from tidemark.llm.skew import spread_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, score double, kept string, fp string"
 
@@ -336,3 +337,13 @@ def test_thresholds_are_those_of_all_labelled_rows(spark):
 
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_frequent_keys_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(7, k) for k in range(300)] + [(k, k) for k in range(50)] + [(None, 1)] * 3, "key long, v long")
+    table = spark.createDataFrame([(k, 2 * k) for k in range(0, 50, 7)], "key long, w long")
+    for how in ("inner", "left"):
+        for share in (1, 3, 1000):
+            wanted = sorted(map(repr, rows.join(table, "key", how).collect()))
+            assert sorted(map(repr, spread_join(rows, table, "key", how, share).collect())) == wanted
+            assert spread_join(rows.limit(0), table, "key", how, share).count() == 0

@@ -20,6 +20,7 @@ from .blocks import blocks, lean
 from .components import components
 from .pieces import LOWER, SPACE
 from .session import cut
+from .skew import spread_join
 
 WORDS, SEED, RADIUS = 3, 42, 3
 SHARD, SAMPLE, LEAF = 1 << 16, 4096, 64
@@ -215,7 +216,7 @@ def near_groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     least = groups.join(points, groups.node == points.fp).groupBy("root").agg(F.min("first").alias("least"))
     named = groups.join(least, "root").select(F.col("node").alias("fp"), "least")
     owners = points.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, owners, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
