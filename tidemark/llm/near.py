@@ -24,6 +24,7 @@ from .components import components
 from .pieces import LOWER, SPACE
 from .session import cut, stored
 from .simhash import fingerprint_links, majorities
+from .skew import spread_join
 
 WORDS, LIMIT = 5, 0.8
 BANDS, VALUES = 32, 5
@@ -100,7 +101,7 @@ def is_near(common, both, limit: float):
 
 def point_sets(asked: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """(point, shingles) of the points asked for."""
-    who = points.join(asked.distinct(), "point").groupBy("point").agg(F.min(F.struct("doc_id", "k")).alias("at")).select("point", "at.*")
+    who = points.groupBy("point").agg(F.min(F.struct("doc_id", "k")).alias("at")).join(asked.distinct(), "point").select("point", "at.*")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("k")).join(who, ["doc_id", "k"]).select("point", "text")
 
     @lean
@@ -178,7 +179,7 @@ def near_groups(docs: DataFrame, limit: float = LIMIT, dealt: int = DEALT) -> Da
     pair = [F.least("point", "lead").alias("a"), F.greatest("point", "lead").alias("b")]
     prints = points.groupBy("fp").agg(F.min("point").alias("first"))
     ends = fingerprint_links(prints).join(prints.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("two")), "b")
-    equal = points.join(prints, "fp").where("point <> first").select(F.col("first").alias("one"), F.col("point").alias("two"))
+    equal = points.select("fp", "point").distinct().join(prints, "fp").where("point <> first").select(F.col("first").alias("one"), F.col("point").alias("two"))
     close = ends.select("one", "two").unionByName(equal).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
     pairs = cut(members.where("NOT leads").join(leads, "key").select(*pair).unionByName(close).distinct())
     links = cut(confirmed(pairs, points, docs, limit))
@@ -196,4 +197,4 @@ def near_groups(docs: DataFrame, limit: float = LIMIT, dealt: int = DEALT) -> Da
         late = cut(full.groupBy("key", "low", "high").applyInArrow(lambda table: bucket_links(table, limit), "a long, b long").distinct())
         groups = components(links.unionByName(late)) if not late.isEmpty() else groups
     owners = groups.select(F.col("node").alias("point"), "root")
-    return points.join(owners, "point", "left").select("doc_id", "k", F.coalesce("root", "point").alias("group"))
+    return spread_join(points.select("doc_id", "k", "point"), owners, "point", "left").select("doc_id", "k", F.coalesce("root", "point").alias("group"))
