@@ -214,7 +214,7 @@ def near_groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = components(fingerprint_links(points, radius, shard))
     least = groups.join(points, groups.node == points.fp).groupBy("root").agg(F.min("first").alias("least"))
-    named = groups.join(least, "root").select(F.col("node").alias("fp"), "least")
+    named = spread_join(groups, least, "root").select(F.col("node").alias("fp"), "least")
     owners = points.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return spread_join(prints, owners, "fp").select("doc_id", "fp", "component_id")
 
