@@ -106,6 +106,74 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+@pytest.fixture(scope="module")
+def scattered():
+    """Fingerprints around common centres, some within a few bits of each other, and a third of all in one region, as copies of one page give."""
+    random = np.random.default_rng(5)
+    base = random.integers(0, 1 << 64, 1200, np.uint64)
+    base[:400] = (base[:400] & np.uint64((1 << 40) - 1)) | np.uint64(0xABCDEF << 40)
+    flips = np.uint64(1) << random.integers(0, 64, (3, 1200), np.uint64)
+    return np.unique(np.concatenate([base, base ^ flips[0], base ^ flips[0] ^ flips[1] ^ flips[2]]))
+
+
+def pairs_within(points, radius):
+    return {(int(points[j]), int(points[i])) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points[:i] ^ points[i]) <= radius)}
+
+
+@pytest.mark.parametrize("shard", [1 << 16, 1500, 500, 60])
+def test_fingerprint_links(spark, scattered, shard):
+    points = spark.createDataFrame([(int(x),) for x in scattered.view(np.int64)], "fp long")
+    got = simhash.fingerprint_links(points, shard=shard).collect()
+    wanted = pairs_within(scattered, simhash.RADIUS)
+    unsigned = lambda x: x & ((1 << 64) - 1)
+
+    def roots(links):
+        parent = {int(x): int(x) for x in scattered}
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in links:
+            a, b = sorted((top(a), top(b)))
+            parent[b] = a
+        return {x: top(x) for x in parent}
+
+    assert roots((unsigned(r.a), unsigned(r.b)) for r in got) == roots(wanted)
+
+
+def test_every_close_pair_shares_a_shard(scattered):
+    dealing = simhash.Dealing(len(scattered), shard=60)
+    assert dealing.bits
+    dealing.sample = scattered[::3]
+    for band in range(simhash.RADIUS + 1):
+        for bucket, size in zip(*np.unique(dealing.buckets(scattered, band), return_counts=True), strict=True):
+            dealing.depths[bucket] = dealing.depth(size)
+    assert (dealing.depths > 0).any() and (dealing.depths == 0).any()
+    met = collections.defaultdict(lambda: (set(), set()))
+    for bucket, number, who, home in dealing.visits(scattered, {}):
+        for own, point, here in zip(np.broadcast_to(bucket, len(who)).tolist(), scattered[who].tolist(), home.tolist(), strict=True):
+            met[own, number][0].add(point)
+            met[own, number][1].update([point] * here)
+    wanted = pairs_within(scattered, simhash.RADIUS)
+    assert len(wanted) > 1000
+    for a, b in wanted:
+        assert any((a in homes and b in here) or (b in homes and a in here) for here, homes in met.values())
+
+
+def test_visits_of_a_fingerprint_do_not_grow():
+    random = np.random.default_rng(6)
+    for count in (1 << 14, 1 << 16, 1 << 18):
+        points = random.integers(0, 1 << 64, count, np.uint64)
+        dealing = simhash.Dealing(count, shard=512)
+        dealing.sample = points[: simhash.SAMPLE]
+        for band in range(simhash.RADIUS + 1):
+            for bucket, size in zip(*np.unique(dealing.buckets(points, band), return_counts=True), strict=True):
+                dealing.depths[bucket] = dealing.depth(size)
+        assert sum(len(who) for _, _, who, _ in dealing.visits(points, {})) < 8 * count
+
+
 @pytest.mark.parametrize("shard", [1 << 16, 8])
 def test_simhash_groups(docs, none, texts, shard):
     prints = [(k, plain_print(t)) for k, t in texts]

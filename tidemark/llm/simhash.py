@@ -2,7 +2,9 @@
 
 A small sample gives the vantage points of an upper tree, whose leaves are the shards. A fingerprint is at home in one shard and visits every
 other one that can hold a partner: by the triangle inequality, partners within r of it differ in their distance from a vantage point by r at
-most. In each shard a vantage-point tree is split down to small leaves with all queries at once. A shard answers with one link for each
+most. As every level of the upper tree multiplies the visits, many fingerprints are first dealt to buckets, once for each of r + 1 bands of bits: of r differing
+bits, none lies in at least one band, so partners share a bucket. An upper tree then splits only buckets that are larger than a shard.
+In each shard a vantage-point tree is split down to small leaves with all queries at once. A shard answers with one link for each
 fingerprint to its group's root, not with pairs, so a group of many copies costs no more than its size.
 """
 
@@ -24,6 +26,10 @@ from .skew import spread_join
 
 WORDS, SEED, RADIUS = 3, 42, 3
 SHARD, SAMPLE, LEAF = 1 << 16, 4096, 64
+#: What a level of the upper tree multiplies visits by, as measured on fingerprints of texts.
+GROWTH = 1.62
+#: Bits of a band that name its buckets, at most: four bands then have 262,144 buckets.
+BAND_BITS = 16
 
 
 def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -169,29 +175,82 @@ def link_within(points: np.ndarray, homes: np.ndarray, radius: int) -> np.ndarra
     return groups.parent
 
 
+class Dealing:
+    """How fingerprints are dealt to shards: bands of bits give buckets (one bucket of all if `bits` is 0), and upper trees split the buckets that `depths` names."""
+
+    def __init__(self, count: int, radius: int = RADIUS, shard: int = SHARD):
+        self.radius, self.shard = radius, shard
+        depth = self.depth(count)
+        width = 64 // (radius + 1)
+        # one bit more than buckets of a shard's size need, as they aren't of equal size
+        self.bits = 0 if GROWTH**depth <= radius + 1 else min(width, BAND_BITS, depth + 1)
+        self.shifts = [np.uint64(band * width + width - self.bits) for band in range(radius + 1)] if self.bits else [np.uint64(0)]
+        self.low = np.uint64((1 << self.bits) - 1)
+        self.depths = np.zeros(len(self.shifts) << self.bits, np.int64)
+        self.sample = np.zeros(0, np.uint64)
+        if not self.bits:
+            self.depths[0] = depth
+
+    def depth(self, count: int) -> int:
+        return max(0, int(np.ceil(np.log2(max(1, count) / self.shard))))
+
+    def buckets(self, points: np.ndarray, band: int) -> np.ndarray:
+        return (band << self.bits) + ((points >> self.shifts[band]) & self.low).astype(np.int64)
+
+    def tree(self, bucket: int):
+        """The upper tree of a bucket, over the bits that its members don't share; of its own part of the sample, if that isn't too small."""
+        band = bucket >> self.bits
+        own = self.sample[self.buckets(self.sample, band) == bucket]
+        return upper_tree(self.masked(own if len(own) >= LEAF else self.sample, band), int(self.depths[bucket]))[0]
+
+    def masked(self, points: np.ndarray, band: int) -> np.ndarray:
+        return points & ~(self.low << self.shifts[band])
+
+    def visits(self, points: np.ndarray, trees: dict) -> Iterator[tuple[int | np.ndarray, int, np.ndarray, np.ndarray]]:
+        """(bucket or buckets, shard within it, places of the points that go there, whether each is at home there); trees keeps the trees made."""
+        for band in range(len(self.shifts)):
+            bucket = self.buckets(points, band)
+            whole = np.flatnonzero(self.depths[bucket] == 0)
+            if len(whole):
+                yield bucket[whole], 0, whole, np.ones(len(whole), bool)
+            for large in np.unique(bucket[self.depths[bucket] > 0]).tolist():
+                if large not in trees:
+                    trees[large] = self.tree(large)
+                mine = np.flatnonzero(bucket == large)
+                deals = max(1, int(GROWTH ** int(self.depths[large])) // 4)
+                for number, who, home in route(trees[large], self.masked(points[mine], band), self.radius):
+                    who = mine[who]
+                    for deal in range(deals):
+                        go = home | (points[who] % np.uint64(deals) == np.uint64(deal))
+                        if go.any():
+                            yield large, number * deals + deal, who[go], home[go]
+
+
 def fingerprint_links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """From (fp), distinct: links (a, b) by which all fingerprints that a chain of at most `radius` differing bits joins hang together, one for each at most in a shard.
+    """From (fp), distinct: links (a, b) by which all fingerprints that a chain of at most `radius` differing bits joins hang together, at most one for each in a shard.
 
-    The sample that gives the upper tree holds 4096 fingerprints at most; shards hold about `shard` fingerprints at home, and
-    visitors of a shard are dealt over several tasks, so that memory stays bounded.
+    Shards hold about `shard` fingerprints at home, and visitors of a shard are dealt over several tasks, so that memory stays bounded. The sample
+    that gives upper trees holds 4096 fingerprints at most. Of the buckets, of which there are 65,536 for each band at most, the driver
+    learns which ones are larger than a shard, and their sizes.
     """
-    count = points.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, count) / shard))))
-    tree, deals = 0, 1
-    if depth:
+    dealing = Dealing(points.count(), radius, shard)
+    if dealing.bits:
+        named = [F.expr(f"{band << dealing.bits} + (shiftrightunsigned(fp, {int(shift)}) & {int(dealing.low)})") for band, shift in enumerate(dealing.shifts)]
+        sizes = points.select(F.explode(F.array(*named)).alias("bucket")).groupBy("bucket").count().where(F.col("count") > shard)
+        for bucket, size in sizes.collect():
+            dealing.depths[bucket] = dealing.depth(size)
+    if dealing.depths.any():
         sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp")
-        tree = upper_tree(np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64), depth)[0]
-        deals = max(1, int(1.62**depth) // 4)
+        dealing.sample = np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64)
 
     @lean
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = {}
         for batch in batches:
             mine = batch.column(0).to_numpy().view(np.uint64)
-            for number, who, home in route(tree, mine, radius):
-                for deal in range(deals):
-                    go = home | (mine[who] % np.uint64(deals) == np.uint64(deal))
-                    if go.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(go.sum()), number * deals + deal)), pa.array(mine[who[go]].view(np.int64)), pa.array(home[go])], ["shard", "fp", "home"])
+            for bucket, number, who, home in dealing.visits(mine, trees):
+                cells = [np.broadcast_to(bucket, len(who)), np.full(len(who), number), mine[who].view(np.int64), home]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["bucket", "shard", "fp", "home"])
 
     def linked(table: pa.Table) -> pa.Table:
         mine, home = table.column("fp").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
@@ -201,7 +260,7 @@ def fingerprint_links(points: DataFrame, radius: int = RADIUS, shard: int = SHAR
         on = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": mine[on], "b": mine[roots[on]]})
 
-    return points.select("fp").mapInArrow(visits, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(linked, "a long, b long")
+    return points.select("fp").mapInArrow(visits, "bucket long, shard long, fp long, home boolean").groupBy("bucket", "shard").applyInArrow(linked, "a long, b long")
 
 
 def near_groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
