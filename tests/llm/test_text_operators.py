@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import anchors, bpe, components, fingerprints, licenses, media, packing, quality, queries, sampling, secrets, simhash, substrings, suffixes, toxicity
+from tidemark.llm import pieces as pieces_module
 from tidemark.llm.blocks import Block
 from tidemark.llm.skew import spread_join
 
@@ -106,6 +107,20 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    rng = random.Random(11)
+    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(300)] * 2
+    encode = lambda asked: (np.array([x for p in asked for x in p], np.int64), np.array([len(p) for p in asked]))
+    for share in (1, 3, 1 << 62):
+        monkeypatch.setattr(pieces_module, "span_hashes", lambda sums, a, b, share=share: (sums[b] - sums[a]) % np.uint64(share) << np.uint64(1))
+        store = pieces_module.Encoded(encode, np.uint16)
+        for low in range(0, len(pieces), 100):
+            own = pieces[low : low + 100]
+            ends = np.cumsum([len(p) for p in own])
+            ids, counts = store(np.frombuffer(b"".join(own), np.uint8), ends - [len(p) for p in own], ends)
+            assert bytes(ids.astype(np.uint8)) == b"".join(own) and counts.tolist() == [len(p) for p in own]
+
+
 @pytest.fixture(scope="module")
 def scattered():
     """Fingerprints around common centres, some within a few bits of each other, and a third of all in one region, as copies of one page give."""

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .blocks import Block, PRIME, Table, blocks, distinct, lean, mixed, ragged
+from .blocks import Block, Table, blocks, distinct, lean, ragged
 from .pieces import Encoded, by_document, spaced_pieces
 
 NEVER = np.int64(1 << 40)
@@ -74,9 +74,13 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.pattern = regex.compile(PATTERN)
-        self.prefixes = Table()  # the last token of every prefix seen, which does not depend on what follows
+        self.forget()
         self.encoded = Encoded(self.encode_pieces, np.uint16 if size <= 1 << 16 else np.uint32)
 
+    def forget(self) -> None:
+        """Empty the store of prefixes: a trie whose nodes hold the last token of their prefix, which doesn't depend on what follows."""
+        self.nodes, self.node_tokens, self.node_count = Table(), np.full(1 << 16, -1, np.int32), 1
+
     def _automaton(self, ids) -> None:
         """States of the reversed tokens; a step reads one byte further to the left."""
         steps: dict[int, int] = {}
@@ -133,17 +137,21 @@ class Vocabulary:
         count, length = words.shape
         last = np.full((length + 1, count), -1, np.int64)
         columns = np.ascontiguousarray(words.T).astype(np.int64)
-        hashes = np.zeros(count, np.uint64)
+        node = np.zeros(count, np.int64)
         for end in range(1, length + 1):
-            hashes = (hashes + columns[end - 1].astype(np.uint64) + np.uint64(1)) * PRIME
-            keys = mixed(hashes) | np.uint64(1)
-            last[end] = self.prefixes.get(keys)
-            new = np.flatnonzero(last[end] < 0)
+            keys = (node << 8 | columns[end - 1]).astype(np.uint64) + np.uint64(1)
+            node = self.nodes.get(keys)
+            new = np.flatnonzero(node < 0)
             if len(new):
                 codes, values, first = distinct(keys[new])
-                token = self._last_token(columns, last, end, new[first])
-                last[end][new] = token[codes]
-                self.prefixes.put(values, token)
+                made = np.arange(self.node_count, self.node_count + len(values))
+                while self.node_count + len(values) > len(self.node_tokens):
+                    self.node_tokens = np.resize(self.node_tokens, 2 * len(self.node_tokens))
+                self.node_tokens[made] = self._last_token(columns, last, end, new[first])
+                self.nodes.put(values, made)
+                self.node_count += len(values)
+                node[new] = made[codes]
+            last[end] = self.node_tokens[node]
         ids, counts = np.full((count, length), -1, np.int64), np.zeros(count, np.int64)
         place, rows = np.full(count, length), np.arange(count)
         while len(rows):
@@ -204,8 +212,8 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, number of ids of each word)."""
-        if self.prefixes.used > MOST_PREFIXES:
-            self.prefixes = Table()
+        if self.node_count > MOST_PREFIXES:
+            self.forget()
         lengths = np.array([len(w) for w in words], np.int64)
         counts, parts = np.zeros(len(words), np.int64), {}
         for length in np.unique(lengths).tolist():

@@ -71,45 +71,88 @@ def visible_pieces(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return starts, stops[np.searchsorted(stops, starts, "right")]
 
 
+#: Of each number of bytes, a mask of the first ones of a little-endian word.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SPARE = 8
+
+
+def same_spans(one: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of these sizes that begin at starts in one and at others in other hold the same bytes; both arrays have SPARE bytes more than their spans."""
+    same = np.ones(len(sizes), bool)
+    left, right = (np.ndarray(len(x) - SPARE + 1, "<u8", x, strides=(1,)) for x in (one, other))
+    at, done = np.arange(len(sizes)), 0
+    while len(at) and done < 64:
+        mask = FIRST_BYTES[np.minimum(sizes[at] - done, 8)]
+        same[at] &= (left[starts[at] + done] ^ right[others[at] + done]) & mask == 0
+        done += 8
+        at = at[sizes[at] > done]
+    for i in at.tolist():
+        a, b, size = int(starts[i]), int(others[i]), int(sizes[i])
+        same[i] &= bool((one[a : a + size] == other[b : b + size]).all())
+    return same
+
+
 class Encoded:
-    """Ids of every distinct piece seen so far; emptied when it holds `most`, so memory is bounded."""
+    """Ids of every distinct piece seen so far; emptied when it holds `most` pieces or `most_bytes` of them, so memory is bounded.
+
+    Pieces are found by hashes and then compared byte by byte; one that shares its hash with another piece is encoded each time.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: type, most: int = 1_000_000):
-        self.encode, self.kind, self.most = encode, kind, most
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: type, most: int = 1_000_000, most_bytes: int = 32 << 20):
+        self.encode, self.kind, self.most, self.most_bytes = encode, kind, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.count, self.size = Table(1 << 16), 0, 0
+        self.table, self.count, self.size, self.held = Table(1 << 16), 0, 0, 0
         self.starts, self.counts, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.kind)
+        self.places, self.sizes, self.bytes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint8)
 
-    def _append(self, counts: np.ndarray, ids: np.ndarray) -> None:
+    def _append(self, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> None:
         while self.count + len(counts) > len(self.counts):
-            self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
+            self.starts, self.counts, self.places, self.sizes = (np.resize(x, 2 * len(x)) for x in (self.starts, self.counts, self.places, self.sizes))
         while self.size + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.starts[self.count : self.count + len(counts)] = self.size + np.cumsum(counts) - counts
-        self.counts[self.count : self.count + len(counts)] = counts
+        while self.held + len(raw) + SPARE > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        own = slice(self.count, self.count + len(counts))
+        self.starts[own], self.counts[own] = self.size + np.cumsum(counts) - counts, counts
+        self.places[own], self.sizes[own] = self.held + np.cumsum(sizes) - sizes, sizes
         self.ids[self.size : self.size + len(ids)] = ids
-        self.count, self.size = self.count + len(counts), self.size + len(ids)
+        self.bytes[self.held : self.held + len(raw)] = raw
+        self.count, self.size, self.held = self.count + len(counts), self.size + len(ids), self.held + len(raw)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in their order, number of ids of each piece)."""
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(0, np.int64)
         codes, hashes, first = distinct(span_hashes(prefix_sums(data), starts, ends) | np.uint64(1))
-        if self.count + len(hashes) > self.most:
+        if self.count + len(hashes) > self.most or self.held > self.most_bytes:
             self.clear()
+        padded, sizes, like = np.append(data, np.zeros(SPARE, np.uint8)), ends - starts, first[codes]
         known = self.table.get(hashes)
-        new = np.flatnonzero(known < 0)
+        new, old = np.flatnonzero(known < 0), np.flatnonzero(known >= 0)
+        one, other = first[old], known[old]
+        fits = np.ones(len(hashes), bool)
+        fits[old] = self.sizes[other] == sizes[one]
+        equal = fits[old]
+        fits[old[equal]] = same_spans(padded, starts[one[equal]], self.bytes, self.places[other[equal]], sizes[one[equal]])
+        same = fits[codes] & (sizes[like] == sizes)
+        same[same] = same_spans(padded, starts[same], padded, starts[like[same]], sizes[same])
+        raw = data.tobytes() if len(new) or not same.all() else b""
         if len(new):
-            raw = data.tobytes()
-            ids, counts = self.encode([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            a, size = starts[first[new]], sizes[first[new]]
+            ids, counts = self.encode([raw[x:y] for x, y in zip(a.tolist(), (a + size).tolist(), strict=True)])
             known[new] = np.arange(self.count, self.count + len(new))
-            self._append(counts, ids)
+            self._append(counts, ids, size, data[ragged(a, size)])
             self.table.put(hashes[new], known[new])
-        places = known[codes]
-        counts = self.counts[places].astype(np.int64)
-        return self.ids[ragged(self.starts[places], counts)], counts
+        at = known[codes]
+        begins, counts, pool = self.starts[at].astype(np.int64), self.counts[at].astype(np.int64), self.ids
+        if not same.all():
+            apart = np.flatnonzero(~same)
+            ids, own = self.encode([raw[x:y] for x, y in zip(starts[apart].tolist(), ends[apart].tolist(), strict=True)])
+            begins[apart], counts[apart] = self.size + np.cumsum(own) - own, own
+            pool = np.concatenate([self.ids[: self.size], ids.astype(self.kind)])
+        return pool[ragged(begins, counts)], counts
 
 
 def by_document(block: Block, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
