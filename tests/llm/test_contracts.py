@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from re import _parser as parser
 
 import public_tokenizers
 import pytest
@@ -201,6 +202,35 @@ def test_signatures_of_bodies(spark):
     assert len(patterns) == len(set(patterns)) and len(licenses.SIGNATURES) >= 60
 
 
+def shortest(parsed) -> str:
+    """A text that a parsed pattern matches, without what it may leave out."""
+    out = ""
+    for kind, value in parsed:
+        match str(kind):
+            case "LITERAL":
+                out += chr(value)
+            case "IN":
+                first = value[0]
+                out += chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += shortest(value[2]) * value[0]
+            case "SUBPATTERN":
+                out += shortest(value[3])
+            case "BRANCH":
+                out += shortest(value[1][0])
+            case other:
+                raise AssertionError(other)
+    return out
+
+
+def test_op5_finds_every_signature_by_itself(spark):
+    signed = [*licenses.SIGNATURES, *licenses.NAMED]
+    docs = [(i, f"Then, {shortest(parser.parse(pattern))}.".upper()) for i, (_, _, pattern) in enumerate(signed)]
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(docs[i][1], found[i]) for i, (label, _, _) in enumerate(signed) if label not in found[i]] == []
+
+
+
 def test_stages_leave_other_columns_and_odd_rows_alone(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     extra = [c for c in docs.columns if c not in corpus_pipeline.OWN]

@@ -125,6 +125,109 @@ SIGNATURES = (
     ("proprietary", ("reproduced",), "no part of this (?:publication|document|work) may be reproduced"),
     ("proprietary", ("unauthorized", "unauthorised"), "unauthori[sz]ed copying of this file via any medium is strictly prohibited"),
 )
+#: More names, headers and sentences. Each holds one of HINTS whatever it leaves out, so its keywords needn't be looked for in every text.
+NAMED = (
+    ("apache-2", ("apache",), "licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements"),
+    ("apache-2", ("apache",), "apache licen[cs]e version 2 0 january 2004"),
+    ("apache-2", ("contributor",), "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e"),
+    ("gpl-2", ("general",), "gnu general public licen[cs]e version 2 june 1991"),
+    ("gpl-3", ("general",), "gnu general public licen[cs]e version 3 29 june 2007"),
+    ("gpl", ("copyleft",), "the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    ("gpl", ("freedom",), "the licen[cs]es for most software(?: and other practical works)? are designed to take away your freedom to share and change"),
+    ("lgpl-2.1", ("lesser",), "gnu lesser general public licen[cs]e version 2 1 february 1999"),
+    ("lgpl-3", ("lesser",), "gnu lesser general public licen[cs]e version 3 29 june 2007"),
+    ("lgpl-2", ("library",), "gnu library general public licen[cs]e version 2 june 1991"),
+    ("agpl-3", ("affero",), "gnu affero general public licen[cs]e version 3 19 november 2007"),
+    ("gfdl-1.3", ("documentation",), "gnu free documentation licen[cs]e version 1 3 3 november 2008"),
+    ("gfdl", ("invariant",), "with no invariant sections no front cover texts and no back cover texts a copy of the licen[cs]e is included"),
+    ("mpl-2", ("mozilla",), "if a copy of the mpl was not distributed with this file you can obtain one at https? mozilla org mpl 2 0"),
+    ("mpl", ("mozilla",), "incompatible with secondary licen[cs]es as defined by the mozilla public licen[cs]e"),
+    ("epl", ("eclipse",), "the accompanying materials are provided under the terms of this eclipse public licen[cs]e"),
+    ("cc-by", ("creativecommons",), "to view a copy of this licen[cs]e visit https? creativecommons org licenses by [0-9 ]+"),
+    ("cc-by-sa", ("creativecommons",), "to view a copy of this licen[cs]e visit https? creativecommons org licenses by sa [0-9 ]+"),
+    ("cc-by-nc", ("creativecommons",), "to view a copy of this licen[cs]e visit https? creativecommons org licenses by nc [0-9 ]+"),
+    ("cc", ("creative",), "some rights reserved (?:under )?(?:a )?creative commons"),
+    ("unlicense", ("unlicense",), "for more information please refer to https? unlicense org"),
+    ("wtfpl", ("everyone",), "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document and changing it is allowed"),
+    ("gnu", ("everyone",), "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed"),
+    ("font-exception", ("exception",), "(?:gpl font exception|font exception to the gnu general public licen[cs]e)"),
+    ("autoconf-exception", ("autoconf",), "(?:autoconf (?:configure script )?exception to the (?:gnu )?general public licen[cs]e|autoconf exception public licen[cs]e)"),
+    ("linux-syscall-note", ("syscall",), "(?:gpl 2 0|general public licen[cs]e) with linux syscall note"),
+    ("openssl-exception", ("openssl",), "permission to link the code (?:of portions )?of this program with the openssl library (?:under|as stated in) (?:certain conditions|the licen[cs]e)"),
+    ("apsl", ("apple",), "(?:the )?apple public source licen[cs]e"),
+    ("blueoak", ("oak",), "(?:the )?blue oak model licen[cs]e"),
+    ("bittorrent", ("bittorrent",), "(?:the )?bittorrent open source licen[cs]e"),
+    ("cnri-python", ("cnri",), "(?:the )?cnri (?:open source )?(?:python )?licen[cs]e(?: agreement)?"),
+    ("condor", ("condor",), "(?:the )?condor public licen[cs]e"),
+    ("cpal-1", ("attribution",), "(?:the )?common public attribution licen[cs]e"),
+    ("d-fsl", ("deutsche", "german"), "(?:the )?(?:deutsche freie software lizenz|german free software licen[cs]e)"),
+    ("ecl-2", ("educational",), "(?:the )?educational community licen[cs]e"),
+    ("efl", ("eiffel",), "(?:the )?eiffel forum licen[cs]e"),
+    ("eu-datagrid", ("datagrid",), "(?:the )?eu datagrid software licen[cs]e"),
+    ("fair", ("fair",), "(?:the )?fair licen[cs]e"),
+    ("frameworx", ("frameworx",), "(?:the )?frameworx open licen[cs]e"),
+    ("freetype", ("freetype",), "(?:the )?freetype (?:project )?licen[cs]e"),
+    ("imagemagick", ("imagemagick",), "(?:the )?imagemagick licen[cs]e"),
+    ("ijg", ("jpeg",), "(?:the )?independent jpeg group licen[cs]e"),
+    ("info-zip", ("zip",), "(?:the )?info zip licen[cs]e"),
+    ("intel", ("intel",), "(?:the )?intel (?:open source|simplified software) licen[cs]e"),
+    ("ipa-font", ("ipa",), "(?:the )?ipa font licen[cs]e"),
+    ("ipl-firebird", ("interbase",), "(?:the )?interbase public licen[cs]e"),
+    ("lppl", ("latex",), "(?:the )?latex project public licen[cs]e"),
+    ("lucent", ("lucent",), "(?:the )?lucent public licen[cs]e"),
+    ("miros", ("miros",), "(?:the )?miros licen[cs]e"),
+    ("motosoto", ("motosoto",), "(?:the )?motosoto (?:open source )?licen[cs]e"),
+    ("multics", ("multics",), "(?:the )?multics licen[cs]e"),
+    ("nasa", ("nasa",), "(?:the )?nasa open source (?:agreement )?licen[cs]e"),
+    ("naumen", ("naumen",), "(?:the )?naumen public licen[cs]e"),
+    ("nethack", ("nethack",), "(?:the )?nethack general public licen[cs]e"),
+    ("nokia", ("nokia",), "(?:the )?nokia open source licen[cs]e"),
+    ("ntp", ("ntp",), "(?:the )?ntp licen[cs]e"),
+    ("oclc", ("oclc",), "(?:the )?oclc research public licen[cs]e"),
+    ("ogl-uk", ("government",), "(?:the )?open government licen[cs]e"),
+    ("opl", ("publication",), "(?:the )?open publication licen[cs]e"),
+    ("openldap", ("openldap",), "(?:the )?openldap public licen[cs]e"),
+    ("qpl", ("q", "qt"), "(?:the )?(?:q|qt) public licen[cs]e"),
+    ("rpsl", ("realnetworks",), "(?:the )?realnetworks public source licen[cs]e"),
+    ("rpl", ("reciprocal",), "(?:the )?reciprocal public licen[cs]e"),
+    ("ricoh", ("ricoh",), "(?:the )?ricoh source code public licen[cs]e"),
+    ("sgi-b", ("sgi",), "(?:the )?sgi free software licen[cs]e(?: b)?"),
+    ("simpl", ("simple",), "(?:the )?simple public licen[cs]e"),
+    ("sleepycat", ("sleepycat",), "(?:the )?sleepycat (?:public )?licen[cs]e"),
+    ("sissl", ("sun",), "(?:the )?sun industry standards source licen[cs]e"),
+    ("spl", ("sun",), "(?:the )?sun public licen[cs]e"),
+    ("sugarcrm", ("sugarcrm",), "(?:the )?sugarcrm public licen[cs]e"),
+    ("watcom", ("watcom",), "(?:the )?(?:sybase )?open watcom public licen[cs]e"),
+    ("tcl", ("tcl",), "(?:the )?tcl(?: tk)? licen[cs]e"),
+    ("tmate", ("tmate",), "(?:the )?tmate open source licen[cs]e"),
+    ("unicode", ("unicode",), "(?:the )?unicode (?:inc )?licen[cs]e agreement(?: data files and software)?"),
+    ("vovida", ("vovida",), "(?:the )?vovida software licen[cs]e"),
+    ("wxwindows", ("wxwindows",), "(?:the )?wxwindows library licen[cs]e"),
+    ("xfree86", ("xfree86",), "(?:the )?xfree86 (?:project )?licen[cs]e"),
+    ("yahoo", ("yahoo",), "(?:the )?yahoo public licen[cs]e"),
+    ("zend", ("zend",), "(?:the )?zend (?:engine )?licen[cs]e"),
+    ("zimbra", ("zimbra",), "(?:the )?zimbra public licen[cs]e"),
+    ("cern-ohl", ("cern",), "(?:the )?cern open hardware licen[cs]e"),
+    ("tapr-ohl", ("tapr",), "(?:the )?tapr open hardware licen[cs]e"),
+    ("solderpad", ("solderpad",), "(?:the )?solderpad hardware licen[cs]e"),
+    ("cdla", ("data",), "(?:the )?community data licen[cs]e agreement(?: permissive| sharing)?"),
+    ("odc-by", ("data",), "(?:the )?open data commons attribution licen[cs]e"),
+    ("pddl", ("dedication",), "(?:the )?(?:open data commons )?public domain dedication and licen[cs]e"),
+    ("llama", ("llama",), "(?:the )?llama [0-9 ]{0,4}community licen[cs]e(?: agreement)?"),
+    ("openrail", ("openrail", "rail", "responsible"), "(?:the )?(?:(?:creativeml |bigscience )?(?:open )?rail(?: m)?|creativeml openrail m|openrail m?|responsible ai) licen[cs]e"),
+    ("amazon", ("amazon",), "(?:the )?amazon software licen[cs]e"),
+    ("commons-clause", ("commons",), "(?:the )?commons clause licen[cs]e(?: condition)?"),
+    ("parity", ("parity",), "(?:the )?parity public licen[cs]e"),
+    ("cal", ("autonomy",), "(?:the )?cryptographic autonomy licen[cs]e"),
+    ("hippocratic", ("hippocratic",), "(?:the )?hippocratic licen[cs]e"),
+    ("anti-996", ("996",), "(?:the )?anti 996 licen[cs]e"),
+    ("proprietary", ("evaluation",), "licen[cs]ed for (?:internal )?evaluation (?:purposes )?only"),
+    ("proprietary", ("transferable",), "(?:a )?(?:limited )?non exclusive non transferable (?:revocable )?licen[cs]e to use"),
+    ("proprietary", ("eula", "user"), "end user licen[cs]e agreement"),
+    ("shareware", ("shareware",), "(?:this )?shareware (?:version )?(?:is )?licen[cs]e[ds]?"),
+    ("public-domain", ("dedicated",), "(?:has been )?dedicated to the public domain"),
+    ("public-domain", ("placed",), "(?:has been |is )?placed in the public domain"),
+)
 #: Confidence and priority of a signature.
 SIGNED = (0.95, 9)
 #: Templates: name, pattern around the licence, confidence, priority.
@@ -135,14 +238,14 @@ TEMPLATES = (
     ("name", "{}", 0.6, 1),
 )
 #: What a text must hold, lower-cased, to be looked at further: one of these, or a short name as a word of its own.
-HINTS = ("licen", "gpl", "apache", "creative", "public", "rights", "proprietary", "bsd", "gfdl", "wtfpl", "cddl", "eupl", "odbl", "spdx")
+HINTS = ("licen", "gpl", "apache", "creative", "public", "rights", "proprietary", "bsd", "gfdl", "wtfpl", "cddl", "eupl", "odbl", "spdx", "lizenz")
 SHORT = ("cc", "mpl", "epl", "osl", "ofl", "afl", "asl")
 SHORT_WORD = r"(?<![0-9a-z])(?:cc0|cc[^0-9a-z]*(?:by|zero)|[me]pl|o[sf]l|a[fs]l)(?![a-z])"
 
 
 def rules() -> list[tuple[str, tuple[str, ...], str, float, int]]:
     """(label, keywords, pattern, confidence, priority) in order, one for each pattern: the signatures, then families by versions and templates."""
-    made = [(label, words, f" {sentence}(?= )", *SIGNED) for label, words, sentence in SIGNATURES]
+    made = [(label, words, f" {sentence}(?= )", *SIGNED) for label, words, sentence in (*SIGNATURES, *NAMED)]
     for (label, keywords, names, versions), version, (_, around, sure, priority) in ((f, v, t) for f, t in product(FAMILIES, TEMPLATES) for v in f[3]):
         number = " ".join(version.split(".")) + ("" if "." in version else "(?: 0)?")
         tail = rf"(?:(?: licen[cs]e)?(?: as published by [a-z ]{{1,40}}?)?(?: either)?(?: version| v)? ?v?{number})" if version else "(?: licen[cs]e)?"
