@@ -107,6 +107,17 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_equal_rows_are_dealt_to_many_groups(spark):
+    repeats = packing.Repeats()
+    names = [np.array(x, np.uint64) for x in ([3, 3, 0, 7], [7, 3, 3, 9], range(5000), [3])]
+    assert [repeats(x).tolist() for x in names[:2]] == [[0, 1, 0, 0], [1, 2, 3, 0]]
+    assert repeats(names[2])[[3, 7, 9, 10]].tolist() == [4, 2, 1, 0] and repeats(names[3]).tolist() == [5]
+    docs = spark.createDataFrame([(1, "one page")] * 600 + [(k, f"page {k}") for k in range(2, 40)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), group_documents=20)
+    sizes = collections.Counter(r.sequence_id >> 32 for r in rows.where("start = 0").collect())
+    assert sum(sizes.values()) == 638 and len(sizes) > 25 and max(sizes.values()) < 60
+
+
 def test_pieces_of_one_hash_are_told_apart(monkeypatch):
     rng = random.Random(11)
     pieces = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(300)] * 2

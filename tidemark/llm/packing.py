@@ -13,12 +13,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .blocks import Block, blocks, lean, ragged
+from .blocks import Block, Table, blocks, lean, mixed, ragged
 from .pieces import LOWER, Encoded, by_document, visible_pieces
 
 GROUP_DOCUMENTS = 1024
@@ -121,6 +122,27 @@ def pack(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, in
     return out
 
 
+class Repeats:
+    """Of each of the names asked for, how often it has been asked for before."""
+
+    def __init__(self):
+        self.table, self.counts, self.used = Table(1 << 12), np.zeros(1 << 12, np.uint64), 0
+
+    def __call__(self, names: np.ndarray) -> np.ndarray:
+        codes, values = pd.factorize(np.maximum(names, 1))
+        at = self.table.get(values)
+        new = np.flatnonzero(at < 0)
+        at[new] = np.arange(self.used, self.used + len(new))
+        self.table.put(values[new], at[new])
+        self.used += len(new)
+        while self.used > len(self.counts):
+            self.counts = np.append(self.counts, np.zeros_like(self.counts))
+        within = pd.Series(codes).groupby(codes).cumcount().to_numpy().astype(np.uint64)
+        before = self.counts[at][codes] + within
+        self.counts[at] += np.bincount(codes, minlength=len(values)).astype(np.uint64)
+        return before
+
+
 class WordTokenizer:
     """Ids of a lower-casing word-level BPE by the tokenizers library, asked once for each distinct piece of text."""
 
@@ -172,15 +194,18 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     A document is its ids followed by end_id; null and empty texts are just end_id. Every id lies in one piece. Rows that repeat are packed
     each for itself; a null key stays null. No rows give no pieces. Only key and text are read, so other columns may have any name.
-    The number of groups follows the number of rows; rows are dealt to them by a hash of key and text.
+    The number of groups follows the number of rows; rows are dealt to them by a hash of key, text and how many equal rows of its task came before, so
+    equal rows don't meet in one group. As equal rows can stand for each other, a task that runs again deals the same rows whatever their order.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     groups = max(1, -(-docs.count() // group_documents))
 
     @lean
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokenizer(path)
+        words, earlier = word_tokenizer(path), Repeats()
         for batch in batches:
+            names = batch.column(2).to_numpy().view(np.uint64)
+            dealt = pa.array((mixed(names + mixed(earlier(names) + np.uint64(int(seed)))) % np.uint64(groups)).astype(np.int64))
             for block in blocks(batch.column(1)):
                 ids, offsets = words.encode_block(block)
                 counts = np.diff(offsets)
@@ -189,7 +214,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
                 places = (offsets + np.arange(len(offsets))) * 4
                 raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(held)])
                 part = batch.slice(block.first, len(counts))
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), raw], ["grp", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([dealt.slice(block.first, len(counts)), part.column(0), raw], ["grp", "doc_id", "ids"])
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
@@ -211,6 +236,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.withColumn("grp", F.expr(f"pmod(xxhash64(doc_id, text, {int(seed)}), {groups})"))
-    rows = dealt.mapInArrow(tokens, f"grp long, doc_id {kind}, ids binary")
+    rows = docs.withColumn("name", F.xxhash64("doc_id", "text")).mapInArrow(tokens, f"grp long, doc_id {kind}, ids binary")
     return rows.groupBy("grp").applyInArrow(packed, f"doc_id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
