@@ -15,13 +15,11 @@ HOLD, TOLERANCE, PER_YEAR, FEWEST = 30 * MINUTE, 5 * MINUTE, 24, 20
 CHANNELS = ("revisions", "coarse times", "mid prices")
 
 
-def arms(spark) -> DataFrame:
-    return spark.createDataFrame(list(ARMS), "arm string, use_revised boolean, date_only boolean, use_mid boolean")
-
-
 def orders(events: DataFrame, hold: int = HOLD) -> DataFrame:
     """From events (event_id, instrument, release_at, surprise_first, surprise_final): each arm's direction, entry and exit instants. A positive surprise sells."""
-    wide = events.join(F.broadcast(arms(events.sparkSession)))  # four arms
+    names = ("arm", "use_revised", "date_only", "use_mid")
+    each = F.array(*(F.struct(*(F.lit(value).alias(name) for name, value in zip(names, arm, strict=True))) for arm in ARMS))
+    wide = events.withColumn("__arm", F.explode(each)).select(*events.columns, "__arm.*")
     surprise = F.when(F.col("use_revised"), F.col("surprise_final")).otherwise(F.col("surprise_first"))
     entry = F.when(F.col("date_only"), F.expr(f"release_at - pmod(release_at, {DAY})")).otherwise(F.col("release_at"))
     rows = wide.withColumn("direction", F.when(surprise > 0, -1).when(surprise < 0, 1).otherwise(0)).withColumn("entry_at", entry)
