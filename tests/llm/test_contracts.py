@@ -63,7 +63,7 @@ def sha(b):
 def test_each_query_gives_every_row(spark, folder, rows):
     ids = collections.Counter(k for k, _ in rows)
     for name in queries.QUERIES:
-        if name != "op6_packing":
+        if name not in ("op6_packing", "op11_warc", "op12_negatives", "op13_ranked"):  # rows of their own
             assert counted(collected(spark, folder, name), ["doc_id"]) == collections.Counter({(k,): n for k, n in ids.items()}), name
 
 
