@@ -34,7 +34,7 @@ def hours_needed(events: DataFrame, hold: int = HOLD, tolerance: int = TOLERANCE
 
 
 def trades(events: DataFrame, ticks: DataFrame, tolerance: int = TOLERANCE, hold: int = HOLD) -> DataFrame:
-    """Trades of the events whose quotes every arm has, with their return in basis points; an arm whose surprise is zero or unknown doesn't trade."""
+    """Trades of the events whose quotes every arm has, with their return in basis points; an arm whose surprise is zero or unknown doesn't trade. Of an entry at a price of 0 the return is null."""
     placed = orders(events, hold)
     legs = [placed.select(F.concat_ws("|", "event_id", "arm", F.lit(leg)).alias("ask_id"), "event_id", "arm", F.lit(leg).alias("leg"), "instrument", F.col(f"{leg}_at").alias("ask_at")) for leg in ("entry", "exit")]
     priced = forward_asof(legs[0].unionByName(legs[1]), ticks, tolerance)
@@ -47,7 +47,7 @@ def trades(events: DataFrame, ticks: DataFrame, tolerance: int = TOLERANCE, hold
     rows = rows.withColumn("entry", entry).withColumn("exit", exit_)
     quoted = F.count_if(F.col("entry_bid").isNotNull() & F.col("exit_bid").isNotNull()).over(Window.partitionBy("event_id"))  # four rows
     rows = rows.withColumn("n", quoted).where((F.col("n") == len(ARMS)) & (F.col("direction") != 0))
-    return rows.select("event_id", "arm", "direction", "entry", "exit", (F.col("direction") * (F.col("exit") - F.col("entry")) / F.col("entry") * 10000).alias("return_bps"))
+    return rows.select("event_id", "arm", "direction", "entry", "exit", (F.try_divide(F.col("direction") * (F.col("exit") - F.col("entry")), "entry") * 10000).alias("return_bps"))
 
 
 def metrics(found: DataFrame) -> DataFrame:

@@ -152,9 +152,9 @@ def by_hour(flags: DataFrame) -> DataFrame:
 
 
 def flagged_share(flags: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Distinct flagged (instrument, ts) against all quotes; two one-row aggregates side by side."""
+    """Distinct flagged (instrument, ts) against all quotes; two one-row aggregates side by side. Of no quotes the share is null."""
     marked = flags.select("instrument", "ts").distinct().agg(F.count("*").alias("flagged"))
-    return marked.join(ticks.agg(F.count("*").alias("ticks"))).withColumn("share", F.round(F.col("flagged") / F.col("ticks"), 6))
+    return marked.join(ticks.agg(F.count("*").alias("ticks"))).withColumn("share", F.round(F.try_divide("flagged", "ticks"), 6))
 
 
 def explain_day(flags: DataFrame, ticks: DataFrame, instrument: str, start: int) -> DataFrame:

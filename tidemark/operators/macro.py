@@ -25,13 +25,13 @@ def summary(observations: DataFrame) -> DataFrame:
 
 
 def revisions(observations: DataFrame) -> DataFrame:
-    """First and second vintage of each period where both have a value and they differ."""
+    """First and second vintage of each period where both have a value and they differ; pct is against the first one's absolute value, null if that is 0."""
     by = Window.partitionBy("series_id", "ref_period").orderBy("known_at", "vintage_seq")
     every = Window.partitionBy("series_id", "ref_period")
     rows = observations.withColumn("vintage", F.row_number().over(by)).withColumn("second", F.lead("value").over(by)).withColumn("vintages", F.count("*").over(every))
     rows = rows.where("vintage = 1 AND value IS NOT NULL AND second IS NOT NULL AND value <> second")
     revision = F.col("second") - F.col("value")
-    return rows.select("series_id", "ref_period", F.col("value").alias("first"), "second", F.round(revision, 2).alias("revision"), F.round(100 * revision / F.col("value"), 4).alias("pct"), "vintages")
+    return rows.select("series_id", "ref_period", F.col("value").alias("first"), "second", F.round(revision, 2).alias("revision"), F.round(F.try_divide(100 * revision, F.abs("value")), 4).alias("pct"), "vintages")
 
 
 def load_report(observations: DataFrame) -> DataFrame:
@@ -46,10 +46,38 @@ def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
     return stored.unionByName(new.select(*keys, *(f"v.{c}" for c in rest)))
 
 
-def top_revisions(observations: DataFrame, limit: int, stable: list[str] | None = None) -> DataFrame:
-    """The largest first revisions, of series whose units stay the same if these are named: in a series that is rebased, levels of two vintages don't compare."""
+def rebases(observations: DataFrame, fewest: int = 3, least: float = 0.01, tolerance: float = 0.001) -> DataFrame:
+    """(series_id, known_at, periods, ratio): vintages that change a series' units: all periods which they publish anew differ from before by one ratio.
+
+    A vintage is what becomes known at one instant; a period's value before is its last one known earlier. At least `fewest` periods must have a value in
+    both, their ratios may differ by `tolerance` of the mean, for rounding, and the mean must be off 1 by more than `least`. A missing value or a 0 before
+    tells nothing. The ratio is that of the sums, so that large values, which are rounded the least, count most.
+    """
+    by = Window.partitionBy("series_id", "ref_period").orderBy("known_at", "vintage_seq")
+    # of vintages of one instant the last one holds
+    held = observations.groupBy("series_id", "ref_period", "known_at").agg(F.max_by(F.struct("value", "vintage_seq"), "vintage_seq").alias("v")).select("series_id", "ref_period", "known_at", "v.*")
+    steps = held.withColumn("before", F.lag("value").over(by)).withColumn("r", F.try_divide("value", "before")).where("r IS NOT NULL")
+    found = steps.groupBy("series_id", "known_at").agg(F.count("*").alias("periods"), F.min("r").alias("low"), F.max("r").alias("high"), F.try_divide(F.sum("value"), F.sum("before")).alias("ratio"))
+    same = (F.col("high") - F.col("low") <= tolerance * F.abs("ratio")) & (F.abs(F.col("ratio") - 1) > least)
+    return found.where((F.col("periods") >= fewest) & same).select("series_id", "known_at", "periods", "ratio")
+
+
+def units(observations: DataFrame, **limits: float) -> DataFrame:
+    """(series_id, ref_period, known_at, vintage_seq, value, factor, level): factor is what all rebases of the series after a vintage multiply values by, level the value in the last vintage's units."""
+    changes = rebases(observations, **limits).select("series_id", F.col("known_at").alias("at"), "ratio")
+    # a series has few rebases: an array of them beside its rows
+    listed = changes.groupBy("series_id").agg(F.collect_list(F.struct("at", "ratio")).alias("changes"))
+    factor = F.aggregate(F.filter("changes", lambda c: c["at"] > F.col("known_at")), F.lit(1.0), lambda x, c: x * c["ratio"])
+    rows = observations.join(listed, "series_id", "left").withColumn("factor", F.coalesce(factor, F.lit(1.0)))
+    return rows.select("series_id", "ref_period", "known_at", "vintage_seq", "value", "factor", (F.col("value") * F.col("factor")).alias("level"))
+
+
+def top_revisions(observations: DataFrame, limit: int, stable: list[str] | None = None, **limits: float) -> DataFrame:
+    """The largest first revisions of series whose units stay the same: those named, else those without a rebase that is found. In other series levels of two vintages don't compare."""
     if stable is not None:
         observations = observations.where(F.col("series_id").isin(stable))
+    else:
+        observations = observations.join(rebases(observations, **limits).select("series_id").distinct(), "series_id", "left_anti")
     return revisions(observations).orderBy(F.abs("revision").desc(), "series_id", "ref_period").limit(limit)
 
 

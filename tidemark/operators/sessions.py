@@ -100,9 +100,9 @@ def holidays_by_currency(holidays: DataFrame) -> DataFrame:
 
 
 def overlapping(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Windows that begin before the one before them, by keys, has ended: none in a proper table."""
-    by = Window.partitionBy(*keys).orderBy("span_start", "span_end")
-    return windows.withColumn("before", F.lag("span_end").over(by)).where("before > span_start")
+    """Windows that begin before any of those before them, by keys, has ended: none in a proper table."""
+    by = Window.partitionBy(*keys).orderBy("span_start", "span_end").rowsBetween(Window.unboundedPreceding, -1)
+    return windows.withColumn("before", F.max("span_end").over(by)).where("before > span_start")
 
 
 def rebuilt(stored: DataFrame, fresh: DataFrame, start: int, end: int) -> DataFrame:

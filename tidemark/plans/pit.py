@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY, HOUR, MINUTE, floor_to, instant, local_instant
@@ -98,7 +98,7 @@ def _(spark, d):
 
 REVISED = """WITH r AS (SELECT *, row_number() OVER w AS k, lead(value) OVER w AS second, count(*) OVER (PARTITION BY series_id, ref_period) AS vintages FROM vintage
   WINDOW w AS (PARTITION BY series_id, ref_period ORDER BY known_at, vintage_seq)),
-x AS (SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, value AS first, second, round(second - value, 2) AS revision, round(100 * (second - value) / value, 4) AS pct, vintages FROM r WHERE k = 1 AND value <> second)
+x AS (SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, value AS first, second, round(second - value, 2) AS revision, round(100 * (second - value) / nullif(abs(value), 0), 4) AS pct, vintages FROM r WHERE k = 1 AND value <> second)
 SELECT * FROM x"""
 
 
@@ -109,7 +109,40 @@ def _(spark, d):
 
 @query("revision_top_k", REVISED + " ORDER BY abs(revision) DESC, series_id, ref_period LIMIT 20")
 def _(spark, d):
-    return macro.top_revisions(vintages(spark, d), 20).withColumn("ref_period", period())
+    return macro.top_revisions(vintages(spark, d), 20, [f"S{k}" for k in range(10)]).withColumn("ref_period", period())
+
+
+def archive(spark, d):
+    """The first three vintages of each period, known together in three instants; from the second on S2 and S5 are in units of their own."""
+    numbered = macro.number_vintages(vintages(spark, d)).where("vintage <= 3")
+    factor = F.when((F.col("series_id") == "S2") & (F.col("vintage") >= 2), 1.6).when((F.col("series_id") == "S5") & (F.col("vintage") >= 3), 0.25).otherwise(1.0)
+    revised = F.col("series_id").isin("S2", "S5")
+    first = F.first("value").over(Window.partitionBy("series_id", "ref_period").orderBy("vintage"))
+    return numbered.select("series_id", "ref_period", F.col("vintage").cast("long").alias("known_at"), "vintage_seq", F.round(F.when(revised, first * factor).otherwise(F.col("value")), 2).alias("value"))
+
+
+ARCHIVE = f"""nu AS (SELECT *, {EARLIEST} AS k FROM vintage), ar AS (SELECT series_id, ref_period, k AS known_at, vintage_seq,
+round(CASE WHEN series_id IN ('S2', 'S5') THEN first(value) OVER (PARTITION BY series_id, ref_period ORDER BY k) * CASE WHEN series_id = 'S2' AND k >= 2 THEN 1.6::DOUBLE WHEN series_id = 'S5' AND k >= 3 THEN 0.25::DOUBLE ELSE 1::DOUBLE END ELSE value END, 2) AS value FROM nu WHERE k <= 3),
+st AS (SELECT *, lag(value) OVER (PARTITION BY series_id, ref_period ORDER BY known_at) AS before FROM ar),
+rb AS (SELECT series_id, known_at, count(*) AS periods, sum(value) / sum(before) AS ratio FROM st WHERE value IS NOT NULL AND before <> 0 GROUP BY 1, 2 HAVING count(*) >= 3 AND max(value / before) - min(value / before) <= 0.001 * abs(sum(value) / sum(before)) AND abs(sum(value) / sum(before) - 1) > 0.01)"""
+
+
+@query("rebases_found", f"WITH {ARCHIVE} SELECT series_id, known_at, periods, round(ratio, 6) AS ratio FROM rb")
+def _(spark, d):
+    return macro.rebases(archive(spark, d)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("levels_in_last_units", f"WITH {ARCHIVE} SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, known_at, vintage_seq, value, round(coalesce((SELECT product(ratio) FROM rb WHERE rb.series_id = ar.series_id AND rb.known_at > ar.known_at), 1), 6) AS factor, round(value * coalesce((SELECT product(ratio) FROM rb WHERE rb.series_id = ar.series_id AND rb.known_at > ar.known_at), 1), 3) AS level FROM ar")
+def _(spark, d):
+    rows = macro.units(archive(spark, d))
+    return rows.withColumns({"ref_period": period(), "factor": F.round("factor", 6), "level": F.round("level", 3)})
+
+
+@query("revision_top_k_without_rebases", f"""WITH {ARCHIVE}, r AS (SELECT *, lead(value) OVER w AS second, row_number() OVER w AS n, count(*) OVER (PARTITION BY series_id, ref_period) AS vintages FROM ar WINDOW w AS (PARTITION BY series_id, ref_period ORDER BY known_at))
+SELECT series_id, CAST(ref_period AS VARCHAR) AS ref_period, value AS first, second, round(second - value, 2) AS revision, round(100 * (second - value) / nullif(abs(value), 0), 4) AS pct, vintages FROM r
+WHERE n = 1 AND value <> second AND series_id NOT IN (SELECT series_id FROM rb) ORDER BY abs(round(second - value, 2)) DESC, series_id, ref_period LIMIT 20""")
+def _(spark, d):
+    return macro.top_revisions(archive(spark, d), 20).withColumn("ref_period", period())
 
 
 @query("revised_period_count", f"""WITH r AS (SELECT *, {EARLIEST} AS a, {LATEST} AS z FROM vintage),
@@ -329,7 +362,7 @@ def _(spark, d):
     return flags.by_hour(pure_flags(spark, d))
 
 
-@query("flagged_share", f"WITH f AS ({PURE}) SELECT (SELECT count(*) FROM (SELECT DISTINCT instrument, ts FROM f)) AS flagged, (SELECT count(*) FROM tick) AS ticks, round((SELECT count(*) FROM (SELECT DISTINCT instrument, ts FROM f)) / CAST((SELECT count(*) FROM tick) AS DOUBLE), 6) AS share")
+@query("flagged_share", f"WITH f AS ({PURE}) SELECT (SELECT count(*) FROM (SELECT DISTINCT instrument, ts FROM f)) AS flagged, (SELECT count(*) FROM tick) AS ticks, round((SELECT count(*) FROM (SELECT DISTINCT instrument, ts FROM f)) / CAST(nullif((SELECT count(*) FROM tick), 0) AS DOUBLE), 6) AS share")
 def _(spark, d):
     return flags.flagged_share(pure_flags(spark, d), ticks(spark, d))
 
