@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import DAY, HOUR, MINUTE, instant
 from tidemark.operators import asof, bars, experiment, flags, ledger, macro, monitors, sessions
-from tidemark.sources import SCHEMAS, decimal_factor, decode_bi5, empty, fixture_csv, hour_url, hours_between, rates_from_zip, store, xlsx_cells
+from tidemark.sources import SCHEMAS, decimal_factor, decode_bi5, empty, fixture_csv, hour_url, hours_between, rates_from_zip, store, tables, xlsx_cells
 from tidemark.streaming import bars_stream
 
 TICK = "instrument string, ts long, bid double, ask double, source string, seq long"
@@ -193,12 +193,14 @@ def test_an_arm_without_a_signal_does_not_trade_and_the_others_do(spark):
     assert flips["A-B"] == (1, 1) and flips["B-C"] == (2, 0)
 
 
-def test_a_failing_detector_leaves_its_flags_and_the_others_run(spark):
-    t = at(2024, 1, 9, 12)
-    quotes = spark.createDataFrame([("E", t, 2.0, 1.0, "a", 1), ("E", t + DAY, 2.0, 1.0, "a", 2), ("F", t, 1.0, 1.0, "a", 3)], TICK)
+def test_a_failing_detector_leaves_its_flags_and_the_others_run(spark, tmp_path):
+    t, folder = at(2024, 1, 9, 12), str(tmp_path)
+    store.append_hours(spark.createDataFrame([("E", t, 2.0, 1.0, "a", 1), ("E", t + DAY, 2.0, 1.0, "a", 2), ("F", t, 1.0, 1.0, "a", 3)], TICK), folder)
     stored = spark.createDataFrame([("E", t + 5, "crossed", "old"), ("E", t + DAY, "crossed", "old"), ("E", t, "weekend_gap", "old")], "instrument string, ts long, flag string, detail string")
-    found, counts, errors = flags.rescan(stored, quotes, None, None, None, ["E"], t, t + DAY, ["crossed", "zero_spread", "weekend_gap"])
-    assert counts == {"crossed": 1, "zero_spread": 0} and set(errors) == {"weekend_gap"}
+    tables.append(stored, folder, "tick_flag")
+    report = flags.rescan(spark, folder, None, None, None, ["E"], t, t + DAY, ["crossed", "zero_spread", "weekend_gap"])
+    assert report.written == {"crossed": 1, "zero_spread": 0} and set(report.errors) == {"weekend_gap"}
+    found = tables.read(spark, folder, "tick_flag")
     assert sorted(map(tuple, found.collect())) == [("E", t, "crossed", "bid=2.00000 ask=1.00000 spread=-1.00000"), ("E", t, "weekend_gap", "old"), ("E", t + DAY, "crossed", "old")]
 
 
@@ -206,8 +208,8 @@ def test_stored_hours_and_scopes(spark, tmp_path):
     hour = at(2024, 1, 31, 23)
     quotes = spark.createDataFrame([("E", hour + k, 1.0, 1.1, "a", k) for k in range(3)] + [("E", hour + HOUR, 2.0, 2.1, "a", 9), ("G", hour, 3.0, 3.1, "b", 4)], TICK)
     folder = f"{tmp_path}/tables"
-    store.append_hours(quotes.where("instrument = 'E'"), f"{folder}/tick_raw")
-    store.append_hours(quotes.where("instrument = 'G'"), f"{folder}/tick_raw")
+    store.append_hours(quotes.where("instrument = 'E'"), folder)
+    store.append_hours(quotes.where("instrument = 'G'"), folder)
     inside = store.open_session(spark, folder, instruments=["E"], start=hour, end=hour + HOUR)
     assert sorted(r.seq for r in inside["tick_raw"].collect()) == [0, 1, 2]
     assert inside["macro_observation"].count() == inside["bar_1m"].count() == 0

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY, HOUR, MINUTE, day_of, floor_to, quantile_by_rank
+from ..sources import tables
 from .asof import backward_by_day
 
 STALE_RUN, OUTLIER_MULTIPLE, GAP_MINUTES, FEED_TOLERANCE = 4, 5.0, 120, 0.00005
@@ -122,22 +123,38 @@ def scan(ticks: DataFrame, hours: DataFrame, legs: DataFrame, holidays: DataFram
     return found.where(_scope(instruments, start, end))
 
 
-def rescan(stored: DataFrame, ticks: DataFrame, hours: DataFrame, legs: DataFrame, holidays: DataFrame, instruments: list[str], start: int, end: int, only: list[str] | None = None) -> tuple[DataFrame, dict[str, int], dict[str, str]]:
-    """(the stored flags with those of each detector in the scope found anew, their number by detector, errors by detector).
+@dataclass
+class ScanReport:
+    """What a scan of stored quotes did: flags written by detector, taken from the write's own pass, flags of the same scope that they replaced, errors by detector."""
 
-    A detector replaces its own flags in the scope and no others. One that fails leaves its flags as they were and doesn't stop the rest.
+    written: dict[str, int] = field(default_factory=dict)
+    deleted: dict[str, int] = field(default_factory=dict)
+    errors: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def total(self) -> int:
+        return sum(self.written.values())
+
+
+def rescan(spark: SparkSession, folder: str, hours: DataFrame | None, legs: DataFrame | None, holidays: DataFrame | None, instruments: list[str], start: int, end: int, only: list[str] | None = None) -> ScanReport:
+    """Find the flags of stored quotes in the scope anew and store them: each detector replaces its own flags of the instruments in [start, end) and no others.
+
+    A detector runs once, in the job that writes its flags, which counts them too. One that fails leaves its stored flags as they were and doesn't stop the
+    rest. Quotes before start still tell runs and gaps.
     """
-    counts, errors, scope = {}, {}, _scope(instruments, start, end)
+    report, scope = ScanReport(), _scope(instruments, start, end)
+    # all months to the end: what runs into the scope may have begun long before
+    ticks = tables.read(spark, folder, "tick_raw").where(_scope(instruments, None, end))
     for d in DETECTORS:
         if only is None or d.name in only:
             try:
-                rows = _found(d, ticks.where(_scope(instruments, None, end)), hours, legs, holidays).where(scope)
-                counts[d.name] = rows.count()
+                rows = _found(d, ticks, hours, legs, holidays).where(scope)
+                before = tables.read(spark, folder, "tick_flag", start, end).where(scope & (F.col("flag") == d.name)).count()
+                done = tables.replace(spark, folder, "tick_flag", rows, scope & (F.col("flag") == d.name), [(d.name, i) for i in instruments], start, end)
+                report.written[d.name], report.deleted[d.name] = done.written, before
             except Exception as error:  # noqa: BLE001  whatever it is, it is told
-                errors[d.name] = str(error)
-                continue
-            stored = stored.where(~(scope & (F.col("flag") == d.name))).unionByName(rows.select(*stored.columns))
-    return stored, counts, errors
+                report.errors[d.name] = str(error)
+    return report
 
 
 def totals(flags: DataFrame, ticks: DataFrame) -> DataFrame:

@@ -72,56 +72,64 @@ def hour_url(base: str, instrument: str = "instrument", hour: str = "hour") -> C
     return F.concat_ws("/", F.lit(base), F.col(instrument), place)
 
 
-def decode_bi5(files: DataFrame) -> DataFrame:
-    """From (instrument, hour, content): the ticks of each compressed hour in their order. Records are big-endian milliseconds, ask, bid and two volumes.
+#: A record of the feed's files, big-endian.
+RECORD = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
 
-    An empty content has no ticks; a payload that isn't whole records is an error, as is an instrument without a known factor.
-    """
-    record = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_volume", ">f4"), ("bid_volume", ">f4")])
+
+def hour_ticks(instrument: str, hour: int, content: bytes | None) -> pd.DataFrame:
+    """The ticks of one compressed hour in their order; an empty content has none. A payload that isn't whole records is an error, as is an instrument without a known factor."""
+    raw = lzma.decompress(content) if content else b""
+    if len(raw) % RECORD.itemsize:
+        raise ValueError(f"{len(raw)} bytes aren't whole records of {RECORD.itemsize}")
+    got, factor = np.frombuffer(raw, RECORD), decimal_factor(instrument)
+    return pd.DataFrame({"instrument": instrument, "ts": hour + got["ms"].astype("int64") * 1000, "bid": got["bid"] / factor, "ask": got["ask"] / factor, "bid_volume": got["bid_volume"].astype("float32"), "ask_volume": got["ask_volume"].astype("float32"), "seq": np.arange(len(got))})
+
+
+def decode_bi5(files: DataFrame) -> DataFrame:
+    """hour_ticks of each (instrument, hour, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                raw = lzma.decompress(row.content) if row.content else b""
-                if len(raw) % record.itemsize:
-                    raise ValueError(f"{len(raw)} bytes aren't whole records of {record.itemsize}")
-                got, factor = np.frombuffer(raw, record), decimal_factor(row.instrument)
-                yield pd.DataFrame({"instrument": row.instrument, "ts": row.hour + got["ms"].astype("int64") * 1000, "bid": got["bid"] / factor, "ask": got["ask"] / factor, "bid_volume": got["bid_volume"].astype("float32"), "ask_volume": got["ask_volume"].astype("float32"), "seq": np.arange(len(got))})
+                yield hour_ticks(row.instrument, row.hour, row.content)
 
     return files.mapInPandas(run, "instrument string, ts long, bid double, ask double, bid_volume float, ask_volume float, seq long")
 
 
+def _text_of(node: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in node.iterfind(".//{*}t"))
+
+
+def workbook_cells(content: bytes) -> Iterator[tuple[int, int, str]]:
+    """(row, col, text) of the first sheet's cells; shared and inline strings are resolved, and one that names no shared string is left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names, shared = book.namelist(), []
+        if "xl/sharedStrings.xml" in names:
+            shared = [_text_of(item) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iterfind("{*}si")]
+        sheet = ElementTree.fromstring(book.read(min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))))
+    for node in sheet.iterfind(".//{*}c"):
+        place, value = node.get("r", ""), node.findtext("{*}v")
+        letters = place.rstrip("0123456789")
+        if not letters or letters == place:
+            continue
+        if node.get("t") == "inlineStr":
+            value = _text_of(node)
+        elif node.get("t") == "s" and value is not None:
+            value = shared[int(value)] if value.isdigit() and int(value) < len(shared) else None
+        if value:
+            column = 0
+            for letter in letters:
+                column = column * 26 + ord(letter) - 64
+            yield int(place[len(letters) :]), column, value
+
+
 def xlsx_cells(files: DataFrame) -> DataFrame:
-    """From (name, content) of workbooks: (name, row, col, text) of the first sheet's cells; shared and inline strings are resolved, and one that names no shared string is left out."""
-
-    def text_of(node: ElementTree.Element) -> str:
-        return "".join(t.text or "" for t in node.iterfind(".//{*}t"))
-
-    def cells(content: bytes) -> Iterator[tuple[int, int, str]]:
-        with zipfile.ZipFile(io.BytesIO(content)) as book:
-            names, shared = book.namelist(), []
-            if "xl/sharedStrings.xml" in names:
-                shared = [text_of(item) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iterfind("{*}si")]
-            sheet = ElementTree.fromstring(book.read(min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))))
-        for node in sheet.iterfind(".//{*}c"):
-            place, value = node.get("r", ""), node.findtext("{*}v")
-            letters = place.rstrip("0123456789")
-            if not letters or letters == place:
-                continue
-            if node.get("t") == "inlineStr":
-                value = text_of(node)
-            elif node.get("t") == "s" and value is not None:
-                value = shared[int(value)] if value.isdigit() and int(value) < len(shared) else None
-            if value:
-                column = 0
-                for letter in letters:
-                    column = column * 26 + ord(letter) - 64
-                yield int(place[len(letters) :]), column, value
+    """(name, row, col, text) of workbook_cells from (name, content) of workbooks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                yield pd.DataFrame([(row.name, *c) for c in cells(row.content)], columns=["name", "row", "col", "text"])
+                yield pd.DataFrame([(row.name, *c) for c in workbook_cells(row.content)], columns=["name", "row", "col", "text"])
 
     return files.mapInPandas(run, "name string, row int, col int, text string")
 

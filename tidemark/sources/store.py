@@ -1,35 +1,68 @@
-"""Stored quotes and bars: hours are appended whole, hours of a failed fetch taken back, ranges of bars made anew, and a session reads no more than its scope."""
+"""Stored quotes, bars, flags and calendars: hours are appended whole, hours of a failed fetch taken back, ranges of bars and windows made anew, and a session reads no more than its scope."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from ..functions import HOUR, MINUTE, day_of, floor_to
+from ..functions import HOUR, MINUTE, floor_to
 from ..operators.bars import bars_from_ticks
-from .schemas import SCHEMAS, empty
+from . import tables
+from .schemas import SCHEMAS
 
 MACRO, QUOTES = ("macro_series", "macro_observation", "macro_release"), {"tick_raw": "ts", "bar_1m": "minute"}
 
 
-def append_hours(ticks: DataFrame, path: str) -> None:
-    """Add quotes to the Parquet table, by instrument and month, as they are: nothing is sorted, filtered or made distinct. Committed whole or not at all."""
-    ticks.withColumn("month", F.date_format(day_of("ts"), "yyyy-MM")).write.mode("append").partitionBy("instrument", "month").parquet(path)
+def append_hours(ticks: DataFrame, folder: str) -> None:
+    """Add quotes to tick_raw in the folder, unchanged: neither sorted nor filtered, repeats and all. A job that fails adds none."""
+    tables.append(ticks, folder, "tick_raw")
 
 
 def without_hours(ticks: DataFrame, hours: DataFrame) -> DataFrame:
-    """ticks without those of these (instrument, source, hour): of claims that never settled, never to correct what has settled."""
+    """ticks of which no (instrument, source, hour) is among these hours, as a frame; take_back does it to the stored table."""
     keys = ["instrument", "source", "__hour"]
     return ticks.withColumn("__hour", floor_to("ts", HOUR)).join(hours.select("instrument", "source", F.col("hour").alias("__hour")), keys, "left_anti").select(*ticks.columns)
 
 
+def take_back(spark: SparkSession, folder: str, hours: DataFrame) -> int:
+    """Remove the stored quotes of these (instrument, source, hour): of claims that never settled. Gives how many partitions were swapped.
+
+    One replacement for each instrument, over the months of its hours; these are few, as claims that never settled are those of runs that died.
+    """
+    swapped = 0
+    spans = hours.groupBy("instrument").agg(F.min("hour").alias("first"), F.max("hour").alias("last")).collect()
+    for span in spans:
+        start, end = span.first, span.last + HOUR
+        here = tables.read(spark, folder, "tick_raw", start, end).where(F.col("instrument") == span.instrument)
+        kept = without_hours(here, hours)
+        # all rows of the partitions are dropped, and the kept ones written as new
+        swapped += tables.replace(spark, folder, "tick_raw", kept, F.lit(True), [(span.instrument,)], start, end).partitions
+    return swapped
+
+
 def backfill_bars(bars: DataFrame, ticks: DataFrame, instruments: list[str], start: int, end: int) -> DataFrame:
     """bars with those of the instruments whose minute is in [start, end) made anew from ticks; a second time changes nothing. Both ends are whole minutes."""
+    inside = _bars_inside(instruments, start, end)
+    return bars.where(~inside("minute")).unionByName(bars_from_ticks(ticks.where(inside("ts"))).select(*bars.columns))
+
+
+def _bars_inside(instruments: list[str], start: int, end: int):
     if start % MINUTE or end % MINUTE:
         raise ValueError("a range of bars begins and ends at whole minutes")
-    inside = lambda at: F.col("instrument").isin(instruments) & (F.col(at) >= start) & (F.col(at) < end)
-    return bars.where(~inside("minute")).unionByName(bars_from_ticks(ticks.where(inside("ts"))).select(*bars.columns))
+    return lambda at: F.col("instrument").isin(instruments) & (F.col(at) >= start) & (F.col(at) < end)
+
+
+def store_bars(spark: SparkSession, folder: str, ticks: DataFrame, instruments: list[str], start: int, end: int) -> tables.Replaced:
+    """backfill_bars in the stored table bar_1m: bars of the range are replaced by those of the quotes, others keep their rows, and other partitions their files."""
+    inside = _bars_inside(instruments, start, end)
+    return tables.replace(spark, folder, "bar_1m", bars_from_ticks(ticks.where(inside("ts"))), inside("minute"), [(i,) for i in instruments], start, end)
+
+
+def store_windows(spark: SparkSession, folder: str, name: str, fresh: DataFrame, start: int, end: int, longest: int) -> tables.Replaced:
+    """Replace the stored windows that overlap [start, end) by the fresh ones, which all overlap it. `longest` bounds how long before start a window that overlaps may begin."""
+    overlap = (F.col("span_end") > start) & (F.col("span_start") < end)
+    return tables.replace(spark, folder, name, fresh.where(overlap), overlap, [()], start - longest, end)
 
 
 def scoped(relations: dict[str, DataFrame], series: list[str] | None = None, instruments: list[str] | None = None, start: int | None = None, end: int | None = None) -> dict[str, DataFrame]:
@@ -45,22 +78,20 @@ def scoped(relations: dict[str, DataFrame], series: list[str] | None = None, ins
 
 
 def open_session(spark: SparkSession, folder: str, series: list[str] | None = None, instruments: list[str] | None = None, start: int | None = None, end: int | None = None) -> dict[str, DataFrame]:
-    """scoped over the Parquet tables of a folder; one that was never written is empty, not missing. What is out of scope is left out by partitions where a table has them."""
-    found = {}
-    for name in SCHEMAS:
-        try:
-            found[name] = spark.read.parquet(f"{folder}/{name}")
-        except AnalysisException:
-            found[name] = empty(spark, name)
+    """scoped over the stored tables of a folder; one that was never written is empty, not missing. Of quotes and bars only the partitions of the instruments and months in scope are opened."""
+    found = {name: tables.read(spark, folder, name, *((start, end) if name in QUOTES else ())) for name in SCHEMAS}
     return scoped(found, series, instruments, start, end)
 
 
 def kept_releases(spark: SparkSession, path: str, built: DataFrame, start: int, end: int, refresh: bool = False) -> DataFrame:
     """Releases of [start, end) by released_at, read from the path; built and written there only if nothing is there yet or a refresh is asked for."""
-    try:
-        held = None if refresh else spark.read.parquet(path)
-    except AnalysisException:
-        held = None
+    held = None
+    if not refresh:
+        try:
+            held = spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     if held is None:
         built.write.mode("overwrite").parquet(path)
         held = spark.read.parquet(path)
