@@ -638,11 +638,11 @@ def forms(spark, d):
         factor = decimal_factor(frame.instrument.iloc[0])
         raw = np.zeros(len(frame), [("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("volumes", ">f4", 2)])
         raw["ms"], raw["ask"], raw["bid"] = (frame.ts - frame.hour) // 1000, np.rint(frame.ask * factor), np.rint(frame.bid * factor)
-        return pd.DataFrame({"instrument": [frame.instrument.iloc[0]], "hour": [frame.hour.iloc[0]], "content": [lzma.compress(raw.tobytes(), lzma.FORMAT_ALONE)]})
+        return pd.DataFrame({"instrument": [frame.instrument.iloc[0]], "hour": [frame.hour.iloc[0]], "content": [lzma.compress(raw.tobytes(), lzma.FORMAT_ALONE, preset=0)]})
 
     names = F.create_map(*(F.lit(x) for pair in PAIRS.items() for x in pair))
     rows = ticks(spark, d).where("bid >= 0 AND ask >= 0").withColumns({"instrument": names[F.col("instrument")], "hour": floor_to("ts", HOUR)})
-    return decode_bi5(rows.groupBy("instrument", "hour").applyInPandas(packed, "instrument string, hour long, content binary")).drop("bid_volume", "ask_volume")
+    return decode_bi5(rows.repartition(spark.sparkContext.defaultParallelism, "instrument", "hour").groupBy("instrument", "hour").applyInPandas(packed, "instrument string, hour long, content binary")).drop("bid_volume", "ask_volume")
 
 
 @query("bi5_decode", f"SELECT {PAIR_SQL} AS instrument, ts - ts % 1000 AS ts, round(bid * {FACTOR_SQL}) / {FACTOR_SQL} AS bid, round(ask * {FACTOR_SQL}) / {FACTOR_SQL} AS ask, row_number() OVER (PARTITION BY instrument, ts - ts % {HOUR} ORDER BY ts, seq) - 1 AS seq FROM tick WHERE bid >= 0 AND ask >= 0")
@@ -811,7 +811,7 @@ def fed(spark, d):
         pair, hour, factor = frame.instrument.iloc[0], int(frame.hour.iloc[0]), decimal_factor(frame.instrument.iloc[0])
         raw = np.zeros(len(frame), RECORD)
         raw["ms"], raw["ask"], raw["bid"] = (frame.ts - hour) // 1000, np.rint(frame.ask * factor), np.rint(frame.bid * factor)
-        content = lzma.compress(raw.tobytes(), lzma.FORMAT_ALONE)
+        content = lzma.compress(raw.tobytes(), lzma.FORMAT_ALONE, preset=0)
         content = b"nonsense" if hour // HOUR % 11 == 0 else b"" if hour // HOUR % 13 == 0 else content
         store_, top = feeds.open_folder(folder)
         path = f"{top}/{feeds.place_of(pair, hour)}"
@@ -822,7 +822,7 @@ def fed(spark, d):
 
     names = F.create_map(*(F.lit(x) for pair in PAIRS.items() for x in pair))
     rows = ticks(spark, d).where("bid >= 0 AND ask >= 0").withColumns({"instrument": names[F.col("instrument")], "hour": floor_to("ts", HOUR)})
-    rows.groupBy("instrument", "hour").applyInPandas(put, "n long").agg(F.sum("n")).collect()
+    rows.repartition(spark.sparkContext.defaultParallelism, "instrument", "hour").groupBy("instrument", "hour").applyInPandas(put, "n long").agg(F.sum("n")).collect()
     return folder
 
 
