@@ -29,6 +29,15 @@ def partial_bars(ticks: DataFrame, length: int = MINUTE) -> DataFrame:
     return ticks.groupBy("instrument", "source", floor_to("ts", length).alias("minute")).agg(*cells, F.count("*").alias("tick_count"))
 
 
+def combine_partials(parts: DataFrame) -> DataFrame:
+    """One partial bar for each minute of many, which can be merged with more."""
+    cells = []
+    for side in SIDES:
+        opens, closes = f"{side}_open", f"{side}_close"
+        cells += [F.min(opens).alias(opens), F.max(f"{side}_high").alias(f"{side}_high"), F.min(f"{side}_low").alias(f"{side}_low"), F.max(closes).alias(closes)]
+    return parts.groupBy("instrument", "source", "minute").agg(*cells, F.sum("tick_count").alias("tick_count"))
+
+
 def merge_partials(parts: DataFrame) -> DataFrame:
     cells = []
     for side in SIDES:

@@ -245,11 +245,14 @@ for _name, _find in (("crossed", flags.crossed), ("zero_spread", flags.zero_spre
     _detector(_name, _find)
 
 
-@query("flag_stale", """WITH c AS (SELECT instrument, ts, seq, floor(bid / 25) AS q FROM tick),
+STALE = """WITH c AS (SELECT instrument, ts, seq, floor(bid / 25) AS q FROM tick),
 l AS (SELECT *, CASE WHEN q = lag(q) OVER (PARTITION BY instrument ORDER BY ts, seq) THEN 0 ELSE 1 END AS changed FROM c),
 g AS (SELECT *, sum(changed) OVER (PARTITION BY instrument ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM l),
 n AS (SELECT *, row_number() OVER (PARTITION BY instrument, island ORDER BY ts, seq) AS run FROM g)
-SELECT instrument, ts, seq, 'stale' AS flag FROM n WHERE run >= 4""")
+SELECT instrument, ts, seq, 'stale' AS flag FROM n WHERE run >= 4"""
+
+
+@query("flag_stale", STALE)
 def _(spark, d):
     return flags.stale(coarse(spark, d)).drop("detail")
 

@@ -18,6 +18,7 @@ SCHEMAS = {
     "tick_raw": "instrument string, ts long, bid double, ask double, bid_volume float, ask_volume float, source string, seq long",
     "tick_flag": "instrument string, ts long, flag string, detail string",
     "bar_1m": "instrument string, source string, minute long, bid_open double, bid_high double, bid_low double, bid_close double, ask_open double, ask_high double, ask_low double, ask_close double, tick_count long",
+    "bar_part": "batch long, instrument string, source string, minute long, bid_open struct<ts:bigint,seq:bigint,bid:double>, bid_high double, bid_low double, bid_close struct<ts:bigint,seq:bigint,bid:double>, ask_open struct<ts:bigint,seq:bigint,ask:double>, ask_high double, ask_low double, ask_close struct<ts:bigint,seq:bigint,ask:double>, tick_count long",
     "calendar_hour": "hour long, market_open boolean, rollover boolean",
     "calendar_holiday": "currency string, holiday_date date",
     "calendar_pair_leg": "instrument string, currency string",

@@ -26,6 +26,7 @@ from .schemas import SCHEMAS, empty
 LAYOUT = {
     "tick_raw": ("ts", ("instrument",)),
     "bar_1m": ("minute", ("instrument",)),
+    "bar_part": ("minute", ("batch", "instrument")),
     "tick_flag": ("ts", ("flag", "instrument")),
     "ingest_ledger": ("hour", ("instrument",)),
     "session_window": ("span_start", ()),
