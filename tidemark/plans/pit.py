@@ -544,17 +544,41 @@ def _(spark, d):
     return asof.forward_asof(asks, t, 30 * MINUTE)
 
 
+RELEASES_FROM, RELEASES_TO = (instant(datetime(y, 1, 1, tzinfo=timezone.utc)) for y in (1997, 2001))
+RELEASES = f"""p AS (SELECT series_id, known_at, max(ref_period) AS ref_period FROM vintage GROUP BY 1, 2),
+b AS (SELECT *, max(ref_period) OVER (PARTITION BY series_id ORDER BY known_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+rel AS (SELECT series_id, known_at AS released_at, ref_period AS period FROM b WHERE (before IS NULL OR ref_period > before) AND known_at >= {RELEASES_FROM} AND known_at < {RELEASES_TO}),
+pub AS (SELECT series_id, released_at, period, ref_period, value FROM (SELECT r.*, v.ref_period, v.value, row_number() OVER (PARTITION BY r.series_id, r.released_at, v.ref_period ORDER BY v.known_at DESC, v.vintage_seq DESC) AS k FROM rel r JOIN vintage v ON v.series_id = r.series_id AND v.known_at <= r.released_at) WHERE k = 1 AND value IS NOT NULL),
+c1 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id, released_at ORDER BY ref_period) AS change FROM pub),
+f1 AS (SELECT *, avg(change) OVER w AS mean, count(change) OVER w AS n FROM c1 WINDOW w AS (PARTITION BY series_id, released_at ORDER BY ref_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+las AS (SELECT series_id, ref_period, value FROM (SELECT *, {LATEST} AS k FROM vintage) WHERE k = 1 AND value IS NOT NULL),
+c2 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY ref_period) AS change FROM las),
+f2 AS (SELECT *, avg(change) OVER w AS mean, count(change) OVER w AS n FROM c2 WINDOW w AS (PARTITION BY series_id ORDER BY ref_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+re AS (SELECT f1.series_id, released_at, CAST(f1.ref_period AS VARCHAR) AS ref_period, f1.value AS first_print, f2.value AS final_value, round(f1.change - f1.mean, 5) AS surprise_first, round(f2.change - f2.mean, 5) AS surprise_final
+FROM f1 JOIN f2 ON f2.series_id = f1.series_id AND f2.ref_period = f1.ref_period WHERE f1.ref_period = period AND f1.n = 12 AND f1.change IS NOT NULL AND f2.n = 12 AND f2.change IS NOT NULL)"""
+
+
+@query("release_events", f"WITH {RELEASES} SELECT * FROM re")
+def _(spark, d):
+    rows = macro.release_events(vintages(spark, d), RELEASES_FROM, RELEASES_TO)
+    return rows.select("series_id", "released_at", period(), "first_print", "final_value", F.round("surprise_first", 5).alias("surprise_first"), F.round("surprise_final", 5).alias("surprise_final"))
+
+
+#: Which instrument a series' releases move; the quotes are of January 2024, so a release is moved there, to the same time of its run of 29 days.
+MOVED = ("click", "error", "purchase", "signup", "view")
+
+
 def events_of(spark, d):
-    """A release every 8 hours of each instrument, with surprises by a rule."""
-    hours = hours_between(spark, FROM_US, TO_US - 2 * DAY).where(F.expr(f"(hour div {HOUR}) % 8 = 5"))
-    names = spark.createDataFrame([(n, i) for i, n in enumerate(("click", "error", "purchase", "signup", "view"))], "instrument string, i int")
-    k = F.expr(f"hour div {HOUR}")
-    rows = hours.join(F.broadcast(names))  # five instruments
-    return rows.select(F.concat_ws("-", "instrument", k).alias("event_id"), "instrument", F.col("hour").alias("release_at"), (k * 7 % 5 - 2).cast("double").alias("surprise_first"), (k * 11 % 7 - 3).cast("double").alias("surprise_final"))
+    """The releases of the vintages with both surprises, each on its series' instrument."""
+    found = macro.release_events(vintages(spark, d), RELEASES_FROM, RELEASES_TO)
+    k = F.substring("series_id", 2, 1).cast("int")
+    names = F.array(*map(F.lit, MOVED))
+    at = F.lit(FROM_US + 8 * HOUR) + F.pmod(F.col("released_at") - RELEASES_FROM, F.lit(29 * DAY)) + HOUR * (k % 3)
+    return found.select(F.concat_ws("-", "series_id", "released_at").alias("event_id"), names[k % 5].alias("instrument"), at.alias("release_at"), F.round("surprise_first", 5).alias("surprise_first"), F.round("surprise_final", 5).alias("surprise_final"))
 
 
-TRADES = f"""ev AS (SELECT instrument || '-' || (hour // {HOUR}) AS event_id, instrument, hour AS release_at, CAST(hour // {HOUR} * 7 % 5 - 2 AS DOUBLE) AS surprise_first, CAST(hour // {HOUR} * 11 % 7 - 3 AS DOUBLE) AS surprise_final
-  FROM (SELECT unnest(range({FROM_US}, {TO_US - 2 * DAY}, {HOUR})) AS hour), (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS v(instrument) WHERE (hour // {HOUR}) % 8 = 5),
+TRADES = RELEASES + f""",
+ev AS (SELECT series_id || '-' || released_at AS event_id, {list(MOVED)}[CAST(series_id[2:] AS INT) % 5 + 1] AS instrument, {FROM_US + 8 * HOUR} + (released_at - {RELEASES_FROM}) % {29 * DAY} + {HOUR} * (CAST(series_id[2:] AS INT) % 3) AS release_at, surprise_first, surprise_final FROM re),
 arm AS (SELECT * FROM (VALUES ('A', false, false, false), ('B', true, false, false), ('C', true, true, false), ('D', true, true, true)) AS v(arm, use_revised, date_only, use_mid)),
 o AS (SELECT *, CAST(-sign(CASE WHEN use_revised THEN surprise_final ELSE surprise_first END) AS INT) AS direction, CASE WHEN date_only THEN release_at - release_at % {DAY} ELSE release_at END AS entry_at FROM ev, arm),
 cl AS (SELECT * FROM tick WHERE bid <= ask),
@@ -665,25 +689,6 @@ def _(spark, d):
     return sessions.pair_legs(spark).join(sessions.currency_countries(spark), "currency")
 
 
-RELEASES_FROM, RELEASES_TO = (instant(datetime(y, 1, 1, tzinfo=timezone.utc)) for y in (1997, 2001))
-
-
-@query("release_events", f"""WITH p AS (SELECT series_id, known_at, max(ref_period) AS ref_period FROM vintage GROUP BY 1, 2),
-b AS (SELECT *, max(ref_period) OVER (PARTITION BY series_id ORDER BY known_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
-rel AS (SELECT series_id, known_at AS released_at, ref_period AS period FROM b WHERE (before IS NULL OR ref_period > before) AND known_at >= {RELEASES_FROM} AND known_at < {RELEASES_TO}),
-pub AS (SELECT series_id, released_at, period, ref_period, value FROM (SELECT r.*, v.ref_period, v.value, row_number() OVER (PARTITION BY r.series_id, r.released_at, v.ref_period ORDER BY v.known_at DESC, v.vintage_seq DESC) AS k FROM rel r JOIN vintage v ON v.series_id = r.series_id AND v.known_at <= r.released_at) WHERE k = 1 AND value IS NOT NULL),
-c1 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id, released_at ORDER BY ref_period) AS change FROM pub),
-f1 AS (SELECT *, avg(change) OVER w AS mean, count(change) OVER w AS n FROM c1 WINDOW w AS (PARTITION BY series_id, released_at ORDER BY ref_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
-las AS (SELECT series_id, ref_period, value FROM (SELECT *, {LATEST} AS k FROM vintage) WHERE k = 1 AND value IS NOT NULL),
-c2 AS (SELECT *, value - lag(value) OVER (PARTITION BY series_id ORDER BY ref_period) AS change FROM las),
-f2 AS (SELECT *, avg(change) OVER w AS mean, count(change) OVER w AS n FROM c2 WINDOW w AS (PARTITION BY series_id ORDER BY ref_period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
-SELECT f1.series_id, released_at, CAST(f1.ref_period AS VARCHAR) AS ref_period, f1.value AS first_print, f2.value AS final_value, round(f1.change - f1.mean, 5) AS surprise_first, round(f2.change - f2.mean, 5) AS surprise_final
-FROM f1 JOIN f2 ON f2.series_id = f1.series_id AND f2.ref_period = f1.ref_period WHERE f1.ref_period = period AND f1.n = 12 AND f1.change IS NOT NULL AND f2.n = 12 AND f2.change IS NOT NULL""")
-def _(spark, d):
-    rows = macro.release_events(vintages(spark, d), RELEASES_FROM, RELEASES_TO)
-    return rows.select("series_id", "released_at", period(), "first_print", "final_value", F.round("surprise_first", 5).alias("surprise_first"), F.round("surprise_final", 5).alias("surprise_final"))
-
-
 @query("asof_macro_many", f"""WITH asks AS (SELECT DISTINCT known_at - known_at % {30 * DAY} AS ask_at FROM vintage),
 r AS (SELECT ask_at, v.*, row_number() OVER (PARTITION BY ask_at, series_id, ref_period ORDER BY known_at DESC, vintage_seq DESC) AS k FROM asks JOIN vintage v ON v.known_at <= ask_at)
 SELECT ask_at, {MACRO_OUT} FROM r WHERE k = 1""")
