@@ -256,3 +256,58 @@ def test_notes_of_a_study_without_trades(spark):
     rows = [(str(e), arm, 1, 1.0, 1.0, base + e % 2) for e in range(20) for arm, base in (("A", 0.0), ("B", 1.0), ("C", 5.0), ("D", 6.0))]
     row = experiment.notes(spark.createDataFrame(rows, none.schema)).first()
     assert (row.events, row.underpowered, row.ordering_holds, row.largest_source) == (20, False, True, "coarse times")
+
+
+OBSERVATION = "series_id string, ref_period date, known_at long, value double, vintage_seq long"
+
+
+def test_revisions_of_zero_and_negative_first_prints(spark):
+    rows = [("A", date(2024, 1, 1), 1, -4.0, 1), ("A", date(2024, 1, 1), 2, 5.0, 2), ("A", date(2024, 2, 1), 1, 0.0, 3), ("A", date(2024, 2, 1), 2, 3.0, 4), ("A", date(2024, 3, 1), 1, None, 5), ("A", date(2024, 3, 1), 2, 3.0, 6), ("A", date(2024, 4, 1), 1, 2.0, 7), ("A", date(2024, 4, 1), 2, 2.0, 8)]
+    found = macro.revisions(spark.createDataFrame(rows, OBSERVATION)).orderBy("ref_period").collect()
+    assert [(r.first, r.second, r.revision, r.pct, r.vintages) for r in found] == [(-4.0, 5.0, 9.0, 225.0, 2), (0.0, 3.0, 3.0, None, 2)]
+    assert macro.revisions(spark.createDataFrame([], OBSERVATION)).count() == 0
+
+
+def archive(spark):
+    """Three vintages of eight periods: R is rebased twice, N revised by news, Z publishes all zeros, F has too few periods to tell."""
+    rows, seq = [], 0
+    for series, steps in (("R", (1.0, 2.5, 0.5)), ("N", (1.0, 1.0, 1.0)), ("Z", (0.0, 0.0, 0.0)), ("F", (1.0, 2.0, 2.0))):
+        for k in range(2 if series == "F" else 8):
+            value = 100.0 + 7 * k
+            for v, step in enumerate(steps):
+                value = round(value * step, 1) + (0.3 * (k % 3) if series == "N" and v else 0.0)
+                seq += 1
+                rows.append((series, date(2020, 1 + k, 1), v + 1, None if series == "R" and k == 7 and v == 1 else value, seq))
+    return spark.createDataFrame(rows, OBSERVATION)
+
+
+def test_rebases_are_found_and_left_out_of_the_ranking(spark):
+    held = archive(spark)
+    found = {(r.series_id, r.known_at): (r.periods, round(r.ratio, 3)) for r in macro.rebases(held).collect()}
+    assert found == {("R", 2): (7, 2.5), ("R", 3): (7, 0.5)}
+    assert macro.rebases(held, fewest=2).where("series_id = 'F'").count() == 1
+    ranked = macro.top_revisions(held, 50).collect()
+    assert {r.series_id for r in ranked} == {"N", "F"}
+    assert macro.top_revisions(held, 50, ["R"]).count() == 7
+    levels = macro.units(held).where("series_id = 'R' AND ref_period = DATE'2020-01-01'").orderBy("known_at").collect()
+    assert [(round(r.factor, 4), round(r.level, 3)) for r in levels] == [(1.25, 125.0), (0.5, 125.0), (1.0, 125.0)]
+    # repeated rows of one instant count once, and an empty table has no rebases
+    assert macro.rebases(held.unionByName(held)).count() == 2 and macro.rebases(held.limit(0)).count() == 0
+
+
+def test_no_quotes_have_no_share(spark):
+    none, empty_flags = spark.createDataFrame([], TICK), empty(spark, "tick_flag")
+    row = flags.flagged_share(empty_flags, none).first()
+    assert (row.flagged, row.ticks, row.share) == (0, 0, None)
+
+
+def test_an_entry_at_zero_has_no_return(spark):
+    t = at(2024, 1, 9, 12)
+    quotes = spark.createDataFrame([("E", t + k * 60 * MINUTE // 2, 0.0, 0.0, "a", k) for k in range(-26, 4)], TICK)
+    events = spark.createDataFrame([("f", "E", t, 1.0, -1.0)], "event_id string, instrument string, release_at long, surprise_first double, surprise_final double")
+    assert [r.return_bps for r in experiment.trades(events, quotes).collect()] == [None] * 4
+
+
+def test_a_window_inside_a_long_one_overlaps_it(spark):
+    windows = spark.createDataFrame([("s", 0, 100), ("s", 10, 20), ("s", 30, 40), ("s", 100, 110), ("t", 0, 5)], "session string, span_start long, span_end long")
+    assert sorted(r.span_start for r in sessions.overlapping(windows, ["session"]).collect()) == [10, 30]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY, HOUR, MINUTE, floor_to, instant, local_instant
+from ..functions import DAY, HOUR, MINUTE, day_of, floor_to, instant, local_instant
 from ..operators import asof, bars, experiment, flags, ledger, macro, monitors, sessions
 from ..sources import hour_url, hours_between, reference_rates_wide, store, tables, ticks, unpivot_rates, vintages
 
@@ -18,6 +18,15 @@ ORACLE_SQL: dict[str, str] = {}
 AS_OF = instant(datetime(1998, 6, 30, tzinfo=timezone.utc))
 NOW = instant(datetime(2024, 1, 20, 12, 0, 30, tzinfo=timezone.utc))
 START, END = date(2024, 1, 1), date(2024, 2, 1)
+#: The days that the events span, from the first until before the day after the last.
+FIRST_DAY, NEXT_DAY = "(SELECT CAST(min(ts) AS DATE) FROM events)", "(SELECT CAST(max(ts) AS DATE) + 1 FROM events)"
+
+
+def span(spark: SparkSession, d: str) -> tuple[date, date]:
+    """FIRST_DAY and NEXT_DAY."""
+    at = F.col("ts").cast("timestamp_ntz").cast("date")
+    return tuple(spark.read.parquet(f"{d}/events.parquet").agg(F.min(at), F.date_add(F.max(at), 1)).first())
+
 
 TICK = """tick AS (SELECT event_type AS instrument, epoch_us(ts) AS ts, value AS bid, value + ((event_id % 23) - 1) / CAST(100 AS DOUBLE) AS ask,
   CASE WHEN user_id % 2 = 0 THEN 'feed_a' ELSE 'feed_b' END AS source, event_id AS seq FROM events)"""
@@ -258,12 +267,12 @@ def _(spark, d):
 
 
 NY = "epoch_us(timezone('America/New_York', {}))"
-DAYS = f"SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}' - 1, INTERVAL 1 DAY)) AS DATE) AS day"
+DAYS = f"SELECT CAST(unnest(generate_series({FIRST_DAY}, {NEXT_DAY} - 1, INTERVAL 1 DAY)) AS DATE) AS day"
 MARKET = f"""market AS (SELECT {NY.format("day + INTERVAL 17 HOUR")} AS span_start, {NY.format("day + INTERVAL 5 DAY + INTERVAL 17 HOUR")} AS span_end
-  FROM (SELECT CAST(unnest(generate_series(DATE '{START}' - 7, DATE '{END}' - 1, INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) = 7)"""
-MARKET_HELD = f"SELECT * FROM market WHERE span_start < epoch_us(TIMESTAMP '{END}') AND span_end > epoch_us(TIMESTAMP '{START}')"
+  FROM (SELECT CAST(unnest(generate_series({FIRST_DAY} - 7, {NEXT_DAY} - 1, INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) = 7)"""
+MARKET_HELD = f"SELECT * FROM market WHERE span_start < epoch_us(CAST({NEXT_DAY} AS TIMESTAMP)) AND span_end > epoch_us(CAST({FIRST_DAY} AS TIMESTAMP))"
 ROLL = f"""roll AS (SELECT day, {NY.format("day + INTERVAL 17 HOUR")} AS span_start, {NY.format("day + INTERVAL 18 HOUR")} AS span_end
-  FROM (SELECT CAST(unnest(generate_series(DATE '{START}' - 7, DATE '{END}' + 6, INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) < 6)"""
+  FROM (SELECT CAST(unnest(generate_series({FIRST_DAY} - 7, {NEXT_DAY} + 6, INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) < 6)"""
 CALENDAR = f"""{MARKET}, held AS ({MARKET_HELD}), {ROLL},
 cal AS (SELECT h AS hour, EXISTS (SELECT 1 FROM held m WHERE h >= m.span_start AND h < m.span_end) AS market_open, EXISTS (SELECT 1 FROM roll r WHERE h >= r.span_start AND h < r.span_end) AS rollover
   FROM (SELECT unnest(range((SELECT min(span_start) FROM held), (SELECT max(span_end) FROM held) + 1, {HOUR})) AS h))"""
@@ -272,27 +281,28 @@ cal AS (SELECT h AS hour, EXISTS (SELECT 1 FROM held m WHERE h >= m.span_start A
 @query("session_windows", "WITH s AS (SELECT * FROM (VALUES ('sydney','Australia/Sydney',7,16),('tokyo','Asia/Tokyo',9,18),('london','Europe/London',8,17),('new_york','America/New_York',8,17)) AS v(session, zone, a, b))"
        f" SELECT session, CAST(day AS VARCHAR) AS day, epoch_us(timezone(zone, day + a * INTERVAL 1 HOUR)) AS span_start, epoch_us(timezone(zone, day + b * INTERVAL 1 HOUR)) AS span_end FROM s, ({DAYS})")
 def _(spark, d):
-    return sessions.session_windows(spark, START, END).withColumn("day", F.col("day").cast("string"))
+    return sessions.session_windows(spark, *span(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("market_windows", f"WITH {MARKET} {MARKET_HELD}")
 def _(spark, d):
-    return sessions.market_windows(spark, START, END)
+    return sessions.market_windows(spark, *span(spark, d))
 
 
-@query("rollover_windows", f"WITH {ROLL} SELECT CAST(day AS VARCHAR) AS day, span_start, span_end FROM roll WHERE day >= DATE '{START}' AND day < DATE '{END}'")
+@query("rollover_windows", f"WITH {ROLL} SELECT CAST(day AS VARCHAR) AS day, span_start, span_end FROM roll WHERE day >= {FIRST_DAY} AND day < {NEXT_DAY}")
 def _(spark, d):
-    return sessions.rollover_windows(spark, START, END).withColumn("day", F.col("day").cast("string"))
+    return sessions.rollover_windows(spark, *span(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
-OVERLAP = """SELECT day, greatest(epoch_us(timezone('Europe/London', day + INTERVAL 8 HOUR)), epoch_us(timezone('America/New_York', day + INTERVAL 8 HOUR))) AS span_start,
+OVERLAP = f"""SELECT day, greatest(epoch_us(timezone('Europe/London', day + INTERVAL 8 HOUR)), epoch_us(timezone('America/New_York', day + INTERVAL 8 HOUR))) AS span_start,
 least(epoch_us(timezone('Europe/London', day + INTERVAL 17 HOUR)), epoch_us(timezone('America/New_York', day + INTERVAL 17 HOUR))) AS span_end
-FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS day)"""
+FROM (SELECT CAST(unnest(generate_series(make_date(year({FIRST_DAY}), 1, 1), make_date(year({FIRST_DAY}), 12, 31), INTERVAL 1 DAY)) AS DATE) AS day)"""
 
 
 @query("london_ny_overlap", f"SELECT CAST(day AS VARCHAR) AS day, span_start, span_end, greatest(0, span_end - span_start) / CAST({HOUR} AS DOUBLE) AS hours FROM ({OVERLAP})")
 def _(spark, d):
-    return sessions.london_ny_overlap(spark, date(2024, 1, 1), date(2025, 1, 1)).withColumn("day", F.col("day").cast("string"))
+    year = span(spark, d)[0].year
+    return sessions.london_ny_overlap(spark, date(year, 1, 1), date(year + 1, 1, 1)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("dst_offset_weeks", f"""WITH o AS (SELECT day, greatest(0, span_end - span_start) / CAST({HOUR} AS DOUBLE) AS hours, row_number() OVER (ORDER BY day) AS k FROM ({OVERLAP}) WHERE isodow(day) < 6),
@@ -300,51 +310,53 @@ u AS (SELECT hours AS usual FROM o GROUP BY 1 ORDER BY count(*) DESC, min(day) L
 i AS (SELECT *, k - row_number() OVER (ORDER BY day) AS island FROM o, u WHERE hours <> usual)
 SELECT CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, count(*) AS days, arg_min(hours, day) AS hours, arg_min(hours, day) - any_value(usual) AS difference FROM i GROUP BY island""")
 def _(spark, d):
-    return sessions.dst_offset_weeks(spark, 2024).withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+    return sessions.dst_offset_weeks(spark, span(spark, d)[0].year).withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
 
 
 @query("calendar_hour", f"WITH {CALENDAR} SELECT * FROM cal")
 def _(spark, d):
-    return sessions.calendar_hours(spark, START, END)
+    return sessions.calendar_hours(spark, *span(spark, d))
 
 
 @query("flag_rollover", f"WITH {CALENDAR} SELECT instrument, ts, seq, 'rollover_window' AS flag FROM tick JOIN cal ON ts - ts % {HOUR} = hour WHERE rollover")
 def _(spark, d):
-    return flags.rollover_window(ticks(spark, d), sessions.calendar_hours(spark, START, END)).drop("detail")
+    return flags.rollover_window(ticks(spark, d), sessions.calendar_hours(spark, *span(spark, d))).drop("detail")
 
 
 @query("flag_weekend", f"WITH {CALENDAR} SELECT instrument, ts, seq, 'weekend_gap' AS flag FROM tick JOIN cal ON ts - ts % {HOUR} = hour WHERE NOT market_open")
 def _(spark, d):
-    return flags.weekend_gap(ticks(spark, d), sessions.calendar_hours(spark, START, END)).drop("detail")
+    return flags.weekend_gap(ticks(spark, d), sessions.calendar_hours(spark, *span(spark, d))).drop("detail")
 
 
 LEGS = [("click", "EUR"), ("click", "USD"), ("view", "USD"), ("view", "JPY"), ("error", "GBP"), ("error", "USD")]
-HOLIDAYS = [("USD", "2024-01-01"), ("USD", "2024-01-15"), ("EUR", "2024-01-01"), ("JPY", "2024-01-08"), ("GBP", "2024-01-01")]
+#: A currency's holidays, for want of others: the three days with the fewest quotes of its instruments, of equal ones the earlier.
+HOL_SQL = f"""legs AS (SELECT * FROM (VALUES {', '.join(map(str, LEGS))}) AS v(instrument, currency)),
+dq AS (SELECT currency, CAST(make_timestamp(ts) AS DATE) AS d, count(*) AS n FROM tick JOIN legs USING (instrument) GROUP BY 1, 2),
+hol AS (SELECT currency, d FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY n, d) AS k FROM dq) WHERE k <= 3)"""
 
 
-@query("flag_holiday_thin", f"""WITH legs AS (SELECT * FROM (VALUES {', '.join(map(str, LEGS))}) AS v(instrument, currency)), hol AS (SELECT currency, CAST(d AS DATE) AS d FROM (VALUES {', '.join(map(str, HOLIDAYS))}) AS v(currency, d))
-SELECT t.instrument, t.ts, t.seq, 'holiday_thin' AS flag FROM tick t JOIN legs USING (instrument) JOIN hol ON hol.currency = legs.currency AND CAST(make_timestamp(t.ts) AS DATE) = hol.d""")
+@query("flag_holiday_thin", f"WITH {HOL_SQL} SELECT t.instrument, t.ts, t.seq, 'holiday_thin' AS flag FROM tick t JOIN legs USING (instrument) JOIN hol ON hol.currency = legs.currency AND CAST(make_timestamp(t.ts) AS DATE) = hol.d")
 def _(spark, d):
-    return flags.holiday_thin(ticks(spark, d), *calendar_tables(spark)).drop("detail")
+    return flags.holiday_thin(ticks(spark, d), *calendar_tables(spark, d)).drop("detail")
 
 
-def calendar_tables(spark):
-    holidays = spark.createDataFrame(HOLIDAYS, "currency string, h string").select("currency", F.col("h").cast("date").alias("holiday_date"))
-    return spark.createDataFrame(LEGS, "instrument string, currency string"), holidays
-
-
-HOL_SQL = f"""legs AS (SELECT * FROM (VALUES {', '.join(map(str, LEGS))}) AS v(instrument, currency)), hol AS (SELECT currency, CAST(d AS DATE) AS d FROM (VALUES {', '.join(map(str, HOLIDAYS))}) AS v(currency, d))"""
+def calendar_tables(spark, d):
+    legs = spark.createDataFrame(LEGS, "instrument string, currency string")
+    daily = ticks(spark, d).groupBy("instrument", day_of("ts").alias("holiday_date")).agg(F.count("*").alias("n"))
+    per = daily.join(legs, "instrument").groupBy("currency", "holiday_date").agg(F.sum("n").alias("n"))  # a row for each day
+    thinnest = F.row_number().over(Window.partitionBy("currency").orderBy("n", "holiday_date"))
+    return legs, per.withColumn("k", thinnest).where("k <= 3").select("currency", "holiday_date")
 
 
 @query("describe_holidays", f"""WITH {HOL_SQL}, c AS (SELECT instrument, d, string_agg(DISTINCT currency, ',' ORDER BY currency) AS holidays FROM legs JOIN hol USING (currency) GROUP BY 1, 2)
 SELECT t.instrument, t.ts, t.seq, coalesce(holidays, '') AS holidays FROM tick t LEFT JOIN c ON c.instrument = t.instrument AND c.d = CAST(make_timestamp(t.ts) AS DATE)""")
 def _(spark, d):
-    return sessions.holidays_of(ticks(spark, d).select("instrument", "ts", "seq"), *calendar_tables(spark))
+    return sessions.holidays_of(ticks(spark, d).select("instrument", "ts", "seq"), *calendar_tables(spark, d))
 
 
 @query("holidays_by_currency", f"WITH {HOL_SQL} SELECT currency, count(DISTINCT d) AS holidays, CAST(min(d) AS VARCHAR) AS first_day, CAST(max(d) AS VARCHAR) AS last_day FROM hol GROUP BY 1")
 def _(spark, d):
-    rows = sessions.holidays_by_currency(calendar_tables(spark)[1])
+    rows = sessions.holidays_by_currency(calendar_tables(spark, d)[1])
     return rows.select("currency", "holidays", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"))
 
 
@@ -412,14 +424,14 @@ SESSION_SQL = f"""s AS (SELECT session, epoch_us(timezone(zone, day + a * INTERV
 @query("describe_instants", f"""WITH {SESSION_SQL}, {MARKET}, held AS ({MARKET_HELD}), {ROLL}, i AS (SELECT DISTINCT ts FROM tick),
 n AS (SELECT i.ts, string_agg(DISTINCT session, ',' ORDER BY session) AS sessions, count(DISTINCT session) AS k FROM i JOIN s ON i.ts >= span_start AND i.ts < span_end GROUP BY 1)
 SELECT i.ts, coalesce(sessions, '') AS sessions, coalesce(k > 1, false) AS in_overlap, EXISTS (SELECT 1 FROM held m WHERE i.ts >= m.span_start AND i.ts < m.span_end) AS market_open,
-EXISTS (SELECT 1 FROM roll r WHERE r.day >= DATE '{START}' AND r.day < DATE '{END}' AND i.ts >= r.span_start AND i.ts < r.span_end) AS is_rollover FROM i LEFT JOIN n USING (ts)""")
+EXISTS (SELECT 1 FROM roll r WHERE r.day >= {FIRST_DAY} AND r.day < {NEXT_DAY} AND i.ts >= r.span_start AND i.ts < r.span_end) AS is_rollover FROM i LEFT JOIN n USING (ts)""")
 def _(spark, d):
-    return sessions.describe(ticks(spark, d), sessions.session_windows(spark, START, END), sessions.market_windows(spark, START, END), sessions.rollover_windows(spark, START, END))
+    return sessions.describe(ticks(spark, d), sessions.session_windows(spark, *span(spark, d)), sessions.market_windows(spark, *span(spark, d)), sessions.rollover_windows(spark, *span(spark, d)))
 
 
 @query("session_coverage", f"WITH {SESSION_SQL} SELECT session, count(*) AS windows, min(span_start) AS first_start, max(span_end) AS last_end, CAST(sum(span_end - span_start) AS BIGINT) // {HOUR} AS hours FROM s GROUP BY 1")
 def _(spark, d):
-    rows = sessions.session_windows(spark, START, END).groupBy("session")
+    rows = sessions.session_windows(spark, *span(spark, d)).groupBy("session")
     return rows.agg(F.count("*").alias("windows"), F.min("span_start").alias("first_start"), F.max("span_end").alias("last_end"), F.expr(f"sum(span_end - span_start) div {HOUR}").alias("hours"))
 
 
@@ -684,9 +696,14 @@ def _(spark, d):
     return hours.withColumn("url", hour_url("feed"))
 
 
-@query("pair_countries", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c}', '{k}')" for p, legs in (("EURUSD", (("EUR", "DE"), ("USD", "US"))), ("GBPUSD", (("GBP", "GB"), ("USD", "US"))), ("USDJPY", (("USD", "US"), ("JPY", "JP"))), ("USDCHF", (("USD", "US"), ("CHF", "CH"))), ("AUDUSD", (("AUD", "AU"), ("USD", "US"))), ("USDCAD", (("USD", "US"), ("CAD", "CA"))), ("NZDUSD", (("NZD", "NZ"), ("USD", "US"))), ("EURJPY", (("EUR", "DE"), ("JPY", "JP"))), ("GBPJPY", (("GBP", "GB"), ("JPY", "JP")))) for c, k in legs) + ") AS v(instrument, currency, country)")
+LEG_COUNTRIES = "('EURUSD', 'EUR', 'DE'), ('EURUSD', 'USD', 'US'), ('USDJPY', 'USD', 'US'), ('USDJPY', 'JPY', 'JP'), ('GBPUSD', 'GBP', 'GB'), ('GBPUSD', 'USD', 'US'), ('GBPJPY', 'GBP', 'GB'), ('GBPJPY', 'JPY', 'JP'), ('USDCAD', 'USD', 'US'), ('USDCAD', 'CAD', 'CA')"
+
+
+@query("pair_countries", f"WITH n AS (SELECT {PAIR_SQL} AS instrument, count(*) AS ticks FROM tick GROUP BY 1) SELECT n.instrument, currency, country, ticks FROM n JOIN (VALUES {LEG_COUNTRIES}) AS v(instrument, currency, country) USING (instrument)")
 def _(spark, d):
-    return sessions.pair_legs(spark).join(sessions.currency_countries(spark), "currency")
+    names = F.create_map(*(F.lit(x) for pair in PAIRS.items() for x in pair))
+    quoted = ticks(spark, d).groupBy(names[F.col("instrument")].alias("instrument")).agg(F.count("*").alias("ticks"))
+    return quoted.join(sessions.pair_legs(spark), "instrument").join(sessions.currency_countries(spark), "currency").select("instrument", "currency", "country", "ticks")
 
 
 @query("asof_macro_many", f"""WITH asks AS (SELECT DISTINCT known_at - known_at % {30 * DAY} AS ask_at FROM vintage),
@@ -796,11 +813,23 @@ def _(spark, d):
     return macro.insert_absent(old, counts.select("series_id", F.lit("new").alias("title"), "held"), ["series_id"])
 
 
-@query("market_windows_rebuilt", f"WITH {MARKET}, held AS ({MARKET_HELD}) SELECT span_start, span_end, CASE WHEN span_start < {FROM_US + 14 * DAY} AND span_end > {FROM_US + 7 * DAY} THEN 'fresh' ELSE 'stored' END AS made FROM held")
+@query("market_windows_rebuilt", f"WITH {MARKET}, held AS ({MARKET_HELD}) SELECT span_start, span_end, CASE WHEN span_start < epoch_us(CAST({FIRST_DAY} + 14 AS TIMESTAMP)) AND span_end > epoch_us(CAST({FIRST_DAY} + 7 AS TIMESTAMP)) THEN 'fresh' ELSE 'stored' END AS made FROM held")
+def _(spark, d):
+    first, after = span(spark, d)
+    low, high = first + timedelta(days=7), first + timedelta(days=14)
+    stored = sessions.market_windows(spark, first, after).withColumn("made", F.lit("stored"))
+    fresh = sessions.market_windows(spark, low, high).withColumn("made", F.lit("fresh"))
+    return sessions.rebuilt(stored, fresh, *((x - date(1970, 1, 1)).days * DAY for x in (low, high)))
+
+
+@query("market_windows_stored", f"WITH {MARKET}, held AS ({MARKET_HELD}) SELECT span_start, span_end FROM held")
 def _(spark, d):
-    stored = sessions.market_windows(spark, START, END).withColumn("made", F.lit("stored"))
-    fresh = sessions.market_windows(spark, date(2024, 1, 8), date(2024, 1, 15)).withColumn("made", F.lit("fresh"))
-    return sessions.rebuilt(stored, fresh, FROM_US + 7 * DAY, FROM_US + 14 * DAY)
+    first, after = span(spark, d)
+    folder, at = tables.scratch(spark, "calendar"), lambda x: (x - date(1970, 1, 1)).days * DAY
+    keep = lambda a, b: store.store_windows(spark, folder, "market_window", sessions.market_windows(spark, a, b), at(a), at(b), 7 * DAY)
+    keep(first, after)
+    keep(first + timedelta(days=7), first + timedelta(days=14))
+    return tables.read(spark, folder, "market_window")
 
 
 def fed(spark, d):
