@@ -430,7 +430,7 @@ def test_thresholds_are_those_of_all_labelled_rows(spark):
 
 
 def test_registered_queries():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_frequent_keys_stay_where_they_are(spark):

@@ -228,6 +228,45 @@ NAMED = (
     ("public-domain", ("dedicated",), "(?:has been )?dedicated to the public domain"),
     ("public-domain", ("placed",), "(?:has been |is )?placed in the public domain"),
 )
+#: More sentences of bodies and headers. Each holds one of HINTS too.
+BODIES = (
+    ("gpl", ("freedom",), "the licenses for most software(?: and other practical works)? are designed to take away your freedom to share and change"),
+    ("gpl", ("incorporating",), "general public licen[cs]e does not permit incorporating your program into proprietary programs"),
+    ("gpl-2", ("placed",), "this licen[cs]e applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this general public licen[cs]e"),
+    ("gpl-2", ("signed",), "you are not required to accept this licen[cs]e since you have not signed it"),
+    ("gpl-3", ("refers",), "this licen[cs]e refers to version 3 of the gnu general public licen[cs]e"),
+    ("gpl-3", ("convey",), "each time you convey a covered work the recipient automatically receives a licen[cs]e from the original licensors"),
+    ("gpl-3", ("accept",), "you are not required to accept this licen[cs]e in order to receive or run a copy of the program"),
+    ("lgpl", ("lesser", "library"), "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl-2.1", ("designated",), "this licen[cs]e the lesser general public licen[cs]e applies to some specially designated software packages"),
+    ("lgpl-3", ("incorporates",), "this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3 of the gnu general public licen[cs]e"),
+    ("agpl-3", ("affero",), "the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works specifically designed to ensure cooperation with the community"),
+    ("gfdl", ("textbook",), "the purpose of this licen[cs]e is to make a manual textbook or other functional and useful document free in the sense of freedom"),
+    ("apache-2", ("perpetual",), "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e to reproduce prepare derivative works of publicly display"),
+    ("apache-2", ("patent",), "perpetual worldwide non exclusive no charge royalty free irrevocable(?: except as stated in this section)? patent licen[cs]e to make have made use"),
+    ("apache-2", ("trademarks",), "this licen[cs]e does not grant permission to use the trade names trademarks service marks or product names of the licensor"),
+    ("apache-2", ("recipients",), "you must give any other recipients of the work or derivative works a copy of this licen[cs]e"),
+    ("apache-2", ("limitations",), "see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e"),
+    ("mpl-2", ("licensable",), "each contributor hereby grants you a world wide royalty free non exclusive licen[cs]e under intellectual property rights other than patent or trademark licensable by such contributor"),
+    ("mpl-2", ("incompatible",), "this source code form is incompatible with secondary licenses as defined by the mozilla public licen[cs]e"),
+    ("epl-2", ("secondary",), "this source code may also be made available under the following secondary licenses when the conditions for such availability set forth in the eclipse public licen[cs]e"),
+    ("epl", ("accompanying",), "the accompanying program is provided under the terms of this eclipse public licen[cs]e agreement"),
+    ("cddl", ("opensolaris",), "you can obtain a copy of the licen[cs]e at (?:usr src opensolaris licen[cs]e|https? www opensolaris org os licensing)"),
+    ("cc", ("creative",), "the work as defined below is provided under the terms of this creative commons public licen[cs]e"),
+    ("cc-by-4", ("exercising",), "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public licen[cs]e"),
+    ("cc-by-sa-4", ("exercising",), "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution share ?alike 4 0 international public licen[cs]e"),
+    ("cc0", ("affirmer",), "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright and related rights"),
+    ("unlicense", ("dedication",), "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"),
+    ("ofl", ("stimulate",), "the goals of the open font licen[cs]e ofl are to stimulate worldwide development of collaborative font projects"),
+    ("artistic-2", ("establishes",), "this licen[cs]e establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("wtfpl", ("verbatim",), "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document and changing it is allowed as long as the name is changed"),
+    ("eupl", ("eupl",), "licensed under the eupl (?:version 1 [12] )?or as soon they will be approved by the european commission subsequent versions of the eupl"),
+    ("osl-3", ("sublicensable",), "licensor (?:hereby )?grants you a worldwide royalty free non exclusive sublicensable licen[cs]e for the duration of the copyright"),
+    ("ms-pl", ("contribution",), "each contributor grants you a non exclusive worldwide royalty free copyright licen[cs]e to reproduce its contribution prepare derivative works of its contribution"),
+    ("bsl-1.1", ("production",), "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2", ("sublicensable",), "the licensor grants you a non exclusive royalty free worldwide non sublicensable non transferable licen[cs]e to use copy distribute make available"),
+    ("psf", ("nonexclusive",), "psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e to reproduce analy[sz]e test perform and or display publicly"),
+)
 #: Confidence and priority of a signature.
 SIGNED = (0.95, 9)
 #: Templates: name, pattern around the licence, confidence, priority.
@@ -240,12 +279,12 @@ TEMPLATES = (
 #: What a text must hold, lower-cased, to be looked at further: one of these, or a short name as a word of its own.
 HINTS = ("licen", "gpl", "apache", "creative", "public", "rights", "proprietary", "bsd", "gfdl", "wtfpl", "cddl", "eupl", "odbl", "spdx", "lizenz")
 SHORT = ("cc", "mpl", "epl", "osl", "ofl", "afl", "asl")
-SHORT_WORD = r"(?<![0-9a-z])(?:cc0|cc[^0-9a-z]*(?:by|zero)|[me]pl|o[sf]l|a[fs]l)(?![a-z])"
+SHORT_WORD = r"(?<![0-9a-z])(?:cc0|cc[^0-9a-z]*(?:by|zero)|[me]pl|o[sf]l|a[fs]l)(?=v?[0-9]|[^a-z]|$)"
 
 
 def rules() -> list[tuple[str, tuple[str, ...], str, float, int]]:
     """(label, keywords, pattern, confidence, priority) in order, one for each pattern: the signatures, then families by versions and templates."""
-    made = [(label, words, f" {sentence}(?= )", *SIGNED) for label, words, sentence in (*SIGNATURES, *NAMED)]
+    made = [(label, words, f" {sentence}(?= )", *SIGNED) for label, words, sentence in (*SIGNATURES, *NAMED, *BODIES)]
     for (label, keywords, names, versions), version, (_, around, sure, priority) in ((f, v, t) for f, t in product(FAMILIES, TEMPLATES) for v in f[3]):
         number = " ".join(version.split(".")) + ("" if "." in version else "(?: 0)?")
         tail = rf"(?:(?: licen[cs]e)?(?: as published by [a-z ]{{1,40}}?)?(?: either)?(?: version| v)? ?v?{number})" if version else "(?: licen[cs]e)?"

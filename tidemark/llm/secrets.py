@@ -2,7 +2,7 @@
 
 A run of base64 or hex is reported only if its bytes parse as a private key: nested DER lengths that fill each other exactly in the shape of
 one of the private-key encodings, or the length-prefixed fields of an OpenSSH key. A signed token is reported only if its header is JSON
-that names an algorithm and its claims are a JSON object. Texts without a keyword or a long run of such characters aren't searched further.
+that names an algorithm and its claims are a JSON object; an encrypted one, whose header names the encryption, with all of its five parts. Texts without a keyword or a long run of such characters aren't searched further.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ENCODED = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Za-z])")
 TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: An encrypted token has five parts, of which all but the header and what is encrypted may be empty.
+SEALED = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,30}?)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.S)
 IN_RUN = np.zeros(256, bool)
 IN_RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
@@ -149,9 +151,15 @@ def spans(text: bytes) -> list[tuple[int, int, str]]:
     for m in ANY_HEX.finditer(text):
         if kind := key_kind(bytes.fromhex(m[0].decode())):
             found.append((m.start(), m.end(), kind))
+    sealed = set()
+    for m in SEALED.finditer(text):
+        header = _json(m[1])
+        if isinstance(header.get("alg"), str) and "enc" in header:
+            found.append((m.start(), m.end(), "jwt"))
+            sealed.add(m.start())
     for m in TOKEN.finditer(text):
         header = _json(m[1])
-        if isinstance(header.get("alg"), str) and (_json(m[2]) or "enc" in header):
+        if m.start() not in sealed and isinstance(header.get("alg"), str) and (_json(m[2]) or "enc" in header):
             found.append((m.start(), m.end(), "jwt"))
     return sorted(set(found), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -181,6 +189,11 @@ def suspects(block: Block) -> np.ndarray:
     one, two = dots[:-1], dots[1:]
     form = (one >= 10) & (two - one > 2) & (strange[two] == strange[one + 1]) & (strange[one] == strange[np.maximum(one - 10, 0)])
     places.append(one[form])
+    # with an empty key two dots touch; what is encrypted stands between two later ones, and the characters of a nonce before it
+    if len(dots) > 3:
+        one, two, three, four = dots[:-3], dots[1:-2], dots[2:-1], dots[3:]
+        form = (one >= 10) & (strange[four] - strange[one + 1] == 2) & (four - three > 1) & (strange[one] == strange[np.maximum(one - 10, 0)])
+        places.append(one[form])
     return np.unique(np.searchsorted(block.offsets, np.concatenate(places), "right") - 1)
 
 
