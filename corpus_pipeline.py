@@ -31,15 +31,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (similarity 0.8 or more of their shingles of five words) the row with the least doc_id.
 
     Of rows with one doc_id but different texts each counts for itself; if several are in a group, the text with the least hash stays. Of rows with one
-    doc_id and text one stays. Texts without words, null and empty ones too, are copies of each other. Rows without an id all stay.
+    doc_id and text one stays. Texts without words, null and empty ones too, are copies of each other. Rows without an id stand behind all others, in the
+    order of their texts' hashes: one stays if its group has no row with an id.
     """
     own = session.neutral(docs, *OWN)
-    groups = near.near_groups(own.where("doc_id IS NOT NULL"))
+    behind = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    own = own.withColumn("__named", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), behind))
+    groups = near.near_groups(own)
     ids = groups.groupBy("group").agg(F.min(F.struct("doc_id", "k")).alias("at")).select("at.*").distinct().withColumnRenamed("k", "__k")
     rest = [c for c in own.columns if c not in ("doc_id", "text")]
-    first = F.row_number().over(Window.partitionBy("doc_id", "__k").orderBy(F.xxhash64(*(F.col(c).cast("string") for c in rest)) if rest else "__k"))
-    kept = own.withColumn("__k", F.xxhash64("text")).join(ids, ["doc_id", "__k"], "left_semi").withColumn("__n", first).where("__n = 1").select(*own.columns)
-    return kept.unionByName(own.where("doc_id IS NULL")).toDF(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id", "__k").orderBy(F.xxhash64(*(F.col(c).cast("string") for c in rest))))
+    kept = own.withColumn("__k", F.xxhash64("text")).join(ids, ["doc_id", "__k"], "left_semi").withColumn("__n", first).where("__n = 1")
+    named = F.when(F.col("__named"), F.col("doc_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return kept.select(*(named if c == "doc_id" else F.col(c) for c in own.columns if c != "__named")).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
