@@ -98,3 +98,37 @@ def test_stages_in_order(spark, tmp_path):
                 assert all(before[k] == t for k, t in after.items())
             before = after
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(before)
+
+
+def test_rows_without_an_id_are_copies_too(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    one, two, three = text(60), text(60), text(60)
+    rows = [(None, one), (None, one), (None, f"{one} tail"), (None, two), (4, two), (9, f"{two} end"), (None, three), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __named string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert len(kept) == 4 and sum(r.text in (one, f"{one} tail") for r in kept) == 1
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.text not in (one, f"{one} tail")) == sorted([(4, two), (0, three), (0, "")])
+
+
+def test_large_groups_of_copies_are_one_each(spark, tmp_path):
+    """Thousands of exact and of near copies, a chain of texts each near the next, and clean texts that share a line with all."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, other, line = [word() for _ in range(120)], [word() for _ in range(120)], " ".join(word() for _ in range(12))
+    rows = [" ".join(base)] * 1500
+    for _ in range(1500):
+        near = list(other)
+        near[rng.randrange(120)] = word()
+        rows.append(" ".join(near))
+    chain = [word() for _ in range(150)]
+    for k in range(40):
+        chain[3 * k] = word()
+        rows.append(" ".join(chain))
+    rows += [f"{' '.join(word() for _ in range(60))} {line}" for _ in range(300)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(order[k], t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(16)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    groups = [range(1500), range(1500, 3000), range(3000, 3040), *([k] for k in range(3040, 3340))]
+    assert kept == {min(order[k] for k in g) for g in groups}
