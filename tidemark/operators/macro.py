@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY
+from .asof import validity
 
 
 def number_vintages(observations: DataFrame) -> DataFrame:
@@ -142,20 +143,20 @@ def release_events(observations: DataFrame, start: int, end: int, past: int = 12
     """
     found = releases(observations).where((F.col("known_at") >= start) & (F.col("known_at") < end)).select("series_id", F.col("known_at").alias("released_at"), F.col("ref_period").alias("period"))
     asked = found.select("*", F.explode(F.expr(f"sequence(year(period) - {years}, year(period))")).alias("y"))
-    held = observations.select("series_id", F.year("ref_period").alias("y"), "ref_period", "known_at", "vintage_seq", "value")
-    met = asked.join(held, ["series_id", "y"]).where("known_at <= released_at AND ref_period <= period")
+    # a vintage holds until the next one of its period, so a release meets one of each period and needn't look for the newest
+    held = validity(observations.select("series_id", "ref_period", "known_at", "vintage_seq", "value")).withColumn("y", F.year("ref_period"))
+    met = asked.join(held, ["series_id", "y"]).where("known_at <= released_at AND (until IS NULL OR until > released_at) AND ref_period <= period")
     keys = ["series_id", "released_at", "period"]
-    newest = F.max_by(F.struct("value"), F.struct("known_at", "vintage_seq")).alias("v")
-    published = met.groupBy(*keys, "ref_period").agg(newest).where("v.value IS NOT NULL")
+    published = met.where("value IS NOT NULL").select(*keys, "ref_period", "value")
     last = Window.partitionBy(*keys).orderBy(F.col("ref_period").desc())
     # of one release the periods of a few years; newest first
     rows = published.withColumn("k", F.row_number().over(last)).where(F.col("k") <= past + 2)
-    rows = rows.groupBy(*keys).agg(F.expr("transform(array_sort(collect_list(struct(k, ref_period, v.value AS value))), x -> struct(x.ref_period, x.value))").alias("s"))
+    rows = rows.groupBy(*keys).agg(F.expr("transform(array_sort(collect_list(struct(k, ref_period, value))), x -> struct(x.ref_period, x.value))").alias("s"))
     rows = rows.where((F.size("s") == past + 2) & (F.col("s")[0]["ref_period"] == F.col("period")))
     # the changes before it add up to the difference of their ends
     change, before = F.col("s")[0]["value"] - F.col("s")[1]["value"], F.col("s")[1]["value"] - F.col("s")[past + 1]["value"]
     first = rows.select(*keys, F.col("s")[0]["value"].alias("first_print"), (change - before / past).alias("surprise_first"))
-    final = observations.groupBy("series_id", "ref_period").agg(newest).select("series_id", "ref_period", "v.value").where("value IS NOT NULL")
+    final = held.where("until IS NULL AND value IS NOT NULL").select("series_id", "ref_period", "value")
     last_known = surprises(final, past).select("series_id", F.col("ref_period").alias("period"), F.col("value").alias("final_value"), F.col("surprise").alias("surprise_final"))
     return first.join(last_known, ["series_id", "period"]).withColumnRenamed("period", "ref_period")
 
