@@ -35,11 +35,12 @@ def hours_needed(events: DataFrame, hold: int = HOLD, tolerance: int = TOLERANCE
 
 def trades(events: DataFrame, ticks: DataFrame, tolerance: int = TOLERANCE, hold: int = HOLD) -> DataFrame:
     """Trades of the events whose quotes every arm has, with their return in basis points; an arm whose surprise is zero or unknown doesn't trade. Of an entry at a price of 0 the return is null."""
-    placed = orders(events, hold)
-    legs = [placed.select(F.concat_ws("|", "event_id", "arm", F.lit(leg)).alias("ask_id"), "event_id", "arm", F.lit(leg).alias("leg"), "instrument", F.col(f"{leg}_at").alias("ask_at")) for leg in ("entry", "exit")]
-    priced = forward_asof(legs[0].unionByName(legs[1]), ticks, tolerance)
-    both = priced.groupBy("event_id", "arm").agg(*(F.max(F.when(F.col("leg") == leg, F.col(side))).alias(f"{leg}_{side}") for leg in ("entry", "exit") for side in ("bid", "ask")))
-    rows = placed.join(both, ["event_id", "arm"])
+    # what is known of an order goes along with its two asks, so that events are made once for each side of the as-of join and not again
+    leg = lambda name: F.struct(F.lit(name).alias("leg"), F.col(f"{name}_at").alias("ask_at"))
+    order = ["event_id", "arm", "direction", "use_mid"]
+    asks = orders(events, hold).select(*order, "instrument", F.explode(F.array(leg("entry"), leg("exit"))).alias("l")).select(*order, "instrument", "l.*")
+    priced = forward_asof(asks.withColumn("ask_id", F.concat_ws("|", "event_id", "arm", "leg")), ticks, tolerance)
+    rows = priced.groupBy(*order).agg(*(F.max(F.when(F.col("leg") == leg, F.col(side))).alias(f"{leg}_{side}") for leg in ("entry", "exit") for side in ("bid", "ask")))
     buys = F.col("direction") > 0
     mid = lambda leg: (F.col(f"{leg}_bid") + F.col(f"{leg}_ask")) / 2
     entry = F.when(F.col("use_mid"), mid("entry")).when(buys, F.col("entry_ask")).otherwise(F.col("entry_bid"))
