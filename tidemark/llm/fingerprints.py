@@ -25,37 +25,43 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), PARAGRAPHS), lambda p: F.xxhash64(p)))
 
 
-def _places(array: str, cells: int, parts: str, salt: int) -> str:
-    """Of each digest: itself, its check hash, its part and a cell in each third."""
-    where = f"xxhash64(d, {salt})" if salt else "d"
-    third = lambda k: f"cast({k * cells} + (shiftrightunsigned(h, {16 * k}) & 65535) % {cells} AS int)"
-    inner = f"named_struct('d', d, 'c', xxhash64(d, 77), 'g', cast((shiftrightunsigned(h, 48) & 65535) % ({parts}) AS int), 'p0', {third(0)}, 'p1', {third(1)}, 'p2', {third(2)})"
-    return f"transform({array}, d -> transform(array({where}), h -> {inner})[0])"
+def _places(array: str, cells: int, parts: str, salt: int, sign: int = 1) -> str:
+    """Of each digest: itself, its check hash, its sign, its part and its cell of each third."""
+    third = lambda k: f"cast((shiftrightunsigned(h, {16 * k}) & 65535) % {cells} AS int)"
+    part = "0" if parts == "1" else f"cast((shiftrightunsigned(h, 48) & 65535) % ({parts}) AS int)"
+    inner = f"named_struct('d', d, 'c', xxhash64(d, 77), 's', {sign}, 'g', {part}, 'p0', {third(0)}, 'p1', {third(1)}, 'p2', {third(2)})"
+    if not salt:
+        return f"transform({array}, h -> {inner.replace('(d, 77)', '(h, 77)').replace("'d', d", "'d', h")})"
+    return f"transform({array}, d -> transform(array(xxhash64(d, {salt})), h -> {inner})[0])"
 
 
-def _table(elements: str, cells: int) -> str:
-    """The cells of a sketch of these elements."""
-    xor = lambda f: f"aggregate(x, 0L, (a, e) -> a ^ e.{f})"
-    cell = lambda k: f"transform(array(filter({elements}, e -> e.p{k} = j)), x -> named_struct('n', size(x), 'k', {xor('d')}, 'c', {xor('c')}))[0]"
-    return _thirds(cells, lambda k, low, high: f"transform(sequence({low}, {high}), j -> {cell(k)})")
+def _entered(elements: str, cell: str, third: int, place: str) -> str:
+    """A cell with those of the elements in it that belong there. Each is one step, and only those that belong there make a new cell."""
+    return f"aggregate({elements}, {cell}, (x, e) -> if(e.p{third} = {place}, named_struct('n', x.n + e.s, 'k', x.k ^ e.d, 'c', x.c ^ e.c), x))"
 
 
-def _thirds(cells: int, make: Callable[[int, int, int], str]) -> str:
-    return "concat(" + ", ".join(make(k, k * cells, (k + 1) * cells - 1) for k in range(3)) + ")"
+def _table(elements: str, cells: int, less: str | None = None) -> str:
+    """The cells of a sketch of these elements, less those of a sketch of others, which have the other sign."""
+    cell = lambda k: _entered(elements, "named_struct('n', 0, 'k', 0L, 'c', 0L)", k, "j")
+    both = lambda k: _entered(less, cell(k), k, "j") if less else cell(k)
+    return _thirds(lambda k: f"transform(sequence(0, {cells - 1}), j -> {both(k)})")
+
+
+def _thirds(make: Callable[[int], str]) -> str:
+    return "concat(" + ", ".join(make(k) for k in range(3)) + ")"
 
 
 def _peeled(table: str, cells: int, salt: int) -> str:
     """(whether all was recovered, how many digests only the first has, and only the second) of a difference of tables."""
-    pure = "transform(filter(t, x -> abs(x.n) = 1 AND xxhash64(x.k, 77) = x.c), x -> named_struct('d', x.k, 's', x.n))"
-    placed = _places("transform(array_distinct(st.pure), e -> e.d)", cells, "1", salt)
-    signed = f"zip_with({placed}, array_distinct(st.pure), (e, f) -> named_struct('c', e.c, 'd', e.d, 's', f.s, 'p0', e.p0, 'p1', e.p1, 'p2', e.p2))"
-    sums = "x.n - aggregate(y, 0, (a, e) -> a + e.s), 'k', x.k ^ aggregate(y, 0L, (a, e) -> a ^ e.d), 'c', x.c ^ aggregate(y, 0L, (a, e) -> a ^ e.c)"
-    take = lambda k: f"transform(array(filter(out, e -> e.p{k} = j)), y -> if(size(y) = 0, x, named_struct('n', {sums})))[0]"
-    taken = _thirds(cells, lambda k, low, high: f"transform(slice(st.t, {low + 1}, {cells}), (x, i) -> transform(array(i + {low}), j -> {take(k)})[0])")
-    step = f"transform(array({signed}), out -> transform(array({taken}), t -> named_struct('t', t, 'a', st.a + size(filter(out, e -> e.s = 1)), 'b', st.b + size(filter(out, e -> e.s = -1)), 'pure', {pure}))[0])[0]"
-    start = f"transform(array({table}), t -> named_struct('t', t, 'a', 0, 'b', 0, 'pure', {pure}))[0]"
+    pure = lambda sign: f"array_distinct(transform(filter(t, x -> x.n = {sign} AND xxhash64(x.k, 77) = x.c), x -> x.k))"
+    known = f"'more', {pure(1)}, 'less', {pure(-1)}"
+    # what is peeled is entered with the other sign, which takes it out
+    out = f"concat({_places('st.more', cells, '1', salt, -1)}, {_places('st.less', cells, '1', salt, 1)})"
+    taken = _thirds(lambda k: f"transform(slice(st.t, {k * cells + 1}, {cells}), (x, i) -> {_entered('out', 'x', k, 'i')})")
+    step = f"transform(array({out}), out -> transform(array({taken}), t -> named_struct('t', t, 'a', st.a + size(st.more), 'b', st.b + size(st.less), {known}))[0])[0]"
+    start = f"transform(array({table}), t -> named_struct('t', t, 'a', 0, 'b', 0, {known}))[0]"
     end = "st -> named_struct('ok', forall(st.t, x -> x.n = 0 AND x.k = 0 AND x.c = 0), 'a', st.a, 'b', st.b)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> if(size(st.pure) = 0, st, {step}), {end})"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> if(size(st.more) + size(st.less) = 0, st, {step}), {end})"
 
 
 def _less(a: str, b: str) -> str:
@@ -69,7 +75,7 @@ def sketch(array: str, cells: int = CELLS) -> Column:
 
 def written(table: str) -> Column:
     """A table as text: of each cell the number, digests and check hashes in hexadecimal."""
-    return F.expr(f"lower(array_join(transform({table}, x -> concat(hex(x.n), '.', hex(x.k), '.', hex(x.c & 65535))), '-'))")
+    return F.expr(f"array_join(transform({table}, x -> concat(hex(x.n), '.', hex(x.k), '.', hex(x.c & 65535))), '-')")
 
 
 def _kept(result: str, a: str, b: str) -> str:
@@ -86,20 +92,20 @@ def _parts(a: str, b: str) -> str:
     cells = LARGER[0]
     parts = f"greatest(1, cast(ceil((size({a}) + size({b})) / {PER_PART}D) AS int))"
     bound = f"transform(array({parts}), m -> named_struct('m', m, 'w', cast(ceil(sqrt(m)) AS int)))"
-    tried = _kept(_peeled(_less(_table("ea", cells), _table("eb", cells)), cells, 0), "transform(ea, e -> e.d)", "transform(eb, e -> e.d)")
+    tried = _kept(_peeled(_table("ea", cells, "eb"), cells, 0), "transform(ea, e -> e.d)", "transform(eb, e -> e.d)")
     split = f"transform(array(filter(ra, e -> e.g = s)), ea -> transform(array(filter(rb, e -> e.g = s)), eb -> {tried})[0])[0]"
     each = f"transform(sequence(u * v.w, least(u * v.w + v.w, v.m) - 1), s -> {split})"
     run = lambda p: f"array(filter({p}, e -> e.g >= u * v.w AND e.g < u * v.w + v.w))"
     runs = f"transform(sequence(0, cast((v.m - 1) div v.w AS int)), u -> transform({run('pa')}, ra -> transform({run('pb')}, rb -> {each})[0])[0])"
-    placed = [_places(x, cells, "v.m", 0) for x in (a, b)]
+    placed = [_places(x, cells, "v.m", 0, sign) for x, sign in ((a, 1), (b, -1))]
     return f"transform({bound}, v -> flatten(transform(array({placed[0]}), pa -> transform(array({placed[1]}), pb -> {runs})[0])[0]))[0]"
 
 
 def _again(before: str, attempt: int) -> str:
     """Parts that failed, made anew with more cells and other places."""
     cells = LARGER[attempt]
-    tried = _kept(_peeled(_less(_table("ea", cells), _table("eb", cells)), cells, attempt), "q.da", "q.db")
-    ea, eb = (_places(x, cells, "1", attempt) for x in ("q.da", "q.db"))
+    tried = _kept(_peeled(_table("ea", cells, "eb"), cells, attempt), "q.da", "q.db")
+    ea, eb = (_places(x, cells, "1", attempt, sign) for x, sign in (("q.da", 1), ("q.db", -1)))
     return f"transform({before}, q -> if(q.ok, q, transform(array({ea}), ea -> transform(array({eb}), eb -> {tried})[0])[0]))"
 
 
@@ -156,12 +162,11 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     the row after it; a table of one row is followed by itself. Other columns aren't read.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("own", digests(F.col("text"))).withColumnRenamed("own", "digests")
-    rows = with_next(docs, ["text", "digests"])
+    docs = docs.withColumn("digests", digests(F.col("text"))).withColumn("table", sketch("digests"))
+    rows = with_next(docs, ["text", "digests", "table"])
     half = F.expr("int(length(text) div 2)")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "digests", "next_digests")
-    rows = rows.withColumn("edited_digests", digests(F.col("edited")))
-    rows = rows.withColumn("table", sketch("digests")).withColumn("edited_table", sketch("edited_digests")).withColumn("next_table", sketch("next_digests"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "digests", "table", "next_digests", "next_table")
+    rows = rows.withColumn("edited_digests", digests(F.col("edited"))).withColumn("edited_table", sketch("edited_digests"))
     rows = with_likeness(rows, {"near_edited": ("digests", "table", "edited_digests", "edited_table"), "near_next": ("digests", "table", "next_digests", "next_table")})
     return rows.select("doc_id", "n_chars", "edited", written("table").alias("fingerprint"), written("edited_table").alias("edited_fingerprint"), "near_edited", "near_next")
