@@ -172,3 +172,31 @@ def test_months():
     assert tables.months(at(2023, 12, 31, 23), at(2024, 2, 1)) == ["2023-12", "2024-01"]
     assert tables.months(at(2023, 12, 1), at(2023, 12, 1)) == [] and tables.months(at(2023, 12, 1), at(2023, 12, 1) + 1) == ["2023-12"]
     assert tables.month_text(at(2024, 2, 29, 23)) == "2024-02"
+
+
+def test_upserts_by_key_leave_other_months_alone(spark, tmp_path):
+    folder, keys = str(tmp_path), ["fix_date", "currency"]
+    rates = lambda *rows: spark.createDataFrame([(datetime.fromisoformat(x).date(), c, r) for x, c, r in rows], "fix_date date, currency string, rate double")
+    first = rates(("2023-12-29", "USD", 1.0), ("2024-01-02", "USD", 1.1), ("2024-01-02", "JPY", 160.0), ("2024-02-01", "USD", 1.2))
+    assert store.upsert_stored(spark, folder, "reference_rate", first, keys).partitions == 3
+    before = files(folder, "reference_rate")
+    again = rates(("2024-01-02", "JPY", 161.0), ("2024-01-03", "JPY", 162.0), ("2024-01-03", "JPY", 161.5))
+    for _ in range(2):
+        assert store.upsert_stored(spark, folder, "reference_rate", again, keys).partitions == 1
+        # of keys that come twice the greatest rate stays
+        assert sorted((str(r.fix_date), r.currency, r.rate) for r in tables.read(spark, folder, "reference_rate").collect()) == [
+            ("2023-12-29", "USD", 1.0), ("2024-01-02", "JPY", 161.0), ("2024-01-02", "USD", 1.1), ("2024-01-03", "JPY", 162.0), ("2024-02-01", "USD", 1.2)]
+    after = files(folder, "reference_rate")
+    assert {p for p in after if "2024-01" not in p} == {p for p in before if "2024-01" not in p} and all(after[p] == t for p, t in before.items() if "2024-01" not in p)
+    assert store.upsert_stored(spark, folder, "reference_rate", again.where("false"), keys).partitions == 0
+    assert files(folder, "reference_rate") == after
+
+
+def test_upserts_only_open_the_partitions_they_are_in(spark, tmp_path):
+    folder, day = str(tmp_path), datetime(2024, 1, 5).date()
+    rows = lambda *names: spark.createDataFrame([(day, n, 1.0, x, 3, 0.0) for n, x in names], "fix_date date, instrument string, fix double, mean_mid double, ticks long, diff_pips double")
+    store.upsert_stored(spark, folder, "drift_observation", rows(("E", 1.0), ("G/x", 2.0)), ["fix_date", "instrument"])
+    before = files(folder, "drift_observation")
+    assert store.upsert_stored(spark, folder, "drift_observation", rows(("G/x", 2.5)), ["fix_date", "instrument"]).partitions == 1
+    assert sorted((r.instrument, r.mean_mid) for r in tables.read(spark, folder, "drift_observation").collect()) == [("E", 1.0), ("G/x", 2.5)]
+    assert {p: t for p, t in files(folder, "drift_observation").items() if "instrument=E" in p} == {p: t for p, t in before.items() if "instrument=E" in p}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import pit, streams  # noqa: F401  streams registers with pit
+    from . import archives, pit, streams  # noqa: F401  they register with pit
 
     return pit.QUERIES
 
 
 def oracle_sql() -> dict:
-    from . import pit, streams  # noqa: F401
+    from . import archives, pit, streams  # noqa: F401
 
     return pit.ORACLE_SQL

@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import HOUR, MINUTE, floor_to
+from ..functions import DAY, HOUR, MINUTE, floor_to
 from ..operators.bars import bars_from_ticks
+from ..operators.macro import upsert
 from . import tables
 from .schemas import SCHEMAS
 
@@ -65,6 +66,21 @@ def store_windows(spark: SparkSession, folder: str, name: str, fresh: DataFrame,
     return tables.replace(spark, folder, name, fresh.where(overlap), overlap, [()], start - longest, end)
 
 
+def upsert_stored(spark: SparkSession, folder: str, name: str, incoming: DataFrame, keys: list[str]) -> tables.Replaced:
+    """macro.upsert into a stored table that is laid out by dates: of equal keys the incoming row stays. Only months from the first incoming date to the last, and only partitions that incoming rows are in, are read and swapped."""
+    at, by = tables.LAYOUT[name]
+    ends = incoming.agg(F.min(F.unix_date(at)).alias("first"), F.max(F.unix_date(at)).alias("last")).first()
+    if ends.first is None:
+        return tables.Replaced(0, 0, 0)
+    start, end = ends.first * DAY, (ends.last + 1) * DAY
+    # instruments, or nothing: few
+    values = [tuple(r) for r in incoming.select(*by).distinct().collect()] if by else [()]
+    held = tables.read(spark, folder, name, start, end)
+    for k, column in enumerate(by):
+        held = held.where(F.col(column).isin(sorted({v[k] for v in values})))
+    return tables.replace(spark, folder, name, upsert(held, tables.shaped(incoming, name), keys), F.lit(True), values, start, end)
+
+
 def scoped(relations: dict[str, DataFrame], series: list[str] | None = None, instruments: list[str] | None = None, start: int | None = None, end: int | None = None) -> dict[str, DataFrame]:
     """The relations of one session. Macro relations are whole unless series are named; quotes and bars have no rows unless instruments and both ends of [start, end) are given."""
     out, bounded = dict(relations), bool(instruments) and start is not None and end is not None

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import day_of
 from .schemas import SCHEMAS, empty
 
-#: Of each stored table the column of instants that tells the month, and the columns it is partitioned by before that.
+#: Of each stored table the column of instants or dates that tells the month, and the columns it is partitioned by before that.
 LAYOUT = {
     "tick_raw": ("ts", ("instrument",)),
     "bar_1m": ("minute", ("instrument",)),
@@ -33,6 +33,8 @@ LAYOUT = {
     "market_window": ("span_start", ()),
     "rollover_window": ("span_start", ()),
     "calendar_hour": ("hour", ()),
+    "reference_rate": ("fix_date", ()),
+    "drift_observation": ("fix_date", ("instrument",)),
 }
 STAGED, READY = "_staged", "_ready"
 
@@ -67,16 +69,21 @@ def months(start: int, end: int) -> list[str]:
 
 
 def with_month(rows: DataFrame, name: str) -> DataFrame:
-    return rows.withColumn("month", F.date_format(day_of(LAYOUT[name][0]), "yyyy-MM"))
+    at = LAYOUT[name][0]
+    return rows.withColumn("month", F.date_format(at if kinds_of(name)[at] == "date" else day_of(at), "yyyy-MM"))
+
+
+def kinds_of(name: str) -> dict[str, str]:
+    return dict(c.split() for c in SCHEMAS[name].split(", "))
 
 
 def columns_of(name: str) -> list[str]:
-    return [c.split()[0] for c in SCHEMAS[name].split(", ")]
+    return list(kinds_of(name))
 
 
 def shaped(rows: DataFrame, name: str) -> DataFrame:
     """rows with the table's columns; those that rows lack are null."""
-    kinds = dict(c.split() for c in SCHEMAS[name].split(", "))
+    kinds = kinds_of(name)
     return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in kinds))
 
 
