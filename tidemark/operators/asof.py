@@ -16,15 +16,16 @@ def at(t: Instant) -> int:
     return t if isinstance(t, int) and not isinstance(t, bool) else instant(t)
 
 
-def macro_as_of(observations: DataFrame, t: Instant, series_id: str | None = None, ref_period: str | None = None) -> DataFrame:
-    """The latest vintage of each (series, period) known at t, inclusive; one published as missing counts. The filter lies below the aggregate."""
+def macro_as_of(observations: DataFrame, t: Instant, series_id: str | None = None, ref_period: str | None = None, in_order: bool = False) -> DataFrame:
+    """The latest vintage of each (series, period) known at t, inclusive; one published as missing counts. The filter lies below the aggregate. In order: by series and period."""
     known = observations.where(F.col("known_at") <= at(t))
     if series_id is not None:
         known = known.where(F.col("series_id") == series_id)
     if ref_period is not None:
         known = known.where(F.col("ref_period") == F.lit(ref_period).cast("date"))
     newest = F.max_by(F.struct("known_at", "value", "vintage_seq"), F.struct("known_at", "vintage_seq"))
-    return known.groupBy("series_id", "ref_period").agg(newest.alias("v")).select("series_id", "ref_period", "v.*")
+    found = known.groupBy("series_id", "ref_period").agg(newest.alias("v")).select("series_id", "ref_period", "v.*")
+    return found.orderBy("series_id", "ref_period") if in_order else found
 
 
 def first_print(observations: DataFrame) -> DataFrame:
@@ -81,20 +82,22 @@ def dedupe(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("instrument", "ts", "source").agg(least.alias("v")).select("instrument", "ts", "source", "v.*")
 
 
-def ticks_as_of(ticks: DataFrame, t: Instant, instrument: str, start: Instant | None = None, end: Instant | None = None) -> DataFrame:
-    """Quotes printed by t, crossed ones never, in [start, end) if given, without repeated keys."""
+def ticks_as_of(ticks: DataFrame, t: Instant, instrument: str, start: Instant | None = None, end: Instant | None = None, in_order: bool = False) -> DataFrame:
+    """Quotes printed by t, crossed ones never, in [start, end) if given, without repeated keys. In order: by time and feed."""
     found = ticks.where((F.col("ts") <= at(t)) & (F.col("instrument") == instrument))
     found = found if start is None else found.where(F.col("ts") >= at(start))
     found = found if end is None else found.where(F.col("ts") < at(end))
-    return dedupe(clean(found))
+    found = dedupe(clean(found))
+    return found.orderBy("ts", "source") if in_order else found
 
 
-def bars_as_of(bars: DataFrame, t: Instant, instrument: str, source: str, start: Instant | None = None, end: Instant | None = None, mode: str = "start", length: int = MINUTE) -> DataFrame:
-    """Bars of one feed that have begun by t or, in mode closed, ended. A bar that has only begun still shows its later close."""
+def bars_as_of(bars: DataFrame, t: Instant, instrument: str, source: str, start: Instant | None = None, end: Instant | None = None, mode: str = "start", length: int = MINUTE, in_order: bool = False) -> DataFrame:
+    """Bars of one feed that have begun by t or, in mode closed, ended. A bar that has only begun still shows its later close. In order: by minute."""
     limit = F.col("minute") <= at(t) if mode == "start" else F.col("minute") + length <= at(t)
     found = bars.where(limit & (F.col("instrument") == instrument) & (F.col("source") == source))
     found = found if start is None else found.where(F.col("minute") >= at(start))
-    return found if end is None else found.where(F.col("minute") < at(end))
+    found = found if end is None else found.where(F.col("minute") < at(end))
+    return found.orderBy("minute") if in_order else found
 
 
 def forward_asof(asks: DataFrame, ticks: DataFrame, tolerance: int, strict: bool = False) -> DataFrame:

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import DAY, HOUR, MINUTE, floor_to
-from ..operators import bars, macro, monitors, sessions
+from ..functions import DAY, HOUR, MINUTE, day_of, floor_to
+from ..operators import bars, holidays, macro, monitors, sessions
 from ..sources import SCHEMAS, feeds, fixture_csv, rates_from_zip, reference_rates_wide, store, tables, ticks, unpivot_rates, vintages
 from .pit import FROM_US, MACRO_OUT, ORACLE_SQL, RATES, RELEASES, RELEASES_FROM, RELEASES_TO, fixes_of, period, query
 
@@ -208,3 +208,31 @@ def _(spark, d):
 def _(spark, d):
     text = F.concat_ws("|", "series_id", "ref_period", "known_at")
     return store.file_digests(vintages(spark, d).select(F.col("vintage_seq").cast("string").alias("name"), F.when(F.col("value").isNotNull(), text.cast("binary")).alias("content")))
+
+
+def rule_rows() -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join(f"({', '.join(map(quoted, rule))})" for rule in holidays.RULES)
+
+
+#: Easter here by the epact: the Sunday after the full moon that it gives.
+BY_RULE = f"""ru AS (SELECT * FROM (VALUES {rule_rows()}) AS v(currency, name, month, day, weekday, nth, after, since, moved)),
+ye AS (SELECT CAST(unnest(range(year(min(o_orderdate)) - 1, year(max(o_orderdate)) + 2)) AS INT) AS y FROM orders),
+ep AS (SELECT y, (11 * (y % 19) + 91 - (3 * (y // 100 + 1) // 4 - 12) + (8 * (y // 100 + 1) + 5) // 25 - 5) % 30 AS e0 FROM ye),
+ea AS (SELECT y, CASE WHEN e0 = 24 OR (e0 = 25 AND y % 19 >= 11) THEN e0 + 1 ELSE e0 END AS e FROM ep),
+fm AS (SELECT y, make_date(y, 3, 1) + CAST(CASE WHEN 44 - e < 21 THEN 44 - e + 30 ELSE 44 - e END - 1 AS INT) AS moon FROM ea),
+su AS (SELECT y, moon + CAST(7 - isodow(moon) % 7 AS INT) AS easter FROM fm),
+da AS (SELECT r.*, y, CASE WHEN after IS NOT NULL THEN easter + CAST(after AS INT)
+  WHEN weekday IS NOT NULL THEN ([x for x in range(CAST(make_date(y, month, 1) AS TIMESTAMP), CAST(make_date(y, month, 1) AS TIMESTAMP) + INTERVAL 1 MONTH, INTERVAL 1 DAY) if isodow(x) = weekday + 1])[nth]
+  ELSE make_date(y, month, day) END AS dt FROM ru r JOIN su ON since IS NULL OR y >= since),
+ob AS (SELECT currency, CAST(dt AS DATE) AS d, name FROM da UNION ALL
+  SELECT currency, CAST(dt AS DATE) + CASE WHEN moved = 'later' THEN 2 WHEN isodow(dt) = 7 THEN 1 WHEN moved = 'monday' THEN 2 ELSE -1 END, name || ' (observed)' FROM da WHERE moved IS NOT NULL AND isodow(dt) >= 6)"""
+
+
+@query("holidays_by_rule", f"""WITH {BY_RULE}, n AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS vintages FROM orders GROUP BY 1)
+SELECT currency, CAST(ob.d AS VARCHAR) AS holiday_date, name, coalesce(vintages, 0) AS vintages FROM ob LEFT JOIN n USING (d) WHERE year(ob.d) BETWEEN (SELECT min(year(o_orderdate)) FROM orders) AND (SELECT max(year(o_orderdate)) FROM orders)""")
+def _(spark, d):
+    known = vintages(spark, d).groupBy(day_of("known_at").alias("holiday_date")).agg(F.count("*").alias("vintages"))
+    ends = known.agg(F.min(F.year("holiday_date")), F.max(F.year("holiday_date"))).first()
+    rows = holidays.holidays_by_rule(spark, *ends).join(known, "holiday_date", "left")
+    return rows.select("currency", F.col("holiday_date").cast("string").alias("holiday_date"), "name", F.coalesce("vintages", F.lit(0)).alias("vintages"))
