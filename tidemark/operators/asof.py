@@ -103,14 +103,20 @@ def bars_as_of(bars: DataFrame, t: Instant, instrument: str, source: str, start:
 def forward_asof(asks: DataFrame, ticks: DataFrame, tolerance: int, strict: bool = False) -> DataFrame:
     """For each row of asks (ask_id, instrument, ask_at): the first clean tick in [ask_at, ask_at + tolerance], nulls if there is none.
 
-    Both sides meet on time buckets as wide as the tolerance; an ask looks into its own and the next one, so no instrument is one task's work.
+    Asks and ticks lie in time buckets as wide as the tolerance, so no instrument is one task's work. Read backwards, a bucket's last tick before an ask is the
+    one that follows it; if there is none, it is the first of the next bucket. Ticks that an ask doesn't get are never paired with it, however many its bucket has.
     """
-    wide = asks.select("*", F.explode(F.array(F.expr(f"ask_at div {tolerance}"), F.expr(f"ask_at div {tolerance} + 1"))).alias("bucket"))
-    side = clean(ticks).select("instrument", F.expr(f"ts div {tolerance}").alias("bucket"), "ts", "seq", "bid", "ask")
-    later = F.col("ts") > F.col("ask_at") if strict else F.col("ts") >= F.col("ask_at")
-    met = wide.join(side, ["instrument", "bucket"]).where(later & (F.col("ts") <= F.col("ask_at") + tolerance))
-    first = met.groupBy("ask_id").agg(F.min_by(F.struct("ts", "seq", "bid", "ask"), F.struct("ts", "seq")).alias("v")).select("ask_id", "v.*")
-    return asks.join(first, "ask_id", "left")
+    bucket, tick = F.expr(f"__at div {tolerance}"), F.struct("ts", "seq", "bid", "ask")
+    side = clean(ticks).where("instrument IS NOT NULL").select("instrument", F.col("ts").alias("__at"), tick.alias("__tick")).withColumn("__bucket", bucket)
+    asked = asks.withColumn("__at", F.col("ask_at")).withColumn("__bucket", bucket).withColumn("__asks", F.lit(True))
+    # a tick of an ask's own instant follows it unless strict
+    own = F.col("__asks").asc_nulls_last() if strict else F.col("__asks").asc_nulls_first()
+    back = Window.partitionBy("instrument", "__bucket").orderBy(F.col("__at").desc(), own, F.col("__tick.seq").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = asked.unionByName(side, allowMissingColumns=True).withColumn("__seen", F.last("__tick", ignorenulls=True).over(back)).where("__asks")
+    ahead = side.groupBy("instrument", "__bucket").agg(F.min_by("__tick", F.struct("__tick.ts", "__tick.seq")).alias("__ahead")).withColumn("__bucket", F.col("__bucket") - 1)
+    found = seen.join(ahead, ["instrument", "__bucket"], "left").withColumn("__v", F.coalesce("__seen", "__ahead"))
+    within = F.when(F.col("__v.ts") <= F.col("ask_at") + tolerance, F.col("__v"))
+    return found.withColumn("__v", within).select("ask_id", *(c for c in asks.columns if c != "ask_id"), "__v.*")
 
 
 def backward_by_day(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], time: str = "ts") -> DataFrame:
