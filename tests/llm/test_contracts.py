@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import licenses, queries, secrets
+from tidemark.llm import licenses, queries, secrets, substrings
 from tidemark.llm.blocks import Block, blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score long, kept string, k1 long, k2 long, `a.b` long, is_toxic boolean, n_removed int, __k1 long, __spans long"
@@ -159,6 +159,28 @@ def test_op8_planted_passages(spark, folder, rows):
     assert [next(r["n_removed"] > 400 for r in found if r["doc_id"] == k) for k in (40, 41, 42)] == [True] * 3
 
 
+def test_op8_counts_words_of_passages_shorter_than_its_bytes(spark, tmp_path, monkeypatch):
+    rng = random.Random(21)
+    short, fifty = " ".join(rng.choice(["la", "bé", "cod"]) + rng.choice("xyz") for _ in range(60)), words(rng, 50)
+    assert len(short.encode()) < 400
+    texts = [f"{words(rng, 40 + k)} {short if k % 2 else fifty} {words(rng, 30)}" for k in range(10)]
+    texts += [short[:-5], short.replace(" ", "\n", 7), f"{short} {words(rng, 3)} {short}", None, "", " \n ", texts[4], words(rng, 200)]
+    rows = [*enumerate(texts), (1, texts[1]), (None, texts[3])]
+    runs = collections.Counter(tuple(w[i : i + 51]) for w in ((t or "").split() for _, t in rows) for i in range(len(w) - 50))
+    wanted = collections.Counter()
+    for k, t in rows:
+        w = (t or "").split()
+        wanted[k, len({j for i in range(len(w) - 50) if runs[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)})] += 1
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = collected(spark, tmp_path, "op8_substrings")
+    assert counted(found, ["doc_id", "n_passage_words"]) == wanted
+    by = {r["doc_id"]: (r["n_removed"], r["n_passage_words"]) for r in found}
+    assert by[5] == by[7] == (0, 60) and by[0] == by[17] == (0, 0)
+    monkeypatch.setattr(substrings, "MARKS", 64)  # nearly every text is taken for one that is needed
+    columns = [*found[0]]
+    assert counted(collected(spark, tmp_path, "op8_substrings"), columns) == counted(found, columns)
+
+
 def test_op9_components(spark, folder, rows):
     def fingerprint(t):
         w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

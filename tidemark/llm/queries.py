@@ -54,8 +54,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), words=substrings.PASSAGE)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

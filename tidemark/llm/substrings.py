@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,6 +29,8 @@ WINDOW = 400
 PASSAGE, TOKEN, LONG_WORD, PIECE = 51, 4, 64, 8
 #: Blocks of one gram that may meet in one task; the bytes of blocks that are sorted together.
 MOST_BLOCKS, BATCH_BYTES = 4096, 1 << 19
+#: Bits of the broadcast table that tells which texts are needed.
+MARKS = 1 << 24
 NAME = ["gram", "c1", "c2"]
 
 
@@ -62,22 +64,44 @@ def find_blocks(docs: DataFrame, window: int, of_words: bool = False) -> DataFra
     return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, gram long, c1 long, c2 long, low int, count int, times int")
 
 
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with `__likely`: true if keys have the row's key, a hash, and for few others, so that only such rows' texts need to be shuffled.
+
+    It is looked up in a table of MARKS bits, one for each value of the key's last bits, that is broadcast; with more keys it says true more often.
+    """
+    word = F.shiftright(F.col(key), 6).bitwiseAND(F.lit(MARKS // 64 - 1))
+    bit = F.expr(f"shiftleft(1L, CAST(`{key}` & 63 AS INT))")
+    marks = keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    found = rows.withColumn("__word", word).join(F.broadcast(marks), "__word", "left")
+    return found.withColumn("__likely", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
+def with_spans(named: DataFrame, spans: DataFrame) -> DataFrame:
+    """named rows with the columns of spans, which has a row for each (__k1, __k2) at most; texts that have none aren't shuffled."""
+    marked = likely(named, spans, "__k1")
+    none = [F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in spans.columns if c not in ("__k1", "__k2")]
+    found = marked.where("__likely").drop("__likely").join(spans, ["__k1", "__k2"], "left")
+    return found.unionByName(marked.where("NOT __likely").select(*named.columns, *none))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOST_BLOCKS, of_words: bool = False) -> DataFrame:
     """From (k1, k2, text): (k1, k2, low, high), bytes of each text that lie in a window that starts anywhere else too; rows may overlap.
 
     k1 and k2 name a text; rows of one name must have the same text, and each counts. With `of_words`, texts and spans are as word_tokens gives them.
     """
-    found = stored(find_blocks(docs, window, of_words))
+    # one shuffle by gram tells how often a block's gram and the block as a whole come, and which row stands for blocks that are equal as a whole
+    kind = Window.partitionBy(*NAME)
+    first = (F.row_number().over(kind.orderBy("k1", "k2", "low")) == 1).cast("int")
+    found = find_blocks(docs, window, of_words).withColumn("first", first).withColumn("n", F.sum("times").over(kind)).withColumn("kinds", F.sum("first").over(Window.partitionBy("gram")))
+    found = stored(found.where("kinds > 1 OR n > 1"))
+    way = F.when(F.col("kinds") == 1, 0).when(F.col("kinds") <= most_blocks, 1).otherwise(2).alias("way")
+    kinds = found.where("first = 1").select(*NAME, "n", "k1", "k2", "low", "count", way)
+    alone = kinds.where("way = 0").select(*NAME, F.lit(0).cast("long").alias("start"), F.col("count").cast("long").alias("stop"))
+
+    wanted = kinds.where("way > 0")
+    docs = likely(docs.select("k1", "k2", "text"), wanted, "k1").where("__likely").drop("__likely")
     docs = word_tokens(docs) if of_words else docs
-    shared = found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram")
-    # blocks that are equal as a whole become one, with their number
-    kinds = found.join(shared, "gram", "left_semi").groupBy(*NAME).agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "low", "count")).alias("at"))
-    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(per_gram, "gram").select(*NAME, "n", "at.*", F.when(F.col("kinds") == 1, 0).when(F.col("kinds") <= most_blocks, 1).otherwise(2).alias("way"))
-    kinds = stored(kinds)
-    alone = kinds.where("way = 0 AND n > 1").select(*NAME, F.lit(0).cast("long").alias("start"), F.col("count").cast("long").alias("stop"))
-
-    wanted = kinds.where("way > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct(*NAME, "n", "low", "count", "way")).alias("blocks"))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*NAME, "n", "low", "count", "way")).alias("blocks"))
 
     @lean
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,22 +178,39 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
     hits = alone.unionByName(sorted_).unionByName(counted)
     # blocks that come at once again lie `count` bytes apart, less than a window, so what they cover hangs together
     high = F.col("low") + (F.col("times") - 1) * F.col("count") + F.col("stop") + window - 1
-    return found.join(hits, NAME).select("k1", "k2", (F.col("low") + F.col("start")).alias("low"), high.alias("high"))
+    return found.select("k1", "k2", *NAME, "low", "count", "times").join(hits, NAME).select("k1", "k2", (F.col("low") + F.col("start")).alias("low"), high.alias("high"))
+
+
+def text_spans(texts: DataFrame, window: int, most_blocks: int, of_words: bool = False) -> DataFrame:
+    """(__k1, __k2, __spans) of each text that has repeated spans."""
+    return repeated_spans(texts, window, most_blocks, of_words).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans"))
+
+
+def passage_words(texts: DataFrame, words: int, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """(__k1, __k2, __words): how many words of each text lie in a run of `words` words that also starts elsewhere; texts without any have no row."""
+    low, high = F.ceil(F.col("low") / TOKEN), F.floor(F.col("high") / TOKEN)  # a word counts only as a whole
+    spans = repeated_spans(texts, TOKEN * words, most_blocks, of_words=True).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), low.alias("low"), high.alias("high")).distinct()
+    before = F.max("high").over(Window.partitionBy("__k1", "__k2").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.col("high") - F.greatest("low", F.coalesce(before, F.lit(0))), F.lit(0))
+    return spans.withColumn("__new", new).groupBy("__k1", "__k2").agg(F.sum("__new").alias("__words"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", most_blocks: int = MOST_BLOCKS, key: str = "doc_id", characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", most_blocks: int = MOST_BLOCKS, key: str = "doc_id", characters: bool = False, words: int | None = None) -> DataFrame:
     """All columns of docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that are left).
 
     Removed is each byte covered by a window of bytes that also starts at another place: in another row, a repeated one too, or in the same text,
-    overlaps included. With `characters`, kept is a string and has every character of which any byte is left. Null and empty texts lose nothing; windows don't cross texts. Columns named like added ones are replaced.
+    overlaps included. With `characters`, kept is a string and has every character of which any byte is left. Null and empty texts lose nothing; windows don't cross texts.
+    With `words`, n_passage_words is the number of words that remove_repeated_words would remove; nothing is removed on their account. Columns named like added ones are replaced.
     """
-    added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "string" if characters else "binary"}
+    added = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "string" if characters else "binary"} | ({"n_passage_words": "long"} if words else {})
     columns = [c for c in docs.columns if c not in added]
     docs = neutral(docs.select(*(F.col(f"`{c}`") for c in columns)), key, text)
     named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
     texts = named.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = cut(repeated_spans(texts, window, most_blocks).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
-    joined = named.join(spans, ["__k1", "__k2"], "left").select(*docs.columns, "__spans")
+    spans = text_spans(texts, window, most_blocks)
+    if words:
+        spans = spans.join(passage_words(texts, words, most_blocks), ["__k1", "__k2"], "full")
+    joined = with_spans(named, cut(spans)).select(*docs.columns, "__spans", *(["__words"] if words else []))
 
     place, names = docs.columns.index(text), [*docs.columns, *added]
 
@@ -198,7 +239,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", mo
                 cells = [pa.array([r[k] for r in out], pa.binary() if k == 3 else pa.int64()) for k in range(4)]
                 if characters:
                     cells[3] = cells[3].cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cells], names)
+                if words:
+                    cells.append(part.column(len(columns) + 1).fill_null(0))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *cells], names)
 
     schema = StructType([*docs.schema.fields])
     for name, kind in added.items():
@@ -262,8 +305,8 @@ def remove_repeated_words(docs: DataFrame, words: int = PASSAGE, text: str = "te
     docs = neutral(docs.select(*(F.col(f"`{c}`") for c in columns)), key, text)
     named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
     texts = named.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = cut(repeated_spans(texts, TOKEN * words, most_blocks, of_words=True).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans")))
-    joined = named.join(spans, ["__k1", "__k2"], "left").select(*docs.columns, "__spans")
+    spans = cut(text_spans(texts, TOKEN * words, most_blocks, of_words=True))
+    joined = with_spans(named, spans).select(*docs.columns, "__spans")
     place, names = docs.columns.index(text), [*docs.columns, "n_removed", "kept"]
 
     @lean
