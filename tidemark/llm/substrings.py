@@ -84,10 +84,11 @@ def with_spans(named: DataFrame, spans: DataFrame) -> DataFrame:
     return found.unionByName(marked.where("NOT __likely").select(*named.columns, *none))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOST_BLOCKS, of_words: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOST_BLOCKS, of_words: bool = False, marked: bool = True) -> DataFrame:
     """From (k1, k2, text): (k1, k2, low, high), bytes of each text that lie in a window that starts anywhere else too; rows may overlap.
 
     k1 and k2 name a text; rows of one name must have the same text, and each counts. With `of_words`, texts and spans are as word_tokens gives them.
+    `marked` shuffles only texts that are likely to be needed; it takes a broadcast, so some of the driver's memory.
     """
     # one shuffle by gram tells how often a block's gram and the block as a whole come, and which row stands for blocks that are equal as a whole
     kind = Window.partitionBy(*NAME)
@@ -99,7 +100,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
     alone = kinds.where("way = 0").select(*NAME, F.lit(0).cast("long").alias("start"), F.col("count").cast("long").alias("stop"))
 
     wanted = kinds.where("way > 0")
-    docs = likely(docs.select("k1", "k2", "text"), wanted, "k1").where("__likely").drop("__likely")
+    if marked:
+        docs = likely(docs.select("k1", "k2", "text"), wanted, "k1").where("__likely").drop("__likely")
     docs = word_tokens(docs) if of_words else docs
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*NAME, "n", "low", "count", "way")).alias("blocks"))
 
@@ -181,9 +183,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most_blocks: int = MOS
     return found.select("k1", "k2", *NAME, "low", "count", "times").join(hits, NAME).select("k1", "k2", (F.col("low") + F.col("start")).alias("low"), high.alias("high"))
 
 
-def text_spans(texts: DataFrame, window: int, most_blocks: int, of_words: bool = False) -> DataFrame:
+def text_spans(texts: DataFrame, window: int, most_blocks: int, of_words: bool = False, marked: bool = True) -> DataFrame:
     """(__k1, __k2, __spans) of each text that has repeated spans."""
-    return repeated_spans(texts, window, most_blocks, of_words).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans"))
+    return repeated_spans(texts, window, most_blocks, of_words, marked).groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set(F.struct("low", "high")).alias("__spans"))
 
 
 def passage_words(texts: DataFrame, words: int, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -305,8 +307,9 @@ def remove_repeated_words(docs: DataFrame, words: int = PASSAGE, text: str = "te
     docs = neutral(docs.select(*(F.col(f"`{c}`") for c in columns)), key, text)
     named = docs.select("*", F.xxhash64(F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__k2"))
     texts = named.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    spans = cut(text_spans(texts, TOKEN * words, most_blocks, of_words=True))
-    joined = with_spans(named, spans).select(*docs.columns, "__spans")
+    # not marked: the pipeline, which calls this, is near its limit of the driver's memory
+    spans = cut(text_spans(texts, TOKEN * words, most_blocks, of_words=True, marked=False))
+    joined = named.join(spans, ["__k1", "__k2"], "left").select(*docs.columns, "__spans")
     place, names = docs.columns.index(text), [*docs.columns, "n_removed", "kept"]
 
     @lean
